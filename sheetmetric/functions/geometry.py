@@ -1,90 +1,58 @@
-"""Geometry over ``points`` (array<struct<x,y>>) as column expressions."""
+"""Geometry over ``points`` (array<struct<x,y>>) as SQL expression texts."""
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+REST = "slice({p}, 2, greatest(size({p}) - 1, 0))"
+INIT = "slice({p}, 1, greatest(size({p}) - 1, 0))"
+BOX = "named_struct('xmin', {}, 'ymin', {}, 'xmax', {}, 'ymax', {})"
 
 
-def _rest(points: Column) -> Column:
-    return F.slice(points, F.lit(2), F.greatest(F.size(points) - 1, F.lit(0)))
+def distance_sql(ax: str, ay: str, bx: str, by: str) -> str:
+    return f"sqrt(({ax} - {bx}) * ({ax} - {bx}) + ({ay} - {by}) * ({ay} - {by}))"
 
 
-def _init(points: Column) -> Column:
-    return F.slice(points, F.lit(1), F.greatest(F.size(points) - 1, F.lit(0)))
-
-
-def distance(a: Column, b: Column) -> Column:
-    dx, dy = a["x"] - b["x"], a["y"] - b["y"]
-    return F.sqrt(dx * dx + dy * dy)
-
-
-def _total(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
-
-
-def polyline_length(points: Column, closed: Column) -> Column:
+def polyline_length_sql(p: str = "points", closed: str = "closed") -> str:
     """Chord lengths, plus the closing chord when closed with more than two points."""
-    chords = _total(F.zip_with(_init(points), _rest(points), distance))
-    closing = F.when(closed & (F.size(points) > 2), distance(F.element_at(points, -1), F.element_at(points, 1)))
-    return chords + F.coalesce(closing, F.lit(0.0))
+    chords = (f"aggregate(zip_with({INIT.format(p=p)}, {REST.format(p=p)}, (a, b) -> {distance_sql('a.x', 'a.y', 'b.x', 'b.y')}), "
+              "0D, (s, v) -> s + v)")
+    closing = distance_sql(f"element_at({p}, -1).x", f"element_at({p}, -1).y", f"{p}[0].x", f"{p}[0].y")
+    return f"({chords} + CASE WHEN {closed} AND size({p}) > 2 THEN {closing} ELSE 0D END)"
 
 
-def polygon_area(points: Column) -> Column:
+def polygon_area_sql(p: str = "points") -> str:
     """Absolute shoelace area; fewer than three points give 0."""
-    rotated = F.concat(_rest(points), F.slice(points, 1, 1))
-    cross = _total(F.zip_with(points, rotated, lambda a, b: a["x"] * b["y"] - b["x"] * a["y"]))
-    return F.when(F.size(points) >= 3, F.abs(cross) / 2.0).otherwise(F.lit(0.0))
+    turned = f"concat({REST.format(p=p)}, slice({p}, 1, 1))"
+    return (f"CASE WHEN size({p}) >= 3 THEN abs(aggregate(zip_with({p}, {turned}, (a, b) -> a.x * b.y - b.x * a.y), 0D, (s, v) -> s + v)) / 2D "
+            "ELSE 0D END")
 
 
-def entity_length(e_type="dxf_type", points="points", closed="closed") -> Column:
-    """Length by type; types without a measurable length give null."""
-    t, p = F.col(e_type), F.col(points)
-    sweep = F.pmod(F.col("end_angle") - F.col("start_angle"), F.lit(360.0))
-    return (F.when(t == "LINE", distance(p[0], p[1]))
-            .when(t == "LWPOLYLINE", polyline_length(p, F.col(closed)))
-            .when(t == "ARC", F.radians(sweep) * F.col("radius"))
-            .when(t == "CIRCLE", F.lit(2.0) * F.pi() * F.col("radius")))
+# length by type; types without a measurable length give null
+LENGTH = (f"CASE dxf_type WHEN 'LINE' THEN {distance_sql('points[0].x', 'points[0].y', 'points[1].x', 'points[1].y')} "
+          f"WHEN 'LWPOLYLINE' THEN {polyline_length_sql()} WHEN 'ARC' THEN radians(pmod(end_angle - start_angle, 360D)) * radius "
+          "WHEN 'CIRCLE' THEN 2D * pi() * radius END")
+# area of closed polylines and hatch boundaries; everything else gives 0
+AREA = (f"CASE WHEN dxf_type = 'HATCH' OR (dxf_type IN ('LWPOLYLINE', 'POLYLINE') AND closed) THEN {polygon_area_sql()} ELSE 0D END")
 
 
-def entity_area(e_type="dxf_type", points="points", closed="closed") -> Column:
-    """Area of closed polylines and hatch boundaries; everything else gives 0."""
-    t = F.col(e_type)
-    ring = (t == "HATCH") | (t.isin("LWPOLYLINE", "POLYLINE") & F.col(closed))
-    return F.when(ring, polygon_area(F.col(points))).otherwise(F.lit(0.0))
+def points_bbox_sql(p: str = "points") -> str:
+    xs, ys = f"transform({p}, q -> q.x)", f"transform({p}, q -> q.y)"
+    return BOX.format(f"array_min({xs})", f"array_min({ys})", f"array_max({xs})", f"array_max({ys})")
 
 
-def points_bbox(points: Column) -> Column:
-    xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
-    return F.struct(F.array_min(xs).alias("xmin"), F.array_min(ys).alias("ymin"),
-                    F.array_max(xs).alias("xmax"), F.array_max(ys).alias("ymax"))
-
-
-def _box(xmin, ymin, xmax, ymax) -> Column:
-    return F.struct(xmin.alias("xmin"), ymin.alias("ymin"), xmax.alias("xmax"), ymax.alias("ymax"))
-
-
-def bbox(text_extent: bool) -> Column:
+def bbox_sql(text_extent: bool) -> str:
     """Axis-aligned box of an entity row.
 
     ``text_extent=False``: texts and dimensions are points (interchange form).
     ``text_extent=True``: texts take max(height, length * height * 0.7) by height (pool form).
     """
-    t, p, r = F.col("dxf_type"), F.col("points"), F.col("radius")
-    x, y = p[0]["x"], p[0]["y"]
-    out = F.when(t.isin("CIRCLE", "ARC"), _box(x - r, y - r, x + r, y + r))
-    if text_extent:
-        h = F.coalesce(F.col("height"), F.lit(0.0))
-        width = F.greatest(h, F.length(F.coalesce(F.col("label_text"), F.lit(""))) * h * 0.7)
-        out = out.when(t.isin("TEXT", "MTEXT"), _box(x, y, x + width, y + h))
-    return out.otherwise(points_bbox(p))
+    x, y, h = "points[0].x", "points[0].y", "coalesce(height, 0D)"
+    text = (f"WHEN dxf_type IN ('TEXT', 'MTEXT') THEN "
+            + BOX.format(x, y, f"{x} + greatest({h}, length(coalesce(label_text, '')) * {h} * 0.7D)", f"{y} + {h}")) if text_extent else ""
+    circle = BOX.format(f"{x} - radius", f"{y} - radius", f"{x} + radius", f"{y} + radius")
+    return f"CASE WHEN dxf_type IN ('CIRCLE', 'ARC') THEN {circle} {text} ELSE {points_bbox_sql()} END"
 
 
-def point_in_polygon(x: Column, y: Column, polygon: Column) -> Column:
+def point_in_polygon_sql(x: str, y: str, polygon: str) -> str:
     """Even-odd ray casting with the 1e-12 denominator guard."""
-    previous = F.concat(F.slice(polygon, -1, 1), _init(polygon))
-
-    def crosses(i, j):
-        slope = (j["x"] - i["x"]) * (y - i["y"]) / (j["y"] - i["y"] + F.lit(1e-12)) + i["x"]
-        return ((i["y"] > y) != (j["y"] > y)) & (x < slope)
-
-    return F.aggregate(F.zip_with(polygon, previous, crosses), F.lit(False), lambda acc, c: acc != c)
+    previous = f"concat(slice({polygon}, -1, 1), {INIT.format(p=polygon)})"
+    crosses = f"((i.y > {y}) <> (j.y > {y})) AND {x} < (j.x - i.x) * ({y} - i.y) / (j.y - i.y + 1e-12D) + i.x"
+    return f"aggregate(zip_with({polygon}, {previous}, (i, j) -> {crosses}), false, (inside, c) -> inside <> c)"

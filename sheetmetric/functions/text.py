@@ -1,34 +1,51 @@
-"""Text predicates as column expressions (all evaluated in the JVM, no joins)."""
+"""Text predicates as SQL expression texts (evaluated in the JVM, no joins, no UDFs).
+
+Dictionary chains are long; as SQL text each of them is parsed once instead of being put
+together from hundreds of Python column calls.  Functions named ``*_sql`` take and return text.
+"""
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from sheetmetric.model import fixed
 
 
-def norm(col: Column) -> Column:
+def raw(text: str) -> str:
+    """SQL literal without escape processing."""
+    return "r'" + text + "'" if "'" not in text else 'r"' + text + '"'
+
+
+def string_array(words) -> str:
+    return "array(" + ", ".join(raw(w) for w in words) + ")"
+
+
+def map_sql(values: dict) -> str:
+    def one(v):
+        return raw(v) if isinstance(v, str) else (f"{v!r}D" if isinstance(v, float) else str(v))
+    return "map(" + ", ".join(f"{one(k)}, {one(v)}" for k, v in values.items()) + ")"
+
+
+def norm_sql(x: str) -> str:
     """Trimmed upper case; null becomes the empty string."""
-    return F.upper(F.trim(F.coalesce(col, F.lit(""))))
+    return f"upper(trim(coalesce({x}, '')))"
+
+
+def nonblank_sql(x: str) -> str:
+    return f"trim(coalesce({x}, '')) <> ''"
 
 
 def alternation(keywords) -> str:
     return "|".join(re.escape(k) for k in keywords)
 
 
-def contains_any(col: Column, keywords) -> Column:
-    return col.rlike(alternation(keywords))
+def contains_any_sql(x: str, keywords) -> str:
+    return f"({x} RLIKE {raw(alternation(keywords))})"
 
 
-def first_group(col: Column, groups, default) -> Column:
-    """Label of the first group (in declared order) one of whose keywords occurs in ``col``."""
-    expr = None
-    for label, keywords in groups:
-        hit = contains_any(col, [k.upper() for k in keywords])
-        expr = F.when(hit, F.lit(label)) if expr is None else expr.when(hit, F.lit(label))
-    return expr.otherwise(default if isinstance(default, Column) else F.lit(default))
+def first_group_sql(x: str, groups, default: str = "NULL") -> str:
+    """Label of the first group (in declared order) one of whose keywords occurs in ``x``."""
+    whens = " ".join(f"WHEN {contains_any_sql(x, [k.upper() for k in words])} THEN {raw(label)}" for label, words in groups)
+    return f"CASE {whens} ELSE {default} END"
 
 
 def has_cjk(word: str) -> bool:
@@ -52,25 +69,19 @@ def component_pattern(keywords) -> str:
     return "|".join(parts)
 
 
-def token_match(col: Column, words) -> Column:
+def token_match_sql(x: str, words) -> str:
     words = [w for w in words if w.strip()]
     if not words:
-        return F.lit(False)
-    return F.upper(col).rlike("|".join(token_pattern(w) for w in words))
-
-
-def nonblank(col: Column) -> Column:
-    return F.trim(F.coalesce(col, F.lit(""))) != ""
+        return "false"
+    return f"(upper({x}) RLIKE {raw('|'.join(token_pattern(w) for w in words))})"
 
 
-def tokens(col: Column) -> Column:
+def tokens_sql(x: str) -> str:
     """Latin/digit runs of two or more, CJK runs of up to two as is, longer ones as 2-grams."""
-    latin = F.regexp_extract_all(col, F.lit(r"[A-Za-z0-9_\-]{2,}"), 0)
-    runs = F.regexp_extract_all(col, F.lit("[一-鿿]+"), 0)
-    grams = F.flatten(F.transform(runs, lambda run: F.when(
-        F.length(run) <= 2, F.array(run)).otherwise(
-        F.transform(F.sequence(F.lit(1), F.length(run) - 1), lambda i: F.substring(run, i, F.lit(2))))))
-    return F.concat(latin, grams)
+    latin = f"regexp_extract_all({x}, r'[A-Za-z0-9_\\-]{{2,}}', 0)"
+    runs = f"regexp_extract_all({x}, r'[一-鿿]+', 0)"
+    grams = f"transform({runs}, t -> CASE WHEN length(t) <= 2 THEN array(t) ELSE transform(sequence(1, length(t) - 1), i -> substring(t, i, 2)) END)"
+    return f"concat({latin}, flatten({grams}))"
 
 
 def expand_keyword(word: str) -> list[str]:

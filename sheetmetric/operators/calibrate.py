@@ -4,24 +4,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheetmetric.functions.geometry import bbox
+from sheetmetric.functions.geometry import bbox_sql
 from sheetmetric.functions.numbers import half_up
+from sheetmetric.functions.text import map_sql
 from sheetmetric.model import fixed
 from sheetmetric.operators.measure import layer_role
 
 
-def literal_map(values: dict) -> Column:
-    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
-
-
-def unit_name(insunits: Column) -> Column:
-    return F.coalesce(F.try_element_at(literal_map(fixed.INSUNITS), insunits), F.lit("unitless"))
+def lookup(values: dict, key: str) -> Column:
+    """Value of ``key`` in a literal map, null when absent."""
+    return F.expr(f"try_element_at({map_sql(values)}, {key})")
 
 
 def unit_factor(sheets: DataFrame) -> DataFrame:
-    name = unit_name(F.col("insunits").cast("int"))
-    return sheets.select("sheet_id", name.alias("drawing_unit"),
-                         F.try_element_at(literal_map(fixed.UNIT_FACTOR_MM), name).alias("unit_factor_to_mm"))
+    named = sheets.select("sheet_id", F.coalesce(lookup(fixed.INSUNITS, "CAST(insunits AS INT)"), F.lit("unitless")).alias("drawing_unit"))
+    return named.withColumn("unit_factor_to_mm", lookup(fixed.UNIT_FACTOR_MM, "drawing_unit"))
 
 
 def scale_texts(entities: DataFrame) -> DataFrame:
@@ -37,7 +34,7 @@ def scale_texts(entities: DataFrame) -> DataFrame:
 
 def scale_mode(entities: DataFrame) -> DataFrame:
     """Most frequent ratio per sheet; ties go to one seen on a frame layer, then to the first."""
-    is_frame = (layer_role(F.col("layer")) == "FRAME").cast("int")
+    is_frame = (layer_role() == "FRAME").cast("int")
     counted = scale_texts(entities).groupBy("sheet_id", "scale_ratio").agg(
         F.count("*").alias("n"), F.max(is_frame).alias("frame"), F.min(F.struct("seq", "entity_id", "pos")).alias("first"),
         F.min_by("scale_text", F.struct("seq", "entity_id", "pos")).alias("scale_text"))
@@ -48,7 +45,7 @@ def scale_mode(entities: DataFrame) -> DataFrame:
 
 def frame_bbox(entities: DataFrame) -> DataFrame:
     """Box of the largest closed frame polyline, else of everything on frame layers."""
-    rows = entities.where(layer_role(F.col("layer")) == "FRAME").withColumn("box", bbox(text_extent=True)).where("box.xmin IS NOT NULL")
+    rows = entities.where(layer_role() == "FRAME").withColumn("box", F.expr(bbox_sql(text_extent=True))).where("box.xmin IS NOT NULL")
     closed = F.col("dxf_type").isin("LWPOLYLINE", "POLYLINE") & F.col("closed")
     area = (F.col("box.xmax") - F.col("box.xmin")) * (F.col("box.ymax") - F.col("box.ymin"))
     largest = F.min(F.when(closed & (area > 0), F.struct((-area).alias("k"), "seq", "entity_id", "box")))
@@ -58,23 +55,19 @@ def frame_bbox(entities: DataFrame) -> DataFrame:
     return grouped.select("sheet_id", pick("xmin", "a"), pick("ymin", "b"), pick("xmax", "c"), pick("ymax", "d"))
 
 
-def paper_match(long: Column, short: Column, ratio: Column) -> Column:
+def paper_match(long: str, short: str, ratio: str) -> Column:
     """Struct(paper, frame_paper_ratio, aspect_matched) for a frame; five papers, an array expression.
 
     With a scale ratio the paper whose long-side ratio is closest wins and must be within
     tolerance; without one the largest paper of matching aspect wins.
     """
-    papers = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(n).alias("paper"), F.lit(float(a)).alias("long"),
-                                F.lit(a / b).alias("aspect")) for i, (n, a, b) in enumerate(fixed.PAPERS[::-1])])
-    frame_aspect = F.when(short > 0, long / short).otherwise(0.0)
-    fitting = F.filter(papers, lambda p: F.abs(frame_aspect / p["aspect"] - 1.0) <= fixed.ASPECT_TOLERANCE)
-    ranked = F.transform(fitting, lambda p: F.struct(
-        F.when(ratio.isNotNull(), F.abs(long / p["long"] - ratio)).otherwise(-p["long"]).alias("k"),
-        p["i"].alias("i"), p["paper"].alias("paper"), (long / p["long"]).alias("fpr")))
-    best = F.array_min(ranked)
-    accepted = ratio.isNull() | (F.abs(best["fpr"] / ratio - 1.0) <= fixed.RATIO_TOLERANCE)
-    return F.struct(F.when(accepted, best["paper"]).alias("paper"), half_up(best["fpr"], 3).alias("frame_paper_ratio"),
-                    best.isNotNull().alias("aspect_matched"))
+    papers = ", ".join(f"named_struct('i', {i}, 'paper', '{n}', 'long', {a}D, 'aspect', {a}D / {b}D)" for i, (n, a, b) in enumerate(fixed.PAPERS[::-1]))
+    fitting = (f"filter(array({papers}), p -> abs(CASE WHEN {short} > 0 THEN {long} / {short} ELSE 0D END / p.aspect - 1) <= {fixed.ASPECT_TOLERANCE}D)")
+    best = (f"array_min(transform({fitting}, p -> named_struct('k', CASE WHEN {ratio} IS NULL THEN -p.long ELSE abs({long} / p.long - {ratio}) END, "
+            f"'i', p.i, 'paper', p.paper, 'fpr', {long} / p.long)))")
+    fpr = f"CAST(CAST(CAST(b.fpr AS DECIMAL(38,6)) AS DECIMAL(38,3)) AS DOUBLE)"
+    return F.expr(f"transform(array({best}), b -> named_struct('paper', CASE WHEN {ratio} IS NULL OR abs(b.fpr / {ratio} - 1) <= {fixed.RATIO_TOLERANCE}D THEN b.paper END, "
+                  f"'frame_paper_ratio', {fpr}, 'aspect_matched', b IS NOT NULL))[0]")
 
 
 def scale_calibration(sheets: DataFrame, entities: DataFrame) -> DataFrame:
@@ -82,8 +75,7 @@ def scale_calibration(sheets: DataFrame, entities: DataFrame) -> DataFrame:
     frame = frame_bbox(entities).select("sheet_id", F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")).alias("long"),
                                         F.least(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")).alias("short"))
     base = (unit_factor(sheets).join(frame, "sheet_id", "left").join(scale_mode(entities), "sheet_id", "left")
-            .withColumn("m", F.when(F.col("long").isNotNull() & F.col("scale_ratio").isNotNull(),
-                                    paper_match(F.col("long"), F.col("short"), F.col("scale_ratio")))))
+            .withColumn("m", F.when(F.expr("long IS NOT NULL AND scale_ratio IS NOT NULL"), paper_match("long", "short", "scale_ratio"))))
     has_frame, has_scale = F.col("long").isNotNull(), F.col("scale_ratio").isNotNull()
     fpr = F.col("m.frame_paper_ratio")
     tol = fixed.RATIO_TOLERANCE
@@ -101,7 +93,7 @@ def scale_calibration(sheets: DataFrame, entities: DataFrame) -> DataFrame:
         "TEXT_ONLY": ("UNKNOWN", "TITLE_BLOCK", "TITLE_SCALE_TEXT_ONLY", "PENDING_ASSUMED", 0.4, "TITLE_SCALE_TEXT_ONLY"),
         "NONE": ("UNKNOWN", "ASSUMED", "NO_SCALE_EVIDENCE", "PENDING_ASSUMED", 0.3, "NO_SCALE_EVIDENCE"),
     }
-    field = lambda i: F.try_element_at(literal_map({k: v[i] for k, v in outcome.items() if v[i] is not None}), F.col("case"))
+    field = lambda i: lookup({k: v[i] for k, v in outcome.items() if v[i] is not None}, "case")
     unitless = F.col("drawing_unit") == "unitless"
     status, confidence = field(3), field(4)
     model = F.when(F.col("case") == "PAPER", F.col("scale_ratio")).otherwise(1.0)

@@ -1,175 +1,158 @@
 """Disciplines, drawing types and component categories."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheetmetric.functions.numbers import half_up
-from sheetmetric.functions.text import alternation, component_pattern, contains_any, first_group, nonblank, norm
+from sheetmetric.functions.text import component_pattern, first_group_sql, nonblank_sql, norm_sql, raw
 from sheetmetric.model import fixed
-from sheetmetric.operators.calibrate import literal_map
+from sheetmetric.operators.calibrate import lookup
 
 
-def layer_discipline(layer: Column) -> Column:
-    return first_group(norm(layer), fixed.LAYER_KEYWORDS, "")
+def layer_discipline(layer: str = "layer") -> Column:
+    return F.expr(first_group_sql(norm_sql(layer), fixed.LAYER_KEYWORDS, "''"))
 
 
-def drawing_no_discipline(no: Column) -> Column:
+def drawing_no_discipline(no: str = "drawing_no") -> Column:
     """Discipline of the longest matching prefix; null for blank or unrecognised numbers."""
-    expr = F.when(no.isNull() | no.isin("", "未识别"), F.lit(None).cast("string"))
-    for prefix, disc in sorted(fixed.DRAWING_NO_PREFIX, key=lambda p: -len(p[0])):
-        expr = expr.when(F.upper(no).startswith(prefix.upper()), F.lit(disc))
-    return expr
+    by_length = sorted(fixed.DRAWING_NO_PREFIX, key=lambda p: -len(p[0]))
+    whens = " ".join(f"WHEN startswith(upper({no}), {raw(p.upper())}) THEN {raw(d)}" for p, d in by_length)
+    return F.expr(f"CASE WHEN {no} IS NULL OR {no} IN ('', '未识别') THEN NULL {whens} END")
 
 
-def drawing_name_discipline(name: Column) -> Column:
+def drawing_name_discipline(name: str = "drawing_name") -> Column:
     """Discipline with most keywords in the name; ties to the earlier one."""
     scored = []
     for i, (disc, words) in enumerate(fixed.NAME_KEYWORDS):
-        hits = sum((name.contains(w).cast("int") for w in words[1:]), name.contains(words[0]).cast("int"))
-        scored.append(F.struct(hits.alias("n"), F.lit(-i).alias("i"), F.lit(disc).alias("d")))
-    best = F.array_max(F.array(*scored))
-    return F.when(best["n"] > 0, best["d"])
+        hits = " + ".join(f"int(contains({name}, {raw(w)}))" for w in words)
+        scored.append(f"named_struct('n', {hits}, 'i', {-i}, 'd', {raw(disc)})")
+    return F.expr(f"get(filter(array(array_max(array({', '.join(scored)}))), b -> b.n > 0), 0).d")
 
 
 def classify_sheets(catalog: DataFrame) -> DataFrame:
     """Number beats name; the confidence text says how they agreed."""
-    by_no, by_name = F.col("by_no"), F.col("by_name")
-    rows = (catalog.withColumn("by_no", drawing_no_discipline(F.col("drawing_no")))
-            .withColumn("by_name", drawing_name_discipline(F.col("drawing_name"))))
-    confidence = (F.when(by_no.isNotNull() & by_name.isNotNull(), F.when(by_no == by_name, "高").otherwise("中（图号与图名不一致）"))
-                  .when(by_no.isNotNull(), "中（仅图号）").when(by_name.isNotNull(), "中（仅图名）").otherwise("低"))
-    return rows.withColumn("confidence", confidence).withColumn("discipline", F.coalesce(by_no, by_name, F.lit("其他"))).drop("by_no", "by_name")
+    rows = catalog.withColumns({"by_no": drawing_no_discipline(), "by_name": drawing_name_discipline()})
+    return rows.withColumns({
+        "confidence": F.expr("CASE WHEN by_no = by_name THEN '高' WHEN by_no IS NOT NULL AND by_name IS NOT NULL THEN '中（图号与图名不一致）' "
+                             "WHEN by_no IS NOT NULL THEN '中（仅图号）' WHEN by_name IS NOT NULL THEN '中（仅图名）' ELSE '低' END"),
+        "discipline": F.expr("coalesce(by_no, by_name, '其他')")}).drop("by_no", "by_name")
 
 
-def discipline_order(col: Column) -> Column:
-    ranks = literal_map({d: i for i, d in enumerate(fixed.DISCIPLINE_ORDER)})
-    return F.coalesce(F.try_element_at(ranks, col), F.lit(len(fixed.DISCIPLINE_ORDER))).cast("long")
+def discipline_order(col: str = "discipline") -> Column:
+    ranks = {d: i for i, d in enumerate(fixed.DISCIPLINE_ORDER)}
+    return F.coalesce(lookup(ranks, col), F.lit(len(ranks))).cast("long")
 
 
 def sheet_discipline_stats(classified: DataFrame) -> DataFrame:
-    stats = classified.groupBy("discipline").agg(F.count("*").alias("sheets"), F.count_if(F.col("confidence") == "低").alias("low_confidence"))
-    return stats.withColumn("rank", discipline_order(F.col("discipline"))).orderBy("rank", "discipline")
+    stats = classified.groupBy("discipline").agg(F.count("*").alias("sheets"), F.expr("count_if(confidence = '低') AS low_confidence"))
+    return stats.withColumn("rank", discipline_order()).orderBy("rank", "discipline")
 
 
-def layer_prefix_code(layer: Column) -> Column:
+def layer_prefix_code(layer: str = "name") -> Column:
     """Discipline code of a layer name: its separated prefix, else the whole name; null if neither is listed."""
-    name = F.upper(F.trim(layer))
-    parts = F.split(name, r"[-_\s]")
-    codes = literal_map(dict(fixed.LAYER_PREFIX_CODES))
-    prefix = F.when((F.size(parts) > 1) & (parts[0] != ""), F.try_element_at(codes, parts[0]))
-    return F.coalesce(prefix, F.try_element_at(codes, name))
-
-
-def layer_prefix_counts(layers: DataFrame) -> DataFrame:
-    return (layers.withColumn("code", layer_prefix_code(F.col("name"))).where("code IS NOT NULL")
-            .groupBy("sheet_id", "code").agg(F.count("*").alias("n"), F.min("pos").alias("first")))
+    name, codes = f"upper(trim({layer}))", dict(fixed.LAYER_PREFIX_CODES)
+    parts = rf"split({name}, r'[-_\s]')"
+    return F.coalesce(lookup(codes, f"CASE WHEN size({parts}) > 1 THEN {parts}[0] END"), lookup(codes, name))
 
 
 def layer_prefix_discipline(layers: DataFrame) -> DataFrame:
     """Code with most prefixed layers per sheet; ties to the first seen."""
-    best = F.max(F.struct("n", (-F.col("first")).alias("f"), "code"))
-    return layer_prefix_counts(layers).groupBy("sheet_id").agg(best.alias("b")).select(
+    counts = (layers.withColumn("code", layer_prefix_code()).where("code IS NOT NULL")
+              .groupBy("sheet_id", "code").agg(F.count("*").alias("n"), F.min("pos").alias("first")))
+    return counts.groupBy("sheet_id").agg(F.expr("max(struct(n, -first, code)) AS b")).select(
         "sheet_id", F.col("b.code").alias("code"), F.col("b.n").alias("n_layers"))
 
 
 def texts_of(entities: DataFrame) -> DataFrame:
-    return entities.where(F.col("dxf_type").isin("TEXT", "MTEXT"))
+    return entities.where("dxf_type IN ('TEXT', 'MTEXT')")
 
 
 def drawing_type(entities: DataFrame, layers: DataFrame) -> DataFrame:
     """First keyword group found in a sheet's texts and layer names."""
-    blob = (texts_of(entities).select("sheet_id", norm(F.col("label_text")).alias("s"))
-            .unionByName(layers.select("sheet_id", norm(F.col("name")).alias("s"))))
-    rank = first_group(F.col("s"), [(str(i), words) for i, (_, words) in enumerate(fixed.DRAWING_TYPES)], F.lit(None).cast("string"))
-    best = blob.groupBy("sheet_id").agg(F.min(rank.cast("int")).alias("r"))
-    names = F.array(*[F.lit(n) for n, _ in fixed.DRAWING_TYPES])
-    return best.select("sheet_id", F.coalesce(F.get(names, F.col("r")), F.lit("UNKNOWN")).alias("drawing_type"))
-
+    blob = (texts_of(entities).selectExpr("sheet_id", f"{norm_sql('label_text')} AS s")
+            .unionByName(layers.selectExpr("sheet_id", f"{norm_sql('name')} AS s")))
+    rank = first_group_sql("s", [(str(i), words) for i, (_, words) in enumerate(fixed.DRAWING_TYPES)])
+    best = blob.groupBy("sheet_id").agg(F.expr(f"min(int({rank})) AS r"))
+    return best.select("sheet_id", F.coalesce(lookup({i: n for i, (n, _) in enumerate(fixed.DRAWING_TYPES)}, "r"), F.lit("UNKNOWN")).alias("drawing_type"))
 
-def _category_of(text: Column) -> Column:
-    expr = F.when(~nonblank(text), F.lit(None).cast("string"))
-    for name, words in fixed.CATEGORIES:
-        expr = expr.when(norm(text).rlike(component_pattern(words)), F.lit(name))
-    return expr
 
+def _category_sql(x: str) -> str:
+    whens = " ".join(f"WHEN {norm_sql(x)} RLIKE {raw(component_pattern(words))} THEN '{name}'" for name, words in fixed.CATEGORIES)
+    return f"CASE WHEN NOT ({nonblank_sql(x)}) THEN NULL {whens} END"
 
-def _sub_category(text: Column) -> Column:
-    return first_group(norm(text), fixed.SUB_CATEGORIES, F.lit(None).cast("string"))
 
-
-def category_columns(layer: Column, block: Column, text: Column) -> tuple[Column, Column]:
-    """(category, sub_category): block name before text before layer name.
+def with_category(entities: DataFrame) -> DataFrame:
+    """Adds category and sub_category: block name before text before layer name.
 
     The sub-category looks at block and text, and at the layer only when the layer decided.
     """
-    own = F.coalesce(_category_of(block), _category_of(text))
-    by_layer = _category_of(layer)
-    own_text = F.concat_ws(" ", F.coalesce(block, F.lit("")), F.coalesce(text, F.lit("")))
-    sub = F.when(own.isNotNull(), _sub_category(own_text)).when(by_layer.isNotNull(), _sub_category(F.concat_ws(" ", layer, own_text)))
-    return F.coalesce(own, by_layer, F.lit("UNKNOWN")), sub
-
-
-def with_category(entities: DataFrame) -> DataFrame:
-    category, sub = category_columns(F.col("layer"), F.col("block_name"), F.col("label_text"))
-    return entities.withColumn("category", category).withColumn("sub_category", sub)
+    own_text = "concat_ws(' ', coalesce(block_name, ''), coalesce(label_text, ''))"
+    sub_own = first_group_sql(norm_sql(own_text), fixed.SUB_CATEGORIES)
+    sub_all = first_group_sql(norm_sql(f"concat_ws(' ', layer, {own_text})"), fixed.SUB_CATEGORIES)
+    staged = entities.withColumn("_own", F.expr(f"coalesce({_category_sql('block_name')}, {_category_sql('label_text')})"))
+    staged = staged.withColumn("_layer", F.expr(f"CASE WHEN _own IS NULL THEN {_category_sql('layer')} END"))
+    return staged.withColumns({
+        "category": F.expr("coalesce(_own, _layer, 'UNKNOWN')"),
+        "sub_category": F.expr(f"CASE WHEN _own IS NOT NULL THEN {sub_own} WHEN _layer IS NOT NULL THEN {sub_all} END")}).drop("_own", "_layer")
 
 
 def category_counts(entities: DataFrame) -> DataFrame:
     """Entities per distinct (layer, block, text): classified after counting, once per combination."""
-    counts = entities.groupBy("layer", "block_name", "label_text").agg(F.count("*").alias("n"))
-    return with_category(counts)
+    return with_category(entities.groupBy("layer", "block_name", "label_text").agg(F.count("*").alias("n")))
 
 
 def vote_sources(entities: DataFrame, layers: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Names that vote: (sheet_id, kind, name, n, first); equal names are counted together."""
-    text_names = (texts_of(entities).where(F.col("label_text") != "").groupBy("sheet_id", F.col("label_text").alias("name"))
-                  .agg(F.count("*").alias("n"), F.min("seq").alias("first")))
-    one = F.lit(1).cast("long").alias("n")
-    user_blocks = blocks.where(~F.col("block_name").rlike(r"^[*_]"))
-    return (layers.select("sheet_id", F.lit("layer").alias("kind"), "name", one, F.col("pos").alias("first"))
-            .unionByName(user_blocks.select("sheet_id", F.lit("block").alias("kind"), F.col("block_name").alias("name"), one, F.col("pos").alias("first")))
-            .unionByName(text_names.select("sheet_id", F.lit("text").alias("kind"), "name", "n", "first")))
-
-
-def _weight(name: Column, kind: Column, weights: dict) -> Column:
-    """Summed weights of the keywords of one discipline that occur in ``name``."""
-    expr = None
-    for which, words in weights.items():
-        total = sum((F.when(name.contains(w.upper()), wt).otherwise(0) for w, wt in list(words.items())[1:]),
-                    F.when(name.contains(next(iter(words)).upper()), next(iter(words.values()))).otherwise(0))
-        expr = F.when(kind == which, total) if expr is None else expr.when(kind == which, total)
-    return expr.otherwise(0)
+    """Names that vote: (sheet_id, kind, name, n, first); equal texts are counted together."""
+    texts = (texts_of(entities).where("label_text <> ''").groupBy("sheet_id", F.col("label_text").alias("name"))
+             .agg(F.count("*").alias("n"), F.min("seq").alias("first")))
+    return (layers.selectExpr("sheet_id", "'layer' AS kind", "name", "1L AS n", "pos AS first")
+            .unionByName(blocks.where("NOT block_name RLIKE r'^[*_]'").selectExpr("sheet_id", "'block' AS kind", "block_name AS name", "1L AS n", "pos AS first"))
+            .unionByName(texts.selectExpr("sheet_id", "'text' AS kind", "name", "n", "first")))
+
+
+def _weight_sql(weights: dict) -> str:
+    """Summed weights of one discipline's keywords that occur in the upper-cased ``name``."""
+    def total(words):
+        by_weight = {}
+        for w, wt in words.items():
+            by_weight.setdefault(wt, []).append(w)
+        return " + ".join(f"{wt} * ({' + '.join(f'int(contains(u, {raw(w.upper())}))' for w in ws)})" for wt, ws in by_weight.items())
+    return "CASE kind " + " ".join(f"WHEN '{kind}' THEN {total(words)}" for kind, words in weights.items()) + " ELSE 0 END"
+
+
+def _with_upper(sources: DataFrame) -> DataFrame:
+    return sources.withColumn("u", F.expr(norm_sql("name")))
 
 
 def _scores(sources: DataFrame, table: dict) -> DataFrame:
-    """One column per discipline with the sheet's score; a single aggregation, no exploded hits."""
-    name = norm(F.col("name"))
-    return sources.groupBy("sheet_id").agg(*[
-        F.sum(_weight(name, F.col("kind"), weights) * F.col("n")).cast("long").alias(disc) for disc, weights in table.items()])
+    """One column per discipline with the sheet's score: one aggregation, no exploded hits."""
+    # a name is weighed once however many sheets use it
+    names = _with_upper(sources.groupBy("kind", "name").agg(F.lit(1).alias("one"))).selectExpr(
+        "kind", "name", *[f"{_weight_sql(weights)} AS `{disc}`" for disc, weights in table.items()])
+    used = sources.join(names, ["kind", "name"])
+    return used.groupBy("sheet_id").agg(*[F.expr(f"sum(`{disc}` * n) AS `{disc}`") for disc in table])
 
 
 def _ranked(scores: DataFrame, labels: list[str]) -> DataFrame:
-    entries = F.array(*[F.struct((-F.col(d)).alias("k"), F.lit(i).cast("long").alias("i"), F.lit(d).alias("label")) for i, d in enumerate(labels)])
-    total = sum((F.col(d) for d in labels[1:]), F.col(labels[0]))
-    return scores.select("sheet_id", total.alias("total"), F.filter(F.array_sort(entries), lambda e: e["k"] < 0).alias("ranking")).where("total > 0")
+    entries = ", ".join(f"named_struct('k', -`{d}`, 'i', {i}, 'label', '{d}')" for i, d in enumerate(labels))
+    total = " + ".join(f"`{d}`" for d in labels)
+    return scores.selectExpr("sheet_id", f"{total} AS total", f"filter(array_sort(array({entries})), e -> e.k < 0) AS ranking").where("total > 0")
 
 
 def discipline_ranking(sources: DataFrame) -> DataFrame:
     """Weighted vote per sheet: rank, discipline, score and share."""
     ranked = _ranked(_scores(sources, fixed.CONTENT_WEIGHTS), list(fixed.CONTENT_WEIGHTS))
     return ranked.select("sheet_id", "total", F.posexplode("ranking").alias("pos", "e")).select(
-        "sheet_id", (F.col("pos") + 1).cast("long").alias("rank"), F.col("e.label").alias("discipline"), (-F.col("e.k")).alias("score"),
-        half_up(-F.col("e.k") * 100.0 / F.col("total"), 1).alias("ratio"))
+        "sheet_id", F.expr("CAST(pos + 1 AS BIGINT) AS rank"), F.col("e.label").alias("discipline"), F.expr("-e.k AS score"),
+        half_up(F.expr("-e.k * 100D / total"), 1).alias("ratio"))
 
 
 def discipline_vote(sources: DataFrame) -> DataFrame:
     """Primary discipline, confidence % and whether more than one discipline holds over 20 %."""
     ranked = _ranked(_scores(sources, fixed.CONTENT_WEIGHTS), list(fixed.CONTENT_WEIGHTS))
-    over = F.size(F.filter("ranking", lambda e: -e["k"] / F.col("total") > 0.2))
-    top = F.col("ranking")[0]
-    return ranked.select("sheet_id", top["label"].alias("primary_discipline"), half_up(-top["k"] * 100.0 / F.col("total"), 1).alias("confidence"),
-                         (over > 1).alias("is_multi"))
+    return ranked.select("sheet_id", F.expr("ranking[0].label AS primary_discipline"), half_up(F.expr("-ranking[0].k * 100D / total"), 1).alias("confidence"),
+                         F.expr("size(filter(ranking, e -> -e.k / total > 0.2D)) > 1 AS is_multi"))
 
 
 CODE_WEIGHTS = {code: {kind: {w: fixed.CODE_HIT_WEIGHT[kind] for w in words} for kind in ("layer", "block", "text")}
@@ -180,26 +163,22 @@ def discipline_vote_codes(sources: DataFrame, layers: DataFrame, sheets: DataFra
     """Second scheme, by codes: keyword hits plus a bonus for the winning layer prefix."""
     codes = [c for c, _ in fixed.CODE_KEYWORDS]
     prefix = layer_prefix_discipline(layers).withColumnRenamed("code", "prefix_code")
-    scores = _scores(sources, CODE_WEIGHTS).join(prefix, "sheet_id", "full_outer")
-    bonus = lambda c: F.coalesce(F.col(c), F.lit(0)) + F.when(F.col("prefix_code") == c, F.col("n_layers") * fixed.LAYER_PREFIX_WEIGHT).otherwise(0)
-    ranked = _ranked(scores.select("sheet_id", *[bonus(c).alias(c) for c in codes]), codes)
-    over = F.size(F.filter("ranking", lambda e: -e["k"] / F.col("total") > 0.25))
-    top = F.col("ranking")[0]
-    conf = half_up(-top["k"] * 100.0 / F.col("total"), 1)
-    voted = ranked.select("sheet_id", F.when((over > 1) & (conf < 60), "MULTI").otherwise(top["label"]).alias("code"), conf.alias("confidence"))
-    return sheets.select("sheet_id").join(voted, "sheet_id", "left").select(
-        "sheet_id", F.coalesce("code", F.lit("UNKNOWN")).alias("code"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
+    scores = _scores(sources, CODE_WEIGHTS).join(prefix, "sheet_id", "full_outer").selectExpr("sheet_id", *[
+        f"coalesce({c}, 0L) + CASE WHEN prefix_code = '{c}' THEN n_layers * {fixed.LAYER_PREFIX_WEIGHT} ELSE 0L END AS {c}" for c in codes])
+    voted = (_ranked(scores, codes).withColumn("confidence", half_up(F.expr("-ranking[0].k * 100D / total"), 1))
+             .selectExpr("sheet_id", "confidence", "CASE WHEN size(filter(ranking, e -> -e.k / total > 0.25D)) > 1 AND confidence < 60 THEN 'MULTI' ELSE ranking[0].label END AS code"))
+    return sheets.select("sheet_id").join(voted, "sheet_id", "left").selectExpr(
+        "sheet_id", "coalesce(code, 'UNKNOWN') AS code", "coalesce(confidence, 0D) AS confidence")
 
 
 def vote_evidence(sources: DataFrame, keep: int = 10) -> DataFrame:
     """First names per sheet, discipline and kind that supported the discipline."""
-    from pyspark.sql import Window
-    name = norm(F.col("name"))
-    supported = F.array_compact(F.array(*[F.when(_weight(name, F.col("kind"), w) > 0, F.lit(d)) for d, w in fixed.CONTENT_WEIGHTS.items()]))
-    hits = (sources.select("sheet_id", "kind", F.substring("name", 1, 40).alias("name"), "first", F.explode(supported).alias("discipline"))
+    supported = ", ".join(f"CASE WHEN {_weight_sql(w)} > 0 THEN '{d}' END" for d, w in fixed.CONTENT_WEIGHTS.items())
+    hits = (_with_upper(sources).select("sheet_id", "kind", F.substring("name", 1, 40).alias("name"), "first",
+                                        F.expr(f"explode(array_compact(array({supported}))) AS discipline"))
             .groupBy("sheet_id", "discipline", "kind", "name").agg(F.min("first").alias("first")))
     w = Window.partitionBy("sheet_id", "discipline", "kind").orderBy("first", "name")
-    return hits.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= keep).drop("first")
+    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= keep).withColumn("rank", F.col("rank").cast("long")).drop("first")
 
 
 def detected_disciplines(catalog_disciplines: DataFrame, sheet_codes: DataFrame) -> DataFrame:
@@ -208,14 +187,12 @@ def detected_disciplines(catalog_disciplines: DataFrame, sheet_codes: DataFrame)
     ``catalog_disciplines``: project_id, discipline; ``sheet_codes``: project_id, code.  Codes
     outside the registry (the sheet scheme says STR where the registry says STRU) never match.
     """
-    by_name = literal_map({name: code for code, name, _, _ in fixed.DISCIPLINE_REGISTRY})
-    names = literal_map({code: name for code, name, _, _ in fixed.DISCIPLINE_REGISTRY})
-    order = literal_map({code: i for i, (code, *_) in enumerate(fixed.DISCIPLINE_REGISTRY)})
-    codes = (catalog_disciplines.select("project_id", F.try_element_at(by_name, F.col("discipline")).alias("code"))
-             .unionByName(sheet_codes.select("project_id", F.when(F.try_element_at(names, F.col("code")).isNotNull(), F.col("code")).alias("code"))))
-    return (codes.where("code IS NOT NULL AND code <> 'UNKNOWN'").distinct()
-            .select("project_id", "code", F.try_element_at(names, F.col("code")).alias("name"),
-                    F.try_element_at(order, F.col("code")).cast("long").alias("rank")))
+    registry = fixed.DISCIPLINE_REGISTRY
+    codes = (catalog_disciplines.select("project_id", lookup({name: code for code, name, _, _ in registry}, "discipline").alias("code"))
+             .unionByName(sheet_codes.select("project_id", "code")))
+    return codes.where("code <> 'UNKNOWN'").distinct().select(
+        "project_id", "code", lookup({code: name for code, name, _, _ in registry}, "code").alias("name"),
+        lookup({code: i for i, (code, *_) in enumerate(registry)}, "code").cast("long").alias("rank")).where("rank IS NOT NULL")
 
 
 def keyword_usage(layer_counts: DataFrame) -> DataFrame:
@@ -223,9 +200,8 @@ def keyword_usage(layer_counts: DataFrame) -> DataFrame:
 
     The dictionary travels as an array literal, so a layer is compared with every entry without a join.
     """
-    entries = F.array(*[F.struct(F.lit(d).alias("dictionary"), F.lit(k).alias("label"), F.lit(i).cast("long").alias("priority"), F.lit(w).alias("keyword"))
+    entries = ", ".join(f"named_struct('dictionary', '{d}', 'label', {raw(k)}, 'priority', {i}L, 'keyword', {raw(w)})"
                         for d, groups in (("role", fixed.ROLE_KEYWORDS), ("discipline", fixed.LAYER_KEYWORDS), ("category", fixed.CATEGORIES))
-                        for i, (k, words) in enumerate(groups) for w in words])
-    name = norm(F.col("layer"))
-    hits = layer_counts.select("n", F.explode(F.filter(entries, lambda e: F.contains(name, F.upper(e["keyword"])))).alias("e"))
+                        for i, (k, words) in enumerate(groups) for w in words)
+    hits = layer_counts.select("n", F.expr(f"explode(filter(array({entries}), e -> contains({norm_sql('layer')}, upper(e.keyword)))) AS e"))
     return hits.groupBy("e.dictionary", "e.label", "e.priority", "e.keyword").agg(F.sum("n").alias("entities"))

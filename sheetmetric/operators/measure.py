@@ -4,55 +4,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheetmetric.functions.geometry import entity_area, entity_length
+from sheetmetric.functions.geometry import AREA, LENGTH
 from sheetmetric.functions.numbers import exact_sum, half_up
-from sheetmetric.functions.text import alternation, first_group, norm
+from sheetmetric.functions.text import alternation, first_group_sql, norm_sql, raw
 from sheetmetric.model import fixed
 
 ORDER = ("seq", "entity_id")  # position in the drawing; the id breaks ties
 
 
-def layer_role(layer: Column) -> Column:
-    return first_group(norm(layer), fixed.ROLE_KEYWORDS, "UNKNOWN")
+def layer_role(layer: str = "layer") -> Column:
+    return F.expr(first_group_sql(norm_sql(layer), fixed.ROLE_KEYWORDS, "'UNKNOWN'"))
 
 
 def with_role(entities: DataFrame) -> DataFrame:
-    return entities.withColumn("layer_role", layer_role(F.col("layer")))
+    return entities.withColumn("layer_role", layer_role())
 
 
-def spec_from_attribs(attribs: Column) -> Column:
+def spec_from_attribs_sql(attribs: str = "attribs") -> str:
     """Distinct specification texts of the attributes, joined; '' when there is none."""
-    tags, texts = alternation(fixed.SPEC_TAGS), [p for p in fixed.SPEC_PATTERNS]
+    looks_like = " OR ".join(f"trim(e.value) RLIKE {raw(p)}" for p in fixed.SPEC_PATTERNS)
+    is_spec = f"trim(e.value) <> '' AND (upper(e.key) RLIKE {raw(alternation(fixed.SPEC_TAGS))} OR {looks_like})"
+    return (f"coalesce(array_join(array_distinct(transform(filter(map_entries({attribs}), e -> {is_spec}), e -> trim(e.value))), ' / '), '')")
 
-    def is_spec(entry):
-        text = F.trim(entry["value"])
-        hit = F.upper(entry["key"]).rlike(tags)
-        for pattern in texts:
-            hit = hit | text.rlike(pattern)
-        return (text != "") & hit
 
-    entries = F.filter(F.map_entries(attribs), is_spec)
-    return F.coalesce(F.array_join(F.array_distinct(F.transform(entries, lambda e: F.trim(e["value"]))), " / "), F.lit(""))
+def spec_from_layer_sql(layer: str = "layer", block: str = "block_name") -> str:
+    """First pattern found in layer and block name; '' when there is none."""
+    text = f"concat_ws(' ', {layer}, coalesce({block}, ''))"
+    return "coalesce(" + ", ".join(f"nullif(regexp_extract({text}, {raw(p)}, 0), '')" for p in fixed.SPEC_PATTERNS) + ", '')"
 
 
-def spec_from_layer(layer: Column, block: Column) -> Column:
-    text = F.concat_ws(" ", layer, F.coalesce(block, F.lit("")))
-    hits = [F.nullif(F.regexp_extract(text, p, 0), F.lit("")) for p in fixed.SPEC_PATTERNS]
-    return F.coalesce(*hits, F.lit(""))
-
-
-def spec(attribs: Column, layer: Column, block: Column) -> Column:
-    return F.coalesce(F.nullif(spec_from_attribs(attribs), F.lit("")), F.nullif(spec_from_layer(layer, block), F.lit("")),
-                      F.lit(fixed.NO_SPEC))
+def spec(attribs: str = "attribs") -> Column:
+    return F.expr(f"coalesce(nullif({spec_from_attribs_sql(attribs)}, ''), nullif({spec_from_layer_sql()}, ''), {raw(fixed.NO_SPEC)})")
 
 
 def block_detail(entities: DataFrame) -> DataFrame:
     """Counted block references by sheet, block, layer and specification (the finest grain)."""
-    inserts = entities.where((F.col("dxf_type") == "INSERT") & ~layer_role(F.col("layer")).isin(fixed.EXCLUDED_ROLES))
+    inserts = entities.where((F.col("dxf_type") == "INSERT") & ~layer_role().isin(fixed.EXCLUDED_ROLES))
     # the specification is worked out once per distinct attribute set, after counting
     by_attribs = inserts.groupBy("sheet_id", "block_name", "layer", F.map_entries("attribs").alias("a")).agg(
         F.count("*").alias("n"), F.min(F.struct(*ORDER)).alias("first"))
-    return (by_attribs.withColumn("spec", spec(F.map_from_entries("a"), F.col("layer"), F.col("block_name")))
+    return (by_attribs.withColumn("spec", spec("map_from_entries(a)"))
             .groupBy("sheet_id", "block_name", "layer", "spec").agg(F.sum("n").alias("n"), F.min("first").alias("first")))
 
 
@@ -76,17 +67,17 @@ def first_layer_of_block(detail: DataFrame, keys=("sheet_id", "block_name")) ->
 
 def _raw_lengths(entities: DataFrame) -> DataFrame:
     rows = entities.where(F.col("dxf_type").isin("LINE", "LWPOLYLINE", "ARC", "CIRCLE", "SPLINE"))
-    return rows.groupBy("sheet_id", "layer").agg(exact_sum(entity_length()).alias("raw"))
+    return rows.groupBy("sheet_id", "layer").agg(exact_sum(F.expr(LENGTH)).alias("raw"))
 
 
 def _raw_areas(entities: DataFrame) -> DataFrame:
     rows = entities.where(F.col("dxf_type").isin("LWPOLYLINE", "POLYLINE", "HATCH"))
-    return rows.groupBy("sheet_id", "layer").agg(exact_sum(entity_area()).alias("raw"))
+    return rows.groupBy("sheet_id", "layer").agg(exact_sum(F.expr(AREA)).alias("raw"))
 
 
 def _measured(raw: DataFrame) -> DataFrame:
     # the role is decided on the grouped rows: one test per sheet and layer, not per entity
-    return raw.where((layer_role(F.col("layer")) == "MEASURABLE") & (F.col("raw") > 0))
+    return raw.where((layer_role() == "MEASURABLE") & (F.col("raw") > 0))
 
 
 def layer_length(entities: DataFrame, factors: DataFrame) -> DataFrame:
@@ -104,14 +95,14 @@ def layer_area(entities: DataFrame, factors: DataFrame) -> DataFrame:
 
 def role_stats(entities: DataFrame) -> DataFrame:
     per_layer = entities.groupBy("sheet_id", "layer").agg(F.count("*").alias("n"))
-    return (per_layer.withColumn("role", layer_role(F.col("layer"))).groupBy("sheet_id", "role")
+    return (per_layer.withColumn("role", layer_role()).groupBy("sheet_id", "role")
             .agg(F.sum("n").alias("entity_count"), F.count("*").alias("layer_count")))
 
 
 def measure_audit(entities: DataFrame, calibration: DataFrame) -> DataFrame:
     """What was not measured and why: excluded and unclassified layers, pending scale evidence."""
     per_layer = (entities.groupBy("sheet_id", "layer").agg(F.count("*").alias("n"))
-                 .withColumn("role", layer_role(F.col("layer"))))
+                 .withColumn("role", layer_role()))
     skipped = per_layer.where(F.col("role").isin(fixed.EXCLUDED_ROLES + ["UNKNOWN"])).select(
         "sheet_id", F.when(F.col("role") == "UNKNOWN", "unclassified").otherwise("excluded").alias("kind"),
         "role", F.col("layer").alias("item"), "n")
@@ -157,16 +148,16 @@ def merge_quantities(detail: DataFrame, lengths: DataFrame, areas: DataFrame) ->
                                                    F.col("total_area_m2").alias("quantity"), F.lit("m²").alias("unit"))))
 
 
-def spec_text(specs: Column) -> Column:
+def spec_text(specs: str) -> Column:
     """'spec×count；...' of a map, without the unlabelled entry."""
-    kept = F.filter(F.map_entries(specs), lambda e: e["key"] != fixed.NO_SPEC)
-    return F.array_join(F.transform(F.array_sort(kept), lambda e: F.concat_ws("×", e["key"], e["value"].cast("string"))), "；")
+    kept = f"array_sort(filter(map_entries({specs}), e -> e.key <> {raw(fixed.NO_SPEC)}))"
+    return F.expr(f"array_join(transform({kept}, e -> concat_ws('×', e.key, CAST(e.value AS STRING))), '；')")
 
 
 def block_texts(detail: DataFrame, keys=("sheet_id", "block_name")) -> DataFrame:
     """Specification and layer texts of every block; each list holds distinct values with their counts."""
     specs = detail.groupBy(*keys, "spec").agg(F.sum("n").alias("n")).groupBy(*keys).agg(
-        spec_text(F.map_from_entries(F.collect_list(F.struct("spec", "n")))).alias("spec_text"), F.sum("n").alias("quantity"))
+        spec_text("map_from_entries(collect_list(struct(spec, n)))").alias("spec_text"), F.sum("n").alias("quantity"))
     names = detail.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_set("layer")), "、").alias("layer_text"))
     return specs.join(names, list(keys))
 

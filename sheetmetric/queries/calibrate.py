@@ -16,7 +16,7 @@ def _paper_match(spark, sf):
         "sheet_id", F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")).alias("long"),
         F.least(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")).alias("short"))
     with_ratio = frames.join(c.scale_mode(adapter.entities(spark, sf)).select("sheet_id", "scale_ratio"), "sheet_id", "left")
-    return with_ratio.withColumn("m", c.paper_match(F.col("long"), F.col("short"), F.col("scale_ratio"))).select("sheet_id", "m.*")
+    return with_ratio.withColumn("m", c.paper_match("long", "short", "scale_ratio")).select("sheet_id", "m.*")
 
 
 QUERIES = {

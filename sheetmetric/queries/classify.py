@@ -3,6 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from sheetmetric.functions.text import norm_sql
 from sheetmetric.model import adapter, fixed
 from sheetmetric.operators import classify as c
 from sheetmetric.queries import sql
@@ -32,7 +33,7 @@ def project_disciplines(spark, sf):
 
 def _norm(spark, sf):
     texts = adapter.entities(spark, sf).where("dxf_type = 'TEXT'")
-    return texts.groupBy(c.norm(F.col("label_text")).alias("text")).agg(F.count("*").alias("n"))
+    return texts.groupBy(F.expr(norm_sql("label_text")).alias("text")).agg(F.count("*").alias("n"))
 
 
 def _sub(spark, sf):
@@ -41,9 +42,9 @@ def _sub(spark, sf):
 
 QUERIES = {
     "norm": _norm,
-    "layer_discipline": lambda s, d: _layer_counts(s, d).withColumn("discipline", c.layer_discipline(F.col("layer"))),
-    "drawing_no_discipline": lambda s, d: adapter.catalog(s, d).select("row_id", c.drawing_no_discipline(F.col("drawing_no")).alias("discipline")),
-    "drawing_name_discipline": lambda s, d: adapter.catalog(s, d).select("row_id", c.drawing_name_discipline(F.col("drawing_name")).alias("discipline")),
+    "layer_discipline": lambda s, d: _layer_counts(s, d).withColumn("discipline", c.layer_discipline()),
+    "drawing_no_discipline": lambda s, d: adapter.catalog(s, d).select("row_id", c.drawing_no_discipline().alias("discipline")),
+    "drawing_name_discipline": lambda s, d: adapter.catalog(s, d).select("row_id", c.drawing_name_discipline().alias("discipline")),
     "classify_sheet": lambda s, d: classified(s, d).select("row_id", "discipline", "confidence"),
     "sheet_discipline_stats": lambda s, d: c.sheet_discipline_stats(classified(s, d)),
     "layer_prefix_discipline": lambda s, d: c.layer_prefix_discipline(adapter.layers(s, d)),

@@ -1,5 +1,5 @@
 """Queries of the take-off operators."""
-from sheetmetric.functions.geometry import bbox, entity_area, entity_length
+from sheetmetric.functions.geometry import AREA, LENGTH, bbox_sql
 from sheetmetric.functions.numbers import half_up
 from sheetmetric.model import adapter, fixed
 from sheetmetric.operators import measure as m
@@ -19,30 +19,30 @@ def detail(spark, sf):
 
 def _layer_role(spark, sf):
     counts = adapter.entities(spark, sf).groupBy("layer").agg(F.count("*").alias("n"))
-    return counts.withColumn("role", m.layer_role(F.col("layer")))
+    return counts.withColumn("role", m.layer_role())
 
 
 def _line_length(spark, sf):
-    return adapter.entities(spark, sf).withColumn("length", half_up(entity_length(), 3)).where("length IS NOT NULL").select("entity_id", "length")
+    return adapter.entities(spark, sf).withColumn("length", half_up(F.expr(LENGTH), 3)).where("length IS NOT NULL").select("entity_id", "length")
 
 
 def _polygon_area(spark, sf):
-    return adapter.entities(spark, sf).withColumn("area", entity_area()).where("area > 0").select("entity_id", "area")
+    return adapter.entities(spark, sf).withColumn("area", F.expr(AREA)).where("area > 0").select("entity_id", "area")
 
 
 def _entity_bbox(spark, sf):
-    rows = adapter.entities(spark, sf).select("entity_id", bbox(False).alias("p"), bbox(True).alias("t"))
+    rows = adapter.entities(spark, sf).select("entity_id", F.expr(bbox_sql(False)).alias("p"), F.expr(bbox_sql(True)).alias("t"))
     return rows.select("entity_id", "p.xmin", "p.ymin", "p.xmax", "p.ymax", F.col("t.xmax").alias("pool_xmax"), F.col("t.ymax").alias("pool_ymax"))
 
 
 def _spec_attr(spark, sf):
     rows = adapter.entities(spark, sf).where("dxf_type = 'INSERT'")
-    return rows.select("entity_id", m.spec_from_attribs(F.col("attribs")).alias("spec"))
+    return rows.select("entity_id", F.expr(m.spec_from_attribs_sql()).alias("spec"))
 
 
 def _spec_layer(spark, sf):
     rows = adapter.entities(spark, sf).where("dxf_type = 'INSERT'").groupBy("layer", "block_name").agg(F.count("*").alias("n"))
-    return rows.withColumn("spec", F.coalesce(F.nullif(m.spec_from_layer(F.col("layer"), F.col("block_name")), F.lit("")), F.lit(fixed.NO_SPEC)))
+    return rows.withColumn("spec", F.expr(f"coalesce(nullif({m.spec_from_layer_sql()}, ''), '{fixed.NO_SPEC}')"))
 
 
 def _spec_text(spark, sf):
