@@ -42,10 +42,19 @@ def contains_any_sql(x: str, keywords) -> str:
     return f"({x} RLIKE {raw(alternation(keywords))})"
 
 
+def let_sql(value: str, var: str, body: str) -> str:
+    """``body`` with ``var`` bound to ``value``.
+
+    The value is computed once, and a long keyword chain stays out of the generated Java
+    class, whose methods would otherwise outgrow the compiler's limits.
+    """
+    return f"transform(array({value}), {var} -> {body})[0]"
+
+
 def first_group_sql(x: str, groups, default: str = "NULL") -> str:
     """Label of the first group (in declared order) one of whose keywords occurs in ``x``."""
-    whens = " ".join(f"WHEN {contains_any_sql(x, [k.upper() for k in words])} THEN {raw(label)}" for label, words in groups)
-    return f"CASE {whens} ELSE {default} END"
+    whens = " ".join(f"WHEN {contains_any_sql('g', [k.upper() for k in words])} THEN {raw(label)}" for label, words in groups)
+    return let_sql(x, "g", f"CASE {whens} ELSE {default} END")
 
 
 def has_cjk(word: str) -> bool:

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheetmetric.functions.numbers import half_up
-from sheetmetric.functions.text import component_pattern, first_group_sql, nonblank_sql, norm_sql, raw
+from sheetmetric.functions.text import component_pattern, first_group_sql, let_sql, norm_sql, raw
 from sheetmetric.model import fixed
 from sheetmetric.operators.calibrate import lookup
 
@@ -78,8 +78,8 @@ def drawing_type(entities: DataFrame, layers: DataFrame) -> DataFrame:
 
 
 def _category_sql(x: str) -> str:
-    whens = " ".join(f"WHEN {norm_sql(x)} RLIKE {raw(component_pattern(words))} THEN '{name}'" for name, words in fixed.CATEGORIES)
-    return f"CASE WHEN NOT ({nonblank_sql(x)}) THEN NULL {whens} END"
+    whens = " ".join(f"WHEN u RLIKE {raw(component_pattern(words))} THEN '{name}'" for name, words in fixed.CATEGORIES)
+    return let_sql(norm_sql(x), "u", f"CASE WHEN u = '' THEN NULL {whens} END")
 
 
 def with_category(entities: DataFrame) -> DataFrame:
@@ -117,8 +117,8 @@ def _weight_sql(weights: dict) -> str:
         by_weight = {}
         for w, wt in words.items():
             by_weight.setdefault(wt, []).append(w)
-        return " + ".join(f"{wt} * ({' + '.join(f'int(contains(u, {raw(w.upper())}))' for w in ws)})" for wt, ws in by_weight.items())
-    return "CASE kind " + " ".join(f"WHEN '{kind}' THEN {total(words)}" for kind, words in weights.items()) + " ELSE 0 END"
+        return " + ".join(f"{wt} * ({' + '.join(f'int(contains(v, {raw(w.upper())}))' for w in ws)})" for wt, ws in by_weight.items())
+    return let_sql("u", "v", "CASE kind " + " ".join(f"WHEN '{kind}' THEN {total(words)}" for kind, words in weights.items()) + " ELSE 0 END")
 
 
 def _with_upper(sources: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheetmetric.functions.text import contains_any_sql, raw
+from sheetmetric.functions.text import contains_any_sql, let_sql, raw
 from sheetmetric.model import fixed
 from sheetmetric.operators import measure
 from sheetmetric.operators.calibrate import lookup
@@ -23,13 +23,13 @@ def wbs_map(name: str = "name", discipline: str = "discipline") -> Column:
 
     def chain(candidates):
         node = "named_struct('division', {}, 'sub_division', {}, 'item', {})"
-        whens = [f"WHEN {contains_any_sql(name, words)} THEN {node.format(raw(d), raw(by_name[d][0]), raw(item))}"
+        whens = [f"WHEN {contains_any_sql('q', words)} THEN {node.format(raw(d), raw(by_name[d][0]), raw(item))}"
                  for d in candidates for item, words in by_name[d][1]]
         first = candidates[0]
         return f"CASE {' '.join(whens)} ELSE {node.format(raw(first), raw(by_name[first][0]), raw(fixed.NO_ITEM))} END"
 
     arms = " ".join(f"WHEN {raw(d)} THEN {chain(c)}" for d, c in fixed.DISCIPLINE_DIVISIONS.items())
-    return F.expr(f"CASE coalesce({discipline}, '') {arms} ELSE {chain([d for d, _, _ in fixed.DIVISIONS])} END")
+    return F.expr(let_sql(name, "q", f"CASE coalesce({discipline}, '') {arms} ELSE {chain([d for d, _, _ in fixed.DIVISIONS])} END"))
 
 
 def length_discipline(layer: str = "layer") -> Column:
