@@ -9,6 +9,7 @@ from sheetmetric.model import fixed
 from sheetmetric.operators import measure
 from sheetmetric.operators.calibrate import lookup
 from sheetmetric.operators.classify import layer_discipline
+from sheetmetric.session import cut_lineage
 
 NODE = ("division", "sub_division", "item")
 
@@ -66,6 +67,7 @@ def label_chains(entries: DataFrame, keys=()) -> DataFrame:
     The discipline is that of most entries' layers; ties go to the earliest entry.
     """
     keys = [*keys, *NODE]
+    entries = cut_lineage(entries)     # aggregated rows, read three times below
     per_layer = (entries.groupBy(*keys, "layer").agg(F.count("*").alias("n"), F.min(F.struct("kind", "label")).alias("first"))
                  .withColumn("name", layer_discipline("layer")))
     voted = (per_layer.where("name <> ''").groupBy(*keys, "name").agg(F.sum("n").alias("n"), F.min("first").alias("first"))

@@ -15,6 +15,7 @@ from sheetmetric.functions.grid import near_pairs, overlapping_boxes
 from sheetmetric.functions.text import contains_any_sql, nonblank_sql, norm_sql
 from sheetmetric.model import fixed
 from sheetmetric.operators.classify import with_category
+from sheetmetric.session import cut_lineage
 
 DEVICES = "dxf_type IN ('INSERT', 'CIRCLE', 'ARC', 'POINT')"
 LINES = "dxf_type IN ('LINE', 'LWPOLYLINE', 'POLYLINE') AND size(points) >= 2"
@@ -135,8 +136,8 @@ def topology_near(candidates: DataFrame, connected: DataFrame, tolerance: float
 
 def topology(entities: DataFrame, tolerance: float = 3000.0) -> DataFrame:
     """Edges (sheet_id, src, dst, relation, dist, rank)."""
-    candidates = topology_candidates(entities)
-    connected = topology_connected(candidates, tolerance)
+    candidates = cut_lineage(topology_candidates(entities))     # read by every step below
+    connected = cut_lineage(topology_connected(candidates, tolerance))
     near = topology_near(candidates, connected)
     cols = ["sheet_id", "src", "dst", "relation", "dist", "rank"]
     return connected.withColumn("relation", F.lit("CONNECTED")).select(*cols).unionByName(near.withColumn("relation", F.lit("NEAR")).select(*cols))

@@ -13,14 +13,10 @@ def edges(spark, sf):
     return sp.topology(adapter.entities(spark, sf))
 
 
-def _connected(spark, sf):
-    c = sp.topology_candidates(adapter.entities(spark, sf))
-    return sp.topology_connected(c).select("src", "dst", F.col("rank").cast("long").alias("rank"), "dist")
-
-
-def _near(spark, sf):
-    c = sp.topology_candidates(adapter.entities(spark, sf))
-    return sp.topology_near(c, sp.topology_connected(c)).select("src", "dst", F.col("rank").cast("long").alias("rank"), "dist")
+def _relation(name):
+    def run(spark, sf):
+        return edges(spark, sf).where(F.col("relation") == name).select("src", "dst", F.col("rank").cast("long").alias("rank"), "dist")
+    return run
 
 
 def _nearest_k(spark, sf):
@@ -34,8 +30,8 @@ QUERIES = {
     "legend_entries": lambda s, d: sp.legend_entries(adapter.entities(s, d)),
     "dedup_legend": lambda s, d: sp.legend_entries(adapter.entities(s, d)).groupBy("sheet_id").agg(F.count("*").alias("entry_count")),
     "nearby_text": lambda s, d: sp.nearby_text(adapter.entities(s, d)),
-    "topology_connected": _connected,
-    "topology_near": _near,
+    "topology_connected": _relation("CONNECTED"),
+    "topology_near": _relation("NEAR"),
     "nearest_k": _nearest_k,
     "bbox_clash": lambda s, d: sp.bbox_clash(adapter.entities(s, d), CLASH_A, CLASH_B),
     "pair_distance": lambda s, d: sp.pair_distance(adapter.entities(s, d), ["PIPE", "LIGHT"], ["BEAM", "COLUMN"], 2000.0),

@@ -17,6 +17,7 @@ def build_session(app: str = "sheetmetric", master: str | None = None, **conf) -
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
         "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
