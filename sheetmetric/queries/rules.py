@@ -49,7 +49,7 @@ OVERLAP = {"a": ["风管", "DUCT", "给水", "排水", "PIPE"], "b": ["梁", "BE
 PATTERN = {"pattern": "^(门窗表|MYSTERY.*)$"}
 QUERIES = {
     "rule_zero_length_line": _operator("zero_length_line"), "rule_zero_radius_circle": _operator("zero_radius_circle"),
-    "rule_short_line": _operator("short_line"), "rule_duplicate_entity": _operator("duplicate_entity"),
+    "rule_short_line": _operator("short_line", {"threshold": 0.35}), "rule_duplicate_entity": _operator("duplicate_entity"),
     "rule_layer_entity_count_zero": _operator("layer_entity_count_zero"), "rule_entity_on_layer": _operator("entity_on_layer"),
     "rule_layer_is_off": _operator("layer_is_off"), "rule_layer_is_frozen": _operator("layer_is_frozen"),
     "rule_layer_name_matches": _operator("layer_name_matches", PATTERN), "rule_text_height_lt": _operator("text_height_lt"),
@@ -132,6 +132,7 @@ RESULTS = ("results AS (SELECT sheet_id, rule_id, severity, n AS \"count\", repl
            "FROM (SELECT sheet_id, rule_id, CAST(sum(weight) AS BIGINT) AS n FROM hits GROUP BY ALL) JOIN ruledef USING (rule_id) JOIN scale USING (sheet_id) WHERE n > 0)")
 ALL = [*CTES, HITS, RULEDEF, RESULTS]
 ORACLES = {f"rule_{k}": sql.query(v, *CTES) for k, v in SQL.items()}
+ORACLES["rule_short_line"] = sql.query(short(0.35), *CTES)
 ORACLES |= {
     "rule_results": sql.query("SELECT * FROM results", *ALL),
     "rule_summary": sql.query("SELECT c_custkey AS sheet_id, count(*) FILTER (WHERE severity = 'error') AS total_errors, count(*) FILTER (WHERE severity = 'warning') AS total_warnings, count(*) FILTER (WHERE severity = 'info') AS total_infos, "
