@@ -23,7 +23,7 @@ ENTITY_EXPRS = {
                   "WHEN 3 THEN '香樟' WHEN 4 THEN 'LIGHT_LED_PANEL' ELSE 'SWITCH_SINGLE' END END",
     "label_text": "CASE WHEN l_linenumber = 6 THEN CASE l_suppkey % 11 WHEN 0 THEN 'C30混凝土' WHEN 1 THEN 'DN100镀锌钢管' "
                   "WHEN 2 THEN 'Φ12@200' WHEN 3 THEN '1:100' WHEN 4 THEN '建施-01' WHEN 5 THEN '+3.000' WHEN 6 THEN '±0.000' "
-                  "WHEN 7 THEN CASE WHEN o_custkey % 4 = 1 THEN '图例' ELSE '一层平面图' END WHEN 8 THEN CASE WHEN o_custkey % 5 = 0 THEN '图纸目录' ELSE '工程名称：滨河路综合楼' END WHEN 9 THEN 'YJV-4x25' ELSE '' END END",
+                  "WHEN 7 THEN CASE WHEN o_custkey % 4 = 1 THEN '图例' ELSE '一层平面图' END WHEN 8 THEN CASE o_custkey % 5 WHEN 0 THEN '图纸目录' WHEN 1 THEN '工程名称：滨河路综合楼' WHEN 2 THEN '业主单位: 市政公司；    设计院：某院' WHEN 3 THEN '结构形式 ：框架' ELSE '施工图设计 A版' END WHEN 9 THEN 'YJV-4x25' ELSE '' END END",
     "x0": "CAST((l_partkey * 7919) % 84 AS BIGINT) * 500",
     "y0": "CAST((l_suppkey * 6197 + l_orderkey * 13) % 60 AS BIGINT) * 500",
     "w": "CAST(l_quantity AS BIGINT) % 50 * 100",

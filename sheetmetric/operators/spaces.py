@@ -114,7 +114,7 @@ def inside_sql(x: str, y: str, edges: str) -> str:
     return f"aggregate({edges}, false, (inside, e) -> inside <> ({crosses}))"
 
 
-def _in_boxes(points: DataFrame, spaces: DataFrame) -> DataFrame:
+def in_boxes(points: DataFrame, spaces: DataFrame) -> DataFrame:
     """Points (sheet_id, x, y, ...) with every space whose box holds them."""
     left = points.selectExpr("*", "x AS lxmin", "y AS lymin", "x AS lxmax", "y AS lymax")
     right = spaces.withColumnsRenamed({c: "r" + c for c in ("xmin", "ymin", "xmax", "ymax")})
@@ -124,7 +124,7 @@ def _in_boxes(points: DataFrame, spaces: DataFrame) -> DataFrame:
 def component_space(entities: DataFrame, spaces: DataFrame) -> DataFrame:
     """Space of every block reference: the largest one containing its point."""
     places = entities.where("dxf_type = 'INSERT'").selectExpr("sheet_id", "points[0].x AS x", "points[0].y AS y").distinct()
-    inside = _in_boxes(places, spaces.select("sheet_id", "space_id", "area", "xmin", "ymin", "xmax", "ymax", "edges")).where(inside_sql("x", "y", "edges"))
+    inside = in_boxes(places, spaces.select("sheet_id", "space_id", "area", "xmin", "ymin", "xmax", "ymax", "edges")).where(inside_sql("x", "y", "edges"))
     best = inside.groupBy("sheet_id", "x", "y").agg(F.expr("min(struct(-area, space_id)).space_id AS space_id"))
     inserts = entities.where("dxf_type = 'INSERT'").selectExpr("sheet_id", "seq", "entity_id", "block_name", "points[0].x AS x", "points[0].y AS y")
     return inserts.join(best, ["sheet_id", "x", "y"], "left")
@@ -143,7 +143,7 @@ def space_name(entities: DataFrame, spaces: DataFrame) -> DataFrame:
     usable = (f"dxf_type IN ('TEXT', 'MTEXT') AND {t} <> '' AND NOT {t} RLIKE {raw(fixed.ELEVATION_PATTERN)} AND NOT replace({t}, '.', '') RLIKE r'^[0-9]+$' "
               f"AND NOT {t} RLIKE {raw(fixed.NOT_A_SPACE_NAME)} AND NOT {t} RLIKE {raw(fixed.TITLE_ZONE['scale'])}")
     texts = entities.where(usable).selectExpr("sheet_id", "seq", "entity_id", f"{t} AS text", "points[0].x AS x", "points[0].y AS y")
-    found = _in_boxes(texts, spaces.select("sheet_id", "space_id", "xmin", "ymin", "xmax", "ymax"))
+    found = in_boxes(texts, spaces.select("sheet_id", "space_id", "xmin", "ymin", "xmax", "ymax"))
     named = found.groupBy("space_id").agg(F.expr("substring(min_by(text, struct(seq, entity_id)), 1, 30) AS name"))
     return spaces.select("sheet_id", "space_id").join(named, "space_id", "left").selectExpr("sheet_id", "space_id", "coalesce(name, '') AS name")
 

@@ -51,7 +51,7 @@ def _expand(spark, sf):
 QUERIES = {
     "graph_nodes": nodes,
     "graph_edges": edges,
-    "graph_find": lambda s, d: g.graph_find(nodes(s, d), "配电箱 LED").select("node_id", "sheet_id", "node_type"),
+    "graph_find": lambda s, d: g.graph_find(nodes(s, d), "灯具").select("node_id", "sheet_id", "node_type"),
     "graph_count": lambda s, d: g.graph_count(nodes(s, d), "管道"),
     "graph_khop": _khop,
     "graph_connected_query": _connected,
@@ -102,7 +102,7 @@ TARGET = "concat_ws(' ', coalesce(block_name, ''), coalesce(category, ''), coale
 ORACLES = {
     "graph_nodes": sql.query("SELECT * FROM nodes", *BASE),
     "graph_edges": sql.query("SELECT * FROM edges", *FULL),
-    "graph_find": sql.query(f"SELECT node_id, sheet_id, node_type FROM ({find_sql('配电箱 LED')})", *BASE),
+    "graph_find": sql.query(f"SELECT node_id, sheet_id, node_type FROM ({find_sql('灯具')})", *BASE),
     "graph_count": sql.query(f"SELECT sheet_id, category, count(*) AS n FROM ({find_sql('管道', chr(65) + 'ND node_type = ' + sql.lit('Component'))}) GROUP BY ALL", *BASE),
     "graph_khop": sql.query("SELECT * FROM reach", *FULL, REACH, recursive=True),
     "graph_connected_query": sql.query(f"SELECT anchor AS anchor_id, node AS target_id, label AS target, hop AS hops, relation AS edge_type FROM reach JOIN nodes ON node = node_id WHERE {token_sql(TARGET, expand_keyword('门'))}", *FULL, REACH, recursive=True),

@@ -11,8 +11,15 @@ def spaces(spark, sf):
     return sp.detect_spaces(adapter.entities(spark, sf))
 
 
+def wide_spaces(spark, sf):
+    """Rooms drawn twenty times larger from their lower left corner, so that they hold components."""
+    grow = lambda c, low: f"{low} + ({c} - {low}) * 20 AS {c}"
+    edges = "transform(edges, e -> named_struct('ux', xmin + (e.ux - xmin) * 20, 'uy', ymin + (e.uy - ymin) * 20, 'vx', xmin + (e.vx - xmin) * 20, 'vy', ymin + (e.vy - ymin) * 20)) AS edges"
+    return cut_lineage(spaces(spark, sf).selectExpr("sheet_id", "space_id", "area * 400 AS area", "xmin", "ymin", grow("xmax", "xmin"), grow("ymax", "ymin"), edges))
+
+
 def assigned(spark, sf):
-    return sp.component_space(adapter.entities(spark, sf), cut_lineage(spaces(spark, sf)))
+    return sp.component_space(adapter.entities(spark, sf), wide_spaces(spark, sf))
 
 
 def _segments(spark, sf):
@@ -22,7 +29,7 @@ def _segments(spark, sf):
 def _pip(spark, sf):
     """Points of block references tested against the outline of every room of their sheet whose box holds them."""
     places = adapter.entities(spark, sf).where("dxf_type = 'INSERT'").selectExpr("sheet_id", "entity_id", "points[0].x AS x", "points[0].y AS y")
-    found = sp._in_boxes(places, cut_lineage(spaces(spark, sf)))
+    found = sp.in_boxes(places, wide_spaces(spark, sf))
     return found.selectExpr("entity_id", "space_id", f"{sp.inside_sql('x', 'y', 'edges')} AS inside")
 
 
@@ -33,7 +40,7 @@ QUERIES = {
     "point_in_polygon": lambda s, d: _pip(s, d).select("entity_id", "inside"),
     "component_space": lambda s, d: assigned(s, d).where("space_id IS NOT NULL").select("entity_id", "block_name", "sheet_id"),
     "component_unassigned": lambda s, d: sp.component_unassigned(assigned(s, d)).withColumn("rank", F.col("rank").cast("long")),
-    "space_name": lambda s, d: sp.space_name(adapter.entities(s, d), cut_lineage(spaces(s, d))).select("sheet_id", "name"),
+    "space_name": lambda s, d: sp.space_name(adapter.entities(s, d), wide_spaces(s, d)).select("sheet_id", "name"),
     "space_report": lambda s, d: sp.space_report(assigned(s, d)).selectExpr("sheet_id", "block_name", "n", "components", "CAST(rank AS BIGINT) AS rank"),
     "space_totals": lambda s, d: sp.space_totals(spaces(s, d)),
 }
@@ -52,8 +59,10 @@ FACES = ("he AS (SELECT DISTINCT * FROM (SELECT sheet_id, ax AS ux, ay AS uy, bx
          "border AS (SELECT a.* FROM lab a JOIN lab b ON a.sheet_id = b.sheet_id AND a.ux = b.vx AND a.uy = b.vy AND a.vx = b.ux AND a.vy = b.uy WHERE a.face <> b.face), "
          "rooms AS MATERIALIZED (SELECT sheet_id, face, CAST(sum(ux * vy - vx * uy) AS DOUBLE) / 2 AS area, count(*) AS vertex_count, CAST(min(ux) AS DOUBLE) AS xmin, CAST(min(uy) AS DOUBLE) AS ymin, CAST(max(ux) AS DOUBLE) AS xmax, CAST(max(uy) AS DOUBLE) AS ymax "
          "FROM border GROUP BY ALL HAVING sum(ux * vy - vx * uy) >= 2 AND count(*) >= 3)")
-INSIDE = ("tests AS MATERIALIZED (SELECT e.sheet_id, e.entity_id, e.seq, e.block_name, r.face, r.area, count(*) FILTER (WHERE (b.vy > e.y0) <> (b.uy > e.y0) AND e.x0 < (b.ux - b.vx) * (e.y0 - b.vy) / (b.uy - b.vy + 1e-12) + b.vx) % 2 = 1 AS inside "
-          "FROM ent e JOIN rooms r ON e.sheet_id = r.sheet_id AND e.dxf_type = 'INSERT' AND e.x0 BETWEEN r.xmin AND r.xmax AND e.y0 BETWEEN r.ymin AND r.ymax JOIN border b ON b.sheet_id = r.sheet_id AND b.face = r.face GROUP BY ALL), "
+WIDE = ("wrooms AS MATERIALIZED (SELECT sheet_id, face, area * 400 AS area, xmin, ymin, xmin + (xmax - xmin) * 20 AS xmax, ymin + (ymax - ymin) * 20 AS ymax FROM rooms), "
+        "wborder AS MATERIALIZED (SELECT b.sheet_id, b.face, xmin + (b.ux - xmin) * 20 AS ux, ymin + (b.uy - ymin) * 20 AS uy, xmin + (b.vx - xmin) * 20 AS vx, ymin + (b.vy - ymin) * 20 AS vy FROM border b JOIN wrooms r ON b.sheet_id = r.sheet_id AND b.face = r.face)")
+INSIDE = (WIDE + ", tests AS MATERIALIZED (SELECT e.sheet_id, e.entity_id, e.seq, e.block_name, r.face, r.area, count(*) FILTER (WHERE (b.vy > e.y0) <> (b.uy > e.y0) AND e.x0 < (b.ux - b.vx) * (e.y0 - b.vy) / (b.uy - b.vy + 1e-12) + b.vx) % 2 = 1 AS inside "
+          "FROM ent e JOIN wrooms r ON e.sheet_id = r.sheet_id AND e.dxf_type = 'INSERT' AND e.x0 BETWEEN r.xmin AND r.xmax AND e.y0 BETWEEN r.ymin AND r.ymax JOIN wborder b ON b.sheet_id = r.sheet_id AND b.face = r.face GROUP BY ALL), "
           "owner AS (SELECT sheet_id, entity_id, block_name, seq, face FROM tests WHERE inside QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY area DESC, face) = 1)")
 CTES = [sql.ENT, SEGS, FACES, INSIDE]
 NODES = ("pts AS (SELECT sheet_id, x, y, row_number() OVER (PARTITION BY sheet_id ORDER BY min(k)) AS o FROM (SELECT sheet_id, ax AS x, ay AS y, (seq, entity_id, pos, 0) AS k FROM segs UNION ALL SELECT sheet_id, bx, by_, (seq, entity_id, pos, 1) FROM segs) GROUP BY sheet_id, x, y), "
@@ -69,7 +78,7 @@ ORACLES = {
     "point_in_polygon": sql.query("SELECT entity_id, inside FROM tests", *CTES, recursive=True),
     "component_space": sql.query("SELECT entity_id, block_name, sheet_id FROM owner", *CTES, recursive=True),
     "component_unassigned": sql.query("SELECT sheet_id, entity_id, block_name, row_number() OVER (PARTITION BY sheet_id ORDER BY seq, entity_id) AS rank, count(*) OVER (PARTITION BY sheet_id) AS unassigned FROM ent WHERE dxf_type = 'INSERT' AND entity_id NOT IN (SELECT entity_id FROM owner) QUALIFY rank <= 20", *CTES, recursive=True),
-    "space_name": sql.query(f"SELECT r.sheet_id, coalesce(left(arg_min(trim(t.label_text), (t.seq, t.entity_id)), 30), '') AS name FROM rooms r LEFT JOIN (SELECT * FROM ent WHERE {USABLE}) t ON r.sheet_id = t.sheet_id AND t.x0 BETWEEN r.xmin AND r.xmax AND t.y0 BETWEEN r.ymin AND r.ymax GROUP BY r.sheet_id, r.face", *CTES[:3], recursive=True),
+    "space_name": sql.query(f"SELECT r.sheet_id, coalesce(left(arg_min(trim(t.label_text), (t.seq, t.entity_id)), 30), '') AS name FROM wrooms r LEFT JOIN (SELECT * FROM ent WHERE {USABLE}) t ON r.sheet_id = t.sheet_id AND t.x0 BETWEEN r.xmin AND r.xmax AND t.y0 BETWEEN r.ymin AND r.ymax GROUP BY r.sheet_id, r.face", *CTES, recursive=True),
     "space_report": sql.query("SELECT sheet_id, block_name, n, components, rank FROM (SELECT sheet_id, face, block_name, n, CAST(sum(n) OVER (PARTITION BY sheet_id, face) AS BIGINT) AS components, row_number() OVER (PARTITION BY sheet_id, face ORDER BY n DESC, block_name) AS rank FROM "
                               "(SELECT sheet_id, face, block_name, count(*) AS n FROM owner GROUP BY ALL)) WHERE rank <= 3", *CTES, recursive=True),
     "space_totals": sql.query("SELECT sheet_id, count(*) AS space_count, sum(area) AS total_area FROM rooms GROUP BY sheet_id", *CTES[:3], recursive=True),
