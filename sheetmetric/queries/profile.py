@@ -73,7 +73,7 @@ QUERIES = {
     "run_counts": _run_counts,
 }
 
-TEXTS = "texts AS (SELECT project_id, seq, entity_id, trim(label_text) AS text, CASE WHEN role = 'FRAME' THEN 'TITLE_BLOCK' ELSE 'CIO_TEXT' END AS source_type, source_file || ':' || layer AS source_ref FROM entr JOIN sheets USING (sheet_id) WHERE trim(coalesce(label_text, '')) <> '')"
+TEXTS = "texts AS MATERIALIZED (SELECT project_id, seq, entity_id, trim(label_text) AS text, CASE WHEN role = 'FRAME' THEN 'TITLE_BLOCK' ELSE 'CIO_TEXT' END AS source_type, source_file || ':' || layer AS source_ref FROM entr JOIN sheets USING (sheet_id) WHERE trim(coalesce(label_text, '')) <> '')"
 ALIAS = sql.values("aliases", "field_id, alias_pos, alias", p.ALIASES)
 REST = "regexp_extract(rest, '^\\s*[:：]\\s*(.+)', 1)"
 CLEAN = f"trim(regexp_replace(trim({REST}), '\\s{{3,}}.*$', ''), ' \t;；,，')"
