@@ -43,7 +43,7 @@ def _paper(spark, sf):
 QUERIES = {
     "tokenize": _tokenize,
     "text_extract": lambda s, d: t.text_extract(adapter.entities(s, d)).drop("seq"),
-    "keyword_freq": lambda s, d: t.keyword_freq(s.read.parquet(f"{d}/documents.parquet")),
+    "keyword_freq": lambda s, d: t.keyword_freq(adapter.table(s, d, "documents")),
     "drawing_keyword_freq": lambda s, d: t.keyword_freq(t.text_extract(adapter.entities(s, d)), "content"),
     "elevation_parse": lambda s, d: t.elevations(adapter.entities(s, d)).select("entity_id", "raw", "value"),
     "elevation_levels": lambda s, d: t.elevation_levels(adapter.entities(s, d)),

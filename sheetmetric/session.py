@@ -27,15 +27,20 @@ def build_session(app: str = "sheetmetric", master: str | None = None, **conf) -
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the cluster's shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder every executor reaches: the one named by ``spark.checkpoint.dir``.
 
-    The folder is the one named by ``spark.checkpoint.dir``; only when the session names
-    none (tests on one machine) is a new local folder used.
+    Only when the session names none (tests on one machine) is a new local folder used.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp")))
+    folder = sc.getCheckpointDir()
+    if folder is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp")))
+        folder = sc.getCheckpointDir()
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder: survives the loss of any executor."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
