@@ -135,13 +135,18 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     every query carrying the derivation's nested expressions through its filters and join keys.
     """
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _ENTITY_TABLES:
+    if key not in _ENTITY_TABLES or not _exists(spark, _ENTITY_TABLES[key]):
         path = f"{shared_folder(spark)}/entities-{uuid.uuid4().hex}"
         derived_entities(spark, sf_dir).write.parquet(path)
         _ENTITY_TABLES[key] = path
     return spark.read.schema(f"{schemas.ENTITY}, revision STRING").parquet(_ENTITY_TABLES[key])
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def derived_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entity rows in the library's shape (see ``schemas.ENTITY``), plus ``revision``."""
     pt = "named_struct('x', CAST({} AS DOUBLE), 'y', CAST({} AS DOUBLE))"

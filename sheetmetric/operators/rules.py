@@ -179,9 +179,13 @@ def run_rules(ctx: RuleContext, rules) -> DataFrame:
     if local:
         flags = ", ".join(f"CASE WHEN {PREDICATES[r[5]](r[6])} THEN '{r[0]}' END" for r in local)
         parts.append(ctx.entities.selectExpr("sheet_id", f"explode(array_compact(array({flags}))) AS rule_id", "entity_id AS item", "1L AS weight"))
+    shared: dict[str, list] = {}      # rules with one operator and equal parameters are evaluated together
     for rule in rules:
         if rule[5] not in PREDICATES and known(rule[5]):
-            parts.append(operator_hits(ctx, rule[5], rule[6]).withColumn("rule_id", F.lit(rule[0])))
+            shared.setdefault(f"{rule[5]} {rule[6]}", []).append(rule)
+    for group in shared.values():
+        ids = F.explode(F.array(*[F.lit(r[0]) for r in group]))
+        parts.append(operator_hits(ctx, group[0][5], group[0][6]).withColumn("rule_id", ids))
     out = parts[0].select("sheet_id", "rule_id", "item", "weight")
     for part in parts[1:]:
         out = out.unionByName(part.select("sheet_id", "rule_id", "item", "weight"))

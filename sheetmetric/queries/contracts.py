@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 from sheetmetric.functions.geometry import bbox_sql
 from sheetmetric.model import adapter
 from sheetmetric.operators import contracts as c
-from sheetmetric.operators import spaces  # noqa: F401  (listed beside its contract)
 from sheetmetric.operators.classify import with_category
 from sheetmetric.operators.measure import with_role
 from sheetmetric.operators.rules import GEOMETRY_TYPE
