@@ -41,6 +41,12 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
+def byte_stand_ins() -> dict[str, int]:
+    """The byte behind each printable character of byte-level vocabularies: itself, or the next free code point from 256."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
+
+
 class WordHashes(dict):
     """64-bit hash of each word, remembered for up to ``limit`` words."""
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheetmetric.llm.text import col, slices, words_of
+from sheetmetric.llm.text import byte_stand_ins, col, slices, words_of
 
 COUNTS = "doc_id long, n_words long, n_tokens long, n_unknown long"
 END = b"\xff"               # end of a word: a byte that UTF-8 never has
@@ -106,8 +106,7 @@ def word_end_automaton(path: str) -> Automaton:
     """Pieces of a ``tokenizers`` file of a vocabulary with word ends (``</w>``), byte by byte in its printable stand-ins."""
     with open(path, encoding="utf-8") as f:
         vocabulary = json.load(f)["model"]["vocab"]
-    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-    stand_in = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
+    stand_in = byte_stand_ins()
 
     def piece(token: str) -> bytes | None:
         body, end = (token[:-4], END) if token.endswith("</w>") else (token, b"")
