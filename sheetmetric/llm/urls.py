@@ -76,8 +76,8 @@ def bounds(keys: DataFrame, rows: int, ranges: int) -> list[str]:
 def judge(urls: DataFrame, rules: DataFrame, default: str = "allow", rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """page_id, host, path, rule and verdict of each url.
 
-    ``rules``: key, rule, verdict, labels (number of host labels), see ``rule_table``. The rule with the longest key
-    wins; of rules with the same key, "block". Without a rule the verdict is ``default`` and the rule null. One row
+    ``rules``: key, rule, verdict, labels (number of host labels), see ``rule_table``. The longest rule
+    wins, of equally long ones "block", then the greatest text. Without a rule the verdict is ``default`` and the rule null. One row
     for each row of ``urls``, repeated and null ids too; a null url or one without "://" has an empty host and
     path and fits no rule, like an empty host; no rows give no rows, no rules give the default; other columns
     are not read.
@@ -97,7 +97,7 @@ def judge(urls: DataFrame, rules: DataFrame, default: str = "allow", rows_per_ra
     held = rules.select("key", "rule", "verdict").mapInArrow(_spread(cuts), SWEPT)
     merged = held.unionByName(dealt).repartition("range").sortWithinPartitions("range", "key", "is_url", "verdict")
     hits = merged.mapInArrow(_sweep, "row long, page_id long, host string, path string, rule string, verdict string, size int")
-    top = hits.groupBy("row").agg(*(F.max(c).alias(c) for c in ("page_id", "host", "path")), F.max(F.struct("size", "rule", "verdict")).alias("top"))
+    top = hits.groupBy("row").agg(*(F.max(c).alias(c) for c in ("page_id", "host", "path")), F.max(F.struct("size", "verdict", "rule")).alias("top"))
     return top.select("page_id", "host", "path", F.col("top.rule").alias("rule"), F.coalesce("top.verdict", F.lit(default)).alias("verdict"))
 
 

@@ -16,7 +16,7 @@ def brute(rows, rules, default="allow"):
             host = re.sub("[A-Z]", lambda m: m[0].lower(), re.match(r"[^/?#]*", rest)[0])
             path = re.match(r"[^?#]*", rest[len(host):])[0]
         fits = [r for r in rules if host and (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
-        best = max(fits, key=lambda r: (len(r.key), r.verdict), default=None)
+        best = max(fits, key=lambda r: (len(r.key), r.verdict, r.text), default=None)
         out.append((page, host, path, best and best.text, best.verdict if best else default))
     return sorted(out, key=repr)
 
