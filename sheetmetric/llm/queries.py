@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sheetmetric.llm import bpe, jaccard, packing, quality, secrets, topk, toxicity, urls, wordpiece
+from sheetmetric.llm import bpe, extract, jaccard, packing, quality, secrets, topk, toxicity, urls, wordpiece
 from sheetmetric.llm.text import table
 
 
@@ -41,6 +41,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -54,6 +58,7 @@ QUERIES = {
     "op6_secret_scans": op6_secret_scans,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_quality_rules": op8_quality_rules,
+    "op9_html_extraction": op9_html_extraction,
     "op10_token_counts": op10_token_counts,
 }
 
