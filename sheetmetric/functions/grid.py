@@ -32,25 +32,33 @@ def _cell(coordinate: str, level: str) -> str:
     return f"CASE WHEN {level} = {TOP} THEN least(greatest({plain}, {-EDGE}L), {EDGE}L) ELSE {plain} END"
 
 
-def _with_cells(df: DataFrame, p: str) -> DataFrame:
+def _with_cells(df: DataFrame, p: str, first: int, last: int) -> DataFrame:
+    """Boxes with the cells they cover at ``first`` to ``last`` levels above their own (``last`` None: to the top)."""
     span = f"greatest({p}xmax - {p}xmin, {p}ymax - {p}ymin)"
     level = "CASE " + " ".join(f"WHEN {span} <= {BASE * FACTOR ** i} THEN {i}" for i in range(TOP)) + f" ELSE {TOP} END"
     ys = f"transform(sequence({_cell(p + 'ymin', 'l')}, {_cell(p + 'ymax', 'l')}), cy -> named_struct('level', l, 'cx', cx, 'cy', cy))"
     cells = f"flatten(transform(sequence({_cell(p + 'xmin', 'l')}, {_cell(p + 'xmax', 'l')}), cx -> {ys}))"
+    top = TOP if last is None else f"least({TOP}, {p}level + {last})"
+    levels = f"filter(sequence(0, {TOP}), v -> v >= {p}level + {first} AND v <= {top})"
     own = df.withColumn(f"{p}level", F.expr(level))
-    return own.select("*", F.expr(f"inline(flatten(transform(sequence({p}level, {TOP}), l -> {cells})))"))
+    return own.select("*", F.expr(f"inline(flatten(transform({levels}, l -> {cells})))"))
 
 
 def overlapping_boxes(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs of ``left`` (sheet_id, lxmin..lymax, ...) and ``right`` (sheet_id, rxmin..rymax, ...) whose boxes touch.
 
     A box lives at the grid level whose cells are at least its size, so it covers at most four
-    cells there however large it is; it is also listed in its cells of the coarser levels.  A
-    pair is compared at the coarser level of the two, in the one cell holding the lower left
-    corner of the intersection, and so is found once.
+    cells there however large it is.  A pair meets at the coarser level of the two only, in the
+    one cell holding the lower left corner of the intersection, and so is found once: left boxes
+    at their own level meet right ones of that level or a finer one, right boxes at theirs meet
+    left ones of a finer level.  Small boxes are never compared in large cells.
     """
-    a, b = _with_cells(left, "l"), _with_cells(right, "r")
+    return _met(left, right, (0, 0), (0, None)).unionByName(_met(left, right, (1, None), (0, 0)))
+
+
+def _met(left: DataFrame, right: DataFrame, left_levels: tuple, right_levels: tuple) -> DataFrame:
+    a, b = _with_cells(left, "l", *left_levels), _with_cells(right, "r", *right_levels)
     corner_x, corner_y = _cell("greatest(lxmin, rxmin)", "level"), _cell("greatest(lymin, rymin)", "level")
     return (a.join(b, ["sheet_id", "level", "cx", "cy"])
-            .where("level = greatest(llevel, rlevel) AND lxmin <= rxmax AND lxmax >= rxmin AND lymin <= rymax AND lymax >= rymin")
+            .where("lxmin <= rxmax AND lxmax >= rxmin AND lymin <= rymax AND lymax >= rymin")
             .where(f"cx = {corner_x} AND cy = {corner_y}").drop("level", "cx", "cy", "llevel", "rlevel"))

@@ -98,20 +98,9 @@ FILE_EXPRS = {
 }
 
 
-SPREAD_KEYS = {"lineitem": "l_orderkey", "documents": "doc_id"}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One input table.  A large one in fewer files than there are cores is spread by its key.
-
-    The test tables are single files of one row group, which a single task would read and
-    process to the end; tables of many files are taken as they are.
-    """
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in SPREAD_KEYS and len(df.inputFiles()) < cores:
-        return df.repartition(cores, SPREAD_KEYS[name])
-    return df
+    """One input table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _project(df: DataFrame, exprs: dict) -> DataFrame:
@@ -184,7 +173,7 @@ def block_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dimension entities: the line rows read as linear measurements with a type code."""
-    return (table(spark, sf_dir, "lineitem").where("l_linenumber = 1").join(
+    return (table(spark, sf_dir, "lineitem").join(
         table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.expr("l_orderkey = o_orderkey"))
         .selectExpr("CAST(o_custkey AS BIGINT) AS sheet_id", "CAST(l_quantity AS BIGINT) * 8 + l_suppkey % 8 AS dimtype",
                     "l_quantity AS measurement"))

@@ -174,7 +174,7 @@ def discipline_vote_codes(sources: DataFrame, layers: DataFrame, sheets: DataFra
 def vote_evidence(sources: DataFrame, keep: int = 10) -> DataFrame:
     """First names per sheet, discipline and kind that supported the discipline."""
     supported = ", ".join(f"CASE WHEN {_weight_sql(w)} > 0 THEN '{d}' END" for d, w in fixed.CONTENT_WEIGHTS.items())
-    hits = (_with_upper(sources).select("sheet_id", "kind", F.substring("name", 1, 40).alias("name"), "first",
+    hits = (_with_upper(sources).select("sheet_id", "kind", "name", "first",
                                         F.expr(f"explode(array_compact(array({supported}))) AS discipline"))
             .groupBy("sheet_id", "discipline", "kind", "name").agg(F.min("first").alias("first")))
     w = Window.partitionBy("sheet_id", "discipline", "kind").orderBy("first", "name")

@@ -61,10 +61,11 @@ def wbs_tree(entries: DataFrame, keys=()) -> DataFrame:
     return entries.groupBy(*keys, *NODE).agg(F.count("*").alias("entries"))
 
 
-def label_chains(entries: DataFrame, keys=()) -> DataFrame:
+def label_chains(entries: DataFrame, keys=(), evidence_layers: int | None = None) -> DataFrame:
     """Discipline, unit work, division and item of every node, with confidence and evidence.
 
-    The discipline is that of most entries' layers; ties go to the earliest entry.
+    The discipline is that of most entries' layers; ties go to the earliest entry. The evidence names all layers,
+    or the first ``evidence_layers``.
     """
     keys = [*keys, *NODE]
     entries = cut_lineage(entries)     # aggregated rows, read three times below
@@ -73,7 +74,7 @@ def label_chains(entries: DataFrame, keys=()) -> DataFrame:
     voted = (per_layer.where("name <> ''").groupBy(*keys, "name").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
              .groupBy(*keys).agg(F.expr("min_by(name, struct(-n, first)) AS discipline_name")))
     w = Window.partitionBy(*keys).orderBy("layer")
-    evidence = (per_layer.withColumn("rn", F.row_number().over(w)).where("rn <= 3").groupBy(*keys)
+    evidence = (per_layer.withColumn("rn", F.row_number().over(w)).where(F.lit(True) if evidence_layers is None else F.col("rn") <= evidence_layers).groupBy(*keys)
                 .agg(F.expr("array_join(transform(array_sort(collect_list(struct(rn, layer, n))), e -> concat('LAYER:', e.layer, ':', CAST(e.n AS STRING), ' 项')), '；') AS layers")))
     nodes = entries.groupBy(*keys).agg(F.count("*").alias("entries"))
     joined = nodes.join(evidence, keys).join(voted, keys, "left").withColumn("discipline_name", F.expr("coalesce(discipline_name, '未识别')"))

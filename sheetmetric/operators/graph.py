@@ -26,7 +26,7 @@ def graph_nodes(entities: DataFrame, sheets: DataFrame) -> DataFrame:
                     sheet_id="sheet_id", node_type="'Layer'", name="layer")
     components = _nodes(with_category(entities), node_id="entity_id", sheet_id="sheet_id", node_type="'Component'", category="category",
                         sub_category="sub_category", layer="layer", block_name="block_name",
-                        label="substring(coalesce(nullif(label_text, ''), nullif(block_name, ''), category), 1, 80)")
+                        label="coalesce(nullif(label_text, ''), nullif(block_name, ''), category)")
     attributes = _nodes(attribute_rows(entities), node_id="concat('ATTR::', entity_id, '::', key)", sheet_id="sheet_id", node_type="'Attribute'", key="key", value="value")
     return projects.unionByName(drawings).unionByName(layers).unionByName(components).unionByName(attributes)
 

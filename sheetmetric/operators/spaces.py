@@ -138,13 +138,13 @@ def component_unassigned(assigned: DataFrame, keep: int = 20) -> DataFrame:
 
 
 def space_name(entities: DataFrame, spaces: DataFrame) -> DataFrame:
-    """First text in the space's box that is no level, number, sheet title or scale (30 characters)."""
+    """First text in the space's box that is no level, number, sheet title or scale."""
     t = "trim(label_text)"
     usable = (f"dxf_type IN ('TEXT', 'MTEXT') AND {t} <> '' AND NOT {t} RLIKE {raw(fixed.ELEVATION_PATTERN)} AND NOT replace({t}, '.', '') RLIKE r'^[0-9]+$' "
               f"AND NOT {t} RLIKE {raw(fixed.NOT_A_SPACE_NAME)} AND NOT {t} RLIKE {raw(fixed.TITLE_ZONE['scale'])}")
     texts = entities.where(usable).selectExpr("sheet_id", "seq", "entity_id", f"{t} AS text", "points[0].x AS x", "points[0].y AS y")
     found = in_boxes(texts, spaces.select("sheet_id", "space_id", "xmin", "ymin", "xmax", "ymax"))
-    named = found.groupBy("space_id").agg(F.expr("substring(min_by(text, struct(seq, entity_id)), 1, 30) AS name"))
+    named = found.groupBy("space_id").agg(F.expr("min_by(text, struct(seq, entity_id)) AS name"))
     return spaces.select("sheet_id", "space_id").join(named, "space_id", "left").selectExpr("sheet_id", "space_id", "coalesce(name, '') AS name")
 
 

@@ -141,7 +141,7 @@ ORACLES = {
     "discipline_ranking": sql.query(f"SELECT sheet_id, rank, disc AS discipline, score, {sql.rnd('score * 100.0 / total', 1)} AS ratio FROM totals", *VOTE),
     "discipline_vote_codes": sql.query("SELECT * FROM sheetcodes", *VOTECODES_CTES),
     "vote_evidence": sql.query("SELECT sheet_id, disc AS discipline, kind, name, rank FROM (SELECT sheet_id, disc, kind, name, row_number() OVER (PARTITION BY sheet_id, disc, kind ORDER BY f, name) AS rank FROM "
-                               "(SELECT sheet_id, disc, v.kind, left(name, 40) AS name, min(first) AS f FROM voters v JOIN content k ON v.kind = k.kind AND contains(upper(v.name), kw) GROUP BY ALL)) WHERE rank <= 10", *VOTE),
+                               "(SELECT sheet_id, disc, v.kind, name, min(first) AS f FROM voters v JOIN content k ON v.kind = k.kind AND contains(upper(v.name), kw) GROUP BY ALL)) WHERE rank <= 10", *VOTE),
     "detected_disciplines": sql.query("SELECT * FROM detected", *DETECTED_CTES),
     "load_dictionaries": sql.query("SELECT dictionary, label, CAST(priority AS BIGINT) AS priority, keyword, CAST(count(*) AS BIGINT) AS entities FROM ent JOIN dict ON contains(upper(layer), upper(keyword)) GROUP BY ALL", sql.ENT, DICT),
 }

@@ -64,7 +64,7 @@ def chain_sql(per_sheet):
             f"CASE WHEN item <> '{fixed.NO_ITEM}' THEN c ELSE 0.5::DOUBLE END AS item_confidence, CASE WHEN item <> '{fixed.NO_ITEM}' THEN c ELSE least(c, 0.5::DOUBLE) END AS confidence, "
             "'RULE:GB50300#' || division || '/' || sub_division || '/' || item || '；' || layers AS evidence FROM (SELECT *, CASE WHEN dn = '未识别' THEN 0.5::DOUBLE ELSE 0.8::DOUBLE END AS c FROM "
             f"(SELECT {k}, entries, coalesce(dname, '未识别') AS dn, layers FROM (SELECT {k}, count(*) AS entries FROM entries GROUP BY ALL) JOIN "
-            f"(SELECT {k}, string_agg('LAYER:' || layer || ':' || n || ' 项', '；' ORDER BY layer) AS layers FROM (SELECT * FROM (SELECT {k}, layer, count(*) AS n FROM entries GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY {k} ORDER BY layer) <= 3) GROUP BY ALL) USING ({k}) "
+            f"(SELECT {k}, string_agg('LAYER:' || layer || ':' || n || ' 项', '；' ORDER BY layer) AS layers FROM (SELECT * FROM (SELECT {k}, layer, count(*) AS n FROM entries GROUP BY ALL)) GROUP BY ALL) USING ({k}) "
             f"LEFT JOIN (SELECT {k}, dname FROM (SELECT * FROM (SELECT {k}, {BDISC} AS dname, count(*) AS n, min((kind, label)) AS f FROM entries GROUP BY ALL)) WHERE dname <> '' QUALIFY row_number() OVER (PARTITION BY {k} ORDER BY n DESC, f) = 1) USING ({k}))) LEFT JOIN reg r ON r.name = dn")
 
 

@@ -68,7 +68,7 @@ N = "CAST(NULL AS VARCHAR)"
 NODES = (f"nodes AS (SELECT DISTINCT project_id AS node_id, CAST(NULL AS BIGINT) AS sheet_id, 'Project' AS node_type, {N} AS name, {N} AS category, {N} AS sub_category, {N} AS layer, {N} AS block_name, {N} AS label, {N} AS key, {N} AS value FROM sheets "
          f"UNION ALL SELECT 'DRAWING::' || source_file, sheet_id, 'Drawing', source_file, {N}, {N}, {N}, {N}, {N}, {N}, {N} FROM sheets "
          f"UNION ALL SELECT DISTINCT 'LAYER::' || source_file || '::' || layer, sheet_id, 'Layer', layer, {N}, {N}, {N}, {N}, {N}, {N}, {N} FROM ent JOIN sheets USING (sheet_id) "
-         f"UNION ALL SELECT entity_id, sheet_id, 'Component', {N}, category, sub_category, layer, block_name, left(coalesce(nullif(label_text, ''), nullif(block_name, ''), category), 80), {N}, {N} FROM ecat "
+         f"UNION ALL SELECT entity_id, sheet_id, 'Component', {N}, category, sub_category, layer, block_name, coalesce(nullif(label_text, ''), nullif(block_name, ''), category), {N}, {N} FROM ecat "
          f"UNION ALL SELECT 'ATTR::' || entity_id || '::' || key, sheet_id, 'Attribute', {N}, {N}, {N}, {N}, {N}, {N}, key, value FROM attr)")
 TOPOLOGY = "topo AS MATERIALIZED (SELECT src, dst, 'CONNECTED' AS relation FROM conn UNION ALL SELECT src, dst, 'NEAR' FROM near)"
 EDGES = ("edges AS (SELECT project_id AS src, 'DRAWING::' || source_file AS dst, 'CONTAINS' AS relation FROM sheets UNION ALL SELECT DISTINCT 'DRAWING::' || source_file, 'LAYER::' || source_file || '::' || layer, 'HAS_LAYER' FROM ent JOIN sheets USING (sheet_id) "

@@ -26,7 +26,7 @@ QUERIES = {
 
 EXT = ("ext AS (SELECT sheet_id, CAST(min(xmin) AS DOUBLE) AS xmin, CAST(min(ymin) AS DOUBLE) AS ymin, CAST(max(xmax) AS DOUBLE) AS xmax, CAST(max(ymax) AS DOUBLE) AS ymax, "
        "CAST(max(xmax) - min(xmin) AS DOUBLE) AS width, CAST(max(ymax) - min(ymin) AS DOUBLE) AS height FROM boxes GROUP BY sheet_id)")
-DIM = "dims AS (SELECT CAST(o_custkey AS BIGINT) AS sheet_id, CAST(l_quantity AS BIGINT) * 8 + l_suppkey % 8 AS dimtype, l_quantity AS measurement FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1)"
+DIM = "dims AS (SELECT CAST(o_custkey AS BIGINT) AS sheet_id, CAST(l_quantity AS BIGINT) * 8 + l_suppkey % 8 AS dimtype, l_quantity AS measurement FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 KIND = "coalesce(CASE dimtype % 8 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in fixed.DIMENSION_KINDS.items()) + " END, '其他(' || dimtype % 8 || ')')"
 CODE = "CASE WHEN insunits <> 0 THEN insunits WHEN measurement = 1 THEN 4 WHEN measurement = 0 THEN 1 ELSE 0 END"
 BASE = [sql.ENT, sql.SHEETS, sql.LAYERS, sql.BLOCKDEFS, sql.BOXES, EXT]

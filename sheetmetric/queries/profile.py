@@ -70,7 +70,7 @@ QUERIES = {
     "review_flag": lambda s, d: p.review_flag(profile(s, d)),
     "missing_items": lambda s, d: p.missing_items(profile(s, d)),
     "indicators": _indicators,
-    "run_counts": _run_counts,
+    "pipeline_counts": _run_counts,
 }
 
 TEXTS = "texts AS MATERIALIZED (SELECT project_id, seq, entity_id, trim(label_text) AS text, CASE WHEN role = 'FRAME' THEN 'TITLE_BLOCK' ELSE 'CIO_TEXT' END AS source_type, source_file || ':' || layer AS source_ref FROM entr JOIN sheets USING (sheet_id) WHERE trim(coalesce(label_text, '')) <> '')"
@@ -114,6 +114,6 @@ ORACLES = {
         "UNION ALL SELECT 'unclassified_entities', (SELECT sum(n) FROM audit WHERE kind = 'unclassified') UNION ALL SELECT 'low_confidence', (SELECT count(*) FROM missing WHERE status = 'LOW_CONFIDENCE') "
         "UNION ALL SELECT 'required_missing', (SELECT count(*) FROM missing WHERE status = 'MISSING' AND severity = 'high')) "
         f"UNION ALL SELECT 'blocks_per_sheet', {sql.rnd('(SELECT count(*) FROM detail) / (SELECT sum(total_sheets) FROM sizes)', 1)}", *FULL, *IND_CTES, AUDIT),
-    "run_counts": sql.query("SELECT (SELECT count(*) FROM classified) AS sheets, (SELECT count(DISTINCT discipline) FROM classified) AS disciplines, (SELECT count(DISTINCT block_name) FROM detail) AS block_types, (SELECT count(*) FROM detail) AS block_total",
+    "pipeline_counts": sql.query("SELECT (SELECT count(*) FROM classified) AS sheets, (SELECT count(DISTINCT discipline) FROM classified) AS disciplines, (SELECT count(DISTINCT block_name) FROM detail) AS block_types, (SELECT count(*) FROM detail) AS block_total",
                             *cq.CAT_CTES, sql.ENT, sql.ENTR, mq.DETAIL),
 }

@@ -40,7 +40,7 @@ def _errors(spark, sf):
 
 def _samples(spark, sf):
     hits = r.run_rules(context(spark, sf), ALL_RULES)
-    return r.hit_samples(hits, 5).withColumn("rank", F.col("rank").cast("long"))
+    return r.hit_samples(hits, 50).withColumn("rank", F.col("rank").cast("long"))
 
 
 MISMATCH = {"expected": "ELEC", "forbidden": ["DUCT", "图例"]}
@@ -138,7 +138,7 @@ ORACLES |= {
     "rule_summary": sql.query("SELECT c_custkey AS sheet_id, count(*) FILTER (WHERE severity = 'error') AS total_errors, count(*) FILTER (WHERE severity = 'warning') AS total_warnings, count(*) FILTER (WHERE severity = 'info') AS total_infos, "
                               f"{len(ALL_RULES)}::BIGINT AS rules_executed, {len(ALL_RULES)} - count(rule_id) AS rules_passed FROM customer LEFT JOIN results ON c_custkey = sheet_id GROUP BY c_custkey", *ALL),
     "entity_errors": sql.query("SELECT sheet_id, item, count(*) AS n_errors, string_agg(rule_id || ':' || severity || ':' || message, '；' ORDER BY rule_id || ':' || severity || ':' || message) AS errors FROM hits JOIN results USING (sheet_id, rule_id) WHERE item IS NOT NULL GROUP BY sheet_id, item", *ALL),
-    "hit_samples": sql.query("SELECT sheet_id, rule_id, item, row_number() OVER (PARTITION BY sheet_id, rule_id ORDER BY item) AS rank FROM hits WHERE item IS NOT NULL QUALIFY rank <= 5", *ALL),
+    "hit_samples": sql.query("SELECT sheet_id, rule_id, item, row_number() OVER (PARTITION BY sheet_id, rule_id ORDER BY item) AS rank FROM hits WHERE item IS NOT NULL QUALIFY rank <= 50", *ALL),
     "quality_check": sql.query('SELECT sheet_id, level, category, count(*) AS "count" FROM (' + " UNION ALL ".join(
         f"SELECT sheet_id, '{lv}' AS level, '{c}' AS category FROM ({q})" for lv, c, q in (
             ("warn", "零长度直线", SQL["zero_length_line"]), ("warn", "零半径圆", SQL["zero_radius_circle"]), ("info", "实体位于 0 图层", SQL["entity_on_layer"]),

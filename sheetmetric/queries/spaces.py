@@ -78,7 +78,7 @@ ORACLES = {
     "point_in_polygon": sql.query("SELECT entity_id, inside FROM tests", *CTES, recursive=True),
     "component_space": sql.query("SELECT entity_id, block_name, sheet_id FROM owner", *CTES, recursive=True),
     "component_unassigned": sql.query("SELECT sheet_id, entity_id, block_name, row_number() OVER (PARTITION BY sheet_id ORDER BY seq, entity_id) AS rank, count(*) OVER (PARTITION BY sheet_id) AS unassigned FROM ent WHERE dxf_type = 'INSERT' AND entity_id NOT IN (SELECT entity_id FROM owner) QUALIFY rank <= 20", *CTES, recursive=True),
-    "space_name": sql.query(f"SELECT r.sheet_id, coalesce(left(arg_min(trim(t.label_text), (t.seq, t.entity_id)), 30), '') AS name FROM wrooms r LEFT JOIN (SELECT * FROM ent WHERE {USABLE}) t ON r.sheet_id = t.sheet_id AND t.x0 BETWEEN r.xmin AND r.xmax AND t.y0 BETWEEN r.ymin AND r.ymax GROUP BY r.sheet_id, r.face", *CTES, recursive=True),
+    "space_name": sql.query(f"SELECT r.sheet_id, coalesce(arg_min(trim(t.label_text), (t.seq, t.entity_id)), '') AS name FROM wrooms r LEFT JOIN (SELECT * FROM ent WHERE {USABLE}) t ON r.sheet_id = t.sheet_id AND t.x0 BETWEEN r.xmin AND r.xmax AND t.y0 BETWEEN r.ymin AND r.ymax GROUP BY r.sheet_id, r.face", *CTES, recursive=True),
     "space_report": sql.query("SELECT sheet_id, block_name, n, components, rank FROM (SELECT sheet_id, face, block_name, n, CAST(sum(n) OVER (PARTITION BY sheet_id, face) AS BIGINT) AS components, row_number() OVER (PARTITION BY sheet_id, face ORDER BY n DESC, block_name) AS rank FROM "
                               "(SELECT sheet_id, face, block_name, count(*) AS n FROM owner GROUP BY ALL)) WHERE rank <= 3", *CTES, recursive=True),
     "space_totals": sql.query("SELECT sheet_id, count(*) AS space_count, sum(area) AS total_area FROM rooms GROUP BY sheet_id", *CTES[:3], recursive=True),

@@ -21,7 +21,8 @@ def case_of(col: str, groups, default: str) -> str:
 
 
 def rnd(expr: str, places: int) -> str:
-    return f"CAST(CAST(CAST({expr} AS DECIMAL(38,6)) AS DECIMAL(38,{places})) AS DOUBLE)"
+    """Half up, once, on the shortest decimal form of a double."""
+    return f"CAST(CAST(CAST(CAST({expr} AS DOUBLE) AS VARCHAR) AS DECIMAL(38,{places})) AS DOUBLE)"
 
 
 def norm(col: str) -> str:

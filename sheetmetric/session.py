@@ -30,11 +30,14 @@ def build_session(app: str = "sheetmetric", master: str | None = None, **conf) -
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor reaches: the one named by ``spark.checkpoint.dir``.
 
-    Only when the session names none (tests on one machine) is a new local folder used.
+    Only when the session names none and runs on one machine (tests) is a new local folder used; on a cluster
+    that is an error, for a local folder would leave parts on separate disks.
     """
     sc = spark.sparkContext
     folder = sc.getCheckpointDir()
     if folder is None:
+        if not (sc.master.startswith("local") and not sc.master.startswith("local-cluster")) and not spark.conf.get("spark.checkpoint.dir", None):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp")))
         folder = sc.getCheckpointDir()
     return folder
