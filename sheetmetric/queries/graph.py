@@ -1,5 +1,6 @@
 """Queries of the graph operators."""
 import re
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from sheetmetric.operators import graph as g
 from sheetmetric.queries import sql
 from sheetmetric.queries import spatial as sq
 from sheetmetric.queries.classify import SUB_ALL, SUB_OWN, category_case
+from sheetmetric.session import shared_folder
 
 
 def nodes(spark, sf):
@@ -28,10 +30,11 @@ def _connected(spark, sf):
 
 
 def _io(spark, sf):
-    """Node-link form: every node as a JSON object and back."""
-    lines = nodes(spark, sf).selectExpr("to_json(struct(*)) AS line")
-    schema = ", ".join(f"{c} {'BIGINT' if c == 'sheet_id' else 'STRING'}" for c in g.NODE_COLUMNS)
-    return lines.select(F.from_json("line", schema).alias("n")).select("n.node_id", "n.node_type", "n.sheet_id")
+    """Nodes and edges written to the shared folder and read back, all columns of both."""
+    path = f"{shared_folder(spark)}/graph-{uuid.uuid4()}"
+    g.save_graph(nodes(spark, sf), edges(spark, sf), path)
+    read_nodes, read_edges = g.load_graph(spark, path)
+    return read_nodes.unionByName(read_edges, allowMissingColumns=True)
 
 
 WORDS = ["LIGHT", "PANEL", "SWITCH", "DN100", "M10", "板", "平面图", "YJV"]
@@ -106,7 +109,7 @@ ORACLES = {
     "graph_count": sql.query(f"SELECT sheet_id, category, count(*) AS n FROM ({find_sql('管道', chr(65) + 'ND node_type = ' + sql.lit('Component'))}) GROUP BY ALL", *BASE),
     "graph_khop": sql.query("SELECT * FROM reach", *FULL, REACH, recursive=True),
     "graph_connected_query": sql.query(f"SELECT anchor AS anchor_id, node AS target_id, label AS target, hop AS hops, relation AS edge_type FROM reach JOIN nodes ON node = node_id WHERE {token_sql(TARGET, expand_keyword('门'))}", *FULL, REACH, recursive=True),
-    "graph_io": sql.query("SELECT node_id, node_type, sheet_id FROM nodes", *BASE),
+    "graph_io": sql.query("SELECT * FROM nodes UNION ALL BY NAME SELECT * FROM edges", *FULL),
     "graph_stats": sql.query("SELECT 'total_nodes' AS metric, '' AS item, count(*) AS n FROM nodes UNION ALL SELECT 'total_edges', '', count(*) FROM edges UNION ALL SELECT 'node_type', node_type, count(*) FROM nodes GROUP BY node_type "
                              "UNION ALL SELECT 'relation', relation, count(*) FROM edges GROUP BY relation UNION ALL SELECT * FROM (SELECT 'category', category, count(*) AS n FROM nodes WHERE node_type = 'Component' GROUP BY category ORDER BY n DESC, category LIMIT 15)", *FULL),
     "token_match": sql.query("SELECT text, count(*) AS n, concat_ws('|', " + ", ".join(f"CASE WHEN {token_sql('text', [w])} THEN '{w}' END" for w in WORDS) + ") AS words FROM (SELECT coalesce(label_text, block_name, layer) AS text FROM ent) GROUP BY text", sql.ENT),

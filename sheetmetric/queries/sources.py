@@ -1,26 +1,28 @@
 """Queries of the sources and sinks."""
+import uuid
+
 from pyspark.sql import functions as F
 
 from sheetmetric.functions.geometry import bbox_sql
 from sheetmetric.model import adapter, fixed, schemas
 from sheetmetric.operators.classify import with_category
-from sheetmetric.operators.rules import GEOMETRY_TYPE
 from sheetmetric.queries import sql
 from sheetmetric.queries.graph import CATS
+from sheetmetric.session import shared_folder
 from sheetmetric.sources import readers as r
 
 
+def _folder(spark, name):
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4()}"
+
+
 def _read_cio(spark, sf):
-    """Entities written as interchange documents (one per entity, so that no sheet is gathered) and read back."""
-    rows = with_category(adapter.entities(spark, sf)).join(adapter.sheets(spark, sf).select("sheet_id", "project_id", "source_file", "discipline"), "sheet_id")
-    doc = rows.selectExpr(
-        "to_json(named_struct('schema_version', '1.0.0', 'project_meta', named_struct('project_id', project_id, 'discipline', discipline, 'source_file', source_file), "
-        f"'parsed_entities', array(named_struct('entity_id', entity_id, 'category', category, 'sub_category', sub_category, 'geometry', named_struct('type', {GEOMETRY_TYPE}, "
-        f"'coordinates', transform(points, p -> array(p.x, p.y)), 'radius', radius, 'closed', closed), "
-        "'attributes', named_struct('label_text', label_text, 'layer_name', layer, 'block_name', block_name, 'dxf_type', dxf_type, 'raw_attribs', attribs))))) AS line")
-    parsed = r.flatten_cio(doc.select(F.from_json("line", schemas.CIO).alias("d")).select("d.*"))
-    return parsed.selectExpr("project_id", "source_file", "entity_id", "category", "sub_category", "layer", "block_name", "label_text", "CAST(size(points) AS BIGINT) AS n_points",
-                             "points[0].x AS x", "points[0].y AS y", "radius", "attribs['SPEC'] AS spec")
+    """Every sheet written as an interchange document in the shared folder, and the documents read back."""
+    path = _folder(spark, "documents")
+    r.write_cio(with_category(adapter.entities(spark, sf)), adapter.sheets(spark, sf), adapter.layers(spark, sf), adapter.block_definitions(spark, sf), path)
+    return r.read_cio(spark, path, lines=True).selectExpr(
+        "project_id", "source_file", "seq", "entity_id", "category", "sub_category", "layer", "block_name", "label_text", "CAST(size(points) AS BIGINT) AS n_points",
+        "points[0].x AS x", "points[0].y AS y", "radius", "attribs['SPEC'] AS spec")
 
 
 def _incremental(spark, sf):
@@ -28,14 +30,19 @@ def _incremental(spark, sf):
     return r.incremental_sheets(adapter.files(spark, sf), state, "snap=50").select("path", "size_bytes", "fingerprint")
 
 
+CATALOG = "row_id BIGINT, drawing_no STRING, drawing_name STRING"
+
+
 def _csv(spark, sf):
-    rows = adapter.catalog(spark, sf).selectExpr("row_id", "drawing_no", "drawing_name")
-    return rows.selectExpr("to_csv(struct(*)) AS line").select(F.from_csv("line", "row_id BIGINT, drawing_no STRING, drawing_name STRING").alias("r")).select("r.*")
+    path = _folder(spark, "csv")
+    r.write_csv_table(adapter.catalog(spark, sf).selectExpr("row_id", "drawing_no", "drawing_name"), path)
+    return r.read_csv_table(spark, path, CATALOG)
 
 
 def _json(spark, sf):
-    rows = adapter.catalog(spark, sf).selectExpr("row_id", "drawing_no", "nullif(drawing_name, '封面') AS drawing_name")
-    return rows.selectExpr("to_json(struct(*)) AS line").select(F.from_json("line", "row_id BIGINT, drawing_no STRING, drawing_name STRING").alias("r")).select("r.*")
+    path = _folder(spark, "json")
+    r.write_json_table(adapter.catalog(spark, sf).selectExpr("row_id", "drawing_no", "nullif(drawing_name, '封面') AS drawing_name"), path)
+    return r.read_json_table(spark, path, CATALOG)
 
 
 QUERIES = {
@@ -51,7 +58,7 @@ INV = ("inv AS (SELECT path, lower(regexp_extract(path, '\\.([^./]+)$', 1)) AS f
        "size_bytes > 52428800 OR coalesce(entity_count, 0) > 50000 AS is_large FROM files WHERE lower(regexp_extract(path, '\\.([^./]+)$', 1)) IN ('dxf', 'dwg', 'pdf'))")
 FP = "sha1(concat_ws('|', path, CAST(mtime AS VARCHAR), CAST(size_bytes AS VARCHAR), 'snap=50'))"
 ORACLES = {
-    "read_cio": sql.query("SELECT project_id, source_file, entity_id, category, sub_category, layer, block_name, label_text, CAST(CASE WHEN dxf_type IN ('LWPOLYLINE', 'HATCH') THEN 4 WHEN dxf_type = 'LINE' THEN 2 ELSE 1 END AS BIGINT) AS n_points, "
+    "read_cio": sql.query("SELECT project_id, source_file, row_number() OVER (PARTITION BY sheet_id ORDER BY seq, entity_id) - 1 AS seq, entity_id, category, sub_category, layer, block_name, label_text, CAST(CASE WHEN dxf_type IN ('LWPOLYLINE', 'HATCH') THEN 4 WHEN dxf_type = 'LINE' THEN 2 ELSE 1 END AS BIGINT) AS n_points, "
                           "CAST(x0 AS DOUBLE) AS x, CAST(y0 AS DOUBLE) AS y, CASE WHEN dxf_type IN ('CIRCLE', 'ARC') THEN CAST(r AS DOUBLE) END AS radius, attr_spec AS spec FROM ecat JOIN sheets USING (sheet_id)", sql.ENT, sql.SHEETS, CATS),
     "file_inventory": sql.query("SELECT * FROM inv", sql.FILES, INV),
     "format_counts": sql.query("SELECT format, count(*) AS n, count(*) FILTER (WHERE is_large) AS large FROM inv GROUP BY format", sql.FILES, INV),

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheetmetric.model import fixed, schemas
+from sheetmetric.operators.rules import GEOMETRY_TYPE
 
 FORMATS = ["dxf", "dwg", "pdf"]
 
@@ -20,9 +21,47 @@ def flatten_cio(documents: DataFrame) -> DataFrame:
         "e.topology.connected_to", "e.topology.relation")
 
 
-def read_cio(spark: SparkSession, path: str) -> DataFrame:
-    """Interchange documents below a path, one JSON document per file; broken files give no rows."""
-    return flatten_cio(spark.read.schema(schemas.CIO).option("mode", "PERMISSIVE").json(path, multiLine=True))
+BROKEN = "_broken"
+
+
+def read_documents(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Interchange documents below a path, one to a file (or, as ``write_cio`` leaves them, to a line), with the file's name.
+
+    What cannot be read keeps its text in the column ``_broken``.
+    """
+    read = spark.read.schema(f"{schemas.CIO}, {BROKEN} STRING").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BROKEN)
+    return read.json(path, multiLine=not lines).withColumn("file", F.input_file_name())
+
+
+def broken_documents(documents: DataFrame) -> DataFrame:
+    """File and text of the documents that could not be read, and the version where that much was."""
+    return documents.where(F.col(BROKEN).isNotNull()).select("file", F.col(BROKEN).alias("content"), "schema_version")
+
+
+def read_cio(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Entities of the readable documents below a path; ``broken_documents`` tells of the others."""
+    documents = read_documents(spark, path, lines)
+    return flatten_cio(documents.where(F.col(BROKEN).isNull()))
+
+
+def write_cio(entities: DataFrame, sheets: DataFrame, layers: DataFrame, blocks: DataFrame, path: str) -> None:
+    """One interchange document for each sheet, entities in drawing order, with the sheet's layers and blocks.
+
+    ``entities`` need sheet_id, seq, category and sub_category. A document is one drawing and so one group.
+    """
+    entity = F.expr(
+        f"named_struct('entity_id', entity_id, 'category', category, 'sub_category', sub_category, 'geometry', named_struct('type', {GEOMETRY_TYPE}, "
+        "'coordinates', transform(points, p -> array(p.x, p.y)), 'radius', radius, 'closed', closed), "
+        "'attributes', named_struct('label_text', label_text, 'layer_name', layer, 'block_name', block_name, 'dxf_type', dxf_type, 'raw_attribs', attribs))")
+    gathered = entities.groupBy("sheet_id").agg(F.collect_list(F.struct("seq", "entity_id", entity.alias("e"))).alias("all"))
+    ordered = gathered.select("sheet_id", F.expr("transform(array_sort(all, (a, b) -> CASE WHEN a.seq < b.seq THEN -1 WHEN a.seq > b.seq THEN 1 WHEN a.entity_id < b.entity_id THEN -1 WHEN a.entity_id > b.entity_id THEN 1 ELSE 0 END), x -> x.e)").alias("parsed_entities"))
+    named = layers.groupBy("sheet_id").agg(F.array_sort(F.collect_list(F.struct("pos", "name", "is_off", "is_frozen"))).alias("l")).selectExpr(
+        "sheet_id", "l.name AS all_layers", "filter(l, x -> x.is_off).name AS layers_off", "filter(l, x -> x.is_frozen).name AS layers_frozen")
+    defined = blocks.groupBy("sheet_id").agg(F.array_sort(F.collect_list(F.struct("pos", "block_name"))).alias("b")).selectExpr("sheet_id", "b.block_name AS block_definitions")
+    context = sheets.join(named, "sheet_id", "left").join(defined, "sheet_id", "left").selectExpr(
+        "sheet_id", "named_struct('project_id', project_id, 'discipline', discipline, 'source_file', source_file) AS project_meta",
+        "named_struct('all_layers', all_layers, 'layers_off', layers_off, 'layers_frozen', layers_frozen, 'block_definitions', block_definitions) AS global_context")
+    ordered.join(context, "sheet_id").selectExpr("'1.0.0' AS schema_version", "project_meta", "global_context", "parsed_entities").write.mode("overwrite").json(path)
 
 
 def sheet_context(documents: DataFrame) -> DataFrame:

@@ -3,6 +3,8 @@ import json
 
 from pyspark.sql import functions as F
 
+from sheetmetric.model import adapter
+from sheetmetric.operators.classify import with_category
 from sheetmetric.queries import collect
 from sheetmetric.sources import readers
 from sheetmetric.streaming.incremental import process_new_documents
@@ -18,6 +20,8 @@ def test_read_cio(spark, tmp_path):
     for i in range(2):
         (tmp_path / f"{i}.json").write_text(json.dumps(document(i), indent=1))
     (tmp_path / "broken.json").write_text("{not json")
+    broken = readers.broken_documents(readers.read_documents(spark, str(tmp_path))).collect()
+    assert [(r.file.rsplit("/", 1)[-1], r.content) for r in broken] == [("broken.json", "{not json")]
     rows = readers.read_cio(spark, str(tmp_path)).orderBy("entity_id").collect()
     assert [(r.entity_id, r.seq, r.layer, len(r.points)) for r in rows] == [("0-0", 0, "A-WALL", 2), ("0-1", 1, "A-WALL", 2), ("1-0", 0, "A-WALL", 2), ("1-1", 1, "A-WALL", 2)]
 
@@ -55,3 +59,13 @@ def test_tables(spark, tmp_path):
 def test_every_query_has_reference_sql():
     queries, oracles = collect()
     assert len(queries) > 150 and set(oracles) == set(queries)
+
+
+def test_documents_written_and_read_back(spark, tmp_path):
+    sf = "/root/testdata/sf0.001"
+    readers.write_cio(with_category(adapter.entities(spark, sf)), adapter.sheets(spark, sf), adapter.layers(spark, sf), adapter.block_definitions(spark, sf), str(tmp_path / "d"))
+    documents = readers.read_documents(spark, str(tmp_path / "d"), lines=True)
+    assert readers.broken_documents(documents).collect() == []
+    context = readers.sheet_context(documents).first()
+    assert context["all_layers"] and set(context["layers_off"]) <= set(context["all_layers"]) and context["block_definitions"]
+    assert readers.read_cio(spark, str(tmp_path / "d"), lines=True).count() == adapter.entities(spark, sf).join(adapter.sheets(spark, sf), "sheet_id").count()
