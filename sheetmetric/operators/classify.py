@@ -126,16 +126,19 @@ def _with_upper(sources: DataFrame) -> DataFrame:
 
 
 def _scores(sources: DataFrame, table: dict) -> DataFrame:
-    """One column per discipline with the sheet's score: one aggregation, no exploded hits."""
-    # a name is weighed once however many sheets use it
-    names = _with_upper(sources.groupBy("kind", "name").agg(F.lit(1).alias("one"))).selectExpr(
-        "kind", "name", *[f"{_weight_sql(weights)} AS `{disc}`" for disc, weights in table.items()])
-    used = sources.join(names, ["kind", "name"])
-    return used.groupBy("sheet_id").agg(*[F.expr(f"sum(`{disc}` * n) AS `{disc}`") for disc in table])
+    """Per discipline the sheet's score and the place of its first hit (``<discipline> at``): layers, then blocks, then texts.
+
+    Names are weighed in their rows: one aggregation by sheet, no join on names that all sheets share.
+    """
+    place = "named_struct('kind', CASE kind WHEN 'layer' THEN 0 WHEN 'block' THEN 1 ELSE 2 END, 'first', first)"
+    weighed = _with_upper(sources).selectExpr("sheet_id", "n", f"{place} AS place", *[f"{_weight_sql(weights)} AS `{disc}`" for disc, weights in table.items()])
+    return weighed.groupBy("sheet_id").agg(*[F.expr(f"sum(`{disc}` * n) AS `{disc}`") for disc in table],
+                                           *[F.expr(f"min(CASE WHEN `{disc}` > 0 THEN place END) AS `{disc} at`") for disc in table])
 
 
 def _ranked(scores: DataFrame, labels: list[str]) -> DataFrame:
-    entries = ", ".join(f"named_struct('k', -`{d}`, 'i', {i}, 'label', '{d}')" for i, d in enumerate(labels))
+    """Disciplines by score; ties to the earlier first hit, then in dictionary order."""
+    entries = ", ".join(f"named_struct('k', -`{d}`, 'at', coalesce(`{d} at`, named_struct('kind', 3, 'first', 0L)), 'i', {i}, 'label', '{d}')" for i, d in enumerate(labels))
     total = " + ".join(f"`{d}`" for d in labels)
     return scores.selectExpr("sheet_id", f"{total} AS total", f"filter(array_sort(array({entries})), e -> e.k < 0) AS ranking").where("total > 0")
 
@@ -164,7 +167,7 @@ def discipline_vote_codes(sources: DataFrame, layers: DataFrame, sheets: DataFra
     codes = [c for c, _ in fixed.CODE_KEYWORDS]
     prefix = layer_prefix_discipline(layers).withColumnRenamed("code", "prefix_code")
     scores = _scores(sources, CODE_WEIGHTS).join(prefix, "sheet_id", "full_outer").selectExpr("sheet_id", *[
-        f"coalesce({c}, 0L) + CASE WHEN prefix_code = '{c}' THEN n_layers * {fixed.LAYER_PREFIX_WEIGHT} ELSE 0L END AS {c}" for c in codes])
+        f"coalesce({c}, 0L) + CASE WHEN prefix_code = '{c}' THEN n_layers * {fixed.LAYER_PREFIX_WEIGHT} ELSE 0L END AS {c}" for c in codes], *[f"`{c} at`" for c in codes])
     voted = (_ranked(scores, codes).withColumn("confidence", half_up(F.expr("-ranking[0].k * 100D / total"), 1))
              .selectExpr("sheet_id", "confidence", "CASE WHEN size(filter(ranking, e -> -e.k / total > 0.25D)) > 1 AND confidence < 60 THEN 'MULTI' ELSE ranking[0].label END AS code"))
     return sheets.select("sheet_id").join(voted, "sheet_id", "left").selectExpr(

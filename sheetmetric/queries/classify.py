@@ -99,14 +99,14 @@ VOTERS = ("voters AS (SELECT sheet_id, 'layer' AS kind, name, pos AS first FROM
 
 
 def scored(table):
-    return (f"scored AS (SELECT sheet_id, disc, prio, CAST(sum(wt) AS BIGINT) AS score FROM voters v JOIN {table} k ON v.kind = k.kind AND contains(upper(v.name), kw) GROUP BY ALL), "
-            "totals AS (SELECT *, sum(score) OVER (PARTITION BY sheet_id) AS total, row_number() OVER (PARTITION BY sheet_id ORDER BY score DESC, prio) AS rank FROM scored)")
+    return (f"scored AS (SELECT sheet_id, disc, prio, CAST(sum(wt) AS BIGINT) AS score, min(CASE v.kind WHEN 'layer' THEN 0 WHEN 'block' THEN 1 ELSE 2 END * 1000000000000 + first) AS hit FROM voters v JOIN {table} k ON v.kind = k.kind AND contains(upper(v.name), kw) GROUP BY ALL), "
+            "totals AS (SELECT *, sum(score) OVER (PARTITION BY sheet_id) AS total, row_number() OVER (PARTITION BY sheet_id ORDER BY score DESC, hit, prio) AS rank FROM scored)")
 
 
 VOTE = [sql.ENT, sql.LAYERS, sql.BLOCKDEFS, VOTERS, CONTENT, scored("content")]
-BONUS = ("allscores AS (SELECT sheet_id, disc, prio, CAST(sum(wt) AS BIGINT) AS score FROM (SELECT sheet_id, disc, prio, wt FROM voters v JOIN codes k ON v.kind = k.kind AND contains(upper(v.name), kw) "
-         "UNION ALL SELECT sheet_id, disc, prio, 5 * n_layers FROM prefix_best JOIN (SELECT DISTINCT disc, prio FROM codes) ON disc = code) GROUP BY ALL), "
-         "ranked AS (SELECT *, sum(score) OVER (PARTITION BY sheet_id) AS total, row_number() OVER (PARTITION BY sheet_id ORDER BY score DESC, prio) AS rank FROM allscores), "
+BONUS = ("allscores AS (SELECT sheet_id, disc, prio, CAST(sum(wt) AS BIGINT) AS score, min(hit) AS hit FROM (SELECT sheet_id, disc, prio, wt, CASE v.kind WHEN 'layer' THEN 0 WHEN 'block' THEN 1 ELSE 2 END * 1000000000000 + first AS hit FROM voters v JOIN codes k ON v.kind = k.kind AND contains(upper(v.name), kw) "
+         "UNION ALL SELECT sheet_id, disc, prio, 5 * n_layers, NULL FROM prefix_best JOIN (SELECT DISTINCT disc, prio FROM codes) ON disc = code) GROUP BY ALL), "
+         "ranked AS (SELECT *, sum(score) OVER (PARTITION BY sheet_id) AS total, row_number() OVER (PARTITION BY sheet_id ORDER BY score DESC, hit NULLS LAST, prio) AS rank FROM allscores), "
          f"votecodes AS (SELECT sheet_id, CASE WHEN count(*) FILTER (WHERE score / total > 0.25) > 1 AND max(CASE WHEN rank = 1 THEN {sql.rnd('score * 100.0 / total', 1)} END) < 60 THEN 'MULTI' ELSE max(CASE WHEN rank = 1 THEN disc END) END AS code, "
          f"max(CASE WHEN rank = 1 THEN {sql.rnd('score * 100.0 / total', 1)} END) AS confidence FROM ranked GROUP BY sheet_id), "
          "sheetcodes AS (SELECT c_custkey AS sheet_id, coalesce(code, 'UNKNOWN') AS code, coalesce(confidence, 0.0::DOUBLE) AS confidence FROM customer LEFT JOIN votecodes ON c_custkey = sheet_id)")
