@@ -19,7 +19,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheetmetric.llm.text import WordHashes, col, fresh, mix, shingle_hashes, slices, words_of
@@ -216,40 +217,47 @@ def candidates(found: DataFrame) -> DataFrame:
     return sorted_.mapInArrow(_runs, RUN)
 
 
-def verify(docs: DataFrame, pairs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """The pairs (a, b) of signatures, each once, whose full sets are similar enough.
+def shingle_sets(docs: DataFrame, sigs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """(sig, shingles) of the nodes named in ``sigs`` (and of a few more), each once, kept on disk.
 
-    A bitmap of fixed size tells which documents are in a pair at all; only their sets are shuffled.
+    A bitmap of fixed size tells which documents are wanted; only their sets are shuffled. A part that is lost with
+    an executor is worked out again. The sets are made here, before two sides of a join ask for them at once.
     """
     word = F.shiftright(F.col("sig").bitwiseAND((1 << BITMAP_BITS) - 1), 6)
     bit = F.expr("shiftleft(1L, CAST(sig & 63 AS INT))")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("sig"))
     bitmap = np.zeros(1 << BITMAP_BITS - 6, np.int64)
-    for row in ends.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toLocalIterator():
+    for row in sigs.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toLocalIterator():
         bitmap[row["word"]] = row["bits"]
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, wanted, seen = Shingler(size), shared.value, set()
         for part in slices(batches):
-            sigs, found = [], []
+            own, found = [], []
             for text in part.column(0).to_pylist():
                 s = shingler.of(text)
                 if len(s):
                     sig = signature(s)
                     if sig not in seen and wanted[(sig & (1 << BITMAP_BITS) - 1) >> 6] >> (sig & 63) & 1:
                         seen.add(sig)
-                        sigs.append(sig)
+                        own.append(sig)
                         found.append(s.view(np.int64))
             if len(seen) > 200_000:
                 seen.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["sig", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["sig", "shingles"])
 
-    full = docs.select(col("text").alias("text")).mapInArrow(sets, "sig long, shingles array<long>").groupBy("sig").agg(F.first("shingles").alias("shingles"))
-    left = pairs.join(full.select(F.col("sig").alias("b"), F.col("shingles").alias("of_b")), "b")
-    both = left.join(full.select(F.col("sig").alias("a"), F.col("shingles").alias("of_a")), "a")
+    found = docs.select(col("text").alias("text")).mapInArrow(sets, "sig long, shingles array<long>")
+    full = found.groupBy("sig").agg(F.first("shingles").alias("shingles")).persist(StorageLevel.DISK_ONLY)
+    full.count()
+    return full
+
+
+def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of signatures, each once, whose full sets are similar enough."""
+    left = pairs.join(sets.select(F.col("sig").alias("b"), F.col("shingles").alias("of_b")), "b")
+    both = left.join(sets.select(F.col("sig").alias("a"), F.col("shingles").alias("of_a")), "a")
     common = F.size(F.array_intersect("of_a", "of_b"))
-    return both.where((OVER + UNDER) * common >= OVER * (F.size("of_a") + F.size("of_b"))).select("a", "b")
+    return cut_lineage(both.where((OVER + UNDER) * common >= OVER * (F.size("of_a") + F.size("of_b"))).select("a", "b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -307,27 +315,29 @@ def link(docs: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     found = _stored(nodes(docs, levels(docs, size), size), f"{folder}/nodes")
     runs = _stored(candidates(found), f"{folder}/runs")
     long_runs = runs.where("kind = 1")
-    links = cut_lineage(verify(docs, runs.where("kind = 0").select("a", "b").distinct(), size))
+    pairs = cut_lineage(runs.where("kind = 0").select("a", "b").distinct())
+    sets = shingle_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("sig")), size)
+    links = verify(pairs, sets)
+    sets.unpersist()
     labels = cut_lineage(components(links))
+    sets = None
     for turn in range(PIVOT_ROUNDS + 1):
         rows = cut_lineage(_crossing(long_runs, labels))
         if rows.isEmpty():
             break
-        top = _largest(rows)
-        others = rows.join(top, "token").where("label <> top_label")
+        sets = sets or shingle_sets(docs, rows.select("sig"), size)        # later rounds see fewer nodes, never others
+        others = rows.join(_largest(rows), "token").where("label <> top_label")
         if turn < PIVOT_ROUNDS:
             pairs = others.where(filters_sql("info", "pos", "pivot_info", "pivot_pos")).select(*_pair("sig", "pivot"))
         else:
             every = rows.select("token", F.col("label").alias("label2"), F.col("sig").alias("sig2"), F.col("info").alias("info2"), F.col("pos").alias("pos2"))
             pairs = others.join(every, "token").where("label <> label2").where(filters_sql("info", "pos", "info2", "pos2")).select(*_pair("sig", "sig2"))
-        pairs = cut_lineage(pairs.distinct())
-        if pairs.isEmpty() and turn < PIVOT_ROUNDS:
-            continue
-        more = cut_lineage(verify(docs, pairs, size))
-        if more.isEmpty():
-            continue
-        links = links.unionByName(more)
-        labels = cut_lineage(components(links))
+        more = verify(pairs.distinct(), sets)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            labels = cut_lineage(components(links))
+    if sets is not None:
+        sets.unpersist()
     return found, labels
 
 
