@@ -28,7 +28,7 @@ from sheetmetric.session import cut_lineage, shared_folder
 
 SHINGLE = 5
 OVER, UNDER = 3, 4          # similarity of at least OVER / UNDER
-SKETCH_BITS = 20            # counters of the sketch, as a power of two
+SKETCH_BITS = 22            # counters of the sketch, as a power of two
 CHUNK = 1 << 14             # counters in a row of the sketch
 SMALL_RUN = 16              # nodes of one shingle that are all paired
 PIVOT_ROUNDS = 2            # rounds with a pivot for each shingle before all that is left is paired
@@ -64,28 +64,29 @@ def common_needed(total: np.ndarray) -> np.ndarray:
 def levels(docs: DataFrame, size: int = SHINGLE) -> np.ndarray:
     """How often the corpus has the shingles of each sketch counter, on a scale of 0 to 255.
 
-    Counts of all documents; 2**SKETCH_BITS counters whatever the size of the corpus reach the driver.
+    Counts of all documents (of each counter up to 255 from one task, which ranks common ones all the same);
+    2**SKETCH_BITS bytes whatever the size of the corpus reach the driver.
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, total, held, n = Shingler(size), np.zeros(1 << SKETCH_BITS, np.int64), [], 0
+        shingler, total, held, n = Shingler(size), np.zeros(1 << SKETCH_BITS, np.int32), [], 0
         for part in slices(batches):
             for text in part.column(0).to_pylist():
                 held.append((shingler.of(text) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64))
                 n += len(held[-1])
             if n > 1 << SKETCH_BITS:
-                total += np.bincount(np.concatenate(held), minlength=len(total))
+                total += np.bincount(np.concatenate(held), minlength=len(total)).astype(np.int32)
                 held, n = [], 0
         if held:
-            total += np.bincount(np.concatenate(held), minlength=len(total))
+            total += np.bincount(np.concatenate(held), minlength=len(total)).astype(np.int32)
         if total.any():
-            low = np.minimum(total, 65_535).astype("<u2").reshape(-1, CHUNK)
+            low = np.minimum(total, 255).astype(np.uint8).reshape(-1, CHUNK)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(low)), pa.int32()), pa.array([x.tobytes() for x in low], pa.binary())], ["chunk", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                total[chunk] = total.get(chunk, 0) + np.frombuffer(counts, "<u2").astype(np.int64)
+                total[chunk] = total.get(chunk, 0) + np.frombuffer(counts, np.uint8).astype(np.int64)
         level = [np.minimum(255, 8 * np.log2(1.0 + x)).astype(np.uint8).tobytes() for x in total.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(level, pa.binary())], ["chunk", "levels"])
 
