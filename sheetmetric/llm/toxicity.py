@@ -160,8 +160,8 @@ def train(texts: list[str | None], labels: list[int], least_steps: int = 300, ba
     return Model(weights, float(bias[1] - bias[0]))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: int = TRAIN_CLEAN) -> list[tuple[str | None, int]]:
-    """A bounded sample of labelled rows, the first of each class by a hash of the id, held-out rows left out.
+def training_frame(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: int = TRAIN_CLEAN) -> DataFrame:
+    """(doc_id, toxic, text): a bounded sample of labelled rows, the first of each class by a hash of the id, held-out rows left out.
 
     At most ``toxic`` + ``clean`` ids are chosen from the labels and joined to their texts; of rows that repeat
     an id one text is taken.
@@ -170,13 +170,23 @@ def training_rows(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC,
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.where("toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(toxic).unionByName(known.where("toxic = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(clean))
     texts = docs.select(col("doc_id").cast("long").alias("doc_id"), col("text").alias("text")).join(F.broadcast(chosen), "doc_id")
-    rows = texts.groupBy("doc_id", "toxic").agg(F.max("text").alias("text")).orderBy("doc_id").collect()
-    return [(r["text"], r["toxic"]) for r in rows]
+    return texts.groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: int = TRAIN_CLEAN) -> list[tuple[str | None, int]]:
+    """Texts and labels of ``training_frame``, in order of the id."""
+    return [(r["text"], r["toxic"]) for r in training_frame(docs, labels, toxic, clean).orderBy("doc_id").collect()]
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    rows = training_rows(docs, labels)
-    return train([r[0] for r in rows], [r[1] for r in rows])
+    """The model, trained in one task on the bounded sample; only its numbers reach the driver."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))), key=lambda r: r[0])
+        model = train([r[2] for r in rows], [r[1] for r in rows])
+        yield pa.RecordBatch.from_pydict({"weights": pa.array([model.weights.astype("<f4").tobytes()], pa.binary()), "bias": pa.array([model.bias])})
+
+    found = training_frame(docs, labels).repartition(1).mapInArrow(run, "weights binary, bias double").first()
+    return Model(np.frombuffer(found["weights"], "<f4"), found["bias"]) if found else train([], [])
 
 
 def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
