@@ -7,7 +7,7 @@ identifier, a secret, an endpoint. They are joined with all parts of their text
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheetmetric.llm.text import col, fresh
@@ -66,26 +66,26 @@ def find(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 def _linked(found: DataFrame, keys: list[str], scope: int) -> DataFrame:
     """Keys and ``spans``: strong spans, and weak ones near the parts that complete them.
 
-    Spans meet in buckets of ``scope`` characters: each is at home in the bucket where it starts, and a guest in all
-    buckets from one before to one behind its extent. A bucket holds as many spans as fit in three scopes.
+    A sweep over the positions of a document: each span is listed at its start, and each weak span asks behind its
+    end plus ``scope``. Of the spans listed up to there, the furthest end of each part tells whether one reaches
+    within ``scope`` of the asking span's start. Spans may be of any length.
     """
     part = F.element_at(F.array(*(F.lit(PART[k]) for k in KINDS)), F.col("s.kind") + 1)
-    spread = F.sequence((F.col("s.start") / scope).cast("int") - 1, F.floor(F.least(F.col("s.end"), F.col("s.start") + 64 * scope) / scope).cast("int") + 1)
-    each = found.select(*keys, F.explode_outer("found").alias("s")).withColumn("home", (F.col("s.start") / scope).cast("int")).withColumn("part", part)
     weak = F.col("s.kind") >= len(BASE)
-    met = each.select(*keys, "home", "part", "s", weak.alias("weak"), F.explode_outer(F.when(F.col("s").isNotNull(), spread)).alias("bucket"))
-    here = F.struct("s", "part", (F.col("home") == F.col("bucket")).alias("at_home"), "weak")
-    groups = met.groupBy(*keys, "bucket").agg(F.collect_list(here).alias("all"))
-
-    def near(w: Column, of: str) -> Column:
-        return F.exists("all", lambda x: (x["part"] == of) & (x["s"]["start"] <= w["s"]["end"] + scope) & (x["s"]["end"] + scope >= w["s"]["start"]))
-
-    def completed(w: Column) -> Column:
-        secret, identifier, endpoint = near(w, "secret"), near(w, "identifier"), near(w, "endpoint")
-        return F.when(w["part"] == "secret", identifier | endpoint).when(w["part"] == "identifier", secret).otherwise(secret & identifier)
-
-    kept = F.transform(F.filter("all", lambda w: w["at_home"] & (~w["weak"] | completed(w))), lambda w: w["s"])
-    return groups.select(*keys, kept.alias("kept")).groupBy(*keys).agg(F.array_sort(F.flatten(F.collect_list("kept"))).alias("spans"))
+    listed = F.struct(F.col("s.start").alias("at"), F.lit(False).alias("asks"))
+    asking = F.struct((F.col("s.end") + scope).alias("at"), F.lit(True).alias("asks"))
+    each = found.select(*keys, F.explode_outer("found").alias("s"))
+    events = each.select(*keys, "s", part.alias("part"), weak.alias("weak"), F.explode_outer(F.when(weak, F.array(listed, asking)).when(~weak, F.array(listed))).alias("event"))
+    so_far = Window.partitionBy(*keys).orderBy("event.at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def near(of: str) -> Column:
+        furthest = F.max(F.when((F.col("part") == of) & ~F.col("event.asks"), F.col("s.end"))).over(so_far)
+        return F.coalesce(furthest + scope >= F.col("s.start"), F.lit(False)).alias(of)
+
+    met = events.select(*keys, "s", "part", "weak", "event", near("secret"), near("identifier"), near("endpoint"))
+    completed = F.when(F.col("part") == "secret", F.col("identifier") | F.col("endpoint")).when(F.col("part") == "identifier", F.col("secret")).otherwise(F.col("secret") & F.col("identifier"))
+    kept = F.when(~F.col("weak") | (F.col("event.asks") & completed), F.col("s"))
+    return met.groupBy(*keys).agg(F.array_sort(F.collect_list(kept)).alias("spans"))
 
 
 def _joined(spans: Column) -> Column:

@@ -72,3 +72,18 @@ def test_masking(spark):
     assert out.columns == docs.columns
     assert sorted((tuple(r[:3]) for r in out.collect()), key=repr) == sorted(want, key=repr)
     assert S.mask(docs.limit(0)).collect() == []
+
+
+def spans_of(spark, found):
+    docs = spark.createDataFrame(list(enumerate(found)), "doc_id long, text string")
+    assert [r.spans for r in S.digest(docs).orderBy("doc_id").collect()] == [joined(brute(t)) for t in found]
+    return [len(brute(t)) for t in found]
+
+
+def test_partner_behind_a_weak_span_of_several_buckets(spark):
+    keys = ["aB3" * (n // 3) for n in (300, 600, 1500, 3000)]
+    near = [" " * shift + key + " " * gap + "user=alice" for key in keys for shift in (0, 17, 190) for gap in (1, 181, 200)]
+    assert set(spans_of(spark, near)) == {2}
+    assert set(spans_of(spark, ["aB3" * 200 + " " * 201 + "user=alice"])) == {0}
+    edge = [" " * shift + "username=" + "q" * 30 + " " * 181 + "password=abc" for shift in (190, 210)]
+    assert set(spans_of(spark, edge)) == {2}
