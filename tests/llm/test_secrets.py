@@ -87,3 +87,8 @@ def test_partner_behind_a_weak_span_of_several_buckets(spark):
     assert set(spans_of(spark, ["aB3" * 200 + " " * 201 + "user=alice"])) == {0}
     edge = [" " * shift + "username=" + "q" * 30 + " " * 181 + "password=abc" for shift in (190, 210)]
     assert set(spans_of(spark, edge)) == {2}
+
+
+def test_partner_behind_a_very_long_span(spark):
+    long = ["a1" * 10_000 + " user=alice", "user=alice " + "a1" * 10_000, "aB3" * 7_000 + " user=alice", "user=bob https://h/" + "p" * 20_000 + " pwd token=abc"]
+    assert spans_of(spark, long) == [2, 2, 2, 2]
