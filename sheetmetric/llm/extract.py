@@ -1,7 +1,8 @@
 """Main text of web pages by tree scoring.
 
-Parts that are no article by their element, role or name (menus, adverts, forms, reader comments, ...) are cut
-off. Each paragraph passes points for its length and commas to its ancestors, fewer the further up; a
+Parts that are no article by their element or role (menus, scripts, hidden parts, ...) are cut off, and so are
+forms and parts with the name of an advert, reader comments and the like, unless they hold most of the page's
+points. Each paragraph passes points for its length and commas to its ancestors, fewer the further up; a
 container's points are discounted by the share of its text that is links. The best container is kept, with
 those of its siblings that look like more of the same.
 """
@@ -9,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -18,7 +20,8 @@ from pyspark.sql import functions as F
 from sheetmetric.llm.text import col, slices
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("script style noscript template iframe object svg math canvas audio video head title nav aside header footer form dialog menu button select textarea option datalist fieldset".split())
+DROPPED = frozenset("script style noscript template iframe object svg math canvas audio video head title nav aside header footer dialog menu button select textarea option datalist".split())
+FORMS = frozenset(("form", "fieldset"))
 BLOCKS = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody tfoot thead tr ul".split())
 CLOSES_P = BLOCKS - {"body", "html", "caption", "legend", "tbody", "thead", "tfoot", "tr"}
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}),
@@ -27,42 +30,62 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 NAMES = frozenset("nav navbar navigation menu header masthead footer sidebar ad ads advert adverts advertisement advertising adsense banner cookie cookies consent gdpr notice popup modal overlay promo promotion sponsor sponsored subscribe subscription newsletter paywall share sharing social related recommend recommended recommendations comment comments respond replies disqus discussion breadcrumb breadcrumbs pagination pager widget widgets login signup toolbar skip".split())
 STRONG = frozenset("comment comments respond replies disqus discussion ad ads advert adverts advertisement advertising sponsor sponsored promo related recommended".split())
 LAYOUT = frozenset("has with no without".split())      # "has-sidebar" tells of a layout, not of a part
+TOPIC = frozenset("category cat tag type format status topic term taxonomy".split())       # "tag-ads" tells what a post is about
+REMARKS = frozenset("comment comments respond replies disqus".split())
+CERTAIN, REMARK, NAMED = 3, 2, 1    # reasons to cut a part off: the last two only where it does not hold most of the page
 KEPT = frozenset("html body main article".split())
-CONTAINERS = frozenset("div section article main body td".split())
+CONTAINERS = frozenset("div section article main body td form fieldset".split())
 LEVELS = 5                  # ancestors that a paragraph gives points to
 PARAGRAPH = 25              # least characters of a paragraph that counts
 PAGES = "page_id long, url string, text string, n_chars long"
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "score", "chars", "linked", "own", "gone")
+    __slots__ = ("tag", "parent", "parts", "score", "chars", "linked", "own", "gone", "doubt", "points", "base")
 
-    def __init__(self, tag: str, parent: Node | None, gone: bool = False):
-        self.tag, self.parent, self.gone = tag, parent, gone
+    def __init__(self, tag: str, parent: Node | None, why: int = 0):
+        self.tag, self.parent, self.gone, self.doubt = tag, parent, why == CERTAIN, why % CERTAIN
         self.parts: list = []                # text and nodes, in order
-        self.score = 0.0
+        self.score = self.points = self.base = 0.0
         self.chars = self.linked = self.own = 0
 
 
-def _names(value: str) -> set[str]:
-    return set(re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower()))
+@lru_cache(4096)
+def _names(value: str) -> tuple[frozenset[str], frozenset[str], frozenset[str]]:
+    """All words of the names in a class or id; those that name the part itself; the first of each name."""
+    every, own, first = set(), set(), set()
+    for name in value.split():
+        words = [w for w in re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()) if w]
+        every.update(words)
+        first.update(words[:1])
+        if words and words[0] not in TOPIC:
+            own.update(words[:next((i for i, w in enumerate(words) if w in LAYOUT), None)])
+    return frozenset(every), frozenset(own), frozenset(first)
 
 
-def unlikely(tag: str, attrs: list) -> bool:
-    """Is an element no part of an article?"""
+def unlikely(tag: str, attrs: list) -> int:
+    """Is an element no part of an article? 0 if it may be one, or the reason."""
     if tag in DROPPED:
-        return True
-    names: set[str] = set()
+        return CERTAIN
+    why = NAMED if tag in FORMS else 0
+    every: set[str] = set()
+    own: set[str] = set()
+    first: set[str] = set()
     for key, value in attrs:
         if key in ("class", "id"):
-            names |= _names(value or "")
+            for known, new in zip((every, own, first), _names(value or "")):
+                known |= new
         elif key == "role" and (value or "").strip().lower() in ROLES and tag not in KEPT:
-            return True
+            if value.strip().lower() != "form":
+                return CERTAIN
+            why = NAMED
         elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value or "", re.I):
-            return tag not in ("html", "body")
+            return 0 if tag in ("html", "body") else CERTAIN
     if tag in KEPT:
-        return tag == "article" and bool(names & STRONG)
-    return bool(names & NAMES) and not (names & LAYOUT and not names & STRONG)
+        named = tag == "article" and bool(own & STRONG)
+    else:
+        named = bool(own & NAMES) and not (every & LAYOUT and not own & STRONG)
+    return why if not named else REMARK if first & REMARKS else NAMED
 
 
 RAW = frozenset("script style title textarea xmp iframe noembed noframes".split())
@@ -186,8 +209,8 @@ class Tree:
 def _measure(nodes: list[Node]) -> None:
     """Text and link lengths of each node (children stand behind their parents in the list)."""
     for node in reversed(nodes):
+        node.chars = node.linked = node.own = 0
         if node.gone:
-            node.chars = node.linked = 0
             continue
         for part in node.parts:
             if isinstance(part, str):
@@ -265,11 +288,37 @@ def _whole(best: Node) -> Node:
     return best
 
 
+def _settle(nodes: list[Node]) -> None:
+    """Cuts off the parts in doubt, but those that hold most of the points of what is around them.
+
+    Around a part is the page, or the last part that was kept so. Readers' remarks stay only where there are no
+    others, and in a page without points a form that holds most of the text stays.
+    """
+    for p in _paragraphs(nodes):
+        if p.chars >= PARAGRAPH:
+            p.points = _points(p) * (1 - _density(p))
+    for node in reversed(nodes[1:]):
+        node.parent.points += node.points
+    root = nodes[0]
+    root.base = root.points
+    for node in nodes[1:]:
+        node.base = node.parent.base
+        if node.doubt:
+            most = 2 * node.points > node.base if node.doubt == NAMED else 0 < node.points >= 0.999 * node.base
+            if most or not root.points and node.tag in FORMS and 2 * node.chars > root.chars:
+                node.base = node.points
+            else:
+                node.gone = True
+
+
 def main_blocks(html: str) -> list[str]:
     """Blocks of the main text of a page, in page order."""
     tree = Tree(html)
     nodes = tree.nodes
     _measure(nodes)
+    if any(node.doubt for node in nodes):
+        _settle(nodes)
+        _measure(nodes)
     scored: dict[int, Node] = {}
     for p in _paragraphs(nodes):
         if p.chars < PARAGRAPH:

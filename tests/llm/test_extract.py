@@ -73,3 +73,32 @@ def test_tables(spark):
     found = sorted(map(tuple, X.extract(pages).collect()), key=repr)
     assert found == sorted([(1, "http://a/", "x y", 3), (1, "http://a/", "x y", 3), (None, None, "", 0), (2, "", "", 0), (3, "u", "日本 é", 4)], key=repr)
     assert X.extract(pages.limit(0)).collect() == []
+
+
+LONG = "Words, many words, and more of them, so that this counts as a paragraph, surely. " * 3
+BODY = f"<h1>Title</h1><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p>"
+REST = '<div class="ad"><p>Buy now, buy more, and buy it all again today, tomorrow, always.</p></div><p>&copy; A company, with a long name.</p>'
+
+
+def test_articles_with_names_of_clutter_stay():
+    want = "\n".join(["Title", *[LONG.strip()] * 3])
+    for name in ("post category-discussion", "post tag-ads", "hentry has-comments", "related", "post sponsored", "discussion"):
+        assert X.main_text(f'<body><article class="{name}">{BODY}</article>{REST}') == want, name
+    for name in ("share", "social", "header", "article-with-ads", "promo", "post has-comments", "pageWidget"):
+        assert X.main_text(f'<body><div id="{name}"><div class="x">{BODY}</div>{REST}</div>').startswith(want), name
+        assert "Buy now" not in X.main_text(f'<body><div id="{name}"><div class="x">{BODY}</div>{REST}</div>'), name
+    posts = "".join(f'<article class="post tag-ads"><p>{LONG}{i}</p></article>' for i in range(5))
+    assert X.main_text(f"<body><div>{posts}</div>").count("surely. 0") == 1 and "surely. 4" in X.main_text(f"<body><div>{posts}</div>")
+
+
+def test_page_in_a_form_stays_without_its_controls():
+    want = "\n".join(["Title", *[LONG.strip()] * 3])
+    for form in ("form", "fieldset", 'div role="form"'):
+        page = f'<body><{form}><div>{BODY}<select><option>One</select><textarea>Write</textarea><button>Send</button></div></{form.split()[0]}>'
+        assert X.main_text(page) == want
+    assert X.main_text("<body><form><p>Short.</p></form>") == "Short."
+
+
+def test_long_remarks_do_not_displace_a_short_article():
+    remarks = f'<section id="comments"><ul>{f"<li>{LONG}</li>" * 20}</ul></section>'
+    assert X.main_text(f"<body><div><p>{LONG}</p></div>{remarks}") == LONG.strip()
