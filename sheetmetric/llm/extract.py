@@ -91,26 +91,53 @@ def unlikely(tag: str, attrs: list) -> int:
 RAW = frozenset("script style title textarea xmp iframe noembed noframes".split())
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
-LONGEST_TAG = 1 << 14       # characters in which quotes may hide a tag's ">"
+MARK = re.compile("[>\"']")
 
 
-def _tag_end(html: str, at: int) -> int:
-    """Place of the ">" that ends a tag: the first outside quotes, or at all where quotes do not close soon; -1 if none."""
-    first = html.find(">", at)
-    if first < 0 or html.find('"', at, first) < 0 and html.find("'", at, first) < 0:
+class Tags:
+    """Ends of the tags of a page. What failed once is remembered, so that all searches together stay linear."""
+
+    def __init__(self, html: str):
+        self.html = html
+        self.missing: dict[str, int] = {}    # quote -> place from which on there is none
+        self.failed: set[int] = set()        # opening quotes from which no tag end is reached
+
+    def _value_opens(self, at: int, quote: int) -> bool:
+        while quote > at and self.html[quote - 1].isspace():
+            quote -= 1
+        return quote > at and self.html[quote - 1] == "="
+
+    def _close(self, quote: int) -> int:
+        c = self.html[quote]
+        if quote + 1 >= self.missing.get(c, len(self.html)):
+            return -1
+        close = self.html.find(c, quote + 1)
+        if close < 0:
+            self.missing[c] = quote + 1
+        return close
+
+    def end(self, at: int) -> int:
+        """Place of the ">" that ends a tag: the first outside quotes, or at all where quotes never close; -1 if none."""
+        html = self.html
+        first = html.find(">", at)
+        if first < 0 or html.find('"', at, first) < 0 and html.find("'", at, first) < 0:
+            return first
+        opened: list[int] = []
+        mark = MARK.search(html, at)
+        while mark:
+            here = mark.start()
+            if mark[0] == ">":
+                return here
+            if self._value_opens(at, here):
+                if here in self.failed:
+                    break
+                opened.append(here)
+                here = self._close(here)
+                if here < 0:
+                    break
+            mark = MARK.search(html, here + 1)
+        self.failed.update(opened)
         return first
-    stop, here = min(len(html), at + LONGEST_TAG), at
-    while here < stop:
-        c = html[here]
-        if c == ">":
-            return here
-        if c in "\"'" and html[at:here].rstrip().endswith("="):
-            close = html.find(c, here + 1, stop)
-            if close < 0:
-                return first
-            here = close
-        here += 1
-    return first
 
 
 def _attributes(raw: str) -> list[tuple[str, str]]:
@@ -127,13 +154,13 @@ class Tree:
         self._read(html)
 
     def _read(self, html: str) -> None:
-        at = 0
+        at, tags = 0, Tags(html)
         while (tag := html.find("<", at)) >= 0:
             if tag > at:
                 self.text(html[at:tag])
             name = NAME.match(html, tag + 1)
             if name:
-                end = _tag_end(html, name.end())
+                end = tags.end(name.end())
                 if end < 0:
                     return
                 kind = name[0].lower()

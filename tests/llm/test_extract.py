@@ -102,3 +102,17 @@ def test_page_in_a_form_stays_without_its_controls():
 def test_long_remarks_do_not_displace_a_short_article():
     remarks = f'<section id="comments"><ul>{f"<li>{LONG}</li>" * 20}</ul></section>'
     assert X.main_text(f"<body><div><p>{LONG}</p></div>{remarks}") == LONG.strip()
+
+
+def test_quotes_hide_tag_ends_in_tags_of_any_length():
+    hidden = "<p>not, a, paragraph, at, all, ever</p>" * 1000
+    for value in (f"""data-props='{{"html":"{hidden}"}}'""", f'srcdoc="{hidden}"', f"""title="it's" data-a = '{hidden}' b="x" """):
+        assert X.main_text(f"<article><div {value}><p>{LONG}</p></div></article>") == LONG.strip()
+    assert X.main_text(f"<article><p title='never closed>{LONG}</p><p>{LONG}</p></article>") == "\n".join([LONG.strip()] * 2)
+
+
+def test_unclosed_quotes_stay_quick():
+    start = time.time()
+    for unit, end in (('<a b=">" ', "='>"), ('<a b="> "', "='>"), ("<a b='\">\" ", '="'), ('<a b="\'> c=\'"> d="', ""), ('<a b=">" """ ', "='"), ("<a b=x' >", "='")):
+        X.main_text(unit * 30_000 + end)
+    assert time.time() - start < 60
