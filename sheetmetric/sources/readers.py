@@ -1,21 +1,22 @@
 """Sources and sinks: interchange documents, file listings, run manifests, CSV and JSON tables."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sheetmetric.model import fixed, schemas
 from sheetmetric.operators.rules import GEOMETRY_TYPE
 
 FORMATS = ["dxf", "dwg", "pdf"]
+PART_SIZE = 10_000          # entities of an interchange document that is written
 
 
 def flatten_cio(documents: DataFrame) -> DataFrame:
-    """Entity rows of interchange documents; the position in the document is the entity's ``seq``."""
-    rows = documents.select(F.col("project_meta.project_id").alias("project_id"), F.col("project_meta.source_file").alias("source_file"),
+    """Entity rows of interchange documents; the position in the drawing (all parts of it) is the entity's ``seq``."""
+    rows = documents.select(F.col("project_meta.project_id").alias("project_id"), F.col("project_meta.source_file").alias("source_file"), F.coalesce(F.col("part.first_seq"), F.lit(0)).alias("first_seq"),
                             F.posexplode("parsed_entities").alias("pos", "e"))
     return rows.selectExpr(
-        "project_id", "source_file", "CAST(pos AS BIGINT) AS seq", "e.entity_id", "e.category", "e.sub_category", "e.layer_role", "e.attributes.dxf_type", "e.attributes.layer_name AS layer",
+        "project_id", "source_file", "first_seq + pos AS seq", "e.entity_id", "e.category", "e.sub_category", "e.layer_role", "e.attributes.dxf_type", "e.attributes.layer_name AS layer",
         "e.attributes.block_name", "e.attributes.label_text", "transform(e.geometry.coordinates, c -> named_struct('x', c[0], 'y', c[1])) AS points",
         "coalesce(e.geometry.closed, false) AS closed", "e.geometry.radius", "e.geometry.bbox", "e.attributes.height", "e.attributes.raw_attribs AS attribs",
         "e.topology.connected_to", "e.topology.relation")
@@ -44,29 +45,36 @@ def read_cio(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     return flatten_cio(documents.where(F.col(BROKEN).isNull()))
 
 
-def write_cio(entities: DataFrame, sheets: DataFrame, layers: DataFrame, blocks: DataFrame, path: str) -> None:
-    """One interchange document for each sheet, entities in drawing order, with the sheet's layers and blocks.
+def write_cio(entities: DataFrame, sheets: DataFrame, layers: DataFrame, blocks: DataFrame, path: str, part_size: int = PART_SIZE) -> None:
+    """Interchange documents of each sheet, entities in drawing order, with the sheet's layers and blocks.
 
-    ``entities`` need sheet_id, seq, category and sub_category. A document is one drawing and so one group.
+    ``entities`` need sheet_id, seq, category and sub_category. A sheet is cut into parts of ``part_size`` entities, a
+    document each, with the same context, the part's number and the position of its first entity; so no group grows
+    with the sheet. Positions are counted in ranges of ``seq`` and added up over the ranges.
     """
     entity = F.expr(
         f"named_struct('entity_id', entity_id, 'category', category, 'sub_category', sub_category, 'geometry', named_struct('type', {GEOMETRY_TYPE}, "
         "'coordinates', transform(points, p -> array(p.x, p.y)), 'radius', radius, 'closed', closed), "
         "'attributes', named_struct('label_text', label_text, 'layer_name', layer, 'block_name', block_name, 'dxf_type', dxf_type, 'raw_attribs', attribs))")
-    gathered = entities.groupBy("sheet_id").agg(F.collect_list(F.struct("seq", "entity_id", entity.alias("e"))).alias("all"))
-    ordered = gathered.select("sheet_id", F.expr("transform(array_sort(all, (a, b) -> CASE WHEN a.seq < b.seq THEN -1 WHEN a.seq > b.seq THEN 1 WHEN a.entity_id < b.entity_id THEN -1 WHEN a.entity_id > b.entity_id THEN 1 ELSE 0 END), x -> x.e)").alias("parsed_entities"))
+    ranged = entities.withColumn("seq_range", F.expr(f"coalesce(floor(seq / {part_size}), {-1 << 63})"))
+    before = Window.partitionBy("sheet_id").orderBy("seq_range").rowsBetween(Window.unboundedPreceding, -1)
+    counted = ranged.groupBy("sheet_id", "seq_range").agg(F.count("*").alias("n")).select("sheet_id", "seq_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    inside = F.row_number().over(Window.partitionBy("sheet_id", "seq_range").orderBy("seq", "entity_id")) - 1
+    placed = ranged.withColumn("inside", inside).join(counted, ["sheet_id", "seq_range"]).withColumn("number", F.expr(f"(ahead + inside) div {part_size}"))
+    gathered = placed.groupBy("sheet_id", "number").agg(F.collect_list(F.struct("seq", "entity_id", entity.alias("e"))).alias("all"))
+    ordered = gathered.select("sheet_id", F.expr(f"named_struct('number', number, 'first_seq', number * {part_size}) AS part"), F.expr("transform(array_sort(all, (a, b) -> CASE WHEN a.seq < b.seq THEN -1 WHEN a.seq > b.seq THEN 1 WHEN a.entity_id < b.entity_id THEN -1 WHEN a.entity_id > b.entity_id THEN 1 ELSE 0 END), x -> x.e)").alias("parsed_entities"))
     named = layers.groupBy("sheet_id").agg(F.array_sort(F.collect_list(F.struct("pos", "name", "is_off", "is_frozen"))).alias("l")).selectExpr(
         "sheet_id", "l.name AS all_layers", "filter(l, x -> x.is_off).name AS layers_off", "filter(l, x -> x.is_frozen).name AS layers_frozen")
     defined = blocks.groupBy("sheet_id").agg(F.array_sort(F.collect_list(F.struct("pos", "block_name"))).alias("b")).selectExpr("sheet_id", "b.block_name AS block_definitions")
     context = sheets.join(named, "sheet_id", "left").join(defined, "sheet_id", "left").selectExpr(
         "sheet_id", "named_struct('project_id', project_id, 'discipline', discipline, 'source_file', source_file) AS project_meta",
         "named_struct('all_layers', all_layers, 'layers_off', layers_off, 'layers_frozen', layers_frozen, 'block_definitions', block_definitions) AS global_context")
-    ordered.join(context, "sheet_id").selectExpr("'1.0.0' AS schema_version", "project_meta", "global_context", "parsed_entities").write.mode("overwrite").json(path)
+    ordered.join(context, "sheet_id").selectExpr("'1.0.0' AS schema_version", "project_meta", "global_context", "part", "parsed_entities").write.mode("overwrite").json(path)
 
 
 def sheet_context(documents: DataFrame) -> DataFrame:
-    """One row per document: meta data, unit, declared layers and blocks."""
-    return documents.selectExpr("project_meta.*", "global_context.units", "global_context.scale_ratio", "global_context.all_layers", "global_context.layers_off",
+    """One row per drawing: meta data, unit, declared layers and blocks."""
+    return documents.where("coalesce(part.number, 0) = 0").selectExpr("project_meta.*", "global_context.units", "global_context.scale_ratio", "global_context.all_layers", "global_context.layers_off",
                                 "global_context.layers_frozen", "global_context.block_definitions")
 
 

@@ -69,3 +69,17 @@ def test_documents_written_and_read_back(spark, tmp_path):
     context = readers.sheet_context(documents).first()
     assert context["all_layers"] and set(context["layers_off"]) <= set(context["all_layers"]) and context["block_definitions"]
     assert readers.read_cio(spark, str(tmp_path / "d"), lines=True).count() == adapter.entities(spark, sf).join(adapter.sheets(spark, sf), "sheet_id").count()
+
+
+def test_large_sheet_is_written_in_parts(spark, tmp_path):
+    sf = "/root/testdata/sf0.001"
+    one = adapter.entities(spark, sf).withColumn("sheet_id", F.lit(adapter.sheets(spark, sf).first().sheet_id))
+    tied = with_category(one.limit(300).withColumn("seq", F.expr("CASE WHEN seq % 3 = 0 THEN 7L WHEN seq % 3 = 1 THEN 8L ELSE seq END")).localCheckpoint())
+    path, size = str(tmp_path / "d"), 7
+    readers.write_cio(tied, adapter.sheets(spark, sf), adapter.layers(spark, sf), adapter.block_definitions(spark, sf), path, part_size=size)
+    documents = readers.read_documents(spark, path, lines=True)
+    assert sorted(r.n for r in documents.selectExpr("size(parsed_entities) AS n").collect()) == sorted([size] * (300 // size) + [300 % size])
+    assert readers.sheet_context(documents).count() == 1
+    want = [r.entity_id for r in tied.orderBy("seq", "entity_id").collect()]
+    found = readers.read_cio(spark, path, lines=True).orderBy("seq").collect()
+    assert [(r.seq, r.entity_id) for r in found] == list(enumerate(want))
