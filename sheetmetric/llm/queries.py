@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sheetmetric.llm import bpe, extract, jaccard, packing, quality, secrets, topk, toxicity, urls, wordpiece
+from sheetmetric.llm import bpe, extract, jaccard, packing, quality, resample, secrets, topk, toxicity, urls, wordpiece
 from sheetmetric.llm.text import table
 
 
@@ -49,6 +49,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_exact_topk": op2_exact_topk,
@@ -60,6 +64,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_html_extraction": op9_html_extraction,
     "op10_token_counts": op10_token_counts,
+    "op12_resampling": op12_resampling,
 }
 
 WORDS = r"'[^\x20\x09-\x0D]+'"
@@ -119,4 +124,37 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 12 * n_words
     OR (n_dup_lines >= 5 AND 100 * n_dup_lines > 30 * n_lines) OR 10 * shouted > n_words) AS kept
 FROM f""".replace("\\\\", "\\"),
+    "op12_resampling": r"""
+WITH steps AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(CAST(i AS BIGINT), list_transform(range(8), lambda k: CAST(k AS BIGINT))),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+texts AS (
+  SELECT 's' AS part, doc_id AS id, text FROM documents UNION ALL SELECT 't', item_id, text FROM benchmark),
+w AS (
+  SELECT part, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM texts),
+f AS (
+  SELECT part, id, unnest(ws) AS feature FROM w
+  UNION ALL SELECT part, id, ws[i] || ' ' || ws[i + 1] FROM (SELECT part, id, ws, unnest(range(1, len(ws))) AS i FROM w)),
+distinct_f AS MATERIALIZED (SELECT DISTINCT feature, hex(encode(feature)) AS h FROM f),
+bytes AS (
+  SELECT feature, list_prepend(4294967295, list_transform(range(1, length(h), 2), lambda i:
+    CAST(16 * (instr('0123456789ABCDEF', h[i]) - 1) + instr('0123456789ABCDEF', h[i + 1]) - 1 AS BIGINT))) AS b FROM distinct_f),
+crc AS MATERIALIZED (
+  SELECT feature, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket FROM bytes, steps),
+g AS MATERIALIZED (SELECT part, id, bucket FROM f JOIN crc USING (feature)),
+sizes AS (SELECT count(*) FILTER (part = 's') AS s, count(*) FILTER (part = 't') AS t FROM g),
+gain AS (
+  SELECT bucket, CAST(floor(1000 * ln(CAST((count(*) FILTER (part = 't') + 1) * (any_value(sizes.s) + 10000) AS DOUBLE)
+    / CAST((count(*) FILTER (part = 's') + 1) * (any_value(sizes.t) + 10000) AS DOUBLE))) AS BIGINT) AS gain FROM g, sizes GROUP BY bucket),
+per_doc AS (SELECT id, count(*) AS n, CAST(floor(sum(gain) / count(*)) AS BIGINT) AS weight FROM g JOIN gain USING (bucket) WHERE part = 's' GROUP BY id),
+h AS (
+  SELECT doc_id, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(range(1, 9), lambda i: CAST(instr('0123456789abcdef', sha256('7:' || doc_id)[i]) - 1 AS BIGINT))),
+    lambda a, b: 16 * a + b) AS h FROM documents),
+scored AS (
+  SELECT h.doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight, len(ws) >= 20 AS able,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((h.h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM h JOIN w ON w.part = 's' AND w.id = h.doc_id LEFT JOIN per_doc ON per_doc.id = h.doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id) AS place, count(*) FILTER (able) OVER () AS n_able FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= 25 * n_able // 100 THEN place END AS rank FROM r""",
 }
