@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sheetmetric.llm import bpe, extract, jaccard, packing, quality, resample, secrets, topk, toxicity, urls, wordpiece
+from sheetmetric.llm import bpe, extract, jaccard, packing, quality, resample, secrets, topk, toxicity, urls, warc, wordpiece
 from sheetmetric.llm.text import table
 
 
@@ -53,6 +53,10 @@ def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_exact_topk": op2_exact_topk,
@@ -65,6 +69,7 @@ QUERIES = {
     "op9_html_extraction": op9_html_extraction,
     "op10_token_counts": op10_token_counts,
     "op12_resampling": op12_resampling,
+    "op13_warc": op13_warc,
 }
 
 WORDS = r"'[^\x20\x09-\x0D]+'"
@@ -157,4 +162,10 @@ scored AS (
   FROM h JOIN w ON w.part = 's' AND w.id = h.doc_id LEFT JOIN per_doc ON per_doc.id = h.doc_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id) AS place, count(*) FILTER (able) OVER () AS n_able FROM scored)
 SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= 25 * n_able // 100 THEN place END AS rank FROM r""",
+    "op13_warc": """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)""",
 }
