@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sheetmetric.llm import bpe, extract, jaccard, packing, quality, resample, secrets, topk, toxicity, urls, warc, wordpiece
+from sheetmetric.llm import bpe, collocations, extract, jaccard, packing, quality, resample, secrets, topk, toxicity, urls, warc, wordpiece
 from sheetmetric.llm.text import table
 
 
@@ -49,6 +49,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
 
@@ -68,6 +72,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_html_extraction": op9_html_extraction,
     "op10_token_counts": op10_token_counts,
+    "op11_collocations": op11_collocations,
     "op12_resampling": op12_resampling,
     "op13_warc": op13_warc,
 }
@@ -129,6 +134,26 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 12 * n_words
     OR (n_dup_lines >= 5 AND 100 * n_dup_lines > 30 * n_lines) OR 10 * shouted > n_words) AS kept
 FROM f""".replace("\\\\", "\\"),
+    "op11_collocations": r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS MATERIALIZED (
+  SELECT lang, size, array_to_string(ws[i:i + size - 1], ' ') AS phrase, any_value(ws[i:i + size - 1]) AS ws, count(*) AS n
+  FROM (SELECT lang, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM w, (VALUES (1), (2), (3)) x(size)) GROUP BY lang, size, phrase),
+total AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM g WHERE size = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT * FROM g WHERE size > 1 AND n >= 10),
+cover AS (
+  SELECT lang, array_to_string(ws[i:i + 1], ' ') AS phrase, max(n) AS most FROM c, (VALUES (1), (2)) x(i) WHERE size = 3 GROUP BY ALL),
+kept AS (SELECT c.* FROM c LEFT JOIN cover ON c.size = 2 AND c.lang = cover.lang AND c.phrase = cover.phrase WHERE most IS NULL OR 100 * most < 50 * c.n),
+cuts AS (
+  SELECT k.lang, k.phrase, k.n AS a, cut, l.n AS l, r.n AS r, CAST(1000000 * k.n::HUGEINT * k.n // (l.n::HUGEINT * r.n) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, size)) AS cut FROM kept) k
+  JOIN g l ON l.lang = k.lang AND l.phrase = array_to_string(k.ws[1:cut], ' ') JOIN g r ON r.lang = k.lang AND r.phrase = array_to_string(k.ws[cut + 1:], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, total.n, score
+FROM best JOIN total USING (lang) QUALIFY rank <= 2000""",
     "op12_resampling": r"""
 WITH steps AS (
   SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(CAST(i AS BIGINT), list_transform(range(8), lambda k: CAST(k AS BIGINT))),
