@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from sheetmetric.functions.text import expand_keyword, let_sql, raw, string_array, token_match_sql
 from sheetmetric.model import fixed
-from sheetmetric.operators.classify import with_category
+from sheetmetric.operators.classify import category_counts, with_category
+from sheetmetric.operators.places import PLACE, PlaceGraph, reach
 from sheetmetric.session import cut_lineage
 
 NODE_COLUMNS = ["node_id", "sheet_id", "node_type", "name", "category", "sub_category", "layer", "block_name", "label", "key", "value"]
@@ -17,8 +18,11 @@ def _nodes(df: DataFrame, **exprs) -> DataFrame:
     return df.selectExpr(*[f"CAST({exprs.get(c, 'NULL')} AS {types.get(c, 'STRING')}) AS {c}" for c in NODE_COLUMNS])
 
 
-def graph_nodes(entities: DataFrame, sheets: DataFrame) -> DataFrame:
-    """Project, Drawing, Layer, Component and Attribute nodes with their properties."""
+PLACE_ID = "concat('PLACE::', sheet_id, '::', {0}, '::', {1})"
+
+
+def graph_nodes(entities: DataFrame, sheets: DataFrame, physical: PlaceGraph | None = None) -> DataFrame:
+    """Project, Drawing, Layer, Component and Attribute nodes with their properties; Place nodes of a physical graph."""
     names = sheets.select("sheet_id", "source_file")
     projects = _nodes(sheets.select("project_id").distinct(), node_id="project_id", node_type="'Project'")
     drawings = _nodes(sheets, node_id="concat('DRAWING::', source_file)", sheet_id="sheet_id", node_type="'Drawing'", name="source_file")
@@ -28,15 +32,18 @@ def graph_nodes(entities: DataFrame, sheets: DataFrame) -> DataFrame:
                         sub_category="sub_category", layer="layer", block_name="block_name",
                         label="coalesce(nullif(label_text, ''), nullif(block_name, ''), category)")
     attributes = _nodes(attribute_rows(entities), node_id="concat('ATTR::', entity_id, '::', key)", sheet_id="sheet_id", node_type="'Attribute'", key="key", value="value")
-    return projects.unionByName(drawings).unionByName(layers).unionByName(components).unionByName(attributes)
+    found = projects.unionByName(drawings).unionByName(layers).unionByName(components).unionByName(attributes)
+    if physical is None:
+        return found
+    return found.unionByName(_nodes(physical.members.select(*PLACE).distinct(), node_id=PLACE_ID.format("x", "y"), sheet_id="sheet_id", node_type="'Place'"))
 
 
 def attribute_rows(entities: DataFrame) -> DataFrame:
     return entities.where("dxf_type = 'INSERT'").select("sheet_id", "entity_id", F.explode("attribs").alias("key", "value")).where("trim(value) <> ''")
 
 
-def graph_edges(entities: DataFrame, sheets: DataFrame, topology: DataFrame) -> DataFrame:
-    """Directed edges (src, dst, relation).  Every ordered pair occurs once by construction."""
+def graph_edges(entities: DataFrame, sheets: DataFrame, physical: PlaceGraph) -> DataFrame:
+    """Directed edges (src, dst, relation), each once; physical ones lead from entities to places and between places (see ``places``)."""
     names = sheets.select("sheet_id", "source_file")
     drawing = "concat('DRAWING::', source_file)"
     located = entities.select("sheet_id", "entity_id", "layer").join(names, "sheet_id")
@@ -47,7 +54,8 @@ def graph_edges(entities: DataFrame, sheets: DataFrame, topology: DataFrame) ->
              located.selectExpr("entity_id AS src", "inline(array(named_struct('dst', concat('LAYER::', source_file, '::', layer), 'relation', 'LOCATED_IN'), "
                                 f"named_struct('dst', {drawing}, 'relation', 'BELONGS_TO')))"),
              attribute_rows(entities).selectExpr("entity_id AS src", "concat('ATTR::', entity_id, '::', key) AS dst", "'HAS_ATTRIBUTE' AS relation"),
-             topology.select("src", "dst", "relation")]
+             physical.members.selectExpr("entity_id AS src", f"{PLACE_ID.format('x', 'y')} AS dst", "role AS relation"),
+             physical.links.selectExpr(f"{PLACE_ID.format('x', 'y')} AS src", f"{PLACE_ID.format('x2', 'y2')} AS dst", "relation")]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -77,46 +85,48 @@ def graph_count(nodes: DataFrame, keyword: str) -> DataFrame:
     return graph_find(nodes, keyword, ["Component"]).groupBy("sheet_id", "category").agg(F.count("*").alias("n"))
 
 
-def undirected(topology: DataFrame) -> DataFrame:
-    """Both directions of every edge; where both exist, the forward edge's relation counts."""
-    both = topology.selectExpr("src AS a", "dst AS b", "relation", "0 AS back").unionByName(topology.selectExpr("dst AS a", "src AS b", "relation", "1 AS back"))
-    return both.groupBy("a", "b").agg(F.expr("min_by(relation, back) AS relation"))
-
-
-def graph_khop(anchors: DataFrame, topology: DataFrame, hops: int = 3) -> DataFrame:
-    """Nodes within ``hops`` physical edges of every anchor: shortest hop and relation of the last edge."""
-    links = cut_lineage(undirected(topology))
-    frontier = anchors.selectExpr("node_id AS anchor", "node_id AS node", "0L AS hop", "'SELF' AS relation")
-    visited = frontier
-    for hop in range(1, hops + 1):
-        step = (frontier.select("anchor", F.col("node").alias("a")).join(links, "a").groupBy("anchor", F.col("b").alias("node"))
-                .agg(F.min("relation").alias("relation")).join(visited.select("anchor", "node"), ["anchor", "node"], "left_anti"))
-        frontier = cut_lineage(step.selectExpr("anchor", "node", f"{hop}L AS hop", "relation"))
-        visited = visited.unionByName(frontier)
-    return visited.where("hop > 0")
+def graph_khop(anchors: DataFrame, physical: PlaceGraph, hops: int = 3) -> DataFrame:
+    """Entities within ``hops`` physical links of every anchor: shortest hop and relation of the last link."""
+    return reach(physical, anchors, hops)
 
 
-def graph_connected_query(nodes: DataFrame, topology: DataFrame, anchor: str, target: str, hops: int = 3) -> DataFrame:
+def graph_connected_query(nodes: DataFrame, physical: PlaceGraph, anchor: str, target: str, hops: int = 3) -> DataFrame:
     """Components matching ``target`` reachable from those matching ``anchor``, nearest first."""
-    reach = graph_khop(graph_find(nodes, anchor, ["Component"]), topology, hops)
+    reach = graph_khop(graph_find(nodes, anchor, ["Component"]), physical, hops)
     structured = "concat_ws(' ', coalesce(block_name, ''), coalesce(category, ''), coalesce(sub_category, ''), coalesce(name, ''))"
     targets = nodes.where(token_match_sql(structured, expand_keyword(target))).select(F.col("node_id").alias("node"), "label")
     return reach.join(targets, "node").selectExpr("anchor AS anchor_id", "node AS target_id", "label AS target", "hop AS hops", "relation AS edge_type").orderBy("hops", "anchor_id", "target_id")
 
 
-def graph_stats(nodes: DataFrame, edges: DataFrame, top: int = 15) -> DataFrame:
-    """Totals, node types, relations and the most frequent component categories as (metric, item, n)."""
-    by_node = nodes.groupBy("node_type", "category").agg(F.count("*").alias("n"))
-    by_relation = edges.groupBy("relation").agg(F.count("*").alias("n"))
-    types = by_node.groupBy(F.col("node_type").alias("item")).agg(F.sum("n").alias("n"))
-    categories = by_node.where("node_type = 'Component'").select(F.col("category").alias("item"), "n").orderBy(F.desc("n"), "item").limit(top)
-    parts = [("total_nodes", types.agg(F.lit("").alias("item"), F.sum("n").alias("n"))), ("total_edges", by_relation.agg(F.lit("").alias("item"), F.sum("n").alias("n"))),
-             ("node_type", types), ("relation", by_relation.withColumnRenamed("relation", "item")), ("category", categories)]
-    out = None
-    for metric, df in parts:
-        df = df.select(F.lit(metric).alias("metric"), "item", "n")
-        out = df if out is None else out.unionByName(df)
-    return out
+def graph_stats(entities: DataFrame, sheets: DataFrame, physical: PlaceGraph, top: int = 15) -> DataFrame:
+    """Totals, node types, relations and the most frequent component categories as (metric, item, n).
+
+    The same counts as over ``graph_nodes`` and ``graph_edges``, from the tables themselves: no id is built to be counted.
+    """
+    count = F.count("*").alias("n")
+    known = sheets.groupBy("sheet_id").agg(F.count("*").alias("drawings"))
+    used = entities.groupBy("sheet_id", "layer").agg(count).join(known, "sheet_id")
+    by_layer = used.agg(F.coalesce(F.sum("drawings"), F.lit(0)).alias("layers"), F.coalesce(F.sum(F.col("n") * F.col("drawings")), F.lit(0)).alias("located"))
+    kinds = lambda df, *pairs: df.selectExpr("inline(array(" + ", ".join(f"named_struct('kind', '{kind}', 'item', '{item}', 'n', CAST({sql} AS BIGINT))" for kind, item, sql in pairs) + "))")
+    per_category = category_counts(entities).groupBy("category").agg(F.sum("n").alias("n")).withColumns({"kind": F.lit("category"), "item": F.col("category")}).select("kind", "item", "n")
+    parts = [
+        kinds(sheets.agg(count, F.count_distinct(F.struct("project_id")).alias("p")), ("node_type", "Project", "p"), ("node_type", "Drawing", "n"), ("relation", "CONTAINS", "n")),
+        kinds(by_layer, ("node_type", "Layer", "layers"), ("relation", "HAS_LAYER", "layers"), ("relation", "LOCATED_IN", "located"), ("relation", "BELONGS_TO", "located")),
+        kinds(attribute_rows(entities).agg(count), ("node_type", "Attribute", "n"), ("relation", "HAS_ATTRIBUTE", "n")),
+        kinds(physical.members.select(*PLACE).distinct().agg(count), ("node_type", "Place", "n")),
+        physical.members.groupBy(F.col("role").alias("item")).agg(count).select(F.lit("relation").alias("kind"), "item", "n"),
+        physical.links.groupBy(F.col("relation").alias("item")).agg(count).select(F.lit("relation").alias("kind"), "item", "n"),
+        per_category,
+    ]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    rows = cut_lineage(rows.where("n > 0"))         # some forty rows
+    components = rows.where("kind = 'category'").agg(F.sum("n").alias("n")).where("n > 0").selectExpr("'node_type' AS kind", "'Component' AS item", "n")
+    counts = rows.where("kind <> 'category'").unionByName(components)
+    totals = counts.groupBy("kind").agg(F.sum("n").alias("n")).selectExpr("CASE kind WHEN 'node_type' THEN 'total_nodes' ELSE 'total_edges' END AS metric", "'' AS item", "n")
+    first = rows.where("kind = 'category'").orderBy(F.desc("n"), "item").limit(top)
+    return totals.unionByName(counts.selectExpr("kind AS metric", "item", "n")).unionByName(first.selectExpr("kind AS metric", "item", "n"))
 
 
 def save_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:

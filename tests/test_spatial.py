@@ -6,7 +6,7 @@ import pytest
 
 from drawing import frame, row
 from sheetmetric.functions.grid import near_pairs, overlapping_boxes
-from sheetmetric.operators import catalog, graph, spaces, spatial
+from sheetmetric.operators import catalog, graph, places, spaces, spatial
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -36,7 +36,7 @@ def test_overlapping_boxes(spark, seed):
     assert got == want and (900, 901) in got
 
 
-def brute_topology(rows, tol=3000.0):
+def brute_topology(rows, tol=3000.0, ends_kept=15, near_kept=10):
     lines = [r for r in rows if r["dxf_type"] == "LINE"]
     point = lambda p: (p["x"], p["y"])
     edges = {}
@@ -51,11 +51,11 @@ def brute_topology(rows, tol=3000.0):
             if d <= tol:
                 best.append((d, b["entity_id"]))
         if best:
-            edges[a["entity_id"]] = ("CONNECTED", [i for _, i in sorted(best)[:15]])
+            edges[a["entity_id"]] = ("CONNECTED", [i for _, i in sorted(best)[:ends_kept]])
     rest = [r for r in rows if r["entity_id"] not in edges]
     for a in rest:
         best = sorted((math.dist(point(a["points"][0]), point(b["points"][0])), b["entity_id"]) for b in rest if b is not a)
-        near = [i for d, i in best if d <= tol][:10]
+        near = [i for d, i in best if d <= tol][:near_kept]
         if near:
             edges[a["entity_id"]] = ("NEAR", near)
     return edges
@@ -77,11 +77,57 @@ def test_topology_with_crowded_places(spark):
     assert got == want
 
 
-def test_khop(spark):
-    topo = spark.createDataFrame([("a", "b", "CONNECTED"), ("b", "c", "NEAR"), ("d", "c", "CONNECTED"), ("d", "e", "NEAR"), ("e", "f", "NEAR")], "src STRING, dst STRING, relation STRING")
-    anchors = spark.createDataFrame([("a",)], "node_id STRING")
-    got = {(r.node, r.hop, r.relation) for r in graph.graph_khop(anchors, topo).collect()}
-    assert got == {("b", 1, "CONNECTED"), ("c", 2, "NEAR"), ("d", 3, "CONNECTED")}
+def brute_reach(rows, anchor, hops):
+    links = {}
+    for a, (relation, others) in brute_topology(rows, ends_kept=None, near_kept=None).items():
+        for b in others:
+            links.setdefault(a, {})[b] = relation
+            links.setdefault(b, {}).setdefault(a, relation)
+    seen, frontier, out = {anchor}, {anchor}, set()
+    for hop in range(1, hops + 1):
+        step = {}
+        for a in frontier:
+            for b, relation in links.get(a, {}).items():
+                if b not in seen:
+                    step[b] = min(relation, step.get(b, relation))
+        out |= {(b, hop, relation) for b, relation in step.items()}
+        seen |= set(step)
+        frontier = set(step)
+    return out
+
+
+def crowded_rows(seed, n=120):
+    rnd, rows = random.Random(seed), []
+    for i in range(n):
+        x, y = rnd.choice([(0, 0), (0, 0), (500, 0), (rnd.randrange(60) * 500, rnd.randrange(60) * 500)])
+        if i % 4 == 0:
+            rows.append(row(i, "LINE", "P-PIPE", [(x, y), (x + rnd.choice([0, 500, 9000]), y)]))
+        else:
+            rows.append(row(i, "INSERT", "A-DOOR", [(x + 50000 * (i % 2), y)], block_name="M1"))
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_reach_equals_brute_force(spark, seed):
+    rows = crowded_rows(seed)
+    anchors = [r["entity_id"] for r in rows[::17]]
+    physical = places.place_graph(frame(spark, rows))
+    got = {}
+    for r in graph.graph_khop(spark.createDataFrame([(a,) for a in anchors], "node_id STRING"), physical).collect():
+        got.setdefault(r.anchor, set()).add((r.node, r.hop, r.relation))
+    assert got == {a: x for a in anchors if (x := brute_reach(rows, a, 3))}
+
+
+def test_neither_neighbours_nor_copies_are_cut(spark):
+    hub = [row(0, "LINE", "P-PIPE", [(0, 0), (0, 9000)])] + [row(1 + i, "INSERT", "A-DOOR", [(50 * i, 0)], block_name="M1") for i in range(40)]
+    physical = places.place_graph(frame(spark, hub))
+    one = spark.createDataFrame([(hub[0]["entity_id"],)], "entity_id STRING")
+    assert places.neighbours(physical, one).count() == 40
+    copies = [row(i, "LINE", "P-PIPE", [(0, 0), (9000, 0)]) for i in range(1000)] + [row(5000, "INSERT", "A-DOOR", [(9000, 10)], block_name="M1")]
+    physical = places.place_graph(frame(spark, copies))
+    assert physical.links.count() < 10 and physical.members.count() == 2002       # the device is free, too
+    one = spark.createDataFrame([(copies[7]["entity_id"],)], "entity_id STRING")
+    assert places.neighbours(physical, one).count() == 1000
 
 
 def test_graph_round_trip(spark, tmp_path):
