@@ -305,19 +305,14 @@ PROCESS_RULES = [
     ("P-HV-002", "空调设备安装", "HVAC", "EQUIPMENT", ["空调", "AHU", "FCU", "风机盘管", "机组"],
      ["设备开箱检验", "基础制作", "设备就位", "减振安装", "管道连接", "电气接线", "单机试运转", "系统调试"]),
 ]
-PROCESS_SEQUENCE = {
-    1: ["放线", "洞口预留"], 2: ["钢筋绑扎", "洞口修整"],
-    3: ["模板支设", "梁底模板支设", "侧模支设", "门窗框安装", "窗框安装"],
-    4: ["水电预埋", "接线盒预埋", "门窗扇安装", "玻璃安装"], 5: ["混凝土浇筑", "构造柱浇筑", "圈梁浇筑"],
-    6: ["模板拆除"], 7: ["混凝土养护", "养护"], 10: ["砌筑"], 11: ["墙面抹灰"],
-    19: ["阀门检验", "灯具检验", "设备开箱检验"], 20: ["管道预制", "风管制作", "法兰制作", "构件加工"],
-    21: ["支吊架安装", "支架安装", "基础型钢制作", "基础制作", "管路预制", "除锈涂装"],
-    22: ["管道敷设", "风管吊装", "管路敷设", "桥架组装", "运输吊装", "设备就位", "穿引线"],
-    23: ["螺纹连接/沟槽连接", "承插粘接", "法兰连接", "高强螺栓连接", "焊接", "桥架固定", "管路固定"],
-    24: ["阀门安装", "灯具安装", "面板安装", "箱体安装", "进出线连接", "接线", "面板接线", "管道连接", "减振安装", "接地跨接", "电气接线"],
-    25: ["盖板安装"], 30: ["水压试验", "灌水试验", "漏风量测试", "严密性试验", "绝缘测试"],
-    31: ["通电试亮", "通电测试", "送电调试"], 32: ["单机试运转"], 33: ["系统调试"],
-    34: ["防腐保温", "防腐涂装", "保温施工"], 35: ["试压验收", "密封打胶", "打胶密封", "水枪水带配置"],
+PROCESS_SEQUENCE = {        # place of each process in the construction sequence
+    "放线": 1, "洞口预留": 1, "钢筋绑扎": 2, "洞口修整": 2, "模板支设": 3, "梁底模板支设": 3, "侧模支设": 3, "门窗框安装": 3, "窗框安装": 3, "水电预埋": 4, "接线盒预埋": 4, "门窗扇安装": 4,
+    "玻璃安装": 4, "混凝土浇筑": 5, "构造柱浇筑": 5, "圈梁浇筑": 5, "模板拆除": 6, "混凝土养护": 7, "养护": 7, "砌筑": 10, "墙面抹灰": 11, "阀门检验": 19, "灯具检验": 19, "设备开箱检验": 19,
+    "管道预制": 20, "风管制作": 20, "法兰制作": 20, "构件加工": 20, "支吊架安装": 21, "支架安装": 21, "基础型钢制作": 21, "基础制作": 21, "管路预制": 21, "除锈涂装": 21, "管道敷设": 22,
+    "风管吊装": 22, "管路敷设": 22, "桥架组装": 22, "运输吊装": 22, "设备就位": 22, "穿引线": 22, "螺纹连接/沟槽连接": 23, "承插粘接": 23, "法兰连接": 23, "高强螺栓连接": 23, "焊接": 23,
+    "桥架固定": 23, "管路固定": 23, "阀门安装": 24, "灯具安装": 24, "面板安装": 24, "箱体安装": 24, "进出线连接": 24, "接线": 24, "面板接线": 24, "管道连接": 24, "减振安装": 24, "接地跨接": 24,
+    "电气接线": 24, "盖板安装": 25, "水压试验": 30, "灌水试验": 30, "漏风量测试": 30, "严密性试验": 30, "绝缘测试": 30, "通电试亮": 31, "通电测试": 31, "送电调试": 31, "单机试运转": 32,
+    "系统调试": 33, "防腐保温": 34, "防腐涂装": 34, "保温施工": 34, "试压验收": 35, "密封打胶": 35, "打胶密封": 35, "水枪水带配置": 35,
 }
 PROCESS_STAGES = [(9, "结构施工阶段"), (15, "砌筑抹灰阶段"), (29, "安装施工阶段"), (10**6, "调试验收阶段")]
 

@@ -61,8 +61,7 @@ def _with_processes(counts: DataFrame) -> DataFrame:
 
 
 def process_order(process: str = "process") -> Column:
-    orders = {p: n for n, names in fixed.PROCESS_SEQUENCE.items() for p in names}
-    return F.coalesce(lookup(orders, process), F.lit(99)).cast("long")
+    return F.coalesce(lookup(fixed.PROCESS_SEQUENCE, process), F.lit(99)).cast("long")
 
 
 def process_stage(order: str = "sequence_order") -> Column:

@@ -42,15 +42,15 @@ ITEMS = sql.values("items", "division, iprio, item, kw", [(n, i, it, w) for n, _
 
 def entries_sql(per_sheet):
     k = "sheet_id, " if per_sheet else ""
-    on = "r.sheet_id = b.sheet_id AND " if per_sheet else ""
     blocks = (f"SELECT {k}block_name AS name, block_name AS label, CAST(count(*) AS DOUBLE) AS quantity, '个' AS unit, arg_min(layer, (seq, entity_id)) AS layer, 0 AS kind FROM detail GROUP BY {k}block_name")
     lengths = (f"SELECT sheet_id, layer, total_length_m AS q FROM lengths" if per_sheet else "SELECT layer, q FROM mlen")
     areas = (f"SELECT sheet_id, layer, total_area_m2 AS q FROM areas" if per_sheet else "SELECT layer, q FROM marea")
-    raw = (f"rawentries AS (SELECT *, {BDISC} AS discipline FROM ({blocks}) UNION ALL SELECT {k}layer, '管线(' || layer || ')', q, 'm', layer, 1, {LDISC} FROM ({lengths}) "
+    raw = (f"rawentries AS MATERIALIZED (SELECT *, {BDISC} AS discipline FROM ({blocks}) UNION ALL SELECT {k}layer, '管线(' || layer || ')', q, 'm', layer, 1, {LDISC} FROM ({lengths}) "
            f"UNION ALL SELECT {k}layer, '面积(' || layer || ')', q, 'm²', layer, 2, '建筑' FROM ({areas}))")
-    best = (f"wbest AS (SELECT {k}kind, label, division, item FROM (SELECT r.*, c.division, c.cprio, i.item, i.iprio FROM rawentries r JOIN cand c USING (discipline) JOIN items i ON i.division = c.division AND contains(r.name, i.kw)) "
-            f"QUALIFY row_number() OVER (PARTITION BY {k}kind, label ORDER BY cprio, iprio) = 1)")
-    final = (f"entries AS (SELECT r.*, v.division, v.sub_division, coalesce(b.item, '{fixed.NO_ITEM}') AS item FROM rawentries r LEFT JOIN wbest b ON {on}r.kind = b.kind AND r.label = b.label "
+    # each distinct name of a discipline meets the keywords once
+    best = ("wbest AS MATERIALIZED (SELECT discipline, name, division, item FROM (SELECT DISTINCT discipline, name FROM rawentries) r JOIN cand c USING (discipline) JOIN items i ON i.division = c.division AND contains(r.name, i.kw) "
+            "QUALIFY row_number() OVER (PARTITION BY discipline, name ORDER BY cprio, iprio) = 1)")
+    final = (f"entries AS MATERIALIZED (SELECT r.*, v.division, v.sub_division, coalesce(b.item, '{fixed.NO_ITEM}') AS item FROM rawentries r LEFT JOIN wbest b ON r.discipline = b.discipline AND r.name = b.name "
              "JOIN cand c ON c.discipline = r.discipline AND c.cprio = 0 JOIN divs v ON v.division = coalesce(b.division, c.division))")
     return [*mq.TAKEOFF_CTES, mq.MLEN, mq.MAREA, DIVS, CAND, ITEMS, raw, best, final]
 

@@ -18,7 +18,7 @@ QUERIES = {
 
 PRULES = sql.values("prules", "pos, rule_id, discipline, category, size, kw", [(i, r[0], r[2], r[3], len(r[4]), k.upper()) for i, r in enumerate(fixed.PROCESS_RULES) for k in r[4]])
 PROCS = sql.values("procs", "rule_id, process", [(r[0], x) for r in fixed.PROCESS_RULES for x in r[5]])
-SEQ = sql.values("seqs", "process, o", [(x, n) for n, xs in fixed.PROCESS_SEQUENCE.items() for x in xs])
+SEQ = sql.values("seqs", "process, o", list(fixed.PROCESS_SEQUENCE.items()))
 MATCH = ("evid AS (SELECT entity_id, upper(coalesce(block_name, '') || ' ' || coalesce(label_text, '') || ' ' || coalesce(attr_spec, '') || ' ' || coalesce(attr_room, '')) AS t FROM ecat "
          "UNION ALL SELECT e.entity_id, upper(t.label_text) FROM ent e JOIN ent t ON e.sheet_id = t.sheet_id AND t.dxf_type = 'TEXT' AND t.label_text <> '' AND e.dxf_type <> 'HATCH' "
          "WHERE (e.x0 - t.x0) * (e.x0 - t.x0) + (e.y0 - t.y0) * (e.y0 - t.y0) <= 64000000), "

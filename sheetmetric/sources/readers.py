@@ -23,6 +23,7 @@ def flatten_cio(documents: DataFrame) -> DataFrame:
 
 
 BROKEN = "_broken"
+DOCUMENT = f"{schemas.CIO}, {BROKEN} STRING"
 
 
 def read_documents(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
@@ -30,7 +31,7 @@ def read_documents(spark: SparkSession, path: str, lines: bool = False) -> DataF
 
     What cannot be read keeps its text in the column ``_broken``.
     """
-    read = spark.read.schema(f"{schemas.CIO}, {BROKEN} STRING").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BROKEN)
+    read = spark.read.schema(DOCUMENT).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BROKEN)
     return read.json(path, multiLine=not lines).withColumn("file", F.input_file_name())
 
 

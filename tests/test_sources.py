@@ -3,6 +3,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from drawing import frame, quantity_drawing, sheet
 from sheetmetric.model import adapter
 from sheetmetric.operators.classify import with_category
 from sheetmetric.queries import collect
@@ -27,13 +28,39 @@ def test_read_cio(spark, tmp_path):
 
 
 def test_stream_takes_every_document_once(spark, tmp_path):
-    inbox, state, seen = tmp_path / "in", str(tmp_path / "state"), []
-    inbox.mkdir()
-    handle = lambda df, n: seen.extend(r.entity_id for r in df.select("entity_id").collect())
-    for i in range(2):
-        (inbox / f"{i}.json").write_text(json.dumps(document(i)))
-        process_new_documents(spark, str(inbox), state, handle).awaitTermination(120)
-    assert sorted(seen) == ["0-0", "0-1", "1-0", "1-1"]
+    """Three documents in a file, a broken one among them; restarts; and files of one document."""
+    for lines in (True, False):
+        inbox, state, seen, bad = tmp_path / f"in{lines}", str(tmp_path / f"state{lines}"), [], []
+        inbox.mkdir()
+        handle = lambda df, n: seen.extend((r.entity_id, r.seq) for r in df.select("entity_id", "seq").collect())
+        broken = lambda df, n: bad.extend((r.file.rsplit("/", 1)[-1], r.content) for r in df.collect())
+        run = lambda: process_new_documents(spark, str(inbox), state, handle, broken, lines=lines).awaitTermination(120)
+        if lines:
+            (inbox / "0.json").write_text("\n".join(json.dumps(document(i)) for i in range(3)))
+            run()
+            assert sorted(seen) == [(f"{i}-{k}", k) for i in range(3) for k in range(2)] and bad == []
+            (inbox / "1.json").write_text("\n".join([json.dumps(document(3)), "{not json", json.dumps(document(4))]))
+            run()
+            assert bad == [("1.json", "{not json")]
+            run()
+        else:
+            (inbox / "0.json").write_text(json.dumps(document(0), indent=1))
+            run()
+            (inbox / "1.json").write_text("{not\njson")
+            for i in range(1, 5):
+                (inbox / f"d{i}.json").write_text(json.dumps(document(i), indent=1))
+            run()
+            assert bad == [("1.json", "{not\njson")]
+        assert sorted(seen) == [(f"{i}-{k}", k) for i in range(5) for k in range(2)]
+
+
+def test_stream_reads_what_is_written(spark, tmp_path):
+    rows, seen = frame(spark, quantity_drawing(1) + quantity_drawing(2)), []
+    layers = spark.createDataFrame([(1, 0, "0", False, False)], "sheet_id BIGINT, pos BIGINT, name STRING, is_off BOOLEAN, is_frozen BOOLEAN")
+    blocks = spark.createDataFrame([(1, 0, "KZ1")], "sheet_id BIGINT, pos BIGINT, block_name STRING")
+    readers.write_cio(with_category(rows), sheet(spark, ids=(1, 2)), layers, blocks, str(tmp_path / "in"), part_size=7)
+    process_new_documents(spark, str(tmp_path / "in"), str(tmp_path / "state"), lambda df, n: seen.extend(r.entity_id for r in df.collect()), lambda df, n: None).awaitTermination(120)
+    assert sorted(seen) == sorted(r.entity_id for r in rows.collect())
 
 
 def test_listing_and_increment(spark, tmp_path):
