@@ -48,7 +48,7 @@ def entries_sql(per_sheet):
     raw = (f"rawentries AS MATERIALIZED (SELECT *, {BDISC} AS discipline FROM ({blocks}) UNION ALL SELECT {k}layer, '管线(' || layer || ')', q, 'm', layer, 1, {LDISC} FROM ({lengths}) "
            f"UNION ALL SELECT {k}layer, '面积(' || layer || ')', q, 'm²', layer, 2, '建筑' FROM ({areas}))")
     # each distinct name of a discipline meets the keywords once
-    best = ("wbest AS MATERIALIZED (SELECT discipline, name, division, item FROM (SELECT DISTINCT discipline, name FROM rawentries) r JOIN cand c USING (discipline) JOIN items i ON i.division = c.division AND contains(r.name, i.kw) "
+    best = ("wbest AS MATERIALIZED (SELECT discipline, name, i.division, item FROM (SELECT DISTINCT discipline, name FROM rawentries) r JOIN cand c USING (discipline) JOIN items i ON i.division = c.division AND contains(r.name, i.kw) "
             "QUALIFY row_number() OVER (PARTITION BY discipline, name ORDER BY cprio, iprio) = 1)")
     final = (f"entries AS MATERIALIZED (SELECT r.*, v.division, v.sub_division, coalesce(b.item, '{fixed.NO_ITEM}') AS item FROM rawentries r LEFT JOIN wbest b ON r.discipline = b.discipline AND r.name = b.name "
              "JOIN cand c ON c.discipline = r.discipline AND c.cprio = 0 JOIN divs v ON v.division = coalesce(b.division, c.division))")
