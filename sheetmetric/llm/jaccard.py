@@ -32,7 +32,8 @@ SKETCH_BITS = 22            # counters of the sketch, as a power of two
 CHUNK = 1 << 14             # counters in a row of the sketch
 SMALL_RUN = 16              # nodes of one shingle that are all paired
 PIVOT_ROUNDS = 2            # rounds with a pivot for each shingle before all that is left is paired
-BITMAP_BITS = 25            # bits that tell which nodes are in a pair at all
+BITMAP_BITS = 25            # bits that tell which documents' sets are wanted
+SALTS = 16                  # groups that the rows of one shingle are dealt over
 NODE = "doc_id long, text_hash long, sig long, n long, info long, prefix array<long>"
 RUN = "kind int, token long, pos int, info long, a long, b long"
 
@@ -218,37 +219,41 @@ def candidates(found: DataFrame) -> DataFrame:
     return sorted_.mapInArrow(_runs, RUN)
 
 
-def shingle_sets(docs: DataFrame, sigs: DataFrame, size: int = SHINGLE) -> DataFrame:
+def shingle_sets(docs: DataFrame, found: DataFrame, sigs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """(sig, shingles) of the nodes named in ``sigs`` (and of a few more), each once, kept on disk.
 
-    A bitmap of fixed size tells which documents are wanted; only their sets are shuffled. A part that is lost with
-    an executor is worked out again. The sets are made here, before two sides of a join ask for them at once.
+    One document of each node is read for it. A bitmap of fixed size tells these documents by the hash of their rows, so that no
+    other text is shingled again; only their sets are shuffled. A part that is lost with an executor is worked
+    out again. The sets are made here, before two sides of a join ask for them at once.
     """
-    word = F.shiftright(F.col("sig").bitwiseAND((1 << BITMAP_BITS) - 1), 6)
-    bit = F.expr("shiftleft(1L, CAST(sig & 63 AS INT))")
+    rows = found.where("sig IS NOT NULL").select("sig", "text_hash").join(sigs.distinct(), "sig", "left_semi").groupBy("sig").agg(F.min("text_hash").alias("text_hash"))
+    word = F.shiftright(F.col("text_hash").bitwiseAND((1 << BITMAP_BITS) - 1), 6)
+    bit = F.expr("shiftleft(1L, CAST(text_hash & 63 AS INT))")
     bitmap = np.zeros(1 << BITMAP_BITS - 6, np.int64)
-    for row in sigs.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toLocalIterator():
+    for row in rows.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toLocalIterator():
         bitmap[row["word"]] = row["bits"]
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, wanted, seen = Shingler(size), shared.value, set()
         for part in slices(batches):
-            own, found = [], []
-            for text in part.column(0).to_pylist():
+            at = part.column(0).to_numpy()
+            part = part.filter(pa.array((wanted[(at & (1 << BITMAP_BITS) - 1) >> 6] >> (at & 63) & 1).astype(bool)))
+            own, rows = [], []
+            for text in part.column(1).to_pylist():
                 s = shingler.of(text)
                 if len(s):
                     sig = signature(s)
-                    if sig not in seen and wanted[(sig & (1 << BITMAP_BITS) - 1) >> 6] >> (sig & 63) & 1:
+                    if sig not in seen:
                         seen.add(sig)
                         own.append(sig)
-                        found.append(s.view(np.int64))
+                        rows.append(s.view(np.int64))
             if len(seen) > 200_000:
                 seen.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["sig", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(rows, pa.list_(pa.int64()))], ["sig", "shingles"])
 
-    found = docs.select(col("text").alias("text")).mapInArrow(sets, "sig long, shingles array<long>")
-    full = found.groupBy("sig").agg(F.first("shingles").alias("shingles")).persist(StorageLevel.DISK_ONLY)
+    made = docs.select(F.xxhash64(col("doc_id"), col("text")).alias("text_hash"), col("text").alias("text")).mapInArrow(sets, "sig long, shingles array<long>")
+    full = made.groupBy("sig").agg(F.first("shingles").alias("shingles")).persist(StorageLevel.DISK_ONLY)
     full.count()
     return full
 
@@ -282,12 +287,32 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
+def _by_token(rows: DataFrame, each: DataFrame) -> DataFrame:
+    """``rows`` with the one row of ``each`` that their token has; a token with many rows is dealt over ``SALTS`` groups."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("sig"), F.lit(SALTS)))
+    return salted.join(each.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["token", "salt"]).drop("salt")
+
+
 def _crossing(long_runs: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of long runs with their component, where a shingle has several."""
     rows = long_runs.select("token", "pos", "info", F.col("a").alias("sig"))
     rows = rows.join(labels.select(F.col("node").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     several = rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
-    return rows.join(several, "token")
+    return _by_token(rows, several)
+
+
+def _across(others: DataFrame, rows: DataFrame) -> DataFrame:
+    """Pairs of nodes of different components that share a token and pass the filters.
+
+    Similar sets lie in the same or in neighbouring bands of sizes, which make the token's rows a band join; the rows
+    of a band are dealt over ``SALTS`` groups, each of which meets all of ``others`` in that band.
+    """
+    band = f"CAST(floor(log(shiftright({{}}, 32)) / log({UNDER}D / {OVER})) AS INT)"
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    left = others.select("token", "label", "sig", "info", "pos").withColumn("band", F.expr(f"explode(sequence({band.format('info')} - 1, {band.format('info')} + 1))")).withColumn("salt", salts)
+    right = rows.select("token", F.col("label").alias("label2"), F.col("sig").alias("sig2"), F.col("info").alias("info2"), F.col("pos").alias("pos2"))
+    right = right.withColumn("band", F.expr(band.format("info2"))).withColumn("salt", F.pmod(F.xxhash64("sig2"), F.lit(SALTS)))
+    return left.join(right, ["token", "band", "salt"]).where("label <> label2").where(filters_sql("info", "pos", "info2", "pos2")).select(*_pair("sig", "sig2"))
 
 
 def _largest(rows: DataFrame) -> DataFrame:
@@ -316,25 +341,28 @@ def link(docs: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     found = _stored(nodes(docs, levels(docs, size), size), f"{folder}/nodes")
     runs = _stored(candidates(found), f"{folder}/runs")
     long_runs = runs.where("kind = 1")
-    pairs = cut_lineage(runs.where("kind = 0").select("a", "b").distinct())
-    sets = shingle_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("sig")), size)
-    links = verify(pairs, sets)
+    tried = cut_lineage(runs.where("kind = 0").select("a", "b").distinct())
+    sets = shingle_sets(docs, found, tried.select(F.explode(F.array("a", "b")).alias("sig")), size)
+    links = verify(tried, sets)
     sets.unpersist()
-    labels = cut_lineage(components(links))
-    sets = None
-    for turn in range(PIVOT_ROUNDS + 1):
+    labels, sets, turn = cut_lineage(components(links)), None, 0
+    while turn <= PIVOT_ROUNDS:
         rows = cut_lineage(_crossing(long_runs, labels))
         if rows.isEmpty():
             break
-        sets = sets or shingle_sets(docs, rows.select("sig"), size)        # later rounds see fewer nodes, never others
-        others = rows.join(_largest(rows), "token").where("label <> top_label")
+        sets = sets or shingle_sets(docs, found, rows.select("sig"), size)        # later rounds see fewer nodes, never others
+        others = _by_token(rows, _largest(rows)).where("label <> top_label")
         if turn < PIVOT_ROUNDS:
             pairs = others.where(filters_sql("info", "pos", "pivot_info", "pivot_pos")).select(*_pair("sig", "pivot"))
         else:
-            every = rows.select("token", F.col("label").alias("label2"), F.col("sig").alias("sig2"), F.col("info").alias("info2"), F.col("pos").alias("pos2"))
-            pairs = others.join(every, "token").where("label <> label2").where(filters_sql("info", "pos", "info2", "pos2")).select(*_pair("sig", "sig2"))
-        more = verify(pairs.distinct(), sets)
-        if not more.isEmpty():
+            pairs = _across(others, rows)
+        pairs = cut_lineage(pairs.distinct().join(tried, ["a", "b"], "left_anti"))         # no pair is verified again
+        tried = tried.unionByName(pairs)
+        more = verify(pairs, sets)
+        if more.isEmpty():
+            turn = PIVOT_ROUNDS if turn < PIVOT_ROUNDS else turn + 1        # the same pivots would come again
+        else:
+            turn += 1
             links = links.unionByName(more)
             labels = cut_lineage(components(links))
     if sets is not None:

@@ -132,3 +132,30 @@ def test_components(spark):
     found = {r["node"]: r["label"] for r in J.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {i: 0 for i in range(61)} | {i: 100 for i in (*range(100, 140), 500)}
     assert J.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_no_pair_is_verified_twice(spark, monkeypatch):
+    """Many documents behind one common passage: long runs, several rounds, bands and salts."""
+    rng, rows = random.Random(11), []
+    common = " ".join(f"c{k}" for k in range(30))
+    for k in range(60):
+        own = [f"w{k}-{i}" for i in range(rng.choice([5, 8, 60]))]
+        for copy in range(3):
+            rows.append((len(rows), common + " " + " ".join(own[:len(own) - copy])))
+    seen, plain = [], J.verify
+
+    def counted(pairs, sets):
+        seen.extend(map(tuple, pairs.collect()))
+        return plain(pairs, sets)
+    monkeypatch.setattr(J, "verify", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in J.near_duplicates(docs).collect()}
+    assert len(seen) == len(set(seen)) and all(a < b for a, b in seen)
+    sets = [frozenset(zip(*(t.split()[i:] for i in range(5)))) for _, t in rows]
+    label = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) and label[a] != label[b]:
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    assert [got[k] for k in range(len(rows))] == label
