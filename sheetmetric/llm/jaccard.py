@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheetmetric.llm.text import WordHashes, col, fresh, mix, shingle_hashes, slices, words_of
@@ -287,10 +287,14 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
-def _by_token(rows: DataFrame, each: DataFrame) -> DataFrame:
-    """``rows`` with the one row of ``each`` that their token has; a token with many rows is dealt over ``SALTS`` groups."""
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("sig"), F.lit(SALTS)))
-    return salted.join(each.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["token", "salt"]).drop("salt")
+def _salts() -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+
+
+def _dealt(rows: DataFrame, each: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """``rows`` with the one row of ``each`` that their key has; a key with many rows is dealt over ``SALTS`` groups."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+    return salted.join(each.withColumn("salt", _salts()), [key, "salt"], how).drop("salt")
 
 
 def _crossing(long_runs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -298,7 +302,7 @@ def _crossing(long_runs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = long_runs.select("token", "pos", "info", F.col("a").alias("sig"))
     rows = rows.join(labels.select(F.col("node").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     several = rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
-    return _by_token(rows, several)
+    return _dealt(rows, several, "token", "sig")
 
 
 def _across(others: DataFrame, rows: DataFrame) -> DataFrame:
@@ -308,8 +312,7 @@ def _across(others: DataFrame, rows: DataFrame) -> DataFrame:
     of a band are dealt over ``SALTS`` groups, each of which meets all of ``others`` in that band.
     """
     band = f"CAST(floor(log(shiftright({{}}, 32)) / log({UNDER}D / {OVER})) AS INT)"
-    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
-    left = others.select("token", "label", "sig", "info", "pos").withColumn("band", F.expr(f"explode(sequence({band.format('info')} - 1, {band.format('info')} + 1))")).withColumn("salt", salts)
+    left = others.select("token", "label", "sig", "info", "pos").withColumn("band", F.expr(f"explode(sequence({band.format('info')} - 1, {band.format('info')} + 1))")).withColumn("salt", _salts())
     right = rows.select("token", F.col("label").alias("label2"), F.col("sig").alias("sig2"), F.col("info").alias("info2"), F.col("pos").alias("pos2"))
     right = right.withColumn("band", F.expr(band.format("info2"))).withColumn("salt", F.pmod(F.xxhash64("sig2"), F.lit(SALTS)))
     return left.join(right, ["token", "band", "salt"]).where("label <> label2").where(filters_sql("info", "pos", "info2", "pos2")).select(*_pair("sig", "sig2"))
@@ -351,7 +354,7 @@ def link(docs: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
         if rows.isEmpty():
             break
         sets = sets or shingle_sets(docs, found, rows.select("sig"), size)        # later rounds see fewer nodes, never others
-        others = _by_token(rows, _largest(rows)).where("label <> top_label")
+        others = _dealt(rows, _largest(rows), "token", "sig").where("label <> top_label")
         if turn < PIVOT_ROUNDS:
             pairs = others.where(filters_sql("info", "pos", "pivot_info", "pivot_pos")).select(*_pair("sig", "pivot"))
         else:
@@ -388,9 +391,11 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
 
 def _with_component(found: DataFrame, labels: DataFrame) -> DataFrame:
-    rows = found.select("doc_id", "text_hash", "sig", "n").join(labels.select(F.col("node").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-    least = rows.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least"))
-    return rows.join(least, "label", "left").withColumn("component_id", F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("least")))
+    rows = found.select("doc_id", "text_hash", "sig", "n")
+    rows = _dealt(rows, labels.select(F.col("node").alias("sig"), "label"), "sig", "text_hash", "left").withColumn("label", F.coalesce("label", "sig"))
+    several = rows.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")).where("rows > 1").select("label", "least", F.lit(True).alias("several"))
+    rows = _dealt(rows, several, "label", "text_hash", "left")
+    return rows.withColumn("component_id", F.when(F.col("several"), F.col("least")).otherwise(F.col("doc_id"))).drop("several", "least")
 
 
 def keep_one(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
