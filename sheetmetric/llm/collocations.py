@@ -270,8 +270,10 @@ def mine(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, covered: i
     counts stay below 10**15.
     """
     graph = Graph(docs, longest, least, tokens)
-    found = graph.scored(graph.candidates(covered))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
+    found = graph.scored(graph.candidates(covered)).withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
+    order = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    found = found.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= top)     # SALTS * top of a language at most
+    order = Window.partitionBy("lang").orderBy(*order)
     ranked = found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
     return ranked.join(graph.counts[0].select("lang", "n"), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
