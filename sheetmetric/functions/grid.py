@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sheetmetric.session import cut_lineage
+
 BASE, FACTOR, TOP = 4096, 16, 4   # box cells: BASE * FACTOR^level, levels 0..TOP
 EDGE = 8                          # outermost cell index of the top level (far-away strays share it)
 
@@ -27,6 +29,49 @@ def near_pairs(left: DataFrame, right: DataFrame, radius: float, strict: bool =
             .withColumn("dist", F.expr(f"sqrt({d2})")).drop("cx", "cy"))
 
 
+LEVELS = 16                       # halvings of the radius that a search in a crowd may shrink to
+
+
+def _square(x: str, y: str, level: str, radius: float) -> list:
+    """Cell at a level, of a side of radius / 2^level."""
+    return [F.expr(f"floor({c} * pow(2D, {level}) / {radius}D)").alias(a) for c, a in ((x, "cx"), (y, "cy"))]
+
+
+def crowded_cells(right: DataFrame, weight: str, enough: int, radius: float) -> DataFrame:
+    """(sheet_id, level, cx, cy) of the cells whose ``right`` points weigh ``enough``; finer levels only within full coarser ones."""
+    at = lambda df, level: df.select("sheet_id", level.alias("level"), "rx", "ry", F.expr(weight).alias("w")).select("sheet_id", "level", *_square("rx", "ry", "level", radius), "w")
+    count = lambda df: df.groupBy("sheet_id", "level", "cx", "cy").agg(F.sum("w").alias("w")).where(F.col("w") >= enough).drop("w")
+    first = cut_lineage(count(at(right, F.lit(1))))
+    inside = right.select("*", *_square("rx", "ry", "1", radius)).join(first.drop("level"), ["sheet_id", "cx", "cy"], "left_semi").drop("cx", "cy")
+    return cut_lineage(first.unionByName(count(at(inside, F.explode(F.sequence(F.lit(2), F.lit(LEVELS)))))))
+
+
+def nearest_candidates(left: DataFrame, right: DataFrame, radius: float, weight: str, enough: int) -> DataFrame:
+    """The pairs of ``near_pairs`` that can be among the nearest of a left point, of which a weight of ``enough`` is wanted.
+
+    A point in a cell that holds ``enough`` has all it wants within the cell's diagonal. So each left point searches
+    that far from the finest such cell around it, and as far as ``radius`` where there is none: what it meets follows the
+    density around it, not the crowd within the radius.
+    """
+    full = crowded_cells(right, weight, enough, radius)
+    first = full.where("level = 1").drop("level")
+    keys = [c for c in left.columns]
+    crowd = left.select("*", *_square("lx", "ly", "1", radius)).join(first, ["sheet_id", "cx", "cy"], "left_semi").drop("cx", "cy")
+    level = crowd.withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(LEVELS)))).select("*", *_square("lx", "ly", "level", radius))
+    level = level.join(full, ["sheet_id", "level", "cx", "cy"]).groupBy(*keys).agg(F.max("level").alias("level"))
+    sparse = left.select("*", *_square("lx", "ly", "1", radius)).join(first, ["sheet_id", "cx", "cy"], "left_anti").drop("cx", "cy")
+    # a search from level 1 on reaches two cells of level 1 at most
+    around = first.select("sheet_id", F.explode(F.expr("sequence(cx - 2, cx + 2)")).alias("cx"), "cy").select("sheet_id", "cx", F.explode(F.expr("sequence(cy - 2, cy + 2)")).alias("cy")).distinct()
+    close = right.select("*", *_square("rx", "ry", "1", radius)).join(around, ["sheet_id", "cx", "cy"], "left_semi").drop("cx", "cy")
+    reach, d2 = f"{radius}D * sqrt(2D) / pow(2D, level)", "(lx - rx) * (lx - rx) + (ly - ry) * (ly - ry)"
+    span = lambda c: F.explode(F.expr(f"sequence(floor(({c} - {reach}) * pow(2D, level) / {radius}D), floor(({c} + {reach}) * pow(2D, level) / {radius}D))"))
+    a = level.withColumn("cx", span("lx")).withColumn("cy", span("ly"))
+    b = close.withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(LEVELS)))).select("*", *_square("rx", "ry", "level", radius))
+    found = a.join(b, ["sheet_id", "level", "cx", "cy"]).where(f"{d2} <= {reach} * ({reach}) * (1D + 1e-9)").where(f"{d2} <= {radius * radius}D")
+    found = found.withColumn("dist", F.expr(f"sqrt({d2})")).drop("level", "cx", "cy")
+    return near_pairs(sparse, right, radius).unionByName(found)
+
+
 def _cell(coordinate: str, level: str) -> str:
     plain = f"floor({coordinate} / ({BASE}D * pow({FACTOR}, {level})))"
     return f"CASE WHEN {level} = {TOP} THEN least(greatest({plain}, {-EDGE}L), {EDGE}L) ELSE {plain} END"

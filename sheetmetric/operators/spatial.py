@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheetmetric.functions.geometry import bbox_sql
-from sheetmetric.functions.grid import near_pairs, overlapping_boxes
+from sheetmetric.functions.grid import near_pairs, nearest_candidates, overlapping_boxes
 from sheetmetric.functions.text import contains_any_sql, nonblank_sql, norm_sql
 from sheetmetric.model import fixed
 from sheetmetric.operators.classify import with_category
@@ -96,9 +96,9 @@ def nearby_text(entities: DataFrame, radius: float = 8000.0) -> DataFrame:
 
 def _nearest(sources: DataFrame, targets: DataFrame, radius: float, k: int, points_per_target: int) -> DataFrame:
     """For every source place the k + 1 nearest distinct ids among the targets (ties by id)."""
-    offered = places(targets, k + 1)
-    near = near_pairs(sources.selectExpr("sheet_id", "x AS lx", "y AS ly").distinct(), offered.selectExpr("sheet_id", "x AS rx", "y AS ry", "ids"), radius)
+    offered = cut_lineage(places(targets, k + 1).selectExpr("sheet_id", "x AS rx", "y AS ry", "ids"))
     rows = (k + 1) * points_per_target       # an id can occur once per point it has
+    near = nearest_candidates(sources.selectExpr("sheet_id", "x AS lx", "y AS ly").distinct(), offered, radius, "size(ids)", rows)
     at = ["sheet_id", "lx", "ly"]
     closest = keep_first(near, at, [F.col("dist"), F.expr("ids[0]")], rows).drop("rank").withColumn("dst", F.explode("ids"))
     unique = keep_first(closest, at, ["dist", "dst"], rows).groupBy(*at, "dst").agg(F.min("dist").alias("dist"))

@@ -2,10 +2,13 @@
 import math
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from drawing import frame, row
-from sheetmetric.functions.grid import near_pairs, overlapping_boxes
+from sheetmetric.functions.grid import near_pairs, nearest_candidates, overlapping_boxes
 from sheetmetric.operators import catalog, graph, places, spaces, spatial
 
 
@@ -61,6 +64,24 @@ def brute_topology(rows, tol=3000.0, ends_kept=15, near_kept=10):
     return edges
 
 
+def test_nearest_in_a_dense_sheet(spark):
+    """100,000 places of one sheet, a crowd among them: few candidates for each, and the k nearest of brute force."""
+    rng, k, radius = np.random.default_rng(3), 16, 3000.0
+    xy = np.concatenate([rng.uniform(0, 6000, (60_000, 2)), rng.normal(3000, 20, (39_000, 2)), rng.uniform(0, 1e6, (1_000, 2))])
+    right = spark.createDataFrame(pd.DataFrame({"sheet_id": 1, "rx": xy[:, 0], "ry": xy[:, 1], "id": np.arange(len(xy))}))
+    some = rng.choice(len(xy), 2_000, replace=False)
+    left = right.where(F.col("id").isin(some.tolist())).selectExpr("sheet_id", "rx AS lx", "ry AS ly", "id AS lid")
+    got = {}
+    for r in nearest_candidates(left, right, radius, "1", k).select("lid", "id", "dist").collect():
+        got.setdefault(r.lid, []).append((r.dist, r.id))
+    assert sum(map(len, got.values())) < 25 * k * len(some)         # tens of thousands lie within the radius of most
+    for i in some[:300].tolist():
+        d = np.sqrt(((xy - xy[i]) ** 2).sum(1))
+        order = np.argsort(d)[:k]
+        want = [(round(d[j], 6), j) for j in order if d[j] <= radius]
+        assert [(round(x, 6), j) for x, j in sorted(got[i])[:k]] == want
+
+
 def test_topology_with_crowded_places(spark):
     rnd = random.Random(5)
     rows = []
