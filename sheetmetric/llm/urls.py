@@ -79,7 +79,8 @@ def judge(urls: DataFrame, rules: DataFrame, default: str = "allow", rows_per_ra
     ``rules``: key, rule, verdict, labels (number of host labels), see ``rule_table``. The longest rule
     wins, of equally long ones "block", then the greatest text. Without a rule the verdict is ``default`` and the rule null. One row
     for each row of ``urls``, repeated and null ids too; a null url or one without "://" has an empty host and
-    path and fits no rule, like an empty host; no rows give no rows, no rules give the default; other columns
+    path and fits no rule, like an empty host; rules on hosts of more than ``MOST_LABELS`` labels are not looked up
+    (names of 253 characters, the most that DNS has, hold 127 labels); no rows give no rows, no rules give the default; other columns
     are not read.
     """
     plain = host_and_path(urls)
