@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheetmetric.functions.geometry import AREA, LENGTH
-from sheetmetric.functions.numbers import exact_sum, half_up
+from sheetmetric.functions.numbers import exact_sum, half_up, out_of_range
 from sheetmetric.functions.text import alternation, first_group_sql, norm_sql, raw
 from sheetmetric.model import fixed
 
@@ -65,14 +65,20 @@ def first_layer_of_block(detail: DataFrame, keys=("sheet_id", "block_name")) ->
     return detail.groupBy(*keys).agg(F.min_by("layer", "first").alias("first_layer"))
 
 
+def _length_rows(entities: DataFrame) -> DataFrame:
+    return entities.where(F.col("dxf_type").isin("LINE", "LWPOLYLINE", "ARC", "CIRCLE", "SPLINE"))
+
+
+def _area_rows(entities: DataFrame) -> DataFrame:
+    return entities.where(F.col("dxf_type").isin("LWPOLYLINE", "POLYLINE", "HATCH"))
+
+
 def _raw_lengths(entities: DataFrame) -> DataFrame:
-    rows = entities.where(F.col("dxf_type").isin("LINE", "LWPOLYLINE", "ARC", "CIRCLE", "SPLINE"))
-    return rows.groupBy("sheet_id", "layer").agg(exact_sum(F.expr(LENGTH)).alias("raw"))
+    return _length_rows(entities).groupBy("sheet_id", "layer").agg(exact_sum(F.expr(LENGTH)).alias("raw"))
 
 
 def _raw_areas(entities: DataFrame) -> DataFrame:
-    rows = entities.where(F.col("dxf_type").isin("LWPOLYLINE", "POLYLINE", "HATCH"))
-    return rows.groupBy("sheet_id", "layer").agg(exact_sum(F.expr(AREA)).alias("raw"))
+    return _area_rows(entities).groupBy("sheet_id", "layer").agg(exact_sum(F.expr(AREA)).alias("raw"))
 
 
 def _measured(raw: DataFrame) -> DataFrame:
@@ -100,7 +106,7 @@ def role_stats(entities: DataFrame) -> DataFrame:
 
 
 def measure_audit(entities: DataFrame, calibration: DataFrame) -> DataFrame:
-    """What was not measured and why: excluded and unclassified layers, pending scale evidence."""
+    """What was not measured and why: excluded and unclassified layers, pending scale evidence, values that no exact sum holds."""
     per_layer = (entities.groupBy("sheet_id", "layer").agg(F.count("*").alias("n"))
                  .withColumn("role", layer_role()))
     skipped = per_layer.where(F.col("role").isin(fixed.EXCLUDED_ROLES + ["UNKNOWN"])).select(
@@ -111,7 +117,14 @@ def measure_audit(entities: DataFrame, calibration: DataFrame) -> DataFrame:
                           F.lit("UNCLASSIFIED_LAYERS").alias("item"), "n"))
     scale = calibration.where("pending IS NOT NULL").select(
         "sheet_id", F.lit("pending").alias("kind"), F.lit("").alias("role"), F.col("pending").alias("item"), F.lit(1).cast("long").alias("n"))
-    return skipped.unionByName(unmeasured).unionByName(scale)
+    return skipped.unionByName(unmeasured).unionByName(scale).unionByName(_left_out(entities))
+
+
+def _left_out(entities: DataFrame) -> DataFrame:
+    """Lengths and areas beyond a decimal by layer: totals of these layers are without them."""
+    lengths, areas = (exact.groupBy("sheet_id", "layer").agg(out_of_range(F.expr(what)).alias("n")).where("n > 0").withColumn("role", F.lit(name))
+                      for exact, what, name in ((_length_rows(entities), LENGTH, "LENGTH"), (_area_rows(entities), AREA, "AREA")))
+    return lengths.unionByName(areas).select("sheet_id", F.lit("out_of_range").alias("kind"), "role", F.col("layer").alias("item"), "n")
 
 
 def quantity_summary(blocks: DataFrame, lengths: DataFrame, areas: DataFrame, keys=("sheet_id",)) -> DataFrame:

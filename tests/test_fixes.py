@@ -3,8 +3,9 @@ import random
 
 from pyspark.sql import functions as F
 
+from drawing import frame, row
 from sheetmetric.functions import grid, numbers
-from sheetmetric.operators import classify, graph
+from sheetmetric.operators import classify, graph, measure
 
 
 def test_rounded_once(spark):
@@ -62,3 +63,10 @@ def test_words_late_in_a_label_are_found(spark):
     rows = [("e1", "Component", "x " * 60 + "照明灯具")]
     nodes = spark.createDataFrame(rows, "node_id string, node_type string, label string").selectExpr(*[c if c in ("node_id", "node_type", "label") else ("1L AS sheet_id" if c == "sheet_id" else f"CAST(NULL AS STRING) AS {c}") for c in graph.NODE_COLUMNS])
     assert graph.graph_find(nodes, "灯具", ["Component"]).count() == 1
+
+
+def test_audit_tells_of_values_beyond_a_sum(spark):
+    rows = [row(1, "LINE", "A-WALL", [(0, 0), (1e23, 0)]), row(2, "LINE", "A-WALL", [(0, 0), (5, 0)]), row(3, "LWPOLYLINE", "S-BEAM", [(0, 0), (1e12, 0), (1e12, 1e12), (0, 1e12)], closed=True)]
+    calibration = spark.createDataFrame([(1, None)], "sheet_id BIGINT, pending STRING")
+    audit = measure.measure_audit(frame(spark, rows), calibration).where("kind = 'out_of_range'").collect()
+    assert sorted((r.role, r.item, r.n) for r in audit) == [("AREA", "S-BEAM", 1), ("LENGTH", "A-WALL", 1)]
