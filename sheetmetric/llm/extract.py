@@ -32,8 +32,11 @@ STRONG = frozenset("comment comments respond replies disqus discussion ad ads ad
 LAYOUT = frozenset("has with no without".split())      # "has-sidebar" tells of a layout, not of a part
 TOPIC = frozenset("category cat tag type format status topic term taxonomy".split())       # "tag-ads" tells what a post is about
 REMARKS = frozenset("comment comments respond replies disqus".split())
-CERTAIN, REMARK, NAMED = 3, 2, 1    # reasons to cut a part off: the last two only where it does not hold most of the page
+LISTS = frozenset("related recommend recommended recommendations".split())     # names of lists of links, but also of an article's own parts
+CERTAIN, LISTED, REMARK, NAMED = 4, 3, 2, 1    # reasons to cut a part off: the last three only where it does not hold most of the page
 KEPT = frozenset("html body main article".split())
+RUNNING = frozenset("p pre blockquote li dd td".split())      # elements of running text
+COMMAS = ",，、"
 CONTAINERS = frozenset("div section article main body td form fieldset".split())
 LEVELS = 5                  # ancestors that a paragraph gives points to
 PARAGRAPH = 25              # least characters of a paragraph that counts
@@ -41,13 +44,13 @@ PAGES = "page_id long, url string, text string, n_chars long"
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "score", "chars", "linked", "own", "gone", "doubt", "points", "base")
+    __slots__ = ("tag", "parent", "parts", "score", "chars", "linked", "own", "commas", "own_commas", "gone", "doubt", "points", "base")
 
     def __init__(self, tag: str, parent: Node | None, why: int = 0):
         self.tag, self.parent, self.gone, self.doubt = tag, parent, why == CERTAIN, why % CERTAIN
         self.parts: list = []                # text and nodes, in order
         self.score = self.points = self.base = 0.0
-        self.chars = self.linked = self.own = 0
+        self.chars = self.linked = self.own = self.commas = self.own_commas = 0
 
 
 @lru_cache(4096)
@@ -85,7 +88,11 @@ def unlikely(tag: str, attrs: list) -> int:
         named = tag == "article" and bool(own & STRONG)
     else:
         named = bool(own & NAMES) and not (every & LAYOUT and not own & STRONG)
-    return why if not named else REMARK if first & REMARKS else NAMED
+    if not named:
+        return why
+    if first & REMARKS:
+        return REMARK
+    return LISTED if not why and own & NAMES <= LISTS else NAMED
 
 
 RAW = frozenset("script style title textarea xmp iframe noembed noframes".split())
@@ -149,7 +156,8 @@ class Tree:
 
     def __init__(self, html: str):
         self.root = self.now = Node("", None)
-        self.open: dict[str, int] = {}
+        self.depth = 0
+        self.open: dict[str, list[int]] = {}     # tag -> depths of its open elements
         self.nodes: list[Node] = [self.root]
         self._read(html)
 
@@ -193,20 +201,20 @@ class Tree:
         self.text(html[at:])
 
     def _pop(self) -> None:
-        self.open[self.now.tag] -= 1
+        self.open[self.now.tag].pop()
         self.now = self.now.parent
+        self.depth -= 1
+
+    def _innermost(self, tags: set[str] | frozenset[str]) -> int:
+        """Depth of the innermost open element of ``tags``, 0 if none is open."""
+        return max((self.open[t][-1] for t in tags if self.open.get(t)), default=0)
 
     def _end(self, tags: set[str] | frozenset[str], stop: set[str] | frozenset[str]) -> None:
         """Closes the innermost open element of ``tags`` not beyond one of ``stop``."""
-        node = self.now
-        while node.parent is not None and node.tag not in tags:
-            if node.tag in stop:
-                return
-            node = node.parent
-        if node.parent is not None:
-            while self.now is not node:
+        found = self._innermost(tags)
+        if found and found >= self._innermost(stop):
+            while self.depth >= found:
                 self._pop()
-            self._pop()
 
     def start(self, tag: str, attrs: list) -> None:
         if tag in CLOSES_P and self.open.get("p"):
@@ -222,7 +230,8 @@ class Tree:
         self.nodes.append(node)
         if tag not in VOID:
             self.now = node
-            self.open[tag] = self.open.get(tag, 0) + 1
+            self.depth += 1
+            self.open.setdefault(tag, []).append(self.depth)
 
     def end(self, tag: str) -> None:
         if self.open.get(tag):
@@ -234,18 +243,21 @@ class Tree:
 
 
 def _measure(nodes: list[Node]) -> None:
-    """Text and link lengths of each node (children stand behind their parents in the list)."""
+    """Lengths of text and links and the commas of each node (children stand behind their parents in the list)."""
     for node in reversed(nodes):
-        node.chars = node.linked = node.own = 0
+        node.chars = node.linked = node.own = node.commas = node.own_commas = 0
         if node.gone:
             continue
         for part in node.parts:
             if isinstance(part, str):
                 node.own += len(part.strip())
+                node.own_commas += sum(map(part.count, COMMAS))
             else:
                 node.chars += part.chars
                 node.linked += part.linked
+                node.commas += part.commas
         node.chars += node.own
+        node.commas += node.own_commas
         if node.tag == "a":
             node.linked = node.chars
 
@@ -284,13 +296,14 @@ def _paragraphs(nodes: list[Node]) -> Iterator[Node]:
     for node in nodes:
         if node.gone or node.parent is not None and id(node.parent) in hidden:
             hidden.add(id(node))
-        elif node.tag in ("p", "pre", "blockquote", "li", "dd", "td") or node.tag in CONTAINERS and node.own >= PARAGRAPH:
+        elif node.tag in RUNNING or node.tag in CONTAINERS and node.own >= PARAGRAPH:
             yield node
 
 
 def _points(node: Node) -> float:
-    text = "".join(p if isinstance(p, str) else "".join(blocks(p)) for p in node.parts) if node.tag in ("p", "pre", "blockquote", "li", "dd", "td") else "".join(p for p in node.parts if isinstance(p, str))
-    return 1 + sum(map(text.count, ",，、")) + min(len(text) / 100, 3)
+    """Points of a paragraph for its length and commas; of a container, for the text directly in it."""
+    chars, commas = (node.chars, node.commas) if node.tag in RUNNING else (node.own, node.own_commas)
+    return 1 + commas + min(chars / 100, 3)
 
 
 def _density(node: Node) -> float:
@@ -330,8 +343,10 @@ def _settle(nodes: list[Node]) -> None:
     root.base = root.points
     for node in nodes[1:]:
         node.base = node.parent.base
+        if node.doubt == LISTED and node.chars and _density(node) < 0.1:
+            continue                    # running text, no list of links
         if node.doubt:
-            most = 2 * node.points > node.base if node.doubt == NAMED else 0 < node.points >= 0.999 * node.base
+            most = 2 * node.points > node.base if node.doubt != REMARK else 0 < node.points >= 0.999 * node.base
             if most or not root.points and node.tag in FORMS and 2 * node.chars > root.chars:
                 node.base = node.points
             else:
@@ -366,14 +381,13 @@ def main_blocks(html: str) -> list[str]:
     if best.parent is None:
         return blocks(best)
     least = max(10.0, 0.2 * best.score * (1 - _density(best)))
+    parts = [p for p in best.parent.parts if not isinstance(p, str) and not p.gone]
+    alike = [k for k, p in enumerate(parts) if p is best or p.tag == "p" and _density(p) < 0.25 and p.chars > 80 or p.score * (1 - _density(p)) >= least]
+    kept = set(alike)
     out: list[str] = []
-    for part in best.parent.parts:
-        if part is best:
-            out += blocks(part)
-        elif not isinstance(part, str) and not part.gone:
-            running = part.tag == "p" and _density(part) < 0.25 and part.chars > 80
-            if running or part.score * (1 - _density(part)) >= least:
-                out += blocks(part)
+    for k in range(alike[0], alike[-1] + 1):        # what stands between kept parts belongs to them, but lists of links
+        if k in kept or _density(parts[k]) < 0.5:
+            out += blocks(parts[k])
     return out
 
 

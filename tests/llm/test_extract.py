@@ -2,6 +2,9 @@
 import html
 import random
 import time
+from html.parser import HTMLParser
+
+import pytest
 
 from sheetmetric.llm import extract as X
 
@@ -116,3 +119,101 @@ def test_unclosed_quotes_stay_quick():
     for unit, end in (('<a b=">" ', "='>"), ('<a b="> "', "='>"), ("<a b='\">\" ", '="'), ('<a b="\'> c=\'"> d="', ""), ('<a b=">" """ ', "='"), ("<a b=x' >", "='")):
         X.main_text(unit * 30_000 + end)
     assert time.time() - start < 60
+
+
+class Plain(HTMLParser):
+    """A plain tree of well-formed pages: [tag, role, parts]."""
+
+    def __init__(self):
+        super().__init__()
+        self.open = [["", "", []]]
+
+    def handle_starttag(self, tag, attrs):
+        node = [tag, dict(attrs).get("role", ""), []]
+        self.open[-1][2].append(node)
+        self.open.append(node)
+
+    def handle_endtag(self, tag):
+        self.open.pop()
+
+    def handle_data(self, data):
+        self.open[-1][2].append(data)
+
+
+def plain_text(html):
+    """Scores by walking the whole subtree for every figure; pages of div, p, a and parts with the role of a menu."""
+    reader = Plain()
+    reader.feed(html)
+    top = reader.open[0]
+    above, order = {}, []
+
+    def walk(node):
+        order.append(node)
+        node[2] = [p for p in node[2] if isinstance(p, str) or not p[1]]
+        for p in node[2]:
+            if not isinstance(p, str):
+                above[id(p)] = node
+                walk(p)
+
+    walk(top)
+    strings = lambda node: [s for p in node[2] for s in ([p] if isinstance(p, str) else strings(p))]
+    size = lambda node: sum(len(s.strip()) for s in strings(node))
+    linked = lambda node: size(node) if node[0] == "a" else sum(linked(p) for p in node[2] if not isinstance(p, str))
+    density = lambda node: linked(node) / size(node) if size(node) else 1.0
+    scores = {}
+    for node in order:
+        if node[0] == "p" and size(node) >= 25:
+            points = (1 + sum(s.count(",") for s in strings(node)) + min(size(node) / 100, 3)) * (1 - density(node))
+            up = above[id(node)]
+            for share in (1, 2, 6, 9, 12):
+                if up is None:
+                    break
+                scores[id(up)] = scores.get(id(up), 0) + points / share
+                up = above.get(id(up))
+    score = lambda node: scores.get(id(node), 0)
+    lines = lambda node: [t for p in node[2] if not isinstance(p, str) for t in ([" ".join("".join(strings(p)).split())] if p[0] == "p" else lines(p)) if t]
+    best = max((n for n in order if id(n) in scores), key=lambda n: score(n) * (1 - density(n)), default=None)
+    if best is None or score(best) <= 0:
+        return "\n".join(lines(top))
+    while id(best) in above and above[id(best)][0] == "div" and score(above[id(best)]) - score(best) / 2 >= 0.2 * score(best):
+        best = above[id(best)]
+    if id(best) not in above:
+        return "\n".join(lines(best))
+    around = [p for p in above[id(best)][2] if not isinstance(p, str)]
+    least = max(10.0, 0.2 * score(best) * (1 - density(best)))
+    keep = [k for k, p in enumerate(around) if p is best or p[0] == "p" and density(p) < 0.25 and size(p) > 80 or score(p) * (1 - density(p)) >= least]
+    return "\n".join(t for k, p in enumerate(around) if keep[0] <= k <= keep[-1] and (k in keep or density(p) < 0.5)
+                     for t in ([" ".join("".join(strings(p)).split())] if p[0] == "p" else lines(p)) if t)
+
+
+def test_random_pages_score_as_a_plain_scorer():
+    draw = random.Random(31)
+    words = lambda n: " ".join(draw.choices(["one,", "two", "three", "four,", "five"], k=n))
+
+    def part(depth):
+        kind = draw.random()
+        if depth == 0 or kind < 0.45:
+            inside = words(draw.choice([2, 8, 30, 90]))
+            return f"<p>{inside} <a>{words(draw.choice([1, 20]))}</a></p>" if draw.random() < 0.3 else f"<p>{inside}</p>"
+        own = ' role="navigation"' if kind > 0.9 else ""
+        return f"<div{own}>{''.join(part(depth - 1) for _ in range(draw.randrange(1, 5)))}</div>"
+
+    for _ in range(1500):
+        html = "".join(part(4) for _ in range(draw.randrange(1, 4)))
+        assert X.main_text(html) == plain_text(html), html
+
+
+@pytest.mark.parametrize("opening", ["<blockquote>", "<li>", "<div>", "<table><tr><td>", "<p><table><tr><td><div>"])
+def test_deep_pages_take_linear_time(opening):
+    start = time.process_time()
+    X.main_text((opening + "some words, here and there ") * 20_000)
+    assert time.process_time() - start < 10
+
+
+def test_named_running_text_and_parts_between_kept_ones_stay():
+    long = "First words, long enough to count as running text. " * 6
+    page = f"<div><article><p>{long}</p><div class='related-work'><p>Related work did this, and that, without links.</p></div></article></div>"
+    assert "Related work" in X.main_text(page)
+    links = "<a href='x'>Ten things to read next</a> " * 4
+    assert "Ten things" not in X.main_text(page.replace("<p>Related work did this, and that, without links.</p>", f"<p>{links}</p>"))
+    assert X.main_text(f"<body><div><p>{long}</p><p>{long}</p></div><div><p>Short.</p></div><div><p>{long}</p><p>{long}</p></div></body>").count("Short.") == 1
