@@ -2,8 +2,9 @@
 
 Each task keeps a fixed number of open bins. A bitset tells which amounts of free space are open, so the
 best fit of a piece (the least space that holds it) is the lowest bit at or above its length; when one bin
-too many is open, the fullest closes. Pieces are dealt to tasks at random, about as many to each, and come
-longest first, so that short ones fill what long ones leave.
+too many is open, the fullest closes. Pieces are dealt to tasks, about as many to each, and arrive there in an
+order that tells nothing of their lengths (a hash of the row); of the next few at hand the longest is placed first,
+so that short ones fill what long ones leave.
 """
 from __future__ import annotations
 
@@ -22,7 +23,8 @@ from sheetmetric.llm.bpe import Encoder
 from sheetmetric.llm.text import byte_stand_ins, col, slices
 
 CAPACITY = 1024
-OPEN_BINS = 16_384          # bins a task keeps open
+OPEN_BINS = 256             # bins a task keeps open
+AT_HAND = 1024              # arrived pieces that are placed together, longest first
 ROWS_PER_TASK = 16_000      # documents whose pieces one task packs
 END_ID = 2
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -118,12 +120,16 @@ def pack(pieces: DataFrame, tasks: int, capacity: int = CAPACITY, most: int = OP
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins = Bins(capacity, most, first=TaskContext.get().partitionId() << 40)
         for batch in batches:
-            placed = [bins.place(n) for n in batch.column("length").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(list(c), pa.int64()) for c in (zip(*placed) if placed else ((), ())))],
-                                             [*batch.schema.names, "sequence_id", "offset"])
+            for at in range(0, batch.num_rows, AT_HAND):
+                part = batch.slice(at, AT_HAND)
+                lengths = part.column("length").to_numpy()
+                places = np.empty((2, len(lengths)), np.int64)
+                for k in np.argsort(-lengths, kind="stable").tolist():
+                    places[:, k] = bins.place(int(lengths[k]))
+                yield pa.RecordBatch.from_arrays([*part.columns, *map(pa.array, places)], [*part.schema.names, "sequence_id", "offset"])
 
     own = ["doc_id", "piece", "length", "ids_crc32"]
-    dealt = pieces.repartition(tasks).sortWithinPartitions(F.desc("length"), F.xxhash64(*own), *own)
+    dealt = pieces.repartition(tasks).sortWithinPartitions(F.xxhash64(*own), *own)
     return dealt.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long")
 
 

@@ -89,6 +89,21 @@ def test_documents(spark, library):
     packed.unpersist()
 
 
+def test_bound_that_is_reached(spark, library):
+    draw = random.Random(12)
+    texts = [" ".join(draw.choices(["the", "cat", "xqzt", "of"], k=draw.randrange(1, 1300))) for _ in range(600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    needed = []
+    for most in (2, 16, 10_000):
+        packed = K.pack_documents(docs, PATH, P.PATTERN, most=most, rows_per_task=300).collect()
+        needed.append(check(packed, texts, library)[0])
+        tasks = {}
+        for r in packed:
+            tasks.setdefault(r["sequence_id"] >> 40, set()).add(r["sequence_id"])
+        assert len(tasks) == 2 and min(map(len, tasks.values())) > 16       # more sequences than open bins: some were closed
+    assert needed[0] >= needed[1] >= needed[2] * 0.99
+
+
 def test_repeated_and_empty_tables(spark):
     docs = spark.createDataFrame([(None, "a b"), (None, "a b"), (7, "a b"), (7, "a b")], "doc_id long, text string")
     rows = K.pack_documents(docs, PATH, P.PATTERN).collect()
