@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sheetmetric.functions.text import contains_any_sql, first_group_sql, nonblank_sql, raw
 from sheetmetric.model import fixed
+from sheetmetric.session import cut_lineage
 
 
 def _structured(df: DataFrame) -> DataFrame:
@@ -39,21 +40,40 @@ def table_types(rows: DataFrame) -> DataFrame:
 def row_anchors(texts: DataFrame, tolerance: float) -> DataFrame:
     """Row of every distinct y of a sheet: (sheet_id, y, row_y).
 
-    Reading downwards, a row goes on while its distance to the row's first y is under the
-    tolerance.  Copies of a y collapse first.  A gap of at least the tolerance always starts a
-    row, so a sheet falls into independent runs; gaps are found from the extremes of
-    tolerance-wide buckets, and only the distinct ys of one run are folded together.
+    Reading downwards, a row goes on while its distance to the row's first y is under the tolerance: the next row
+    starts at the highest y at least a tolerance below.  That successor is found in tolerance-wide buckets (in the
+    bucket of ``y - tolerance``, else at the top of the bucket below), and the first ys are what is reached from the
+    top of each gap-free run by successors, in rounds that double the steps.  No run is gathered anywhere.
     """
-    ys = texts.select("sheet_id", "y").distinct().withColumn("b", F.expr(f"floor(y / {tolerance}D)"))
+    at = ["sheet_id", "b"]
+    bucket = lambda y: F.expr(f"floor({y} / {tolerance}D)").alias("b")
+    ys = texts.select("sheet_id", "y").where("y IS NOT NULL").distinct().select("*", bucket("y"))
     down = Window.partitionBy("sheet_id").orderBy(F.desc("b"))
-    buckets = (ys.groupBy("sheet_id", "b").agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
-               .withColumn("above", F.lag("lo").over(down))
-               .withColumn("run", F.sum(F.expr(f"int(above IS NULL OR above - hi >= {tolerance}D)")).over(down)))
-    runs = ys.join(buckets.select("sheet_id", "b", "run"), ["sheet_id", "b"]).groupBy("sheet_id", "run").agg(F.sort_array(F.collect_list("y"), asc=False).alias("ys"))
-    anchors = runs.withColumn("anchors", F.expr(
-        "aggregate(ys, CAST(array() AS ARRAY<DOUBLE>), (acc, y) -> CASE WHEN size(acc) = 0 OR element_at(acc, -1) - y >= "
-        f"{tolerance}D THEN concat(acc, array(y)) ELSE acc END)"))
-    return anchors.select("sheet_id", F.expr("inline(transform(ys, y -> named_struct('y', y, 'row_y', array_min(filter(anchors, a -> a >= y)))))"))
+    buckets = (ys.groupBy(*at).agg(F.min("y").alias("lo"), F.max("y").alias("hi")).withColumn("above", F.lag("lo").over(down))
+               .selectExpr("sheet_id", "b", "hi", f"above IS NULL OR hi <= above - {tolerance}D AS top"))
+    buckets = cut_lineage(buckets)
+    tops = buckets.where("top").selectExpr("sheet_id", "hi AS y")
+    found = F.last("y", ignorenulls=True).over(Window.partitionBy(*at).orderBy("v", F.expr("y IS NULL")).rowsBetween(Window.unboundedPreceding, 0))
+    asked = ys.selectExpr("sheet_id", f"y - {tolerance}D AS v", "y AS source").select("sheet_id", bucket("v"), "v", F.lit(None).cast("double").alias("y"), "source")
+    same = ys.selectExpr("sheet_id", "b", "y AS v", "y", "CAST(NULL AS DOUBLE) AS source").unionByName(asked).withColumn("next", found).where("source IS NOT NULL")
+    below = buckets.selectExpr("sheet_id", "b + 1 AS b", "hi AS below")
+    steps = (same.join(below, at, "left").selectExpr("sheet_id", "source AS y", "coalesce(next, below) AS next").where("next IS NOT NULL")
+             .join(tops.withColumnRenamed("y", "next"), ["sheet_id", "next"], "left_anti").select("sheet_id", "y", "next"))
+    firsts = _reached(cut_lineage(tops), cut_lineage(steps))
+    near = firsts.select("sheet_id", F.col("y").alias("row_y"), F.expr(f"explode(sequence(floor((y - {tolerance}D) / {tolerance}D), floor(y / {tolerance}D)))").alias("b"))
+    return ys.join(near, at).where("row_y >= y").groupBy("sheet_id", "y").agg(F.min("row_y").alias("row_y"))
+
+
+def _reached(starts: DataFrame, steps: DataFrame) -> DataFrame:
+    """Ys that successors lead to from the starts: after k rounds all within 2^k steps, while a jump grows to 2^k steps."""
+    while True:
+        jumped = starts.join(steps, ["sheet_id", "y"]).selectExpr("sheet_id", "next AS y").distinct()
+        new = cut_lineage(jumped.join(starts, ["sheet_id", "y"], "left_anti"))
+        if new.isEmpty():
+            return starts
+        starts = starts.unionByName(new)
+        further = steps.selectExpr("sheet_id", "y AS next", "next AS further")
+        steps = cut_lineage(steps.join(further, ["sheet_id", "next"]).selectExpr("sheet_id", "y", "further AS next"))
 
 
 def row_cluster(texts: DataFrame, tolerance: float) -> DataFrame:

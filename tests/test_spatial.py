@@ -171,6 +171,15 @@ def test_rows_anchor_on_their_first_text(spark, tol):
     assert {r.y: r.row_y for r in catalog.row_anchors(df, tol).collect()} == want
 
 
+def test_rows_of_one_long_run(spark):
+    """100,000 heights without a gap: 1,000 rows, found in some ten rounds, no run in one row."""
+    df = spark.range(100_000).selectExpr("1L AS sheet_id", "CAST(id AS DOUBLE) AS y")
+    rows = catalog.row_anchors(df, 100.0).where("row_y = y").selectExpr("count(*) AS n", "max(y) AS hi", "min(y) AS lo").first()
+    assert (rows.n, rows.hi, rows.lo) == (1000, 99_999.0, 99.0)
+    plan = catalog.row_anchors(df.limit(1000), 100.0)._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "collect_set" not in plan
+
+
 @pytest.mark.parametrize("seed", [8, 9])
 def test_snapping_is_greedy_in_drawing_order(spark, seed):
     rnd = random.Random(seed)
