@@ -77,12 +77,12 @@ def drawing_type(entities: DataFrame, layers: DataFrame) -> DataFrame:
     return best.select("sheet_id", F.coalesce(lookup({i: n for i, (n, _) in enumerate(fixed.DRAWING_TYPES)}, "r"), F.lit("UNKNOWN")).alias("drawing_type"))
 
 
-def _category_sql(x: str) -> str:
-    whens = " ".join(f"WHEN u RLIKE {raw(component_pattern(words))} THEN '{name}'" for name, words in fixed.CATEGORIES)
+def _category_sql(x: str, categories: list) -> str:
+    whens = " ".join(f"WHEN u RLIKE {raw(component_pattern(words))} THEN '{name}'" for name, words in categories)
     return let_sql(norm_sql(x), "u", f"CASE WHEN u = '' THEN NULL {whens} END")
 
 
-def with_category(entities: DataFrame) -> DataFrame:
+def with_category(entities: DataFrame, categories: list = fixed.CATEGORIES) -> DataFrame:
     """Adds category and sub_category: block name before text before layer name.
 
     The sub-category looks at block and text, and at the layer only when the layer decided.
@@ -90,8 +90,8 @@ def with_category(entities: DataFrame) -> DataFrame:
     own_text = "concat_ws(' ', coalesce(block_name, ''), coalesce(label_text, ''))"
     sub_own = first_group_sql(norm_sql(own_text), fixed.SUB_CATEGORIES)
     sub_all = first_group_sql(norm_sql(f"concat_ws(' ', layer, {own_text})"), fixed.SUB_CATEGORIES)
-    staged = entities.withColumn("_own", F.expr(f"coalesce({_category_sql('block_name')}, {_category_sql('label_text')})"))
-    staged = staged.withColumn("_layer", F.expr(f"CASE WHEN _own IS NULL THEN {_category_sql('layer')} END"))
+    staged = entities.withColumn("_own", F.expr(f"coalesce({_category_sql('block_name', categories)}, {_category_sql('label_text', categories)})"))
+    staged = staged.withColumn("_layer", F.expr(f"CASE WHEN _own IS NULL THEN {_category_sql('layer', categories)} END"))
     return staged.withColumns({
         "category": F.expr("coalesce(_own, _layer, 'UNKNOWN')"),
         "sub_category": F.expr(f"CASE WHEN _own IS NOT NULL THEN {sub_own} WHEN _layer IS NOT NULL THEN {sub_all} END")}).drop("_own", "_layer")
@@ -111,6 +111,9 @@ def vote_sources(entities: DataFrame, layers: DataFrame, blocks: DataFrame) -> D
             .unionByName(texts.selectExpr("sheet_id", "'text' AS kind", "name", "n", "first")))
 
 
+DICTIONARIES = {"role": fixed.ROLE_KEYWORDS, "discipline": fixed.LAYER_KEYWORDS, "category": fixed.CATEGORIES}
+
+
 def _weight_sql(weights: dict) -> str:
     """Summed weights of one discipline's keywords that occur in the upper-cased ``name``."""
     def total(words):
@@ -162,28 +165,49 @@ CODE_WEIGHTS = {code: {kind: {w: fixed.CODE_HIT_WEIGHT[kind] for w in words} for
                 for code, words in fixed.CODE_KEYWORDS}
 
 
-def discipline_vote_codes(sources: DataFrame, layers: DataFrame, sheets: DataFrame) -> DataFrame:
-    """Second scheme, by codes: keyword hits plus a bonus for the winning layer prefix."""
+def _code_ranking(sources: DataFrame, layers: DataFrame) -> DataFrame:
+    """Codes of a sheet by keyword hits plus a bonus for the winning layer prefix."""
     codes = [c for c, _ in fixed.CODE_KEYWORDS]
     prefix = layer_prefix_discipline(layers).withColumnRenamed("code", "prefix_code")
     scores = _scores(sources, CODE_WEIGHTS).join(prefix, "sheet_id", "full_outer").selectExpr("sheet_id", *[
         f"coalesce({c}, 0L) + CASE WHEN prefix_code = '{c}' THEN n_layers * {fixed.LAYER_PREFIX_WEIGHT} ELSE 0L END AS {c}" for c in codes], *[f"`{c} at`" for c in codes])
-    voted = (_ranked(scores, codes).withColumn("confidence", half_up(F.expr("-ranking[0].k * 100D / total"), 1))
+    return _ranked(scores, codes)
+
+
+def discipline_vote_codes(sources: DataFrame, layers: DataFrame, sheets: DataFrame) -> DataFrame:
+    """Second scheme, by codes: the best code, or several."""
+    voted = (_code_ranking(sources, layers).withColumn("confidence", half_up(F.expr("-ranking[0].k * 100D / total"), 1))
              .selectExpr("sheet_id", "confidence", "CASE WHEN size(filter(ranking, e -> -e.k / total > 0.25D)) > 1 AND confidence < 60 THEN 'MULTI' ELSE ranking[0].label END AS code"))
     return sheets.select("sheet_id").join(voted, "sheet_id", "left").selectExpr(
         "sheet_id", "coalesce(code, 'UNKNOWN') AS code", "coalesce(confidence, 0D) AS confidence")
 
 
-def vote_evidence(sources: DataFrame, keep: int = 10) -> DataFrame:
-    """First names per sheet, discipline and kind that supported the discipline."""
-    supported = ", ".join(f"CASE WHEN {_weight_sql(w)} > 0 THEN '{d}' END" for d, w in fixed.CONTENT_WEIGHTS.items())
-    hits = (_with_upper(sources).select("sheet_id", "kind", "name", "first",
-                                        F.expr(f"explode(array_compact(array({supported}))) AS discipline"))
+def _support(sources: DataFrame, table: dict) -> DataFrame:
+    """Names by the disciplines that they voted for."""
+    supported = ", ".join(f"CASE WHEN {_weight_sql(w)} > 0 THEN '{d}' END" for d, w in table.items())
+    return (_with_upper(sources).select("sheet_id", "kind", "name", "first", F.expr(f"explode(array_compact(array({supported}))) AS discipline"))
             .groupBy("sheet_id", "discipline", "kind", "name").agg(F.min("first").alias("first")))
+
+
+def _first_names(hits: DataFrame, keep: int) -> DataFrame:
     w = Window.partitionBy("sheet_id", "discipline", "kind").orderBy("first", "name")
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= keep).withColumn("rank", F.col("rank").cast("long")).drop("first")
 
 
+def vote_evidence(sources: DataFrame, keep: int = 10) -> DataFrame:
+    """First names per sheet, discipline and kind that supported the discipline."""
+    return _first_names(_support(sources, fixed.CONTENT_WEIGHTS), keep)
+
+
+def vote_evidence_codes(sources: DataFrame, layers: DataFrame, keep: int = 8) -> DataFrame:
+    """First names of each kind behind the best code of a sheet, prefixed layers included (kind ``layer_prefix``)."""
+    best = _code_ranking(sources, layers).select("sheet_id", F.expr("ranking[0].label AS discipline"))
+    prefixed = (layers.withColumn("code", layer_prefix_code()).join(layer_prefix_discipline(layers).select("sheet_id", "code"), ["sheet_id", "code"])
+                .groupBy("sheet_id", F.col("code").alias("discipline"), "name").agg(F.min("pos").alias("first")))
+    hits = _support(sources, CODE_WEIGHTS).unionByName(prefixed.withColumn("kind", F.lit("layer_prefix")))
+    return _first_names(hits.join(best, ["sheet_id", "discipline"]), keep).withColumnRenamed("discipline", "code")
+
+
 def detected_disciplines(catalog_disciplines: DataFrame, sheet_codes: DataFrame) -> DataFrame:
     """Registry disciplines present in a project, from catalog names and sheet codes, in registry order.
 
@@ -198,13 +222,13 @@ def detected_disciplines(catalog_disciplines: DataFrame, sheet_codes: DataFrame)
         lookup({code: i for i, (code, *_) in enumerate(registry)}, "code").cast("long").alias("rank")).where("rank IS NOT NULL")
 
 
-def keyword_usage(layer_counts: DataFrame) -> DataFrame:
+def keyword_usage(layer_counts: DataFrame, dictionaries: dict = DICTIONARIES) -> DataFrame:
     """Dictionary table joined with the data it classifies: entities per matching layer keyword.
 
     The dictionary travels as an array literal, so a layer is compared with every entry without a join.
     """
     entries = ", ".join(f"named_struct('dictionary', '{d}', 'label', {raw(k)}, 'priority', {i}L, 'keyword', {raw(w)})"
-                        for d, groups in (("role", fixed.ROLE_KEYWORDS), ("discipline", fixed.LAYER_KEYWORDS), ("category", fixed.CATEGORIES))
+                        for d, groups in dictionaries.items()
                         for i, (k, words) in enumerate(groups) for w in words)
     hits = layer_counts.select("n", F.expr(f"explode(filter(array({entries}), e -> contains({norm_sql('layer')}, upper(e.keyword)))) AS e"))
     return hits.groupBy("e.dictionary", "e.label", "e.priority", "e.keyword").agg(F.sum("n").alias("entities"))

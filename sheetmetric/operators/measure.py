@@ -12,8 +12,8 @@ from sheetmetric.model import fixed
 ORDER = ("seq", "entity_id")  # position in the drawing; the id breaks ties
 
 
-def layer_role(layer: str = "layer") -> Column:
-    return F.expr(first_group_sql(norm_sql(layer), fixed.ROLE_KEYWORDS, "'UNKNOWN'"))
+def layer_role(layer: str = "layer", groups: list = fixed.ROLE_KEYWORDS) -> Column:
+    return F.expr(first_group_sql(norm_sql(layer), groups, "'UNKNOWN'"))
 
 
 def with_role(entities: DataFrame) -> DataFrame:
@@ -99,6 +99,17 @@ def layer_area(entities: DataFrame, factors: DataFrame) -> DataFrame:
         "sheet_id", "layer", half_up(mm2, 2).alias("total_area_mm2"), half_up(mm2 / 1e6, 2).alias("total_area_m2"))
 
 
+def layer_measures(entities: DataFrame, factors: DataFrame) -> DataFrame:
+    """Length and area of every measurable layer in one pass, null where there is none."""
+    is_length, is_area = "dxf_type IN ('LINE', 'LWPOLYLINE', 'ARC', 'CIRCLE', 'SPLINE')", "dxf_type IN ('LWPOLYLINE', 'POLYLINE', 'HATCH')"
+    sums = entities.where(f"{is_length} OR {is_area}").groupBy("sheet_id", "layer").agg(
+        exact_sum(F.expr(f"CASE WHEN {is_length} THEN {LENGTH} END")).alias("length"), exact_sum(F.expr(f"CASE WHEN {is_area} THEN {AREA} END")).alias("area"))
+    factor = F.col("factor_to_mm")
+    return sums.where((layer_role() == "MEASURABLE") & F.expr("length > 0 OR area > 0")).join(factors, "sheet_id").select(
+        "sheet_id", "layer", F.when(F.col("length") > 0, half_up(F.col("length").cast("double") * factor, 2)).alias("total_length_mm"),
+        F.when(F.col("area") > 0, half_up(F.col("area").cast("double") * factor * factor, 2)).alias("total_area_mm2"))
+
+
 def role_stats(entities: DataFrame) -> DataFrame:
     per_layer = entities.groupBy("sheet_id", "layer").agg(F.count("*").alias("n"))
     return (per_layer.withColumn("role", layer_role()).groupBy("sheet_id", "role")
@@ -151,14 +162,20 @@ def merge_areas(areas: DataFrame) -> DataFrame:
     return areas.groupBy("layer").agg(half_up(total, 3).alias("total_area_mm2"), half_up(total / 1e6, 3).alias("total_area_m2"))
 
 
-def merge_quantities(detail: DataFrame, lengths: DataFrame, areas: DataFrame) -> DataFrame:
-    """The three corpus totals as one table: kind, name, quantity, unit."""
-    return (merge_blocks(detail).select(F.lit("block").alias("kind"), F.col("block_name").alias("name"),
-                                        F.col("quantity").cast("double").alias("quantity"), F.lit("个").alias("unit"))
-            .unionByName(merge_lengths(lengths).select(F.lit("length").alias("kind"), F.col("layer").alias("name"),
-                                                       F.col("total_length_m").alias("quantity"), F.lit("m").alias("unit")))
-            .unionByName(merge_areas(areas).select(F.lit("area").alias("kind"), F.col("layer").alias("name"),
-                                                   F.col("total_area_m2").alias("quantity"), F.lit("m²").alias("unit"))))
+def merge_quantities(detail: DataFrame, measures: DataFrame) -> DataFrame:
+    """The corpus totals as one table: kind, name, item, quantity, unit.
+
+    Kinds: block; block_layer and block_spec, the entries of a block's merged layer and specification maps (``item``
+    is the layer or specification); length and area of a layer. Blocks are one grouping by sets.
+    """
+    sets = detail.groupingSets([["block_name"], ["block_name", "layer"], ["block_name", "spec"]], "block_name", "layer", "spec").agg(
+        F.sum("n").cast("double").alias("quantity"), F.grouping_id().alias("g"))
+    blocks = sets.selectExpr("CASE g WHEN 3 THEN 'block' WHEN 1 THEN 'block_layer' ELSE 'block_spec' END AS kind", "block_name AS name",
+                             "CASE g WHEN 3 THEN '' WHEN 1 THEN layer ELSE spec END AS item", "quantity", "'个' AS unit")
+    long = measures.selectExpr("layer AS name", "stack(2, 'length', total_length_mm, 'area', total_area_mm2) AS (kind, v)").where("v IS NOT NULL")
+    total = exact_sum(F.col("v")).cast("double")
+    layers = long.groupBy("kind", "name").agg(half_up(total / F.expr("CASE kind WHEN 'length' THEN 1e3D ELSE 1e6D END"), 3).alias("quantity"))
+    return blocks.unionByName(layers.selectExpr("kind", "name", "'' AS item", "quantity", "CASE kind WHEN 'length' THEN 'm' ELSE 'm²' END AS unit"))
 
 
 def spec_text(specs: str) -> Column:

@@ -33,11 +33,20 @@ def elevations(entities: DataFrame) -> DataFrame:
                            "try_cast(translate(m, '±+ ', '') AS DOUBLE) AS value").where("value IS NOT NULL")
 
 
+def elevation_values(entities: DataFrame) -> DataFrame:
+    """Distinct levels per sheet with their number of distinct marks."""
+    unique = elevations(entities).groupBy("sheet_id", "raw", "x", "y").agg(F.max("value").alias("value"))
+    return unique.groupBy("sheet_id", "value").agg(F.count("*").alias("n"))
+
+
+def elevation_list(entities: DataFrame) -> DataFrame:
+    """The distinct levels of a sheet, highest first, one row each."""
+    return elevation_values(entities).withColumn("rank", F.row_number().over(Window.partitionBy("sheet_id").orderBy(F.desc("value"))).cast("long"))
+
+
 def elevation_levels(entities: DataFrame) -> DataFrame:
     """Distinct marks and levels per sheet, with the storey intervals they bound."""
-    unique = elevations(entities).groupBy("sheet_id", "raw", "x", "y").agg(F.max("value").alias("value"))
-    by_value = unique.groupBy("sheet_id", "value").agg(F.count("*").alias("n"))
-    return by_value.groupBy("sheet_id").agg(F.sum("n").alias("total"), F.count("*").alias("level_count"), F.expr("count(*) - 1 AS intervals"),
+    return elevation_values(entities).groupBy("sheet_id").agg(F.sum("n").alias("total"), F.count("*").alias("level_count"), F.expr("count(*) - 1 AS intervals"),
                                             F.max("value").alias("highest"), F.min("value").alias("lowest"))
 
 

@@ -17,12 +17,13 @@ class Takeoff:
         self.blocks = measure.block_counts(self.detail)
         self.lengths = measure.layer_length(entities, factors)
         self.areas = measure.layer_area(entities, factors)
+        self.measures = measure.layer_measures(entities, factors)
 
     def summary(self) -> DataFrame:
         return measure.quantity_summary(self.blocks, self.lengths, self.areas)
 
     def totals(self) -> DataFrame:
-        return measure.merge_quantities(self.detail, self.lengths, self.areas)
+        return measure.merge_quantities(self.detail, self.measures)
 
     def appendix(self) -> DataFrame:
         return measure.quantity_appendix(self.detail, self.lengths, self.areas)

@@ -1,5 +1,6 @@
 """Queries of the classification operators."""
 import re
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -7,6 +8,8 @@ from sheetmetric.functions.text import norm_sql
 from sheetmetric.model import adapter, fixed
 from sheetmetric.operators import classify as c
 from sheetmetric.queries import sql
+from sheetmetric.session import shared_folder
+from sheetmetric.sources import packs
 
 
 def _layer_counts(spark, sf):
@@ -17,6 +20,13 @@ def sources(spark, sf):
     return c.vote_sources(adapter.entities(spark, sf), adapter.layers(spark, sf), adapter.block_definitions(spark, sf))
 
 
+def _loaded_dictionaries(spark, sf):
+    """Dictionaries written to a file and loaded from it, with the entities that each keyword meets."""
+    path = f"{shared_folder(spark)}/dictionaries-{uuid.uuid4()}"
+    packs.save_dictionaries(spark, c.DICTIONARIES, path)
+    return c.keyword_usage(_layer_counts(spark, sf), packs.load_dictionaries(spark, path))
+
+
 def classified(spark, sf):
     return c.classify_sheets(adapter.catalog(spark, sf))
 
@@ -56,7 +66,8 @@ QUERIES = {
     "discipline_vote_codes": vote_codes,
     "vote_evidence": lambda s, d: c.vote_evidence(sources(s, d)),
     "detected_disciplines": project_disciplines,
-    "load_dictionaries": lambda s, d: c.keyword_usage(_layer_counts(s, d)),
+    "vote_evidence_codes": lambda s, d: c.vote_evidence_codes(sources(s, d), adapter.layers(s, d)),
+    "load_dictionaries": _loaded_dictionaries,
 }
 
 BY_NO = "CASE WHEN drawing_no IN ('', '未识别') THEN NULL " + " ".join(
@@ -142,6 +153,11 @@ ORACLES = {
     "discipline_vote_codes": sql.query("SELECT * FROM sheetcodes", *VOTECODES_CTES),
     "vote_evidence": sql.query("SELECT sheet_id, disc AS discipline, kind, name, rank FROM (SELECT sheet_id, disc, kind, name, row_number() OVER (PARTITION BY sheet_id, disc, kind ORDER BY f, name) AS rank FROM "
                                "(SELECT sheet_id, disc, v.kind, name, min(first) AS f FROM voters v JOIN content k ON v.kind = k.kind AND contains(upper(v.name), kw) GROUP BY ALL)) WHERE rank <= 10", *VOTE),
+    "vote_evidence_codes": sql.query(
+        "SELECT sheet_id, code, kind, name, rank FROM (SELECT *, row_number() OVER (PARTITION BY sheet_id, kind ORDER BY f, name) AS rank FROM (SELECT v.sheet_id, r.disc AS code, v.kind, v.name, min(v.first) AS f "
+        "FROM voters v JOIN codes k ON v.kind = k.kind AND contains(upper(v.name), kw) JOIN ranked r ON r.sheet_id = v.sheet_id AND r.disc = k.disc AND r.rank = 1 GROUP BY ALL "
+        "UNION ALL SELECT p.sheet_id, p.code, 'layer_prefix', p.name, min(p.pos) FROM prefixed p JOIN prefix_best b ON p.sheet_id = b.sheet_id AND p.code = b.code "
+        "JOIN ranked r ON r.sheet_id = p.sheet_id AND r.disc = p.code AND r.rank = 1 GROUP BY ALL)) WHERE rank <= 8", *VOTECODES_CTES),
     "detected_disciplines": sql.query("SELECT * FROM detected", *DETECTED_CTES),
     "load_dictionaries": sql.query("SELECT dictionary, label, CAST(priority AS BIGINT) AS priority, keyword, CAST(count(*) AS BIGINT) AS entities FROM ent JOIN dict ON contains(upper(layer), upper(keyword)) GROUP BY ALL", sql.ENT, DICT),
 }

@@ -135,8 +135,10 @@ ORACLES = {
         "SELECT sheet_id, block_name AS b, 1 AS q, NULL AS l, NULL AS a FROM detail UNION ALL SELECT sheet_id, NULL, 0, layer, NULL FROM lengths "
         "UNION ALL SELECT sheet_id, NULL, 0, NULL, layer FROM areas) GROUP BY sheet_id", *TAKEOFF_CTES),
     "merge_quantities": sql.query(
-        "SELECT 'block' AS kind, block_name AS name, CAST(count(*) AS DOUBLE) AS quantity, '个' AS unit FROM detail GROUP BY block_name "
-        "UNION ALL SELECT 'length', layer, q, 'm' FROM mlen UNION ALL SELECT 'area', layer, q, 'm²' FROM marea", *TAKEOFF_CTES, MLEN, MAREA),
+        "SELECT 'block' AS kind, block_name AS name, '' AS item, CAST(count(*) AS DOUBLE) AS quantity, '个' AS unit FROM detail GROUP BY block_name "
+        "UNION ALL SELECT 'block_layer', block_name, layer, CAST(count(*) AS DOUBLE), '个' FROM detail GROUP BY block_name, layer "
+        "UNION ALL SELECT 'block_spec', block_name, spec, CAST(count(*) AS DOUBLE), '个' FROM detail GROUP BY block_name, spec "
+        "UNION ALL SELECT 'length', layer, '', q, 'm' FROM mlen UNION ALL SELECT 'area', layer, '', q, 'm²' FROM marea", *TAKEOFF_CTES, MLEN, MAREA),
     "quantity_appendix": sql.query(
         "SELECT '构件' AS category, b.block_name AS name, coalesce(s.spec, '') AS spec, CAST(b.q AS DOUBLE) AS quantity, '个' AS unit, b.source FROM "
         "(SELECT block_name, count(*) AS q, string_agg(DISTINCT layer, '、' ORDER BY layer) AS source FROM detail GROUP BY block_name) b LEFT JOIN "

@@ -47,6 +47,7 @@ QUERIES = {
     "drawing_keyword_freq": lambda s, d: t.keyword_freq(t.text_extract(adapter.entities(s, d)), "content"),
     "elevation_parse": lambda s, d: t.elevations(adapter.entities(s, d)).select("entity_id", "raw", "value"),
     "elevation_levels": lambda s, d: t.elevation_levels(adapter.entities(s, d)),
+    "elevation_list": lambda s, d: t.elevation_list(adapter.entities(s, d)),
     "frame_detect": lambda s, d: t.frame_detect(adapter.entities(s, d)).withColumn("rank", F.col("rank").cast("long")),
     "paper_guess": _paper,
     "title_zone_text": _zones,
@@ -122,6 +123,7 @@ ORACLES = {
     "elevation_parse": sql.query("SELECT entity_id, raw, value FROM elev", sql.ENT, ELEV),
     "elevation_levels": sql.query("SELECT sheet_id, count(*) AS total, count(DISTINCT value) AS level_count, count(DISTINCT value) - 1 AS intervals, max(value) AS highest, min(value) AS lowest "
                                   "FROM (SELECT DISTINCT sheet_id, raw, x0, y0, value FROM elev) GROUP BY sheet_id", sql.ENT, ELEV),
+    "elevation_list": sql.query("SELECT sheet_id, value, count(*) AS n, row_number() OVER (PARTITION BY sheet_id ORDER BY value DESC) AS rank FROM (SELECT DISTINCT sheet_id, raw, x0, y0, value FROM elev) GROUP BY sheet_id, value", sql.ENT, ELEV),
     "frame_detect": sql.query(f"SELECT sheet_id, rank, layer, CAST(w AS DOUBLE) AS width, CAST(h AS DOUBLE) AS height, CAST(area AS DOUBLE) AS area, {guess('w', 'h')} AS paper FROM "
                               "(SELECT *, row_number() OVER (PARTITION BY sheet_id ORDER BY area DESC, seq, entity_id) AS rank FROM rects) r WHERE rank <= 10", sql.ENT, RECTS, PAPEROPT),
     "paper_guess": sql.query(f"SELECT entity_id, {guess('w * 20', 'h * 20')} AS paper FROM rects r", sql.ENT, RECTS, PAPEROPT),
