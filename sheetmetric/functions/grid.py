@@ -29,6 +29,61 @@ def near_pairs(left: DataFrame, right: DataFrame, radius: float, strict: bool =
             .withColumn("dist", F.expr(f"sqrt({d2})")).drop("cx", "cy"))
 
 
+PAIR_LEVELS, FEW = 14, 64         # halvings of cells while counting; cell pairs of this many place pairs are compared at once
+
+
+def _cells(points: DataFrame, radius: float, level: int) -> DataFrame:
+    """Points with their cell at a level, of a side of 2 radius / 2^level."""
+    return points.select("*", *[F.expr(f"floor({c} * {float(1 << level)}D / {2.0 * radius}D)").alias(a) for c, a in (("x", "cx"), ("y", "cy"))])
+
+
+def cell_pairs(points: DataFrame, radius: float):
+    """Levels of the descent that ``label_pairs`` makes: (level, pairs of cells wholly within the radius, pairs to compare).
+
+    A pair (sheet_id, ax, ay, bx, by, na, nb) holds two cells and their numbers of places. It is kept whole where all
+    of its distances are below the radius, dropped where all are beyond, compared where it is small, else split.
+    """
+    filled = lambda level: _cells(points, radius, level).groupBy("sheet_id", "cx", "cy").agg(F.count("*").alias("places"))
+    end = lambda df, p, *more: df.select("sheet_id", F.col("cx").alias(f"{p}x"), F.col("cy").alias(f"{p}y"), F.col("places").alias(f"n{p}"), *more)
+    cells = cut_lineage(filled(0))
+    near = end(cells, "a").withColumn("bx", F.explode(F.expr("sequence(ax - 1, ax + 1)"))).withColumn("by", F.explode(F.expr("sequence(ay - 1, ay + 1)")))
+    pairs = near.join(end(cells, "b"), ["sheet_id", "bx", "by"])
+    for level in range(PAIR_LEVELS + 1):
+        far, close = ("pow(abs(ax - bx) + 1, 2) + pow(abs(ay - by) + 1, 2)", "pow(greatest(abs(ax - bx) - 1, 0), 2) + pow(greatest(abs(ay - by) - 1, 0), 2)")
+        pairs = cut_lineage(pairs.where(f"4 * ({close}) <= {4 ** level}").withColumn("whole", F.expr(f"4 * ({far}) < {4 ** level}")))
+        small = f"NOT whole AND {'true' if level == PAIR_LEVELS else f'na * nb <= {FEW}'}"
+        yield level, pairs.where("whole"), pairs.where(small)
+        rest = pairs.where(f"NOT whole AND NOT ({small})").drop("whole", "na", "nb")
+        if level == PAIR_LEVELS or rest.isEmpty():
+            return
+        children = cut_lineage(filled(level + 1))
+        half = lambda p: end(children, f"c{p}", F.expr("shiftright(cx, 1)").alias(f"{p}x"), F.expr("shiftright(cy, 1)").alias(f"{p}y"))
+        pairs = (rest.join(half("a"), ["sheet_id", "ax", "ay"]).join(half("b"), ["sheet_id", "bx", "by"])
+                 .selectExpr("sheet_id", "cax AS ax", "cay AS ay", "cbx AS bx", "cby AS by", "nca AS na", "ncb AS nb"))
+
+
+def label_pairs(points: DataFrame, radius: float) -> DataFrame:
+    """Number of point pairs within ``radius`` by their two labels, the smaller first: sheet_id, llabel, rlabel, pairs.
+
+    ``points``: sheet_id, x, y, label, n (one row per place and label). Pairs are counted, not listed: cells that lie
+    wholly within the radius of each other multiply their counts, and only cells at the border are split.
+    """
+    points = cut_lineage(points.where("x IS NOT NULL AND y IS NOT NULL"))
+    found = []
+    for level, whole, small in cell_pairs(points, radius):
+        at = _cells(points, radius, level)
+        inside = at.groupBy("sheet_id", "cx", "cy", "label").agg(F.sum("n").alias("n"))
+        side = lambda df, cell, p, *more: df.select("sheet_id", F.col("cx").alias(f"{cell}x"), F.col("cy").alias(f"{cell}y"), *[F.col(c).alias(p + c) for c in ("label", "n", *more)])
+        met = lambda pairs, df, *more: (pairs.join(side(df, "a", "l", *more), ["sheet_id", "ax", "ay"]).join(side(df, "b", "r", *more), ["sheet_id", "bx", "by"]).where("llabel < rlabel"))
+        if level > 1:       # no cells of the first two levels lie within the radius
+            found.append(met(whole, inside).select("sheet_id", "llabel", "rlabel", F.expr("ln * rn").alias("pairs")))
+        found.append(met(small, at, "x", "y").where(f"(lx - rx) * (lx - rx) + (ly - ry) * (ly - ry) <= {radius * radius}D").select("sheet_id", "llabel", "rlabel", F.expr("ln * rn").alias("pairs")))
+    every = found[0]
+    for part in found[1:]:
+        every = every.unionByName(part)
+    return every.groupBy("sheet_id", "llabel", "rlabel").agg(F.sum("pairs").alias("pairs"))
+
+
 LEVELS = 16                       # halvings of the radius that a search in a crowd may shrink to
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheetmetric.functions.geometry import bbox_sql
-from sheetmetric.functions.grid import near_pairs, nearest_candidates, overlapping_boxes
+from sheetmetric.functions.grid import label_pairs, near_pairs, nearest_candidates, overlapping_boxes
 from sheetmetric.functions.text import contains_any_sql, nonblank_sql, norm_sql
 from sheetmetric.model import fixed
 from sheetmetric.operators.classify import with_category
@@ -49,9 +49,9 @@ def _layer_place_pairs(entities: DataFrame, tolerance: float, k: int) -> DataFra
 
 
 def cross_layer_proximity(entities: DataFrame, tolerance: float = 3000.0) -> DataFrame:
-    """Number of close point pairs per pair of layers; copies of a place multiply, they are not paired."""
-    return _layer_place_pairs(entities, tolerance, 0).groupBy("sheet_id", F.col("llayer").alias("layer_a"), F.col("rlayer").alias("layer_b")).agg(
-        F.expr("sum(ln * rn) AS pair_count"))
+    """Number of close point pairs per pair of layers, counted by cells where these are crowded."""
+    points = layer_points(entities).groupBy("sheet_id", "x", "y", F.col("layer").alias("label")).agg(F.count("*").alias("n"))
+    return label_pairs(points, tolerance).selectExpr("sheet_id", "llabel AS layer_a", "rlabel AS layer_b", "pairs AS pair_count")
 
 
 def top_pairs_per_layer_pair(entities: DataFrame, tolerance: float = 3000.0, keep: int = 10) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from drawing import frame, row
-from sheetmetric.functions.grid import near_pairs, nearest_candidates, overlapping_boxes
+from sheetmetric.functions.grid import cell_pairs, label_pairs, near_pairs, nearest_candidates, overlapping_boxes
 from sheetmetric.operators import catalog, graph, places, spaces, spatial
 
 
@@ -24,6 +24,24 @@ def test_near_pairs(spark, seed):
     assert strict == [p for p in want if p not in ((1000, 1001), (1001, 1000))]
 
 
+@pytest.mark.parametrize("spread", [30.0, 150.0, 4000.0])
+def test_pairs_are_counted_without_being_listed(spark, spread):
+    """Crowds and scattered places equal brute force; in a crowd far fewer pairs of cells and places are met than there are."""
+    draw = np.random.default_rng(6)
+    n = 3000
+    x, y = (np.concatenate([draw.normal(0, spread, n), draw.integers(-3, 4, 300) * 50.0]) for _ in range(2))
+    label = draw.integers(0, 4, len(x))
+    data = pd.DataFrame({"sheet_id": 1, "x": x, "y": y, "label": [f"L{v}" for v in label]}).groupby(["sheet_id", "x", "y", "label"]).size().reset_index(name="n")
+    points = spark.createDataFrame(data).repartition(3).cache()
+    got = {(r.llabel, r.rlabel): r.pairs for r in label_pairs(points, 100.0).collect()}
+    close = (x[:, None] - x) ** 2 + (y[:, None] - y) ** 2 <= 10_000
+    want = {(f"L{a}", f"L{b}"): int(close[np.ix_(label == a, label == b)].sum()) for a in range(4) for b in range(a + 1, 4)}
+    assert got == {k: v for k, v in want.items() if v}
+    met = sum(whole.count() + (small.selectExpr("sum(na * nb)").first()[0] or 0) for _, whole, small in cell_pairs(points, 100.0))
+    if spread < 1000:       # the denser the crowd, the more is counted in whole cells
+        assert met < int(close.sum()) / (4 if spread < 100 else 1)
+
+
 @pytest.mark.parametrize("seed", [3, 4])
 def test_overlapping_boxes(spark, seed):
     rnd = random.Random(seed)
