@@ -20,6 +20,7 @@ from sheetmetric.operators.spatial import keep_first
 from sheetmetric.session import cut_lineage
 
 EDGE = ["ux", "uy", "vx", "vy"]
+BOX = ["xmin", "ymin", "xmax", "ymax"]
 
 
 def wall_segments(entities: DataFrame) -> DataFrame:
@@ -36,30 +37,47 @@ def snap_points(segments: DataFrame, tolerance: float = 50.0) -> DataFrame:
     """Node of every segment end: (sheet_id, x, y, nx, ny).
 
     Ends are taken in drawing order; an end joins the earliest node within the tolerance, else
-    becomes a node.  Decided in rounds: an end is a node once all its earlier neighbours are
-    known to be none.  Equal ends collapse first; drawings whose ends meet exactly need no round.
+    becomes a node.  Equal ends collapse first; drawings whose ends meet exactly need no round.
     """
     ends = segments.selectExpr("sheet_id", "inline(array(named_struct('x', ax, 'y', ay, 'k', struct(seq, entity_id, pos, 0)), named_struct('x', bx, 'y', by, 'k', struct(seq, entity_id, pos, 1))))")
-    points = cut_lineage(ends.groupBy("sheet_id", "x", "y").agg(F.min("k").alias("k")))
-    at = ["sheet_id", "lx", "ly"]
-    earlier = near_pairs(points.selectExpr("sheet_id", "x AS lx", "y AS ly", "k AS lk"), points.selectExpr("sheet_id", "x AS rx", "y AS ry", "k AS rk"), tolerance).where("rk < lk")
-    earlier = cut_lineage(earlier.select(*at, "rx", "ry", "rk"))
-    mine = points.selectExpr("sheet_id", "x", "y", "x AS nx", "y AS ny")
+    points = cut_lineage(ends.groupBy("sheet_id", "x", "y").agg(F.min("k").alias("k")).withColumn("id", F.monotonically_increasing_id()))
+    near = near_pairs(points.selectExpr("sheet_id", "x AS lx", "y AS ly", "id", "k AS lk"), points.selectExpr("sheet_id", "x AS rx", "y AS ry", "id AS other", "k AS rk"), tolerance)
+    earlier = cut_lineage(near.where("rk < lk").select("id", "other", "rx", "ry", "rk"))
+    mine = points.selectExpr("sheet_id", "x", "y", "id")
     if earlier.isEmpty():
-        return mine
-    waiting = earlier.select(*at).distinct()
-    state = cut_lineage(points.selectExpr("sheet_id", "x AS lx", "y AS ly").join(waiting, at, "left").join(
-        waiting.withColumn("w", F.lit(True)), at, "left").selectExpr(*at, "CASE WHEN w IS NULL THEN 'node' ELSE 'open' END AS s"))
-    while not state.where("s = 'open'").isEmpty():
-        known = earlier.join(state.selectExpr("sheet_id", "lx AS rx", "ly AS ry", "s AS rs"), ["sheet_id", "rx", "ry"])
-        votes = known.groupBy(*at).agg(F.expr("bool_or(rs = 'node') AS joins"), F.expr("bool_or(rs = 'open') AS undecided"))
-        state = cut_lineage(state.join(votes, at, "left").selectExpr(
-            *at, "CASE WHEN s <> 'open' THEN s WHEN joins THEN 'joined' WHEN undecided THEN 'open' ELSE 'node' END AS s"))
-    nodes = state.where("s = 'node'").selectExpr("sheet_id", "lx AS rx", "ly AS ry")
-    joined = (earlier.join(nodes, ["sheet_id", "rx", "ry"], "left_semi").join(state.where("s = 'joined'").select(*at), at, "left_semi")
-              .groupBy(*at).agg(F.expr("min_by(struct(rx, ry), rk) AS n")))
-    return mine.join(joined.selectExpr("sheet_id", "lx AS x", "ly AS y", "n"), ["sheet_id", "x", "y"], "left").selectExpr(
-        "sheet_id", "x", "y", "coalesce(n.rx, nx) AS nx", "coalesce(n.ry, ny) AS ny")
+        return mine.selectExpr("sheet_id", "x", "y", "x AS nx", "y AS ny")
+    nodes = greedy_nodes(points, earlier).selectExpr("id AS other")
+    joined = earlier.join(nodes, "other", "left_semi").groupBy("id").agg(F.expr("min_by(struct(rx, ry), rk) AS n"))
+    return mine.join(joined, "id", "left").selectExpr("sheet_id", "x", "y", "coalesce(n.rx, x) AS nx", "coalesce(n.ry, y) AS ny")
+
+
+def greedy_nodes(points: DataFrame, earlier: DataFrame) -> DataFrame:
+    """Points (id) that become nodes when taken in order; ``earlier``: (id, other), the earlier neighbours of each.
+
+    A point is a node if none of its earlier neighbours is.  What is known of a point is a term: a constant (``root``
+    null, ``flip`` its value), or whether an earlier point ``root`` is a node, turned round by ``flip``.  In a round
+    every point that stands for itself puts the terms of its neighbours together: a node, or both sides of one root,
+    joins it; nothing left makes it a node; one term left makes it the opposite of that.  Then each term goes on to
+    its root's, twice as far with every round, so chains of points that only follow each other end in a number of
+    rounds that grows with the logarithm of their length.  Where points have several undecided neighbours, rounds
+    grow with the depth of such decisions.
+    """
+    waiting = earlier.select("id").distinct().withColumn("w", F.lit(True))
+    terms = cut_lineage(points.select("id").join(waiting, "id", "left").selectExpr("id", "CASE WHEN w THEN id END AS root", "w IS NULL AS flip"))
+    while not terms.where("root IS NOT NULL").isEmpty():
+        known = terms.selectExpr("id AS other", "root", "flip")
+        seen = earlier.select("id", "other").join(terms.where("root = id").select("id"), "id", "left_semi").join(known, "other")
+        sides = seen.groupBy("id", "root").agg(F.expr("bool_or(flip) AS yes"), F.expr("bool_or(NOT flip) AS no"))
+        met = sides.groupBy("id").agg(F.expr("bool_or(yes AND (root IS NULL OR no)) AS joins"), F.count("root").alias("roots"),
+                                      F.min("root").alias("only"), F.expr("bool_or(yes) FILTER (WHERE root IS NOT NULL) AS turned"))
+        news = met.selectExpr("id", "CASE WHEN joins OR roots = 0 THEN NULL WHEN roots = 1 THEN only ELSE id END AS to",
+                              "CASE WHEN joins OR roots > 1 THEN false WHEN roots = 0 THEN true ELSE NOT turned END AS turn")
+        stated = terms.join(news, "id", "left").selectExpr("id", "CASE WHEN turn IS NULL THEN root ELSE to END AS root", "coalesce(turn, flip) AS flip")
+        # a constant has no root: it asks under a number of its own, so that constants do not meet in one task
+        ahead = stated.selectExpr("id AS ask", "root AS root2", "flip AS flip2")
+        terms = cut_lineage(stated.withColumn("ask", F.expr("coalesce(root, -1 - id)")).join(ahead, "ask", "left").selectExpr(
+            "id", "root2 AS root", "CASE WHEN root IS NULL THEN flip ELSE flip <> flip2 END AS flip"))
+    return terms.where("flip").select("id")
 
 
 def wall_edges(segments: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -108,12 +126,6 @@ def detect_spaces(entities: DataFrame, tolerance: float = 50.0) -> DataFrame:
     return found.withColumn("area_m2", F.when(F.col("area") > 1e5, half_up(F.col("area") / 1e6, 3)).otherwise(half_up(F.col("area"), 3))).drop("twice")
 
 
-def inside_sql(x: str, y: str, edges: str) -> str:
-    """Even-odd test over the outline's edges, in any order."""
-    crosses = f"((e.vy > {y}) <> (e.uy > {y})) AND {x} < (e.ux - e.vx) * ({y} - e.vy) / (e.uy - e.vy + 1e-12D) + e.vx"
-    return f"aggregate({edges}, false, (inside, e) -> inside <> ({crosses}))"
-
-
 def in_boxes(points: DataFrame, spaces: DataFrame) -> DataFrame:
     """Points (sheet_id, x, y, ...) with every space whose box holds them."""
     left = points.selectExpr("*", "x AS lxmin", "y AS lymin", "x AS lxmax", "y AS lymax")
@@ -121,12 +133,40 @@ def in_boxes(points: DataFrame, spaces: DataFrame) -> DataFrame:
     return overlapping_boxes(left, right)
 
 
+MOST_SLABS = 64                   # of one room; a room of n edges has about sqrt(n)
+SLABS = f"least({MOST_SLABS}, CAST(ceil(sqrt(vertex_count)) AS INT))"
+
+
+def slab_sql(y: str, low: str = "ymin", high: str = "ymax") -> str:
+    """Which of the ``slabs`` horizontal slabs of a room's box holds the height; never falls while the height grows."""
+    return f"CAST(greatest(0, least(slabs - 1, floor(({y} - {low}) * slabs / ({high} - {low})))) AS INT)"
+
+
+def slab_edges(spaces: DataFrame) -> DataFrame:
+    """Outline edges (sheet_id, space_id, slab, ux, uy, vx, vy), each in every slab that its heights touch; level ones cross nothing."""
+    edges = spaces.selectExpr("sheet_id", "space_id", "ymin", "ymax", f"{SLABS} AS slabs", "inline(edges)").where("uy <> vy")
+    return edges.selectExpr("sheet_id", "space_id", f"explode(sequence({slab_sql('least(uy, vy)')}, {slab_sql('greatest(uy, vy)')})) AS slab", *EDGE)
+
+
+def inside_spaces(points: DataFrame, spaces: DataFrame) -> DataFrame:
+    """Points (sheet_id, x, y; distinct) with every space whose box holds them, and whether its outline does (``inside``).
+
+    Even-odd test: a point meets the outline's edges in its own slab only, and they are counted, never gathered.
+    """
+    found = in_boxes(points.select("sheet_id", "x", "y"), spaces.selectExpr("sheet_id", "space_id", "xmin", "ymin", "xmax", "ymax", f"{SLABS} AS slabs"))
+    asked = found.selectExpr("sheet_id", "x", "y", "space_id", f"{slab_sql('y', 'rymin', 'rymax')} AS slab")
+    crosses = "((vy > y) <> (uy > y)) AND x < (ux - vx) * (y - vy) / (uy - vy + 1e-12D) + vx"
+    return asked.join(slab_edges(spaces), ["sheet_id", "space_id", "slab"], "left").groupBy("sheet_id", "x", "y", "space_id").agg(
+        F.expr(f"count_if({crosses}) % 2 = 1 AS inside"))
+
+
 def component_space(entities: DataFrame, spaces: DataFrame) -> DataFrame:
-    """Space of every block reference: the largest one containing its point."""
-    places = entities.where("dxf_type = 'INSERT'").selectExpr("sheet_id", "points[0].x AS x", "points[0].y AS y").distinct()
-    inside = in_boxes(places, spaces.select("sheet_id", "space_id", "area", "xmin", "ymin", "xmax", "ymax", "edges")).where(inside_sql("x", "y", "edges"))
-    best = inside.groupBy("sheet_id", "x", "y").agg(F.expr("min(struct(-area, space_id)).space_id AS space_id"))
+    """Space of every block reference: the largest one containing its point, of equal ones the lowest at the left."""
     inserts = entities.where("dxf_type = 'INSERT'").selectExpr("sheet_id", "seq", "entity_id", "block_name", "points[0].x AS x", "points[0].y AS y")
+    inside = inside_spaces(inserts.select("sheet_id", "x", "y").distinct(), spaces).where("inside")
+    order = "struct(-area, xmin, ymin, xmax, ymax, space_id)"
+    best = inside.join(spaces.select("sheet_id", "space_id", "area", *BOX), ["sheet_id", "space_id"]).groupBy("sheet_id", "x", "y").agg(
+        F.expr(f"min({order}).space_id AS space_id"))
     return inserts.join(best, ["sheet_id", "x", "y"], "left")
 
 

@@ -15,11 +15,34 @@ def wide_spaces(spark, sf):
     """Rooms drawn twenty times larger from their lower left corner, so that they hold components."""
     grow = lambda c, low: f"{low} + ({c} - {low}) * 20 AS {c}"
     edges = "transform(edges, e -> named_struct('ux', xmin + (e.ux - xmin) * 20, 'uy', ymin + (e.uy - ymin) * 20, 'vx', xmin + (e.vx - xmin) * 20, 'vy', ymin + (e.vy - ymin) * 20)) AS edges"
-    return cut_lineage(spaces(spark, sf).selectExpr("sheet_id", "space_id", "area * 400 AS area", "xmin", "ymin", grow("xmax", "xmin"), grow("ymax", "ymin"), edges))
+    return cut_lineage(spaces(spark, sf).selectExpr("sheet_id", "space_id", "area * 400 AS area", "vertex_count", "xmin", "ymin", grow("xmax", "xmin"), grow("ymax", "ymin"), edges))
 
 
-def assigned(spark, sf):
-    return sp.component_space(adapter.entities(spark, sf), wide_spaces(spark, sf))
+ROOM = ["area", "xmin", "ymin"]
+
+
+def assigned(spark, sf, rooms=None):
+    return sp.component_space(adapter.entities(spark, sf), rooms or wide_spaces(spark, sf))
+
+
+def with_room(found, rooms, how="inner"):
+    """Rows with area and lower left corner of their room, in place of its key."""
+    return found.join(rooms.select("sheet_id", "space_id", *ROOM), ["sheet_id", "space_id"], how)
+
+
+def _owners(spark, sf):
+    rooms = wide_spaces(spark, sf)
+    return with_room(assigned(spark, sf, rooms).where("space_id IS NOT NULL"), rooms).select("entity_id", "block_name", "sheet_id", *ROOM)
+
+
+def _names(spark, sf):
+    rooms = wide_spaces(spark, sf)
+    return with_room(sp.space_name(adapter.entities(spark, sf), rooms), rooms).select("sheet_id", "name", *ROOM)
+
+
+def _report(spark, sf):
+    rooms = wide_spaces(spark, sf)
+    return with_room(sp.space_report(assigned(spark, sf, rooms)), rooms).selectExpr("sheet_id", "block_name", "n", "components", "CAST(rank AS BIGINT) AS rank", *ROOM)
 
 
 def _segments(spark, sf):
@@ -28,20 +51,21 @@ def _segments(spark, sf):
 
 def _pip(spark, sf):
     """Points of block references tested against the outline of every room of their sheet whose box holds them."""
+    rooms = wide_spaces(spark, sf)
     places = adapter.entities(spark, sf).where("dxf_type = 'INSERT'").selectExpr("sheet_id", "entity_id", "points[0].x AS x", "points[0].y AS y")
-    found = sp.in_boxes(places, wide_spaces(spark, sf))
-    return found.selectExpr("entity_id", "space_id", f"{sp.inside_sql('x', 'y', 'edges')} AS inside")
+    tested = sp.inside_spaces(places.select("sheet_id", "x", "y").distinct(), rooms)
+    return with_room(places.join(tested, ["sheet_id", "x", "y"]), rooms).select("entity_id", "inside", *ROOM)
 
 
 QUERIES = {
     "wall_segments": _segments,
     "snap_points": lambda s, d: sp.snap_points(sp.wall_segments(adapter.entities(s, d)), 120.0),
     "detect_spaces": lambda s, d: spaces(s, d).select("sheet_id", "area", "area_m2", "vertex_count", "xmin", "ymin", "xmax", "ymax"),
-    "point_in_polygon": lambda s, d: _pip(s, d).select("entity_id", "inside"),
-    "component_space": lambda s, d: assigned(s, d).where("space_id IS NOT NULL").select("entity_id", "block_name", "sheet_id"),
+    "point_in_polygon": _pip,
+    "component_space": _owners,
     "component_unassigned": lambda s, d: sp.component_unassigned(assigned(s, d)).withColumn("rank", F.col("rank").cast("long")),
-    "space_name": lambda s, d: sp.space_name(adapter.entities(s, d), wide_spaces(s, d)).select("sheet_id", "name"),
-    "space_report": lambda s, d: sp.space_report(assigned(s, d)).selectExpr("sheet_id", "block_name", "n", "components", "CAST(rank AS BIGINT) AS rank"),
+    "space_name": _names,
+    "space_report": _report,
     "space_totals": lambda s, d: sp.space_totals(spaces(s, d)),
 }
 
@@ -61,9 +85,9 @@ FACES = ("he AS (SELECT DISTINCT * FROM (SELECT sheet_id, ax AS ux, ay AS uy, bx
          "FROM border GROUP BY ALL HAVING sum(ux * vy - vx * uy) >= 2 AND count(*) >= 3)")
 WIDE = ("wrooms AS MATERIALIZED (SELECT sheet_id, face, area * 400 AS area, xmin, ymin, xmin + (xmax - xmin) * 20 AS xmax, ymin + (ymax - ymin) * 20 AS ymax FROM rooms), "
         "wborder AS MATERIALIZED (SELECT b.sheet_id, b.face, xmin + (b.ux - xmin) * 20 AS ux, ymin + (b.uy - ymin) * 20 AS uy, xmin + (b.vx - xmin) * 20 AS vx, ymin + (b.vy - ymin) * 20 AS vy FROM border b JOIN wrooms r ON b.sheet_id = r.sheet_id AND b.face = r.face)")
-INSIDE = (WIDE + ", tests AS MATERIALIZED (SELECT e.sheet_id, e.entity_id, e.seq, e.block_name, r.face, r.area, count(*) FILTER (WHERE (b.vy > e.y0) <> (b.uy > e.y0) AND e.x0 < (b.ux - b.vx) * (e.y0 - b.vy) / (b.uy - b.vy + 1e-12) + b.vx) % 2 = 1 AS inside "
+INSIDE = (WIDE + ", tests AS MATERIALIZED (SELECT e.sheet_id, e.entity_id, e.seq, e.block_name, r.face, r.area, r.xmin, r.ymin, r.xmax, r.ymax, count(*) FILTER (WHERE (b.vy > e.y0) <> (b.uy > e.y0) AND e.x0 < (b.ux - b.vx) * (e.y0 - b.vy) / (b.uy - b.vy + 1e-12) + b.vx) % 2 = 1 AS inside "
           "FROM ent e JOIN wrooms r ON e.sheet_id = r.sheet_id AND e.dxf_type = 'INSERT' AND e.x0 BETWEEN r.xmin AND r.xmax AND e.y0 BETWEEN r.ymin AND r.ymax JOIN wborder b ON b.sheet_id = r.sheet_id AND b.face = r.face GROUP BY ALL), "
-          "owner AS (SELECT sheet_id, entity_id, block_name, seq, face FROM tests WHERE inside QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY area DESC, face) = 1)")
+          "owner AS (SELECT sheet_id, entity_id, block_name, seq, face, area, xmin, ymin FROM tests WHERE inside QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY area DESC, xmin, ymin, xmax, ymax, face) = 1)")
 CTES = [sql.ENT, SEGS, FACES, INSIDE]
 NODES = ("pts AS (SELECT sheet_id, x, y, row_number() OVER (PARTITION BY sheet_id ORDER BY min(k)) AS o FROM (SELECT sheet_id, ax AS x, ay AS y, (seq, entity_id, pos, 0) AS k FROM segs UNION ALL SELECT sheet_id, bx, by_, (seq, entity_id, pos, 1) FROM segs) GROUP BY sheet_id, x, y), "
          "greedy AS (SELECT sheet_id, 1::BIGINT AS step, [{'x': x, 'y': y}] AS leaders FROM pts WHERE o = 1 UNION ALL SELECT g.sheet_id, g.step + 1, CASE WHEN len([l FOR l IN g.leaders IF (l.x - p.x) * (l.x - p.x) + (l.y - p.y) * (l.y - p.y) <= 14400]) > 0 THEN g.leaders "
@@ -75,11 +99,11 @@ ORACLES = {
     "wall_segments": sql.query("SELECT entity_id, CAST(pos AS BIGINT) AS pos, CAST(ax AS DOUBLE) AS ax, CAST(ay AS DOUBLE) AS ay, CAST(bx AS DOUBLE) AS bx, CAST(by_ AS DOUBLE) AS by_ FROM segs", sql.ENT, SEGS),
     "snap_points": sql.query("SELECT sheet_id, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(nx AS DOUBLE) AS nx, CAST(ny AS DOUBLE) AS ny FROM snapped", sql.ENT, SEGS, NODES, recursive=True),
     "detect_spaces": sql.query(f"SELECT sheet_id, area, CASE WHEN area > 1e5 THEN {sql.rnd('area / 1e6', 3)} ELSE area END AS area_m2, vertex_count, xmin, ymin, xmax, ymax FROM rooms", *CTES[:3], recursive=True),
-    "point_in_polygon": sql.query("SELECT entity_id, inside FROM tests", *CTES, recursive=True),
-    "component_space": sql.query("SELECT entity_id, block_name, sheet_id FROM owner", *CTES, recursive=True),
+    "point_in_polygon": sql.query("SELECT entity_id, inside, area, xmin, ymin FROM tests", *CTES, recursive=True),
+    "component_space": sql.query("SELECT entity_id, block_name, sheet_id, area, xmin, ymin FROM owner", *CTES, recursive=True),
     "component_unassigned": sql.query("SELECT sheet_id, entity_id, block_name, row_number() OVER (PARTITION BY sheet_id ORDER BY seq, entity_id) AS rank, count(*) OVER (PARTITION BY sheet_id) AS unassigned FROM ent WHERE dxf_type = 'INSERT' AND entity_id NOT IN (SELECT entity_id FROM owner) QUALIFY rank <= 20", *CTES, recursive=True),
-    "space_name": sql.query(f"SELECT r.sheet_id, coalesce(arg_min(trim(t.label_text), (t.seq, t.entity_id)), '') AS name FROM wrooms r LEFT JOIN (SELECT * FROM ent WHERE {USABLE}) t ON r.sheet_id = t.sheet_id AND t.x0 BETWEEN r.xmin AND r.xmax AND t.y0 BETWEEN r.ymin AND r.ymax GROUP BY r.sheet_id, r.face", *CTES, recursive=True),
-    "space_report": sql.query("SELECT sheet_id, block_name, n, components, rank FROM (SELECT sheet_id, face, block_name, n, CAST(sum(n) OVER (PARTITION BY sheet_id, face) AS BIGINT) AS components, row_number() OVER (PARTITION BY sheet_id, face ORDER BY n DESC, block_name) AS rank FROM "
-                              "(SELECT sheet_id, face, block_name, count(*) AS n FROM owner GROUP BY ALL)) WHERE rank <= 3", *CTES, recursive=True),
+    "space_name": sql.query(f"SELECT r.sheet_id, coalesce(arg_min(trim(t.label_text), (t.seq, t.entity_id)), '') AS name, r.area, r.xmin, r.ymin FROM wrooms r LEFT JOIN (SELECT * FROM ent WHERE {USABLE}) t ON r.sheet_id = t.sheet_id AND t.x0 BETWEEN r.xmin AND r.xmax AND t.y0 BETWEEN r.ymin AND r.ymax GROUP BY r.sheet_id, r.face, r.area, r.xmin, r.ymin", *CTES, recursive=True),
+    "space_report": sql.query("SELECT sheet_id, block_name, n, components, rank, area, xmin, ymin FROM (SELECT sheet_id, face, area, xmin, ymin, block_name, n, CAST(sum(n) OVER (PARTITION BY sheet_id, face) AS BIGINT) AS components, row_number() OVER (PARTITION BY sheet_id, face ORDER BY n DESC, block_name) AS rank FROM "
+                              "(SELECT sheet_id, face, area, xmin, ymin, block_name, count(*) AS n FROM owner GROUP BY ALL)) WHERE rank <= 3", *CTES, recursive=True),
     "space_totals": sql.query("SELECT sheet_id, count(*) AS space_count, sum(area) AS total_area FROM rooms GROUP BY sheet_id", *CTES[:3], recursive=True),
 }

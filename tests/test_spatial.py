@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from drawing import frame, row
 from sheetmetric.functions.grid import cell_pairs, label_pairs, near_pairs, nearest_candidates, overlapping_boxes
+from sheetmetric.session import cut_lineage
 from sheetmetric.operators import catalog, graph, places, spaces, spatial
 
 
@@ -212,3 +213,53 @@ def test_snapping_is_greedy_in_drawing_order(spark, seed):
                 hit = p
             want.setdefault(p, hit)
     assert {(r.x, r.y): (r.nx, r.ny) for r in spaces.snap_points(df).collect()} == want
+
+
+def _ends(spark, xs):
+    """Short walls whose first ends stand at the given places, in drawing order; second ends far from all others."""
+    rows = [(1, i, f"e{i:06d}", 0, float(x), 0.0, float(x), 1e6 + 1000.0 * i) for i, x in enumerate(xs)]
+    return spark.createDataFrame(rows, "sheet_id BIGINT, seq BIGINT, entity_id STRING, pos INT, ax DOUBLE, ay DOUBLE, bx DOUBLE, by DOUBLE")
+
+
+def test_snapping_follows_long_chains_in_few_rounds(spark, monkeypatch):
+    """10,000 ends that each meet only the one before: every second is a node, found in at most 20 rounds."""
+    cuts = []
+    monkeypatch.setattr(spaces, "cut_lineage", lambda df: cuts.append(1) or cut_lineage(df))
+    snapped = spaces.snap_points(_ends(spark, range(0, 400_000, 40))).where("y = 0")
+    got = snapped.selectExpr("count(*) AS n", "count_if(nx = x AND x % 80 = 0) AS nodes", "count_if(nx = x - 40 AND x % 80 = 40) AS joined").first()
+    assert (got.n, got.nodes, got.joined) == (10_000, 5_000, 5_000)
+    assert len(cuts) <= 3 + 20
+
+
+@pytest.mark.parametrize("seed,step", [(1, 10), (2, 25), (3, 60)])
+def test_snapping_of_shuffled_rows_is_greedy(spark, seed, step):
+    """Ends on a line in random drawing order, with several neighbours each, and repeated ends."""
+    xs = [i * step for i in range(120)] + [0, step, 5 * step]
+    random.Random(seed).shuffle(xs)
+    nodes, want = [], {}
+    for x in xs:
+        want.setdefault(x, next((n for n in nodes if abs(n - x) <= 50), x))
+        if want[x] == x and x not in nodes:
+            nodes.append(x)
+    assert {r.x: r.nx for r in spaces.snap_points(_ends(spark, xs)).where("y = 0").collect()} == want
+
+
+def test_points_in_outlines_by_slabs(spark):
+    """Random star-shaped outlines against a plain even-odd test; edges are joined by slab and nothing is gathered."""
+    rnd = random.Random(5)
+    rooms, points = [], [(1, rnd.uniform(-50, 450), rnd.uniform(-50, 450)) for _ in range(200)]
+    for k, n in enumerate((3, 4, 40, 900)):
+        ring = [(200 + rnd.uniform(50, 200) * math.cos(2 * math.pi * i / n), 200 + rnd.uniform(50, 200) * math.sin(2 * math.pi * i / n)) for i in range(n)]
+        points += [(1, *ring[0]), (1, ring[1][0], ring[0][1])]
+        rooms.append((1, f"r{k}", n, *(f(p[i] for p in ring) for f, i in ((min, 0), (min, 1), (max, 0), (max, 1))), [(*p, *q) for p, q in zip(ring, ring[1:] + ring[:1])]))
+    df = spark.createDataFrame(rooms, "sheet_id BIGINT, space_id STRING, vertex_count BIGINT, xmin DOUBLE, ymin DOUBLE, xmax DOUBLE, ymax DOUBLE, edges ARRAY<STRUCT<ux: DOUBLE, uy: DOUBLE, vx: DOUBLE, vy: DOUBLE>>")
+    want = set()
+    for _, x, y in points:
+        for _, name, _, x0, y0, x1, y1, edges in rooms:
+            if x0 <= x <= x1 and y0 <= y <= y1:
+                odd = sum((e[3] > y) != (e[1] > y) and x < (e[0] - e[2]) * (y - e[3]) / (e[1] - e[3] + 1e-12) + e[2] for e in edges) % 2 == 1
+                want.add((x, y, name, odd))
+    tested = spaces.inside_spaces(spark.createDataFrame(points, "sheet_id BIGINT, x DOUBLE, y DOUBLE").distinct(), df)
+    assert {(r.x, r.y, r.space_id, r.inside) for r in tested.collect()} == want
+    assert max(r.n for r in spaces.slab_edges(df).groupBy("space_id", "slab").count().withColumnRenamed("count", "n").collect()) < 900 / 3
+    assert spaces.inside_spaces(spark.createDataFrame([], "sheet_id BIGINT, x DOUBLE, y DOUBLE"), df).isEmpty()
