@@ -39,20 +39,33 @@ def user_blocks(blocks: DataFrame) -> DataFrame:
     return blocks.where(USER_BLOCK)
 
 
-def block_usage(entities: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Insertions per block with the number of layers used, attributed references, and whether it is defined."""
-    per_layer = entities.where("dxf_type = 'INSERT'").groupBy("sheet_id", "block_name", "layer").agg(
-        F.count("*").alias("n"), F.expr("count_if(size(attribs) > 0) AS with_attribs"))
-    usage = per_layer.groupBy("sheet_id", "block_name").agg(F.sum("n").alias("insert_count"), F.count("*").alias("n_layers"), F.sum("with_attribs").alias("with_attribs"))
-    defined = blocks.select("sheet_id", "block_name", F.lit(True).alias("d"))
+def block_references(entities: DataFrame, keep: int) -> DataFrame:
+    """References per block: number (``n``), layers with counts, attributed ones, keys of the first attributed one and the first ``keep`` attribute sets."""
+    named = entities.where("dxf_type = 'INSERT'").withColumn("block_name", F.expr("coalesce(block_name, 'UNKNOWN')"))
+    per_layer = named.groupBy("sheet_id", "block_name", "layer").agg(F.count("*").alias("n"), F.expr("count_if(size(attribs) > 0) AS with_attribs"))
+    usage = per_layer.groupBy("sheet_id", "block_name").agg(
+        F.sum("n").alias("n"), F.count("*").alias("n_layers"), F.sum("with_attribs").alias("with_attribs"),
+        F.expr("array_join(transform(array_sort(collect_list(struct(layer, n))), t -> concat(t.layer, '×', CAST(t.n AS STRING))), '；') AS layers"))
+    # at most ``keep`` rows of a block
+    samples = block_samples(named, keep).groupBy("sheet_id", "block_name").agg(
+        F.expr("min_by(attribute_keys, rank) AS attribute_keys"),
+        F.expr("array_join(transform(array_sort(collect_list(struct(rank, attributes))), r -> r.attributes), ' | ') AS attribute_samples"))
+    return usage.join(samples, ["sheet_id", "block_name"], "left").na.fill("", ["attribute_keys", "attribute_samples"])
+
+
+def block_usage(entities: DataFrame, blocks: DataFrame, keep: int = 5) -> DataFrame:
+    """Insertions per block with the layers used, attributed references and the first of their attribute sets, and whether it is defined."""
+    defined = blocks.select("sheet_id", "block_name", F.lit(True).alias("d")).distinct()
+    usage = block_references(entities, keep).withColumnRenamed("n", "insert_count").drop("attribute_keys")
     return usage.join(defined, ["sheet_id", "block_name"], "left").withColumn("defined", F.expr("coalesce(d, false)")).drop("d")
 
 
 def block_samples(entities: DataFrame, keep: int = 5) -> DataFrame:
-    """First attribute sets of every block."""
+    """First attribute sets of every block, and their keys."""
     rows = entities.where("dxf_type = 'INSERT' AND size(attribs) > 0")
     best = keep_first(rows.select("sheet_id", "block_name", "seq", "entity_id", "attribs"), ["sheet_id", "block_name"], ["seq", "entity_id"], keep)
-    return best.selectExpr("sheet_id", "block_name", "rank", "array_join(transform(array_sort(map_entries(attribs)), e -> concat(e.key, '=', e.value)), '；') AS attributes")
+    return best.selectExpr("sheet_id", "block_name", "rank", "array_join(transform(array_sort(map_entries(attribs)), e -> concat(e.key, '=', e.value)), '；') AS attributes",
+                           "array_join(array_sort(map_keys(attribs)), '；') AS attribute_keys")
 
 
 def dimension_kinds(dimensions: DataFrame) -> DataFrame:

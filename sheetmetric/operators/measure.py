@@ -65,20 +65,16 @@ def first_layer_of_block(detail: DataFrame, keys=("sheet_id", "block_name")) ->
     return detail.groupBy(*keys).agg(F.min_by("layer", "first").alias("first_layer"))
 
 
-def _length_rows(entities: DataFrame) -> DataFrame:
-    return entities.where(F.col("dxf_type").isin("LINE", "LWPOLYLINE", "ARC", "CIRCLE", "SPLINE"))
-
-
-def _area_rows(entities: DataFrame) -> DataFrame:
-    return entities.where(F.col("dxf_type").isin("LWPOLYLINE", "POLYLINE", "HATCH"))
+IS_LENGTH = "dxf_type IN ('LINE', 'LWPOLYLINE', 'ARC', 'CIRCLE', 'SPLINE')"
+IS_AREA = "dxf_type IN ('LWPOLYLINE', 'POLYLINE', 'HATCH')"
 
 
 def _raw_lengths(entities: DataFrame) -> DataFrame:
-    return _length_rows(entities).groupBy("sheet_id", "layer").agg(exact_sum(F.expr(LENGTH)).alias("raw"))
+    return entities.where(IS_LENGTH).groupBy("sheet_id", "layer").agg(exact_sum(F.expr(LENGTH)).alias("raw"))
 
 
 def _raw_areas(entities: DataFrame) -> DataFrame:
-    return _area_rows(entities).groupBy("sheet_id", "layer").agg(exact_sum(F.expr(AREA)).alias("raw"))
+    return entities.where(IS_AREA).groupBy("sheet_id", "layer").agg(exact_sum(F.expr(AREA)).alias("raw"))
 
 
 def _measured(raw: DataFrame) -> DataFrame:
@@ -101,9 +97,8 @@ def layer_area(entities: DataFrame, factors: DataFrame) -> DataFrame:
 
 def layer_measures(entities: DataFrame, factors: DataFrame) -> DataFrame:
     """Length and area of every measurable layer in one pass, null where there is none."""
-    is_length, is_area = "dxf_type IN ('LINE', 'LWPOLYLINE', 'ARC', 'CIRCLE', 'SPLINE')", "dxf_type IN ('LWPOLYLINE', 'POLYLINE', 'HATCH')"
-    sums = entities.where(f"{is_length} OR {is_area}").groupBy("sheet_id", "layer").agg(
-        exact_sum(F.expr(f"CASE WHEN {is_length} THEN {LENGTH} END")).alias("length"), exact_sum(F.expr(f"CASE WHEN {is_area} THEN {AREA} END")).alias("area"))
+    sums = entities.where(f"{IS_LENGTH} OR {IS_AREA}").groupBy("sheet_id", "layer").agg(
+        exact_sum(F.expr(f"CASE WHEN {IS_LENGTH} THEN {LENGTH} END")).alias("length"), exact_sum(F.expr(f"CASE WHEN {IS_AREA} THEN {AREA} END")).alias("area"))
     factor = F.col("factor_to_mm")
     return sums.where((layer_role() == "MEASURABLE") & F.expr("length > 0 OR area > 0")).join(factors, "sheet_id").select(
         "sheet_id", "layer", F.when(F.col("length") > 0, half_up(F.col("length").cast("double") * factor, 2)).alias("total_length_mm"),
@@ -118,24 +113,20 @@ def role_stats(entities: DataFrame) -> DataFrame:
 
 def measure_audit(entities: DataFrame, calibration: DataFrame) -> DataFrame:
     """What was not measured and why: excluded and unclassified layers, pending scale evidence, values that no exact sum holds."""
-    per_layer = (entities.groupBy("sheet_id", "layer").agg(F.count("*").alias("n"))
-                 .withColumn("role", layer_role()))
-    skipped = per_layer.where(F.col("role").isin(fixed.EXCLUDED_ROLES + ["UNKNOWN"])).select(
-        "sheet_id", F.when(F.col("role") == "UNKNOWN", "unclassified").otherwise("excluded").alias("kind"),
-        "role", F.col("layer").alias("item"), "n")
+    skips = ", ".join(raw(r) for r in fixed.EXCLUDED_ROLES + ["UNKNOWN"])
+    far = lambda types, what: out_of_range(F.expr(f"CASE WHEN {types} THEN {what} END"))
+    per_layer = entities.groupBy("sheet_id", "layer").agg(
+        F.count("*").alias("n"), far(IS_LENGTH, LENGTH).alias("far_lengths"), far(IS_AREA, AREA).alias("far_areas")).withColumn("role", layer_role())
+    line = lambda kind, role, n: f"named_struct('kind', {kind}, 'role', {role}, 'item', layer, 'n', {n})"
+    rows = ", ".join([line("CASE WHEN role = 'UNKNOWN' THEN 'unclassified' ELSE 'excluded' END", "role", f"CASE WHEN role IN ({skips}) THEN n END"),
+                      line("'out_of_range'", "'LENGTH'", "nullif(far_lengths, 0)"), line("'out_of_range'", "'AREA'", "nullif(far_areas, 0)")])
+    found = per_layer.selectExpr("sheet_id", f"inline(filter(array({rows}), r -> r.n IS NOT NULL))")
     unmeasured = (per_layer.where(F.col("role") == "UNKNOWN").groupBy("sheet_id").agg(F.sum("n").alias("n"))
                   .select("sheet_id", F.lit("pending").alias("kind"), F.lit("UNKNOWN").alias("role"),
                           F.lit("UNCLASSIFIED_LAYERS").alias("item"), "n"))
     scale = calibration.where("pending IS NOT NULL").select(
         "sheet_id", F.lit("pending").alias("kind"), F.lit("").alias("role"), F.col("pending").alias("item"), F.lit(1).cast("long").alias("n"))
-    return skipped.unionByName(unmeasured).unionByName(scale).unionByName(_left_out(entities))
-
-
-def _left_out(entities: DataFrame) -> DataFrame:
-    """Lengths and areas beyond a decimal by layer: totals of these layers are without them."""
-    lengths, areas = (exact.groupBy("sheet_id", "layer").agg(out_of_range(F.expr(what)).alias("n")).where("n > 0").withColumn("role", F.lit(name))
-                      for exact, what, name in ((_length_rows(entities), LENGTH, "LENGTH"), (_area_rows(entities), AREA, "AREA")))
-    return lengths.unionByName(areas).select("sheet_id", F.lit("out_of_range").alias("kind"), "role", F.col("layer").alias("item"), "n")
+    return found.unionByName(unmeasured).unionByName(scale)
 
 
 def quantity_summary(blocks: DataFrame, lengths: DataFrame, areas: DataFrame, keys=("sheet_id",)) -> DataFrame:
@@ -207,11 +198,17 @@ def quantity_appendix(detail: DataFrame, lengths: DataFrame, areas: DataFrame) -
 
 
 def quantity_quick(entities: DataFrame) -> DataFrame:
-    """The three totals per sheet in drawing units, without role filter or scale."""
-    blocks = (entities.where("dxf_type = 'INSERT'").groupBy("sheet_id", F.coalesce("block_name", F.lit("UNKNOWN")).alias("name"))
-              .agg(F.count("*").cast("double").alias("total")).select("sheet_id", F.lit("block").alias("kind"), "name", "total"))
+    """The three totals per sheet in drawing units, without role filter or scale.
+
+    Blocks carry their layers with counts, the attribute keys of their first attributed reference and the first 3
+    attribute sets; references without a name count as UNKNOWN.
+    """
+    from sheetmetric.operators.inspect import block_references
+    texts = ["layers", "attribute_keys", "attribute_samples"]
+    blocks = block_references(entities, 3).select("sheet_id", F.lit("block").alias("kind"), F.col("block_name").alias("name"), F.col("n").cast("double").alias("total"), *texts)
+    none = [F.lit("").alias(c) for c in texts]
     lengths = _raw_lengths(entities.where("dxf_type <> 'SPLINE'")).where("raw > 0").select(
-        "sheet_id", F.lit("length").alias("kind"), F.col("layer").alias("name"), half_up(F.col("raw"), 2).alias("total"))
+        "sheet_id", F.lit("length").alias("kind"), F.col("layer").alias("name"), half_up(F.col("raw"), 2).alias("total"), *none)
     areas = _raw_areas(entities.where("dxf_type = 'LWPOLYLINE'")).where("raw > 0").select(
-        "sheet_id", F.lit("area").alias("kind"), F.col("layer").alias("name"), half_up(F.col("raw"), 2).alias("total"))
+        "sheet_id", F.lit("area").alias("kind"), F.col("layer").alias("name"), half_up(F.col("raw"), 2).alias("total"), *none)
     return blocks.unionByName(lengths).unionByName(areas)

@@ -118,17 +118,33 @@ def missing_items(profile: DataFrame) -> DataFrame:
 
 
 def indicators(summary: DataFrame, audit: DataFrame, catalog_sizes: DataFrame, missing: DataFrame) -> DataFrame:
-    """Corpus indicators as (metric, value): blocks per sheet, measured layers, alerts."""
-    metric = lambda df, name, expr: df.agg(F.expr(f"CAST({expr} AS DOUBLE) AS value")).select(F.lit(name).alias("metric"), "value")
-    rows = [metric(summary, "block_total", "coalesce(sum(block_total), 0)"), metric(summary, "length_layers", "coalesce(sum(length_layers), 0)"),
-            metric(summary, "area_layers", "coalesce(sum(area_layers), 0)"), metric(catalog_sizes, "sheets", "coalesce(sum(total_sheets), 0)"),
-            metric(audit, "pending", "count_if(kind = 'pending')"), metric(audit, "unclassified_layers", "count_if(kind = 'unclassified')"),
-            metric(audit, "unclassified_entities", "coalesce(sum(n) FILTER (WHERE kind = 'unclassified'), 0)"),
-            metric(missing, "low_confidence", "count_if(status = 'LOW_CONFIDENCE')"),
-            metric(missing, "required_missing", "count_if(status = 'MISSING' AND severity = 'high')")]
-    out = rows[0]
-    for row in rows[1:]:
-        out = out.unionByName(row)
-    per_sheet = out.agg(F.expr("max(value) FILTER (WHERE metric = 'block_total') / max(value) FILTER (WHERE metric = 'sheets') AS v")).select(
-        F.lit("blocks_per_sheet").alias("metric"), half_up(F.col("v"), 1).alias("value"))
-    return out.unionByName(per_sheet)
+    """Corpus indicators as (metric, value): blocks per sheet (null without sheets), measured layers, alerts.
+
+    One aggregate for each input, which is read once; then the nine numbers are put together.
+    """
+    def metrics(df: DataFrame, **of: str) -> DataFrame:
+        one = df.agg(*[F.expr(f"CAST({e} AS DOUBLE)").alias(n) for n, e in of.items()])
+        return one.selectExpr(f"inline(array({', '.join(f'struct({raw(n)} AS metric, {n} AS value)' for n in of)}))")
+
+    found = metrics(summary, block_total="coalesce(sum(block_total), 0)", length_layers="coalesce(sum(length_layers), 0)", area_layers="coalesce(sum(area_layers), 0)").unionByName(
+        metrics(catalog_sizes, sheets="coalesce(sum(total_sheets), 0)")).unionByName(
+        metrics(audit, pending="count_if(kind = 'pending')", unclassified_layers="count_if(kind = 'unclassified')",
+                unclassified_entities="coalesce(sum(n) FILTER (WHERE kind = 'unclassified'), 0)")).unionByName(
+        metrics(missing, low_confidence="count_if(status = 'LOW_CONFIDENCE')", required_missing="count_if(status = 'MISSING' AND severity = 'high')"))
+    whole = found.agg(F.map_from_entries(F.collect_list(F.struct("metric", "value"))).alias("m"))
+    per_sheet = half_up(F.expr("try_divide(m['block_total'], m['sheets'])"), 1)
+    return whole.withColumn("b", per_sheet).selectExpr("explode(map_concat(m, map('blocks_per_sheet', b))) AS (metric, value)")
+
+
+def work_sources(catalog: DataFrame, texts: DataFrame, labels: DataFrame, materials: DataFrame) -> DataFrame:
+    """Inputs of a profile from all origins as rows (origin, item, source_type, source_ref, text).
+
+    ``catalog``: row_id, drawing_no, drawing_name and, where sheets are classified, discipline; ``texts``: item, text,
+    source_type, source_ref; ``labels`` as ``cio_text_source`` gives them; ``materials`` as ``material_hits`` does.
+    """
+    kind = "coalesce(discipline, '')" if "discipline" in catalog.columns else "''"
+    rows = catalog.selectExpr("'catalog' AS origin", "CAST(row_id AS STRING) AS item", f"{kind} AS source_type", "drawing_no AS source_ref", "drawing_name AS text")
+    for df, origin, columns in ((texts, "texts", ("item", "source_type", "source_ref", "text")), (labels, "drawings", ("entity_id", "source_type", "source_ref", "text")),
+                                (materials, "materials", ("entity_id", "category", "layer", "matched_text"))):
+        rows = rows.unionByName(df.selectExpr(f"'{origin}' AS origin", *[f"{c} AS {n}" for c, n in zip(columns, ("item", "source_type", "source_ref", "text"))]))
+    return rows

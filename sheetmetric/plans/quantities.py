@@ -7,11 +7,14 @@ from sheetmetric.operators import calibrate, measure
 
 
 class Takeoff:
-    """Lazy plan of the quantity tables of a drawing set; nothing runs until a table is used."""
+    """Lazy plan of the quantity tables of a drawing set; nothing runs until a table is used.
 
-    def __init__(self, entities: DataFrame, sheets: DataFrame):
+    ``calibration``: scales that were worked out (and stored) before, for plans that read them several times.
+    """
+
+    def __init__(self, entities: DataFrame, sheets: DataFrame, calibration: DataFrame | None = None):
         self.entities = entities
-        self.calibration = calibrate.scale_calibration(sheets, entities)
+        self.calibration = calibrate.scale_calibration(sheets, entities) if calibration is None else calibration
         factors = calibrate.factors(self.calibration)
         self.detail = measure.block_detail(entities)
         self.blocks = measure.block_counts(self.detail)

@@ -46,7 +46,8 @@ WORDS = ["LIGHT", "PANEL", "SWITCH", "DN100", "M10", "板", "平面图", "YJV"]
 
 
 def _token_match(spark, sf):
-    texts = adapter.entities(spark, sf).selectExpr("coalesce(label_text, block_name, layer) AS text").groupBy("text").agg(F.count("*").alias("n"))
+    """Words in every text of the entities: labels, block names and layers, each distinct text tested once."""
+    texts = adapter.entities(spark, sf).selectExpr("explode(array_compact(array(label_text, block_name, layer))) AS text").groupBy("text").agg(F.count("*").alias("n"))
     flags = ", ".join(f"CASE WHEN {token_match_sql('text', [w])} THEN '{w}' END" for w in WORDS)
     return texts.selectExpr("text", "n", f"array_join(array_compact(array({flags})), '|') AS words")
 
@@ -128,7 +129,7 @@ ORACLES = {
     "graph_io": sql.query("SELECT * FROM all_nodes UNION ALL BY NAME SELECT * FROM edges", *FULL),
     "graph_stats": sql.query("SELECT 'total_nodes' AS metric, '' AS item, count(*) AS n FROM all_nodes UNION ALL SELECT 'total_edges', '', count(*) FROM edges UNION ALL SELECT 'node_type', node_type, count(*) FROM all_nodes GROUP BY node_type "
                              "UNION ALL SELECT 'relation', relation, count(*) FROM edges GROUP BY relation UNION ALL SELECT * FROM (SELECT 'category', category, count(*) AS n FROM all_nodes WHERE node_type = 'Component' GROUP BY category ORDER BY n DESC, category LIMIT 15)", *FULL),
-    "token_match": sql.query("SELECT text, count(*) AS n, concat_ws('|', " + ", ".join(f"CASE WHEN {token_sql('text', [w])} THEN '{w}' END" for w in WORDS) + ") AS words FROM (SELECT coalesce(label_text, block_name, layer) AS text FROM ent) GROUP BY text", sql.ENT),
+    "token_match": sql.query("SELECT text, count(*) AS n, concat_ws('|', " + ", ".join(f"CASE WHEN {token_sql('text', [w])} THEN '{w}' END" for w in WORDS) + ") AS words FROM (SELECT label_text AS text FROM ent UNION ALL SELECT block_name FROM ent UNION ALL SELECT layer FROM ent) WHERE text IS NOT NULL GROUP BY text", sql.ENT),
     "keyword_expand": sql.query("SELECT drawing_name, n, string_agg(term, '|' ORDER BY o) AS words FROM (SELECT drawing_name, n, min((i, j)) AS o, arg_min(term, (i, j)) AS term FROM (SELECT drawing_name, n, -1 AS i, 0 AS j, drawing_name AS term FROM names "
                                 "UNION ALL SELECT drawing_name, n, i, j, term FROM names JOIN syn ON contains(drawing_name, k)) GROUP BY drawing_name, n, upper(term)) GROUP BY ALL", sql.CATALOG, "names AS (SELECT drawing_name, count(*) AS n FROM catalog GROUP BY drawing_name)", SYN),
 }

@@ -15,7 +15,7 @@ QUERIES = {
     "layer_stats": lambda s, d: i.layer_stats(adapter.layers(s, d), E(s, d)),
     "user_blocks": lambda s, d: i.user_blocks(adapter.block_definitions(s, d)).select("sheet_id", "block_name"),
     "block_usage": lambda s, d: i.block_usage(E(s, d), adapter.block_definitions(s, d)),
-    "block_samples": lambda s, d: i.block_samples(E(s, d)).withColumn("rank", F.col("rank").cast("long")),
+    "block_samples": lambda s, d: i.block_samples(E(s, d)).withColumn("rank", F.col("rank").cast("long")).drop("attribute_keys"),
     "dimension_kind": lambda s, d: i.dimension_kinds(adapter.dimensions(s, d)).groupBy("dimtype", "kind").agg(F.count("*").alias("n")),
     "dimension_stats": lambda s, d: i.dimension_stats(adapter.dimensions(s, d)),
     "extents": lambda s, d: i.extents(E(s, d)),
@@ -37,8 +37,7 @@ ORACLES = {
     "layer_stats": sql.query("SELECT l.sheet_id, l.name, color, is_off, is_frozen, is_locked, CAST(coalesce(sum(n), 0) AS BIGINT) AS entity_count, coalesce(string_agg(dxf_type || '×' || n, '；' ORDER BY dxf_type), '') AS entity_types FROM layers l LEFT JOIN "
                              "(SELECT sheet_id, layer, dxf_type, count(*) AS n FROM ent GROUP BY ALL) e ON l.sheet_id = e.sheet_id AND l.name = e.layer GROUP BY ALL", *BASE),
     "user_blocks": sql.query("SELECT sheet_id, block_name FROM blockdefs WHERE left(block_name, 1) NOT IN ('*', '_')", sql.BLOCKDEFS),
-    "block_usage": sql.query("SELECT e.sheet_id, e.block_name, count(*) AS insert_count, count(DISTINCT layer) AS n_layers, count(*) FILTER (WHERE attr_spec IS NOT NULL OR attr_room IS NOT NULL) AS with_attribs, (e.sheet_id, e.block_name) IN (SELECT sheet_id, block_name FROM blockdefs) AS defined "
-                             "FROM ent e WHERE dxf_type = 'INSERT' GROUP BY ALL", *BASE),
+    "block_usage": sql.query("SELECT r.* EXCLUDE (n, attribute_keys), n AS insert_count, (sheet_id, block_name) IN (SELECT sheet_id, block_name FROM blockdefs) AS defined FROM refs r", *BASE, sql.block_refs(5)),
     "block_samples": sql.query("SELECT sheet_id, block_name, rank, concat_ws('；', 'ROOM=' || attr_room, 'SPEC=' || attr_spec) AS attributes FROM (SELECT *, row_number() OVER (PARTITION BY sheet_id, block_name ORDER BY seq, entity_id) AS rank FROM ent "
                                "WHERE dxf_type = 'INSERT' AND (attr_spec IS NOT NULL OR attr_room IS NOT NULL)) WHERE rank <= 5", sql.ENT),
     "dimension_kind": sql.query(f"SELECT dimtype, {KIND} AS kind, count(*) AS n FROM dims GROUP BY dimtype", DIM),

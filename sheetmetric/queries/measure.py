@@ -147,9 +147,9 @@ ORACLES = {
         *TAKEOFF_CTES, MLEN, MAREA),
     "role_stats": sql.query("SELECT sheet_id, role, count(*) AS entity_count, count(DISTINCT layer) AS layer_count FROM entr GROUP BY sheet_id, role", sql.ENT, sql.ENTR),
     "quantity_quick": sql.query(
-        "SELECT sheet_id, 'block' AS kind, block_name AS name, CAST(count(*) AS DOUBLE) AS total FROM ent WHERE dxf_type = 'INSERT' GROUP BY ALL "
-        f"UNION ALL SELECT sheet_id, 'length', layer, {sql.rnd('v', 2)} FROM (SELECT sheet_id, layer, sum(CAST({sql.LENGTH} AS DECIMAL(28,6))) AS v FROM ent GROUP BY ALL) WHERE v > 0 "
-        "UNION ALL SELECT sheet_id, 'area', layer, CAST(sum(w * h) AS DOUBLE) FROM ent WHERE dxf_type = 'LWPOLYLINE' AND closed GROUP BY ALL HAVING sum(w * h) > 0", sql.ENT),
+        "SELECT sheet_id, 'block' AS kind, block_name AS name, CAST(n AS DOUBLE) AS total, layers, attribute_keys, attribute_samples FROM refs "
+        f"UNION ALL SELECT sheet_id, 'length', layer, {sql.rnd('v', 2)}, '', '', '' FROM (SELECT sheet_id, layer, sum(CAST({sql.LENGTH} AS DECIMAL(28,6))) AS v FROM ent GROUP BY ALL) WHERE v > 0 "
+        "UNION ALL SELECT sheet_id, 'area', layer, CAST(sum(w * h) AS DOUBLE), '', '', '' FROM ent WHERE dxf_type = 'LWPOLYLINE' AND closed GROUP BY ALL HAVING sum(w * h) > 0", sql.ENT, sql.block_refs(3)),
     "first_layer_of_block": sql.query(
         "SELECT sheet_id, block_name, layer AS first_layer FROM detail QUALIFY row_number() OVER (PARTITION BY sheet_id, block_name ORDER BY seq, entity_id) = 1", sql.ENT, sql.ENTR, DETAIL),
 }

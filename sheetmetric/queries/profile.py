@@ -5,6 +5,8 @@ from sheetmetric.model import adapter, fixed
 from sheetmetric.operators import measure as m
 from sheetmetric.operators import profile as p
 from sheetmetric.operators import texts as t
+from sheetmetric.operators.calibrate import scale_calibration
+from sheetmetric.plans.quantities import Takeoff
 from sheetmetric.queries import classify as cq
 from sheetmetric.queries import measure as mq
 from sheetmetric.queries import sql
@@ -35,16 +37,16 @@ def _text_source(spark, sf):
 
 def _work(spark, sf):
     """Inputs of a profile by origin: catalog (classified where possible), texts, drawing labels, materials."""
-    catalog = cq.classified(spark, sf).groupBy(F.col("discipline").alias("source_type")).agg(F.count("*").alias("n")).withColumn("origin", F.lit("catalog"))
-    loose = _text_source(spark, sf).groupBy("source_type").agg(F.count("*").alias("n")).withColumn("origin", F.lit("texts"))
-    labels = texts(spark, sf).groupBy("source_type").agg(F.count("*").alias("n")).withColumn("origin", F.lit("drawings"))
-    materials = t.material_hits(adapter.entities(spark, sf)).groupBy(F.col("category").alias("source_type")).agg(F.count("*").alias("n")).withColumn("origin", F.lit("materials"))
-    return catalog.unionByName(loose).unionByName(labels).unionByName(materials)
+    loose = _text_source(spark, sf).selectExpr("concat(conv_id, ':', turn) AS item", "text", "source_type", "source_ref")
+    return p.work_sources(cq.classified(spark, sf), loose, texts(spark, sf), t.material_hits(adapter.entities(spark, sf)))
 
 
 def _indicators(spark, sf):
-    takeoff = mq.takeoff(spark, sf)
-    return p.indicators(takeoff.summary(), m.measure_audit(takeoff.entities, takeoff.calibration), catalog_sizes(spark, sf), p.missing_items(profile(spark, sf)))
+    """The scales and the fields to supply are asked for several times in a plan: they are stored first."""
+    entities, sheets = adapter.entities(spark, sf), adapter.sheets(spark, sf)
+    takeoff = Takeoff(entities, sheets, cut_lineage(scale_calibration(sheets, entities)))
+    missing = cut_lineage(p.missing_items(profile(spark, sf)))
+    return p.indicators(takeoff.summary(), m.measure_audit(entities, takeoff.calibration), catalog_sizes(spark, sf), missing)
 
 
 def _run_counts(spark, sf):
@@ -99,8 +101,9 @@ METRICS = ["block_total", "length_layers", "area_layers"]
 ORACLES = {
     "text_source": sql.query("SELECT * FROM loose", LOOSE),
     "cio_text_source": sql.query("SELECT entity_id, text, source_type, source_ref FROM texts", *TEXT_CTES),
-    "work_sources": sql.query("SELECT 'catalog' AS origin, discipline AS source_type, count(*) AS n FROM classified GROUP BY ALL UNION ALL SELECT 'texts', source_type, count(*) FROM loose GROUP BY ALL UNION ALL SELECT 'drawings', source_type, count(*) FROM texts GROUP BY ALL "
-                              "UNION ALL SELECT 'materials', category, count(*) FROM mat GROUP BY ALL", *cq.CAT_CTES, LOOSE, *TEXT_CTES, *tq.MAT[1:]),
+    "work_sources": sql.query("SELECT 'catalog' AS origin, CAST(row_id AS VARCHAR) AS item, discipline AS source_type, drawing_no AS source_ref, drawing_name AS text FROM classified UNION ALL SELECT 'texts', conv_id || ':' || turn, source_type, source_ref, text FROM loose "
+                              "UNION ALL SELECT 'drawings', entity_id, source_type, source_ref, text FROM texts UNION ALL SELECT 'materials', m.entity_id, category, e.layer, matched_text FROM mat m JOIN (SELECT entity_id, layer FROM ent) e USING (entity_id)",
+                              *cq.CAT_CTES, LOOSE, *TEXT_CTES, *tq.MAT[1:]),
     "alias_extract": sql.query("SELECT * FROM byalias", *TEXT_CTES, ALIAS, FOUND),
     "value_pattern": sql.query("SELECT * FROM bypattern", *TEXT_CTES, ALIAS, FOUND),
     "source_confidence": sql.query("SELECT source_type, count(*) AS n, CAST(CASE source_type WHEN 'TITLE_BLOCK' THEN 0.9 ELSE 0.75 END AS DOUBLE) AS confidence FROM texts GROUP BY source_type", *TEXT_CTES),

@@ -70,3 +70,15 @@ BOXES = f"boxes AS (SELECT *, {XMIN} AS xmin, {YMIN} AS ymin, {XMAX} AS xmax, {Y
 
 def query(body: str, *ctes: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{', '.join(ctes)} {body}" if ctes else body
+
+
+def block_refs(keep):
+    """References per block with layers, attributed ones and the first attribute sets, as CTEs over ent."""
+    attributed = "(attr_spec IS NOT NULL OR attr_room IS NOT NULL)"
+    return (f"attrsets AS (SELECT sheet_id, block_name, concat_ws('；', 'ROOM=' || attr_room, 'SPEC=' || attr_spec) AS one, concat_ws('；', CASE WHEN attr_room IS NOT NULL THEN 'ROOM' END, CASE WHEN attr_spec IS NOT NULL THEN 'SPEC' END) AS keys, "
+            f"row_number() OVER (PARTITION BY sheet_id, block_name ORDER BY seq, entity_id) AS i FROM ent WHERE dxf_type = 'INSERT' AND {attributed}), "
+            "samples AS (SELECT sheet_id, block_name, max(keys) FILTER (WHERE i = 1) AS attribute_keys, string_agg(one, ' | ' ORDER BY i) AS attribute_samples FROM attrsets "
+            f"WHERE i <= {keep} GROUP BY ALL), "
+            "refs AS (SELECT sheet_id, block_name, CAST(sum(k) AS BIGINT) AS n, count(*) AS n_layers, CAST(sum(wa) AS BIGINT) AS with_attribs, string_agg(layer || '×' || k, '；' ORDER BY layer) AS layers, "
+            "coalesce(any_value(attribute_keys), '') AS attribute_keys, coalesce(any_value(attribute_samples), '') AS attribute_samples "
+            f"FROM (SELECT sheet_id, block_name, layer, count(*) AS k, count(*) FILTER (WHERE {attributed}) AS wa FROM ent WHERE dxf_type = 'INSERT' GROUP BY ALL) LEFT JOIN samples USING (sheet_id, block_name) GROUP BY sheet_id, block_name)")

@@ -3,9 +3,12 @@ import random
 
 from pyspark.sql import functions as F
 
-from drawing import frame, row
+from drawing import frame, quantity_drawing, row, sheet
 from sheetmetric.functions import grid, numbers
-from sheetmetric.operators import classify, graph, measure
+from sheetmetric.operators import classify, graph, inspect, measure, profile
+from sheetmetric.operators.calibrate import scale_calibration
+from sheetmetric.plans.quantities import Takeoff
+from sheetmetric.session import cut_lineage
 
 
 def test_rounded_once(spark):
@@ -70,3 +73,43 @@ def test_audit_tells_of_values_beyond_a_sum(spark):
     calibration = spark.createDataFrame([(1, None)], "sheet_id BIGINT, pending STRING")
     audit = measure.measure_audit(frame(spark, rows), calibration).where("kind = 'out_of_range'").collect()
     assert sorted((r.role, r.item, r.n) for r in audit) == [("AREA", "S-BEAM", 1), ("LENGTH", "A-WALL", 1)]
+
+
+def _scans(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("FileScan")
+
+
+def test_indicators_read_every_input_once(spark, tmp_path):
+    """Entities are read at most six times for all ten numbers; an empty drawing set gives zeros and no ratio."""
+    frame(spark, quantity_drawing()).write.parquet(str(tmp_path / "e"))
+    entities, sheets = spark.read.parquet(str(tmp_path / "e")), sheet(spark)
+    take = Takeoff(entities, sheets, cut_lineage(scale_calibration(sheets, entities)))
+    missing = spark.createDataFrame([("P1", "MISSING", "high"), ("P1", "LOW_CONFIDENCE", "medium")], "project_id STRING, status STRING, severity STRING")
+    sizes = spark.createDataFrame([("P1", 4)], "project_id STRING, total_sheets BIGINT")
+    found = profile.indicators(take.summary(), measure.measure_audit(entities, take.calibration), sizes, missing)
+    assert _scans(found) <= 6
+    got = {r.metric: r.value for r in found.collect()}
+    assert len(got) == 10 and (got["sheets"], got["low_confidence"], got["required_missing"]) == (4.0, 1.0, 1.0)
+    assert got["block_total"] > 0 and got["blocks_per_sheet"] == round(got["block_total"] / 4 + 1e-9, 1)
+    none = Takeoff(entities.where("false"), sheets.where("false"))
+    empty = {r.metric: r.value for r in profile.indicators(none.summary(), measure.measure_audit(none.entities, none.calibration), sizes.where("false"), missing.where("false")).collect()}
+    assert empty.pop("blocks_per_sheet") is None and set(empty.values()) == {0.0} and len(empty) == 9
+
+
+def test_block_references_keep_layers_keys_and_first_samples(spark):
+    rows = [row(i, "INSERT", "L1" if i % 3 else "L0", [(i, i)], block_name="B" if i < 8 else None, attribs={"B": str(i), "A": "x"} if i in (2, 3, 5, 6) else {}) for i in range(10)]
+    got = {r.block_name: r for r in inspect.block_references(frame(spark, rows), 3).collect()}
+    assert (got["B"].n, got["B"].layers, got["B"].with_attribs, got["B"].attribute_keys) == (8, "L0×3；L1×5", 4, "A；B")
+    assert got["B"].attribute_samples == "A=x；B=2 | A=x；B=3 | A=x；B=5"
+    assert (got["UNKNOWN"].n, got["UNKNOWN"].attribute_keys, got["UNKNOWN"].attribute_samples) == (2, "", "")
+    quick = {(r.kind, r.name): r for r in measure.quantity_quick(frame(spark, rows)).collect()}
+    assert quick["block", "B"].layers == "L0×3；L1×5" and quick["block", "UNKNOWN"].total == 2.0
+
+
+def test_work_sources_take_a_raw_catalog_too(spark):
+    catalog = spark.createDataFrame([(1, "A-01", "Plan")], "row_id BIGINT, drawing_no STRING, drawing_name STRING")
+    texts = spark.createDataFrame([("t", "x", "TEXT", "f")], "item STRING, text STRING, source_type STRING, source_ref STRING")
+    labels = spark.createDataFrame([("e1", "label", "CIO_TEXT", "f:L")], "entity_id STRING, text STRING, source_type STRING, source_ref STRING")
+    materials = spark.createDataFrame([("e1", "STEEL", "L", "HRB400")], "entity_id STRING, category STRING, layer STRING, matched_text STRING")
+    got = {(r.origin, r.item, r.source_type, r.source_ref, r.text) for r in profile.work_sources(catalog, texts, labels, materials).collect()}
+    assert got == {("catalog", "1", "", "A-01", "Plan"), ("texts", "t", "TEXT", "f", "x"), ("drawings", "e1", "CIO_TEXT", "f:L", "label"), ("materials", "e1", "STEEL", "L", "HRB400")}
