@@ -109,14 +109,58 @@ def text_catalog(entities: DataFrame, tolerance: float = 80.0) -> DataFrame:
     return _structured(joined).select("sheet_id", "row_y", "item_no", "drawing_no", "drawing_name")
 
 
-def catalog_extract(entities: DataFrame, sheets: DataFrame, title_fields: DataFrame) -> DataFrame:
-    """Catalog of a drawing set: text tables where a sheet has one, else its title block."""
-    tables = text_catalog(entities).selectExpr("sheet_id", "item_no", "drawing_no", "drawing_name", "'' AS spec", "'' AS note", "'TEXT_TABLE' AS source")
-    missing = sheets.select("sheet_id", "source_file").join(tables.select("sheet_id").distinct(), "sheet_id", "left_anti")
-    rebuilt = missing.join(title_fields, "sheet_id", "left").selectExpr(
-        "sheet_id", "'' AS item_no", "coalesce(drawing_no, '未识别') AS drawing_no", "coalesce(drawing_name, '未识别') AS drawing_name",
-        "coalesce(scale, '') AS spec", "'图框识别补建' AS note", "source_file AS source")
-    return tables.unionByName(rebuilt)
+def pdf_catalog(tables: DataFrame) -> DataFrame:
+    """First catalog table among the PDF tables of every set: (project_id, page, item_no, drawing_no, drawing_name).
+
+    ``tables``: project_id, file, page, table_id, page_text, row_index, cells.  A table counts if its page names a
+    catalog, two of its rows hold text, and its header names drawing numbers or its first column shows one in the
+    next five rows.  Rows are numbered within a table, which a page bounds.
+    """
+    filled = tables.where(contains_any_sql("page_text", fixed.CATALOG_TITLES)).withColumn("cells", F.expr("transform(cells, c -> trim(coalesce(c, '')))")).where("exists(cells, c -> c <> '')")
+    rows = filled.withColumn("row_index", F.row_number().over(Window.partitionBy("table_id").orderBy("row_index")) - 1)
+    headed, numbered = "row_index = 0 AND contains(array_join(cells, ' '), '图号')", f"row_index > 0 AND cells[0] RLIKE {raw(fixed.CATALOG_NO_PATTERN)}"
+    fit = rows.where("row_index <= 5").groupBy("project_id", "file", "page", "table_id").agg(F.count("*").alias("n"), F.expr(f"bool_or(({headed}) OR ({numbered})) AS fits"))
+    first = fit.where("n >= 2 AND fits").groupBy("project_id").agg(F.min(F.struct("file", "page", "table_id")).alias("t")).selectExpr("project_id", "t.page", "t.table_id")
+    return catalog_rows(rows.join(first.select("table_id"), "table_id", "left_semi")).join(first, "table_id").select(
+        "project_id", "page", "item_no", "drawing_no", "drawing_name")
+
+
+NUMBERED_AT_ONCE = 4096           # sheet ids that are numbered in one task
+
+
+def _numbered(sheets: DataFrame) -> DataFrame:
+    """Sheets with their number ``i`` within the set, from 1 by sheet id; a large set is numbered in blocks of ids."""
+    blocks = sheets.withColumn("block", F.expr(f"floor(sheet_id / {NUMBERED_AT_ONCE})"))
+    before = blocks.groupBy("project_id", "block").agg(F.count("*").alias("n")).withColumn(
+        "before", F.sum("n").over(Window.partitionBy("project_id").orderBy("block")) - F.col("n")).drop("n")
+    place = F.row_number().over(Window.partitionBy("project_id", "block").orderBy("sheet_id"))
+    return blocks.withColumn("place", place).join(before, ["project_id", "block"]).withColumn("i", F.expr("before + place")).drop("block", "place", "before")
+
+
+def catalog_extract(entities: DataFrame, sheets: DataFrame, title_fields: DataFrame, tables: DataFrame | None = None) -> DataFrame:
+    """Catalog of every drawing set (project): its first PDF catalog table, else its first sheet with a text table, else rebuilt from title blocks.
+
+    Rebuilt rows are numbered by sheet; rows of PDF tables belong to no sheet.  ``tables`` as ``pdf_catalog`` takes them.
+    """
+    columns = ["project_id", "sheet_id", "item_no", "drawing_no", "drawing_name", "spec", "note", "source"]
+    sets = sheets.select("project_id", "sheet_id", "source_file")
+    found = []
+    if tables is not None:
+        pdf = cut_lineage(pdf_catalog(tables))
+        found.append(pdf.selectExpr("project_id", "CAST(NULL AS BIGINT) AS sheet_id", "item_no", "drawing_no", "drawing_name", "'' AS spec", "'' AS note", "concat('PDF第', page, '页') AS source"))
+        sets = sets.join(pdf.select("project_id").distinct(), "project_id", "left_anti")
+    # sheets of sets that have a catalog already are not searched
+    texts = cut_lineage(text_catalog(entities.join(sets.select("sheet_id"), "sheet_id", "left_semi")).join(sets, "sheet_id"))
+    first = texts.groupBy("project_id").agg(F.min("sheet_id").alias("sheet_id"))
+    found.append(texts.join(first, ["project_id", "sheet_id"], "left_semi").selectExpr(
+        "project_id", "sheet_id", "item_no", "drawing_no", "drawing_name", "'' AS spec", "'' AS note", "'TEXT_TABLE' AS source"))
+    rebuilt = _numbered(sets.join(first, "project_id", "left_anti")).join(title_fields, "sheet_id", "left")
+    found.append(rebuilt.selectExpr("project_id", "sheet_id", "CAST(i AS STRING) AS item_no", "coalesce(drawing_no, '未识别') AS drawing_no", "coalesce(drawing_name, '未识别') AS drawing_name",
+                                    "coalesce(scale, '') AS spec", "'图框识别补建' AS note", "source_file AS source"))
+    out = found[0].select(*columns)
+    for part in found[1:]:
+        out = out.unionByName(part.select(*columns))
+    return out
 
 
 def out_of_catalog(files: DataFrame, catalog: DataFrame) -> DataFrame:

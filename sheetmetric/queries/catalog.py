@@ -11,8 +11,15 @@ def _cluster(tolerance):
     return run
 
 
+def pdf_tables(spark, sf):
+    """Tables of the parts as tables of PDF pages, every fourth of them on a page that names a catalog."""
+    return adapter.table_rows(spark, sf).selectExpr(
+        "concat('PRJ-', table_id div 10 % 60) AS project_id", "concat('S', table_id % 3, '.pdf') AS file", "table_id % 7 + 1 AS page", "table_id",
+        "CASE WHEN table_id % 40 = 0 THEN '图纸目录' ELSE '说明' END AS page_text", "row_index", "array(cells[1], cells[0], cells[2]) AS cells")
+
+
 def extracted(spark, sf):
-    return c.catalog_extract(adapter.entities(spark, sf), adapter.sheets(spark, sf), tq.title_sheet(spark, sf))
+    return c.catalog_extract(adapter.entities(spark, sf), adapter.sheets(spark, sf), tq.title_sheet(spark, sf), pdf_tables(spark, sf))
 
 
 def _files(spark, sf):
@@ -51,6 +58,12 @@ TEXTCAT = (f"titled AS (SELECT DISTINCT sheet_id FROM rowed WHERE {sql.any_of('t
            "FROM body b JOIN cnamed n ON b.sheet_id = n.sheet_id AND b.row_y = n.row_y WHERE text <> no AND text <> name) GROUP BY ALL), "
            "tcat AS (SELECT n.sheet_id, CASE WHEN regexp_full_match(r1, '[0-9]+') THEN r1 ELSE '' END AS item_no, CASE WHEN no = '' THEN '未识别' ELSE no END AS drawing_no, coalesce(nullif(name, ''), r2, last, '未识别') AS drawing_name "
            "FROM cnamed n LEFT JOIN crest r ON n.sheet_id = r.sheet_id AND n.row_y = r.row_y)")
+PDF = ("tables AS (SELECT table_id, row_number() OVER (PARTITION BY table_id ORDER BY row_index) - 1 AS row_index, c2 AS c1, c1 AS c2, c3 FROM alltables WHERE table_id % 40 = 0 AND trim(c1) || trim(c2) || trim(c3) <> ''), "
+       f"fit AS (SELECT table_id FROM tables GROUP BY table_id HAVING count(*) >= 2 AND (bool_or(row_index = 0 AND contains(c1 || ' ' || c2 || ' ' || c3, '图号')) OR bool_or(row_index BETWEEN 1 AND 5 AND regexp_matches(trim(c1), {NO})))), "
+       "picked AS (SELECT 'PRJ-' || ((table_id // 10) % 60) AS project_id, arg_min(table_id, ('S' || table_id % 3 || '.pdf', table_id % 7 + 1, table_id)) AS table_id FROM fit GROUP BY 1), "
+       + ROWS + ", prows AS (SELECT n.table_id, CASE WHEN regexp_full_match(r1, '[0-9]+') THEN r1 ELSE '' END AS item_no, CASE WHEN no = '' THEN '未识别' ELSE no END AS drawing_no, "
+       "CASE WHEN name <> '' THEN name ELSE coalesce(r2, last, '未识别') END AS drawing_name FROM named n LEFT JOIN rest r ON n.table_id = r.table_id AND n.row_index = r.row_index), "
+       "tfirst AS (SELECT s.project_id, min(t.sheet_id) AS sheet_id FROM tcat t JOIN sheets s ON t.sheet_id = s.sheet_id WHERE s.project_id NOT IN (SELECT project_id FROM picked) GROUP BY s.project_id)")
 
 ORACLES = {
     "catalog_row": sql.query("SELECT n.table_id, n.row_index, CASE WHEN regexp_full_match(r1, '[0-9]+') THEN r1 ELSE '' END AS item_no, CASE WHEN no = '' THEN '未识别' ELSE no END AS drawing_no, "
@@ -61,8 +74,10 @@ ORACLES = {
     "row_cluster": sql.query("SELECT sheet_id, entity_id, CAST(row_y AS DOUBLE) AS row_y FROM rowed", sql.ENT, ANCHORS.format(tol=50), recursive=True),
     "row_cluster_wide": sql.query("SELECT sheet_id, entity_id, CAST(row_y AS DOUBLE) AS row_y FROM rowed", sql.ENT, ANCHORS.format(tol=1200), recursive=True),
     "catalog_extract": sql.query(
-        "SELECT sheet_id, item_no, drawing_no, drawing_name, '' AS spec, '' AS note, 'TEXT_TABLE' AS source FROM tcat UNION ALL SELECT s.sheet_id, '', coalesce(f.drawing_no, '未识别'), coalesce(f.drawing_name, '未识别'), coalesce(f.scale, ''), '图框识别补建', s.source_file "
-        "FROM sheets s LEFT JOIN tfields f ON s.sheet_id = f.sheet_id WHERE s.sheet_id NOT IN (SELECT sheet_id FROM tcat)",
-        *tq.ZONE_CTES, f"tfields AS ({tq.TITLE_S})", sql.SHEETS, ANCHORS.format(tol=80), TEXTCAT, recursive=True),
+        "SELECT project_id, CAST(NULL AS BIGINT) AS sheet_id, item_no, drawing_no, drawing_name, '' AS spec, '' AS note, 'PDF第' || (table_id % 7 + 1) || '页' AS source FROM prows JOIN picked USING (table_id) "
+        "UNION ALL SELECT s.project_id, t.sheet_id, item_no, drawing_no, drawing_name, '', '', 'TEXT_TABLE' FROM tcat t JOIN sheets s ON t.sheet_id = s.sheet_id JOIN tfirst f ON f.sheet_id = t.sheet_id "
+        "UNION ALL SELECT s.project_id, s.sheet_id, CAST(row_number() OVER (PARTITION BY s.project_id ORDER BY s.sheet_id) AS VARCHAR), coalesce(f.drawing_no, '未识别'), coalesce(f.drawing_name, '未识别'), coalesce(f.scale, ''), '图框识别补建', s.source_file "
+        "FROM sheets s LEFT JOIN tfields f ON s.sheet_id = f.sheet_id WHERE s.project_id NOT IN (SELECT project_id FROM picked) AND s.project_id NOT IN (SELECT project_id FROM tfirst)",
+        *tq.ZONE_CTES, f"tfields AS ({tq.TITLE_S})", sql.SHEETS, ANCHORS.format(tol=80), TEXTCAT, sql.TABLES.replace("tables AS", "alltables AS", 1), PDF, recursive=True),
     "out_of_catalog": sql.query("SELECT concat('in/建施-', doc_id, '.dxf') AS path, concat('建施-', doc_id) AS base FROM documents WHERE concat('建施-', doc_id) NOT IN (SELECT drawing_no FROM catalog)", sql.CATALOG),
 }
