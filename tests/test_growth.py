@@ -2,7 +2,11 @@
 import pytest
 
 from drawing import frame, row
-from sheetmetric.operators import classify, places, spatial
+from sheetmetric.model import adapter
+from sheetmetric.operators import classify, graph, places, spatial
+from sheetmetric.queries.sources import QUERIES as SOURCES
+
+SF = "/root/testdata/sf0.001"
 
 
 def shuffled(df):
@@ -39,3 +43,36 @@ def test_categories_by_distinct_names(spark, monkeypatch, limit):
     df = frame(spark, [row(i, "INSERT", layer, [(0, 0)], block_name=block, label_text=text) for i, (layer, block, text) in enumerate(names)])
     pick = lambda d: sorted(map(tuple, d.select("seq", "layer", "category", "sub_category").collect()))
     assert pick(classify.categorized(df)) == pick(classify.with_category(df)) and len(classify.categorized(df).columns) == len(df.columns) + 2
+
+
+def test_entities_are_derived_behind_the_shuffles(spark):
+    derived = adapter.derived_entities(adapter.dealt_lines(spark, SF))
+    carried = shuffled(derived)
+    assert "l_orderkey" in carried and not any(c in carried for c in ("entity_id", "points", "attribs", "label_text"))
+    assert derived.count() == 6000
+
+
+def test_sheets_are_dealt_before_they_unfold(spark, monkeypatch):
+    monkeypatch.setattr(adapter, "SHEETS_DEALT", 50)
+    found = adapter.layers(spark, SF)
+    assert found.rdd.getNumPartitions() == 3 and found.count() == 150 * len(adapter.LAYER_NAMES)
+
+
+def test_votes_are_summed_without_sorting(spark):
+    rows = [(1, "layer", "A-WALL", 1, None), (1, "block", "KZ1", 2, 3), (1, "text", "C30", 1, 9), (2, "other", "WALL", 1, 4)]
+    scores = classify._scores(spark.createDataFrame(rows, "sheet_id long, kind string, name string, n long, first long"), classify.CODE_WEIGHTS)
+    assert "SortAggregate" not in scores._jdf.queryExecution().executedPlan().toString()
+    arch = [c for c in scores.columns if c.endswith(" at")]
+    assert {r.sheet_id: [r[c] for c in arch if r[c] is not None][:1] for r in scores.collect()}[1][0].kind == 0
+
+
+def test_nodes_are_tested_once_for_a_keyword(spark):
+    nodes = spark.createDataFrame([("n1", 1, "Component", "LIGHT")], "node_id string, sheet_id long, node_type string, block_name string").selectExpr(
+        *[c if c in ("node_id", "sheet_id", "node_type", "block_name") else f"CAST(NULL AS STRING) AS {c}" for c in graph.NODE_COLUMNS])
+    found = graph.graph_find(nodes, "灯具", ["Component"])
+    assert found.count() == 1 and "RLIKE" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_documents_are_compressed(spark):
+    documents = SOURCES["read_cio"](spark, SF)
+    assert documents.count() == 6000 and {f.rsplit(".", 2)[1:] == ["json", "gz"] for f in documents.inputFiles()} == {True}
