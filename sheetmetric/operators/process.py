@@ -8,7 +8,7 @@ from sheetmetric.functions.grid import near_pairs
 from sheetmetric.functions.text import contains_any_sql, let_sql, raw
 from sheetmetric.model import fixed
 from sheetmetric.operators.calibrate import lookup
-from sheetmetric.operators.classify import with_category
+from sheetmetric.operators.classify import categorized
 
 WORD = 62    # rules in one long; a mask is an array of as many longs as the rules need
 
@@ -73,7 +73,7 @@ def process_match(entities: DataFrame, sheets: DataFrame, radius: float = 8000.0
     none, every = _literal([], n), _literal(list(range(len(rules))), n)
     own = "concat_ws(' ', coalesce(block_name, ''), coalesce(label_text, ''), array_join(map_values(attribs), ' '))"
     wanted = ", ".join(raw(c) for c in dict.fromkeys(r[3] for r in rules))
-    parts = (with_category(entities).where(f"category IN ({wanted})")
+    parts = (categorized(entities).where(f"category IN ({wanted})")
              .selectExpr("sheet_id", "entity_id", "category", "CASE WHEN dxf_type <> 'HATCH' THEN points[0].x END AS lx",
                          "CASE WHEN dxf_type <> 'HATCH' THEN points[0].y END AS ly", f"{rule_mask_sql(own, rules)} AS own_mask"))
     near = nearby_masks(entities, parts.where("lx IS NOT NULL").select("sheet_id", "lx", "ly").distinct(), radius, rules)
