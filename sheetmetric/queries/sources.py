@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from sheetmetric.functions.geometry import bbox_sql
 from sheetmetric.model import adapter, fixed, schemas
-from sheetmetric.operators.classify import with_category
+from sheetmetric.operators.classify import categorized
 from sheetmetric.queries import sql
 from sheetmetric.queries.graph import CATS
 from sheetmetric.session import shared_folder
@@ -19,7 +19,7 @@ def _folder(spark, name):
 def _read_cio(spark, sf):
     """Every sheet written as an interchange document in the shared folder, and the documents read back."""
     path = _folder(spark, "documents")
-    r.write_cio(with_category(adapter.entities(spark, sf)), adapter.sheets(spark, sf), adapter.layers(spark, sf), adapter.block_definitions(spark, sf), path)
+    r.write_cio(categorized(adapter.entities(spark, sf)), adapter.sheets(spark, sf), adapter.layers(spark, sf), adapter.block_definitions(spark, sf), path, compression="gzip")
     return r.read_cio(spark, path, lines=True).selectExpr(
         "project_id", "source_file", "seq", "entity_id", "category", "sub_category", "layer", "block_name", "label_text", "CAST(size(points) AS BIGINT) AS n_points",
         "points[0].x AS x", "points[0].y AS y", "radius", "attribs['SPEC'] AS spec")

@@ -46,7 +46,7 @@ def read_cio(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     return flatten_cio(documents.where(F.col(BROKEN).isNull()))
 
 
-def write_cio(entities: DataFrame, sheets: DataFrame, layers: DataFrame, blocks: DataFrame, path: str, part_size: int = PART_SIZE) -> None:
+def write_cio(entities: DataFrame, sheets: DataFrame, layers: DataFrame, blocks: DataFrame, path: str, part_size: int = PART_SIZE, compression: str | None = None) -> None:
     """Interchange documents of each sheet, entities in drawing order, with the sheet's layers and blocks.
 
     ``entities`` need sheet_id, seq, category and sub_category. A sheet is cut into parts of ``part_size`` entities, a
@@ -70,7 +70,7 @@ def write_cio(entities: DataFrame, sheets: DataFrame, layers: DataFrame, blocks:
     context = sheets.join(named, "sheet_id", "left").join(defined, "sheet_id", "left").selectExpr(
         "sheet_id", "named_struct('project_id', project_id, 'discipline', discipline, 'source_file', source_file) AS project_meta",
         "named_struct('all_layers', all_layers, 'layers_off', layers_off, 'layers_frozen', layers_frozen, 'block_definitions', block_definitions) AS global_context")
-    ordered.join(context, "sheet_id").selectExpr("'1.0.0' AS schema_version", "project_meta", "global_context", "part", "parsed_entities").write.mode("overwrite").json(path)
+    ordered.join(context, "sheet_id").selectExpr("'1.0.0' AS schema_version", "project_meta", "global_context", "part", "parsed_entities").write.mode("overwrite").json(path, compression=compression)
 
 
 def sheet_context(documents: DataFrame) -> DataFrame:
