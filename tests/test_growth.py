@@ -76,3 +76,30 @@ def test_nodes_are_tested_once_for_a_keyword(spark):
 def test_documents_are_compressed(spark):
     documents = SOURCES["read_cio"](spark, SF)
     assert documents.count() == 6000 and {f.rsplit(".", 2)[1:] == ["json", "gz"] for f in documents.inputFiles()} == {True}
+
+
+def test_links_of_ends_are_counted_while_surroundings_are_found(spark):
+    rows = ([row(i, "LINE", "P-PIPE", [(0, 100 * i), (9000, 100 * i)]) for i in range(5)] + [row(9, "INSERT", "A-DOOR", [(100, 0)], block_name="M1")]
+            + [row(20 + i, "TEXT", "0", [(1000 * i, 50000)], label_text="DN100镀锌钢管") for i in range(3)] + [row(30, "LINE", "P-PIPE", [(90000, 0), (90000, 0)], entity_id=None)])
+    physical = places.place_graph(frame(spark, rows))
+    listed = {(r.relation, r.n) for df in (physical.members.groupBy("role"), physical.links.groupBy("relation")) for r in df.count().toDF("relation", "n").collect()}
+    counted = {r.item: r.n for r in physical.counts.collect()}
+    assert counted.pop("Place") == physical.members.select(*places.PLACE).distinct().count()
+    assert {(k, n) for k, n in counted.items() if n} == listed and counted["CONNECTED"] > 11
+    # one join of places for the free ones, none for the ends
+    assert physical.counts._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_candidates_are_stored_as_a_table(spark):
+    rows = [row(i, "INSERT", "A-DOOR", [(100 * i, 0)], block_name="M1", entity_id=e) for i, e in enumerate(["b", "a", "b", None, None])]
+    found = spatial.topology_candidates(frame(spark, rows), ordered=False)
+    assert {f.rsplit(".", 2)[1] for f in found.inputFiles()} == {"zstd"}
+    numbers = {(r.entity_id, r.num, r.shared) for r in found.collect()}
+    assert len(numbers) == 3 and {(e, s) for e, _, s in numbers} == {("a", False), ("b", True), (None, False)}
+
+
+def test_copies_of_a_tied_id_are_not_free(spark):
+    rows = [row(0, "LINE", "P-PIPE", [(0, 0), (9000, 0)], entity_id="a"), row(1, "INSERT", "A-DOOR", [(100, 0)], block_name="M1", entity_id="d"),
+            row(2, "INSERT", "A-DOOR", [(70000, 0)], block_name="M1", entity_id="a"), row(3, "LINE", "P-PIPE", [(0, 50000), (9000, 50000)], entity_id="c")]
+    members = places.place_graph(frame(spark, rows)).members.where(f"role = '{places.FREE}'").collect()
+    assert sorted(r.entity_id for r in members) == ["c", "d"]
