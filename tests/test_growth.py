@@ -3,7 +3,7 @@ import pytest
 
 from drawing import frame, row
 from sheetmetric.model import adapter
-from sheetmetric.operators import classify, graph, places, spatial
+from sheetmetric.operators import classify, divisions, graph, places, spatial
 from sheetmetric.queries.sources import QUERIES as SOURCES
 
 SF = "/root/testdata/sf0.001"
@@ -103,3 +103,16 @@ def test_copies_of_a_tied_id_are_not_free(spark):
             row(2, "INSERT", "A-DOOR", [(70000, 0)], block_name="M1", entity_id="a"), row(3, "LINE", "P-PIPE", [(0, 50000), (9000, 50000)], entity_id="c")]
     members = places.place_graph(frame(spark, rows)).members.where(f"role = '{places.FREE}'").collect()
     assert sorted(r.entity_id for r in members) == ["c", "d"]
+
+
+def test_label_chains_read_the_entries_once(spark):
+    rows = [(1, kind, label, layer, "D", "S", "I") for kind, label, layer in ((0, "a", "A-WALL"), (0, "b", "S-BEAM"), (1, "c", "S-BEAM"), (1, "d", "A-DOOR"), (2, "e", "MYSTERY"))]
+    entries = spark.createDataFrame(rows, "sheet_id long, kind int, label string, layer string, division string, sub_division string, item string")
+    found = divisions.label_chains(entries, ("sheet_id",))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan
+    chain = found.collect()[0]
+    first = classify.layer_discipline("layer")
+    assert chain.entries == 5 and chain.discipline_name == spark.createDataFrame([("A-WALL",)], "layer string").select(first).first()[0]       # a tie of two goes to the earliest entry
+    assert chain.evidence.endswith("LAYER:A-DOOR:1 项；LAYER:A-WALL:1 项；LAYER:MYSTERY:1 项；LAYER:S-BEAM:2 项")
+    assert divisions.label_chains(entries, ("sheet_id",), 2).collect()[0].evidence.endswith("；LAYER:A-DOOR:1 项；LAYER:A-WALL:1 项")
