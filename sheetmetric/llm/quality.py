@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheetmetric.llm.text import col, fresh, slices
+from sheetmetric.llm.text import col, place_of, slices
 
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -151,14 +151,13 @@ def keep_good(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     (repeated rows alike, null ids too); an empty table gives an empty table; other columns pass through.
     """
     ranked = order(rules, measure(docs, rules))
-    text = fresh(docs, "text_to_judge")
+    at = place_of(docs, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            mask = [kept(t, ranked) for t in part.column(part.num_columns - 1).to_pylist()]
-            yield part.filter(pa.array(mask, pa.bool_())).select(range(part.num_columns - 1))
+            yield part.filter(pa.array([kept(t, ranked) for t in part.column(at).to_pylist()], pa.bool_()))
 
-    return docs.withColumn(text, col("text")).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def judge(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:

@@ -29,6 +29,14 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def place_of(df: DataFrame, name: str) -> int:
+    """The number of the column that ``col(name)`` means, so that a task finds it among all of them without a second copy."""
+    df.select(col(name))        # an error where no column is meant, or several
+    if df.sparkSession.conf.get("spark.sql.caseSensitive") == "true":
+        return df.columns.index(name)
+    return [c.lower() for c in df.columns].index(name.lower())
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Small slices, so that the Python objects of one step stay few."""
     for batch in batches:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheetmetric.llm.text import col, fresh, mix, slices
+from sheetmetric.llm.text import col, mix, place_of, slices
 
 BITS = 20                   # n-gram buckets, as a power of two
 SIZES = (3, 4, 5, 6)        # lengths of n-grams in bytes
@@ -74,7 +74,7 @@ class Model:
 class Scorer:
     """Scores texts, remembering the numbers of up to ``limit`` words."""
 
-    def __init__(self, model: Model, limit: int = 1_000_000):
+    def __init__(self, model: Model, limit: int = 400_000):
         self.model, self.limit, self.known = model, limit, {}
 
     def score(self, texts: list[str | None]) -> np.ndarray:
@@ -115,31 +115,42 @@ def train(texts: list[str | None], labels: list[int], least_steps: int = 300, ba
     if not count.all():
         share = (count[1] + 0.5) / (count.sum() + 1)
         return Model(weights, float(np.log(share / (1 - share))))
-    bags = [_bag(t) for t in texts]
-    seen = np.zeros(1 << BITS, np.int32)
-    for found, _ in bags:
+    seen, mass = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS)
+    for text in texts:                                      # bags are made twice, here for these sums only: all of them at once are large
+        found, share = _bag(text)
         seen[found] += 1
-    mass = np.zeros(1 << BITS)
-    for found, share in bags:
         mass[found] += share
     calm = COMMON / (COMMON + mass / len(y))                # weight of a bucket in the mean: frequent ones count little
     used = np.flatnonzero(seen >= max(2, SEEN_IN * len(y)))
     place = np.full(1 << BITS, -1, np.int32)
     place[used] = np.arange(len(used))
-    bags = [(place[found[place[found] >= 0]], (share * calm[found])[place[found] >= 0].astype(np.float32)) for found, share in bags]
+    begin = np.zeros(len(y) + 1, np.int64)                  # where the bag of a text begins in the two arrays that hold them all
+    columns, shares = np.empty(seen[used].sum(), np.int32), np.empty(seen[used].sum(), np.float32)
+    for i, text in enumerate(texts):
+        found, share = _bag(text)
+        kept = place[found] >= 0
+        begin[i + 1] = begin[i] + kept.sum()
+        columns[begin[i]:begin[i + 1]] = place[found[kept]]
+        shares[begin[i]:begin[i + 1]] = (share * calm[found])[kept]
+    calm = calm[used]
+    del seen, mass, place
     draw = np.random.default_rng(seed)
     value = [np.zeros((len(used), WIDTH), np.float32), draw.normal(0, 0.5, (WIDTH, 2)).astype(np.float32), np.zeros(2, np.float32)]
     first, second = [np.zeros_like(v) for v in value], [np.zeros_like(v) for v in value]
     weigh = (len(y) / 2 / count[y]).astype(np.float32)
+    met, rank = np.zeros(len(used), bool), np.zeros(len(used), np.int64)      # columns of a batch, and their places among these
     steps = 0
     while steps < least_steps:
         for some in np.array_split(draw.permutation(len(y)), max(1, len(y) // batch)):
-            cols, share = (np.concatenate([bags[i][k] for i in some]) for k in (0, 1))
-            row = np.repeat(np.arange(len(some)), [len(bags[i][0]) for i in some])
+            cols, share = (np.concatenate([x[begin[i]:begin[i + 1]] for i in some]) for x in (columns, shares))
+            row = np.repeat(np.arange(len(some)), begin[some + 1] - begin[some])
             embedding, softmax, bias = value
-            found, at = np.unique(cols, return_inverse=True)
+            met[:] = False
+            met[cols] = True
+            found = np.flatnonzero(met)
+            rank[found] = np.arange(len(found))
             matrix = np.zeros((len(some), len(found)), np.float32)
-            matrix[row, at] = share
+            matrix[row, rank[cols]] = share
             hidden = matrix @ embedding[found] * scale
             logit = hidden @ softmax + bias
             error = np.exp(logit - logit.max(1, keepdims=True))
@@ -156,7 +167,7 @@ def train(texts: list[str | None], labels: list[int], least_steps: int = 300, ba
             norm = np.sqrt((embedding * embedding).sum(1, keepdims=True))
             embedding *= np.maximum(0, 1 - rate * shrink / np.maximum(norm, 1e-9))
     embedding, softmax, bias = value
-    weights[used] = embedding @ (softmax[:, 1] - softmax[:, 0]) * scale * calm[used]
+    weights[used] = embedding @ (softmax[:, 1] - softmax[:, 0]) * scale * calm
     return Model(weights, float(bias[1] - bias[0]))
 
 
@@ -207,12 +218,11 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD)
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns, whose text scores below the threshold."""
-    text = fresh(docs, "text_to_score")
+    at = place_of(docs, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for part in slices(batches):
-            score = scorer.score(part.column(part.num_columns - 1).to_pylist())
-            yield part.filter(pa.array(score < threshold)).select(range(part.num_columns - 1))
+            yield part.filter(pa.array(scorer.score(part.column(at).to_pylist()) < threshold))
 
-    return docs.withColumn(text, col("text")).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

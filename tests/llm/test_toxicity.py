@@ -1,5 +1,6 @@
 """Held-out accuracy on invented words, misspellings, and odd tables."""
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -72,3 +73,26 @@ def test_learns_only_from_its_fold(spark):
     assert all(zlib.crc32(str(i).encode()) % 3 != 1 for i in ids)
     assert sum(x for _, x in rows) <= 10 and sum(1 - x for _, x in rows) == 12
     assert T.training_rows(docs, labels.limit(0)) == []
+
+
+def test_training_holds_its_bags_once():
+    """Column and share of each n-gram, 8 bytes in all, beside fixed tables and one batch; the bags as they are made take 16 bytes."""
+    draw = random.Random(3)
+    words = ["".join(draw.choices("abcdefghijklmnop", k=9)) for _ in range(20_000)]
+    texts = [" ".join(draw.choices(words, k=600)) for _ in range(600)]
+    entries = sum(len(T._bag(t)[0]) for t in texts)
+    T.train(texts[:4], [0, 1, 0, 1], least_steps=1)
+    tracemalloc.start()
+    T.train(texts, [i % 2 for i in range(600)], least_steps=1, batch=8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * entries + 100 * (1 << T.BITS)
+
+
+def test_filters_find_the_text_without_copying_it(spark, model):
+    from sheetmetric.llm import quality
+    docs = spark.createDataFrame([("zumpkin " * 90, 1, "an"), ("an er " * 90, 2, "zumpkin"), (None, 3, "an")], "Text string, doc_id long, note string")
+    few_words = [rule for rule in quality.RULES if rule.name == "few_words"]
+    for left, kept in ((T.keep_clean(docs, model), [2, 3]), (quality.keep_good(docs, few_words), [1, 2])):
+        assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.collect()) == kept
+        assert "text_to" not in left._jdf.queryExecution().toString()
