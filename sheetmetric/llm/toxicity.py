@@ -63,8 +63,8 @@ class Model:
 
     def word_scores(self, words: list[bytes]) -> list[float]:
         out: list[float] = []
-        for at in range(0, len(words), 50_000):
-            part = words[at:at + 50_000]
+        for at in range(0, len(words), 4_000):
+            part = words[at:at + 4_000]
             owner, bucket = ngrams(part)
             total = np.bincount(owner, self.weights[bucket], len(part))
             out += (total / np.maximum(np.bincount(owner, minlength=len(part)), 1)).tolist()
@@ -72,18 +72,19 @@ class Model:
 
 
 class Scorer:
-    """Scores texts, remembering the numbers of up to ``limit`` words."""
+    """Scores texts, remembering the numbers of words: of two generations, each of some ``limit``, the older is forgotten."""
 
-    def __init__(self, model: Model, limit: int = 400_000):
-        self.model, self.limit, self.known = model, limit, {}
+    def __init__(self, model: Model, limit: int = 125_000):
+        self.model, self.limit, self.known, self.older = model, limit, {}, {}
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        known = self.known
-        if len(known) > self.limit:
-            known.clear()
+        if len(self.known) > self.limit:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
         cut = [split(t) for t in texts]
-        new = list({w for words in cut for w in words if w not in known})
-        if new:
+        new = {w for words in cut for w in words if w not in known}
+        known.update((w, older[w]) for w in new if w in older)
+        if new := [w for w in new if w not in known]:
             known.update(zip(new, self.model.word_scores(new)))
         mean = np.array([sum(map(known.__getitem__, words)) / (len(words) + PADDING) for words in cut])
         return 1 / (1 + np.exp(-np.clip(mean + self.model.bias, -60, 60)))

@@ -96,3 +96,15 @@ def test_filters_find_the_text_without_copying_it(spark, model):
     for left, kept in ((T.keep_clean(docs, model), [2, 3]), (quality.keep_good(docs, few_words), [1, 2])):
         assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.collect()) == kept
         assert "text_to" not in left._jdf.queryExecution().toString()
+
+
+def test_scorer_remembers_a_bounded_number_of_words(model):
+    draw = random.Random(4)
+    texts = ["blorgface " + " ".join(f"{w}{draw.randrange(10**9)}" for w in ("an", "er", "ti") * 400) for _ in range(40)]
+    scorer = T.Scorer(model, limit=3000)
+    scores = [scorer.score([t])[0] for t in texts]
+    assert len(scorer.known) + len(scorer.older) <= 2 * (3000 + 1201)
+    assert scores == T.Scorer(model, limit=10**9).score(texts).tolist()
+    many = [b"an%d" % k for k in range(9000)]
+    assert model.word_scores(many) == [x for w in many for x in model.word_scores([w])]
+    assert T.Scorer(model).limit <= 125_000
