@@ -1,6 +1,7 @@
 """Byte-level BPE encoding and decoding.
 
-Texts are cut by the tokenizer's pattern; each distinct piece is merged once per worker. Pieces of
+Texts are cut by the tokenizer's pattern; that of byte-level vocabularies (``RUNS``) is worked out for all
+characters of many texts at once. Each distinct piece is merged once per worker. Pieces of
 similar length share a padded matrix: in each round every row merges its leftmost pair of least rank
 (one hashed lookup for each of the two pairs that a merge changes) and closes up, and rows without
 a known pair leave. Pieces over 64 bytes are merged as single rows, all equal pairs of a round at
@@ -27,7 +28,9 @@ SPREAD = np.uint64(0x9E3779B97F4A7C15)
 EMPTY = np.uint64(2**64 - 1)
 WIDTHS = (4, 6, 8, 11, 16, 24, 40, 64)
 CELLS = 400_000
-LATIN_END = "\u0250"      # below, isalpha() and \\p{L} agree
+CHARACTERS = 2_000_000      # of texts that are cut at once
+SPACE, OTHER = 3, 4         # kinds of characters, beside letters (1) and numbers (2)
+RUNS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -61,6 +64,7 @@ class Vocabulary:
             left = np.ones(len(keys), bool)
             left[first] = False
             keys, values, at = keys[left], values[left], (at[left] + np.uint64(1)) & np.uint64(size - 1)
+        self.first = self.lookup(np.repeat(self.bytes, 256), np.tile(self.bytes, 256)).reshape(256, 256)      # of two bytes
 
     def lookup(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each pair of ids, NONE where they do not merge (or an id is negative)."""
@@ -80,19 +84,22 @@ class Vocabulary:
     def _matrix(self, pieces: list[bytes], width: int) -> list[bytes]:
         """Ids, packed as unsigned 32-bit integers, of pieces of at most ``width`` bytes."""
         out: list[bytes] = [b""] * len(pieces)
-        raw = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(-1, width)
+        raw = np.array(pieces, f"S{width}").view(np.uint8).reshape(-1, width)
         size = np.fromiter(map(len, pieces), np.int64, len(pieces))
         ids = np.where(np.arange(width) < size[:, None], self.bytes[raw], np.int32(-1))
         ids = np.hstack([ids, np.full((len(pieces), 1), -1, np.int32)])
-        rank = self.lookup(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(-1, width)
+        rank = np.full(raw.shape, NONE)
+        rank[:, :-1] = np.where(ids[:, 1:-1] < 0, NONE, self.first[raw[:, :-1], raw[:, 1:]])
         row = np.arange(len(pieces))
         while True:
             best = rank.argmin(1)
             low = rank[np.arange(len(row)), best]
             done = low == NONE
             if done.any():
-                for r, line, n in zip(row[done].tolist(), ids[done].astype("<u4"), size[done].tolist()):
-                    out[r] = line[:n].tobytes()
+                own, ends = ids[done], np.cumsum(4 * size[done]).tolist()
+                packed = own[own >= 0].astype("<u4").tobytes()
+                for r, a, b in zip(row[done].tolist(), [0, *ends], ends):
+                    out[r] = packed[a:b]
                 keep = ~done
                 row, ids, rank, size, best, low = row[keep], ids[keep], rank[keep], size[keep], best[keep], low[keep]
                 if not len(row):
@@ -135,15 +142,12 @@ class Vocabulary:
         out: list[bytes] = [b""] * len(pieces)
         size = np.fromiter(map(len, pieces), np.int64, len(pieces))
         low = 0
+        for i, rank in enumerate(map(self.ranks.get, pieces)):
+            if rank is not None:
+                out[i] = rank.to_bytes(4, "little")
+                size[i] = 0
         for width in WIDTHS:
-            some = np.flatnonzero((size > low) & (size <= width)).tolist()
-            todo = []
-            for i in some:
-                whole = self.ranks.get(pieces[i])
-                if whole is None:
-                    todo.append(i)
-                else:
-                    out[i] = whole.to_bytes(4, "little")
+            todo = np.flatnonzero((size > low) & (size <= width)).tolist()
             step = max(1, CELLS // width)
             for at in range(0, len(todo), step):
                 part = todo[at:at + step]
@@ -151,67 +155,122 @@ class Vocabulary:
                     out[i] = ids
             low = width
         for i in np.flatnonzero(size > low).tolist():
-            whole = self.ranks.get(pieces[i])
-            out[i] = self._long(pieces[i]) if whole is None else whole.to_bytes(4, "little")
+            out[i] = self._long(pieces[i])
         return out
 
 
+class Kinds:
+    """The kind of each character (letter, number, white space, other), by the classes of ``regex``; asked once for each."""
+
+    def __init__(self):
+        self.find = regex.compile(r"(\p{L})|(\p{N})|(\s)|.", regex.DOTALL).match
+        self.known = np.zeros(0x110000, np.uint8)
+
+    def of(self, points: np.ndarray) -> np.ndarray:
+        kinds = self.known[points]
+        if not kinds.all():
+            for c in np.unique(points[kinds == 0]).tolist():
+                self.known[c] = self.find(chr(c)).lastindex or OTHER
+            kinds = self.known[points]
+        return kinds
+
+
+def starts(points: np.ndarray, kinds: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether a match of ``RUNS`` starts at each of the characters (and True behind the last) of texts that end at ``ends``.
+
+    One starts where the kind changes, but a space belongs to what follows; the last of several white spaces stands
+    alone where more text follows. An apostrophe that starts a match takes the letters of ``RUNS`` with it.
+    """
+    n = len(points)
+    first = np.zeros(n + 1, bool)
+    first[0] = True
+    first[ends] = True
+    new = first.copy()
+    new[1:n] |= (kinds[1:] != kinds[:-1]) & (points[:-1] != ord(" "))
+    space = kinds == SPACE
+    new[1:n - 1] |= space[1:-1] & space[:-2] & ~space[2:] & ~first[2:n]
+    at = np.flatnonzero(new[:n] & (points == ord("'")))
+    if len(at):
+        one = np.where(first[at + 1], 0, points[np.minimum(at + 1, n - 1)])
+        two = np.where(first[at + 1] | first[np.minimum(at + 2, n)], 0, points[np.minimum(at + 2, n - 1)])
+        size = 2 * np.isin(one, [ord(c) for c in "stmd"])
+        for a, b in ("re", "ve", "ll"):
+            size[(one == ord(a)) & (two == ord(b))] = 3
+        at, size = at[size > 0], size[size > 0]
+        new[at + 1] = False
+        new[at + size] = True
+    return new
+
+
 class Encoder:
-    """Texts to packed ids. The ids of words are remembered: of two generations, each of up to ``limit``, the older is forgotten."""
+    """Texts to packed ids. The ids of matches are remembered: of two generations, each of up to ``limit``, the older is forgotten."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, limit: int = 450_000):
         self.vocabulary = Vocabulary(ranks)
         self.pattern = regex.compile(pattern)
+        self.kinds = Kinds() if pattern == RUNS else None
         self.limit = limit
-        self.words: dict[str, bytes] = {}       # ids of " " + word, for words without white space at either end
-        self.older: dict[str, bytes] = {}
-
-    def _learn(self, words: set[str], matches: set[str]) -> dict[str, bytes]:
-        """Remembers words; gives the ids of all matches that occur in them or are asked for."""
-        known, find = self.words, self.pattern.findall
-        cuts = {w: (" " + w,) if w.isalpha() and max(w) < LATIN_END else find(" " + w) for w in words}
-        ids: dict[str, bytes] = {}
-        for cut in (*cuts.values(), matches):
-            for m in cut:
-                ids[m] = known.get(m[1:]) if m[0] == " " and m[1:] not in cuts else None
-        new = [m for m, x in ids.items() if x is None]
-        ids.update(zip(new, self.vocabulary.encode([m.encode("utf-8", "surrogatepass") for m in new])))
-        for word, cut in cuts.items():
-            known[word] = ids[cut[0]] if len(cut) == 1 else b"".join(map(ids.__getitem__, cut))
-        return ids
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of each text.
-
-        No match of the pattern crosses a single space between two characters that are no white space,
-        for a space can only begin a match there: such texts are cut at their spaces, and only the words
-        not met before are searched by the pattern. Texts with other white space are searched whole.
-        """
+        self.words: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def cut(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """The matches of all texts in UTF-8, and how many there are up to the end of each text."""
+        if self.kinds is None:
+            found = [self.pattern.findall(t) for t in texts]
+            return pa.array([m.encode("utf-8", "surrogatepass") for f in found for m in f], pa.large_binary()), np.cumsum([len(f) for f in found])
+        whole = "".join(texts)
+        raw = whole.encode("utf-8", "surrogatepass")
+        points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4")
+        ends = np.cumsum([len(t) for t in texts])
+        at = np.flatnonzero(starts(points, self.kinds.of(points), ends))
+        places = at
+        if len(raw) > len(points):
+            size = (points >= 0x80).view(np.uint8) + (points >= 0x800) + (points >= 0x10000) + np.uint8(1)
+            before = np.zeros(len(points) + 1, np.int64)
+            np.cumsum(size, out=before[1:])
+            places = before[at]
+        matches = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(places.astype(np.int64)), pa.py_buffer(raw)])
+        return matches, np.searchsorted(at, ends)
+
+    def _ids(self, matches: list[bytes]) -> list[bytes]:
+        """Packed ids of distinct matches; those of up to 64 bytes are remembered."""
         if len(self.words) > self.limit:
             self.words, self.older = {}, self.words
         known, older = self.words, self.older
-        parts, new, whole = [], set(), set()
-        for text in texts:
-            head, *words = text.split(" ")
-            unknown = {w for w in words if w not in known}
-            for w in [w for w in unknown if w in older]:
-                known[w] = older[w]
-                unknown.discard(w)
-            if all(map(_solid, unknown)) and not (head and head[-1].isspace()):
-                head = self.pattern.findall(head)
-                new |= unknown
-                whole.update(head)
-                parts.append((head, words))
+        ids = list(map(known.get, matches))
+        new = []
+        for i in [i for i, x in enumerate(ids) if x is None]:
+            ids[i] = older.get(matches[i])
+            if ids[i] is None:
+                new.append(i)
             else:
-                head = self.pattern.findall(text)
-                whole.update(head)
-                parts.append((head, ()))
-        ids = self._learn(new, whole)
-        return [b"".join([*map(ids.__getitem__, head), *map(known.__getitem__, words)]) for head, words in parts]
+                known[matches[i]] = ids[i]
+        for i, x in zip(new, self.vocabulary.encode([matches[i] for i in new])):
+            ids[i] = x
+            if len(matches[i]) <= WIDTHS[-1]:
+                known[matches[i]] = x
+        return ids
 
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of each text. Texts of some ``CHARACTERS`` together are cut at once, and each distinct match among them is looked up once."""
+        out: list[bytes] = []
+        low = total = 0
+        for high, text in enumerate(texts, 1):
+            total += len(text)
+            if total >= CHARACTERS or high == len(texts):
+                out += self._encode(texts[low:high])
+                low, total = high, 0
+        return out
 
-def _solid(word: str) -> bool:
-    return bool(word) and not word[0].isspace() and not word[-1].isspace()
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        matches, ends = self.cut(texts)
+        if not len(matches):
+            return [b""] * len(texts)
+        distinct = matches.dictionary_encode()
+        ids = pa.array(self._ids(distinct.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(distinct.indices)
+        _, places, raw = ids.buffers()
+        ends = np.frombuffer(places, np.int64)[ends].tolist()
+        return [raw[a:b].to_pybytes() for a, b in zip([0, *ends], ends)]
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

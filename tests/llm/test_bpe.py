@@ -5,6 +5,7 @@ import random
 import numpy as np
 import public_tokenizers as P
 import pytest
+import regex
 import tiktoken
 
 from sheetmetric.llm import bpe
@@ -47,6 +48,42 @@ def test_forgetting_words(library):
         assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == library.encode_ordinary(text)
 
 
+def test_each_match_is_merged_once(monkeypatch):
+    """Marks and line breaks around a word make no new words of it: over all calls, as many pieces are merged as there are distinct matches."""
+    encoder, merged = bpe.Encoder(bpe.read_ranks(PATH), P.PATTERN), []
+    encode = encoder.vocabulary.encode
+    monkeypatch.setattr(encoder.vocabulary, "encode", lambda pieces: merged.extend(pieces) or encode(pieces))
+    calls = [[f"vorqx{a} zimbl{b}{m}\nvorqx{a}{m} zimbl{b}" for a in "abcd" for b in "efgh"] for m in (".", ",", "!?", "...", ";")]
+    for texts in calls:
+        encoder.encode(texts)
+    assert sorted(merged) == sorted({m.encode() for texts in calls for t in texts for m in regex.findall(P.PATTERN, t)})
+
+
+def test_cut():
+    """Matches and their numbers as by the pattern itself, with texts side by side; other patterns are searched as they are."""
+    draw = random.Random(14)
+    parts = ["a", "Zé", "s", "t", "re", "r", "ve", "ll", "l", "m", "d", "'", "'", "''", " ", " ", "  ", "\n", "\t", "\r\n", "\u3000", "\x85", "\x1c", "1", "²", "ⅷ", "-", "...", "日本", "\0", "😀", "\u0301"]
+    for pattern in (P.PATTERN, r"\S+|\s"):
+        encoder = bpe.Encoder(bpe.read_ranks(PATH), pattern)
+        assert (encoder.kinds is not None) == (pattern == P.PATTERN)
+        for _ in range(300):
+            texts = ["".join(draw.choices(parts, k=draw.choice([0, 1, 2, 3, 5, 30]))) for _ in range(draw.randrange(1, 30))]
+            found = [regex.findall(pattern, t) for t in texts]
+            matches, ends = encoder.cut(texts)
+            assert [m.decode() for m in matches.to_pylist()] == [m for f in found for m in f]
+            assert ends.tolist() == np.cumsum(list(map(len, found))).tolist()
+
+
+def test_texts_that_are_cut_at_once(monkeypatch):
+    encoder = bpe.Encoder(bpe.read_ranks(PATH), P.PATTERN)
+    texts = ["", "one two", "x" * 90, "", " it's\n", "é" * 70 + " 1", ""]
+    whole = encoder.encode(texts)
+    assert whole == [encoder.encode([t])[0] for t in texts] and encoder.encode([]) == []
+    monkeypatch.setattr(bpe, "CHARACTERS", 8)
+    assert encoder.encode(texts) == whole
+    assert max(map(len, encoder.words)) <= 64        # long matches are not remembered
+
+
 def test_merges_that_open_lower_ranks():
     """A merge may open a pair of lower rank; then single steps and joint steps still agree."""
     draw = random.Random(7)
