@@ -17,6 +17,7 @@ from sheetmetric.functions.text import contains_any_sql, map_sql, nonblank_sql,
 from sheetmetric.model import fixed
 from sheetmetric.operators.calibrate import lookup
 from sheetmetric.operators.spatial import bbox_clash, keep_first, pair_distance
+from sheetmetric.session import stored
 
 LINE_LENGTH = distance_sql("points[0].x", "points[0].y", "points[1].x", "points[1].y")
 GEOMETRY_TYPE = ("CASE WHEN dxf_type IN ('LWPOLYLINE', 'POLYLINE') THEN CASE WHEN closed THEN 'POLYGON' ELSE 'POLYLINE' END "
@@ -69,10 +70,13 @@ def scaled_hits(ctx: RuleContext, operator: str, params: dict) -> DataFrame:
 def duplicate_entity(ctx: RuleContext, params: dict) -> DataFrame:
     """Members of every group of equal geometry; a group counts once, through its first member.
 
-    The radius is no part of the key.
+    The radius is no part of the key. Only sheets on which a 64-bit hash of a key repeats are compared by the key itself;
+    they are found first and stored, so that where they are few, neither points nor ids of the other sheets are shuffled.
     """
     key = "transform(points, p -> named_struct('x', round(p.x, 3), 'y', round(p.y, 3)))"
     rows = ctx.entities.where("dxf_type <> 'HATCH' AND size(points) > 0").selectExpr("sheet_id", "entity_id", f"{GEOMETRY_TYPE} AS g", f"{key} AS k")
+    repeated = rows.groupBy("sheet_id", F.expr("xxhash64(g, k) AS h")).agg(F.count("*").alias("n")).where("n > 1").select("sheet_id").distinct()
+    rows = rows.join(stored(repeated), "sheet_id", "left_semi")
     groups = rows.groupBy("sheet_id", "g", "k").agg(F.count("*").alias("n"), F.min("entity_id").alias("head")).where("n > 1")
     return _item(rows.join(groups, ["sheet_id", "g", "k"]), "entity_id", "CASE WHEN entity_id = head THEN 1L ELSE 0L END")
 
@@ -110,6 +114,11 @@ def _with_partners(hits: DataFrame) -> DataFrame:
     return both.groupBy("sheet_id", "item").agg(F.max("weight").alias("weight"))
 
 
+def _counted(hits: DataFrame) -> DataFrame:
+    """The A entities of ``_with_partners`` alone, each once: the same sum of weights without a partner to be found or shuffled."""
+    return _item(hits.select("sheet_id", "entity_id").distinct(), "entity_id")
+
+
 def entity_bbox_overlap(ctx: RuleContext, params: dict) -> DataFrame:
     return _with_partners(bbox_clash(ctx.entities, params["a"], params["b"], params.get("tolerance", 0.0)))
 
@@ -118,6 +127,14 @@ def layer_pair_distance_lt(ctx: RuleContext, params: dict) -> DataFrame:
     return _with_partners(pair_distance(ctx.entities, params["a"], params["b"], float(params["threshold"])))
 
 
+def overlap_counted(ctx: RuleContext, params: dict) -> DataFrame:
+    return _counted(bbox_clash(ctx.entities, params["a"], params["b"], params.get("tolerance", 0.0)))
+
+
+def distance_counted(ctx: RuleContext, params: dict) -> DataFrame:
+    return _counted(pair_distance(ctx.entities, params["a"], params["b"], float(params["threshold"])))
+
+
 def discipline_mismatch(ctx: RuleContext, params: dict) -> DataFrame:
     """Forbidden words on sheets of the expected discipline; only rows with a hit meet the sheet table."""
     blob = "upper(concat_ws(' ', layer, coalesce(label_text, '')))"
@@ -147,6 +164,8 @@ def entity_type_count_gt(ctx: RuleContext, params: dict) -> DataFrame:
 OPERATORS: dict[str, Callable[[RuleContext, dict], DataFrame]] = {
     f.__name__: f for f in (duplicate_entity, layer_entity_count_zero, layer_is_off, layer_is_frozen, layer_name_matches, unused_block_definition,
                             entity_bbox_overlap, layer_pair_distance_lt, discipline_mismatch, entity_count_gt, entity_count_lt, entity_type_count_gt)}
+# what gives the same sums of weights for less where no item is listed
+COUNTED = {entity_bbox_overlap: overlap_counted, layer_pair_distance_lt: distance_counted}
 
 
 def register_rule(name: str, fn: Callable[[RuleContext, dict], DataFrame]) -> None:
@@ -163,6 +182,12 @@ def operator_hits(ctx: RuleContext, operator: str, params: dict) -> DataFrame:
     return OPERATORS[operator](ctx, params)
 
 
+def operator_counts(ctx: RuleContext, operator: str, params: dict) -> DataFrame:
+    """Rows whose weights sum up per sheet as those of ``operator_hits`` do."""
+    counted = COUNTED.get(OPERATORS.get(operator)) if operator not in PREDICATES and operator not in SCALED else None
+    return counted(ctx, params) if counted else operator_hits(ctx, operator, params)
+
+
 def active_rules(rules=fixed.RULES, cross_discipline: bool = False) -> list:
     """Cross-discipline rules run only on request (their flag is then ignored), the others by their flag."""
     return [r for r in rules if (cross_discipline if r[2] == "cross_discipline" else r[4])]
@@ -172,7 +197,7 @@ def known(operator: str) -> bool:
     return operator in PREDICATES or operator in SCALED or operator in OPERATORS
 
 
-def run_rules(ctx: RuleContext, rules) -> DataFrame:
+def run_rules(ctx: RuleContext, rules, hits=operator_hits) -> DataFrame:
     """All hits of the rules: sheet_id, rule_id, item, weight.  Rules of unknown operators are skipped."""
     parts = []
     local = [r for r in rules if r[5] in PREDICATES]
@@ -185,7 +210,7 @@ def run_rules(ctx: RuleContext, rules) -> DataFrame:
             shared.setdefault(f"{rule[5]} {rule[6]}", []).append(rule)
     for group in shared.values():
         ids = F.explode(F.array(*[F.lit(r[0]) for r in group]))
-        parts.append(operator_hits(ctx, group[0][5], group[0][6]).withColumn("rule_id", ids))
+        parts.append(hits(ctx, group[0][5], group[0][6]).withColumn("rule_id", ids))
     out = parts[0].select("sheet_id", "rule_id", "item", "weight")
     for part in parts[1:]:
         out = out.unionByName(part.select("sheet_id", "rule_id", "item", "weight"))
@@ -196,8 +221,13 @@ def _severity(rules) -> Column:
     return lookup({r[0]: r[3] for r in rules}, "rule_id")
 
 
+def rule_counts(ctx: RuleContext, rules) -> DataFrame:
+    """Weights of ``run_rules`` (sheet_id, rule_id, weight) without its items, for results that list none."""
+    return run_rules(ctx, rules, operator_counts).drop("item")
+
+
 def rule_results(ctx: RuleContext, rules, hits: DataFrame) -> DataFrame:
-    """Failed rules per sheet with count and rendered message."""
+    """Failed rules per sheet with count and rendered message, from hits or counts."""
     scaled = {r[0]: r[6]["threshold"] for r in rules if r[5] in SCALED}
     plain = {r[0]: str(r[6]["threshold"]) for r in rules if r[5] == "layer_pair_distance_lt"}
     counts = hits.groupBy("sheet_id", "rule_id").agg(F.sum("weight").alias("count")).where("count > 0")

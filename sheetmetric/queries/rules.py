@@ -5,7 +5,7 @@ from sheetmetric.model import adapter, fixed
 from sheetmetric.operators import rules as r
 from sheetmetric.queries import sql
 from sheetmetric.queries.spatial import clash_sql, distance_sql
-from sheetmetric.session import cut_lineage
+from sheetmetric.session import stored
 
 # the two rule sets together, cross-discipline rules included
 ALL_RULES = r.active_rules(fixed.RULES + fixed.FIRE_RULES, cross_discipline=True)
@@ -22,20 +22,20 @@ def _operator(name, params=None):
     return run
 
 
-def _evaluated(spark, sf):
+def _results(spark, sf):
     ctx = context(spark, sf)
-    hits = cut_lineage(r.run_rules(ctx, ALL_RULES))
-    return ctx, hits, r.rule_results(ctx, ALL_RULES, hits)
+    return ctx, r.rule_results(ctx, ALL_RULES, r.rule_counts(ctx, ALL_RULES))
 
 
 def _summary(spark, sf):
-    ctx, _, results = _evaluated(spark, sf)
+    ctx, results = _results(spark, sf)
     return r.rule_summary(ctx, ALL_RULES, results)
 
 
 def _errors(spark, sf):
-    _, hits, results = _evaluated(spark, sf)
-    return r.entity_errors(hits, results)
+    ctx = context(spark, sf)
+    hits = stored(r.run_rules(ctx, ALL_RULES))
+    return r.entity_errors(hits, r.rule_results(ctx, ALL_RULES, hits))
 
 
 def _samples(spark, sf):
@@ -58,7 +58,7 @@ QUERIES = {
     "rule_discipline_mismatch": _operator("discipline_mismatch", MISMATCH), "rule_layer_pair_distance_lt": _operator("layer_pair_distance_lt", DISTANCE),
     "rule_entity_count_gt": _operator("entity_count_gt", {"threshold": 45}), "rule_entity_count_lt": _operator("entity_count_lt", {"threshold": 35}),
     "rule_entity_type_count_gt": _operator("entity_type_count_gt", {"threshold": 9, "dxf_type": "INSERT"}),
-    "rule_results": lambda s, d: _evaluated(s, d)[2],
+    "rule_results": lambda s, d: _results(s, d)[1],
     "rule_summary": _summary, "entity_errors": _errors, "hit_samples": _samples,
     "quality_check": lambda s, d: r.quality_check(context(s, d)),
 }

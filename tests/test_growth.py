@@ -1,10 +1,15 @@
 """What is stored and shuffled grows with the input, and no faster."""
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
-from drawing import frame, row
+from drawing import frame, row, sheet
 from sheetmetric.model import adapter
-from sheetmetric.operators import classify, divisions, graph, places, spatial
+from sheetmetric.operators import classify, divisions, graph, places, rules, spatial
+from sheetmetric.queries.rules import ALL_RULES
 from sheetmetric.queries.sources import QUERIES as SOURCES
+from sheetmetric.session import FREED, stored
 
 SF = "/root/testdata/sf0.001"
 
@@ -116,3 +121,42 @@ def test_label_chains_read_the_entries_once(spark):
     assert chain.entries == 5 and chain.discipline_name == spark.createDataFrame([("A-WALL",)], "layer string").select(first).first()[0]       # a tie of two goes to the earliest entry
     assert chain.evidence.endswith("LAYER:A-DOOR:1 项；LAYER:A-WALL:1 项；LAYER:MYSTERY:1 项；LAYER:S-BEAM:2 项")
     assert divisions.label_chains(entries, ("sheet_id",), 2).collect()[0].evidence.endswith("；LAYER:A-DOOR:1 项；LAYER:A-WALL:1 项")
+
+
+def shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+
+def test_stored_tables_free_their_shuffles(spark):
+    before, kept = shuffle_files(spark), spark.conf.get(FREED)
+    found = stored(spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").agg(F.count("*").alias("n")))
+    left = lambda: shuffle_files(spark) - before
+    for _ in range(50):             # they are removed in the background
+        if not left():
+            break
+        time.sleep(0.1)
+    assert not left() and found.count() == 7 and spark.conf.get(FREED) == kept
+
+
+def test_rules_are_counted_without_items(spark):
+    rows = ([row(i, "LWPOLYLINE", layer, [(x, 0), (x + 900, 900)], sheet_id=s, entity_id=e) for i, (layer, x, s, e) in enumerate(
+                [("P-PIPE", 0, 1, "a"), ("P-PIPE", 100, 1, "b"), ("P-PIPE", 100, 1, "b"), ("S-BEAM", 500, 1, "c"), ("S-BEAM", 500, 1, "d"), ("H-DUCT", 500, 1, None), ("H-DUCT", 99999, 1, "e"), ("P-PIPE", 0, 2, "f")])]
+            + [row(20 + i, "INSERT", layer, [(x, 0)], entity_id=e, block_name="B") for i, (layer, x, e) in enumerate([("HYDRANT", 0, "h"), ("HYDRANT", 0, "h"), ("BEAM", 100, "h"), ("BEAM", 100, "i")])])
+    none = lambda schema: spark.createDataFrame([], schema)
+    ctx = rules.RuleContext(frame(spark, rows), none("sheet_id BIGINT, name STRING, is_off BOOLEAN, is_frozen BOOLEAN"), none("sheet_id BIGINT, block_name STRING"), sheet(spark, ids=(1, 2)))
+    total = lambda df: sorted(tuple(r) for r in df.groupBy("sheet_id", "rule_id").agg(F.sum("weight").alias("n")).where("n > 0").collect())
+    counted = rules.rule_counts(ctx, ALL_RULES)
+    assert counted.columns == ["sheet_id", "rule_id", "weight"] and total(counted) == total(rules.run_rules(ctx, ALL_RULES))
+    assert {(1, "CRS002", 3), (1, "FIRE001", 1), (1, "GEO004", 6)} <= set(total(counted))
+    # no partner is looked for, and ids are shuffled only with what repeats on a sheet or has a partner
+    assert "first" not in shuffled(rules.operator_counts(ctx, "entity_bbox_overlap", {"a": ["PIPE"], "b": ["BEAM"]}))
+    assert "first" in shuffled(rules.operator_hits(ctx, "entity_bbox_overlap", {"a": ["PIPE"], "b": ["BEAM"]}))
+
+
+def test_only_sheets_with_repeated_keys_are_compared(spark):
+    rows = [row(i, "INSERT", "0", [(x, 0)], sheet_id=s, block_name="B") for i, (s, x) in enumerate([(1, 0), (1, 0), (1, 5), (2, 0), (2, 5), (3, 7)])]
+    ctx = rules.RuleContext(frame(spark, rows), None, None, None)
+    found = rules.duplicate_entity(ctx, {})
+    assert sorted((r.item, r.weight) for r in found.collect()) == [("e1-00000", 1), ("e1-00001", 0)]
+    assert any("stored-" in f for f in found.inputFiles())
