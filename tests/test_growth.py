@@ -160,3 +160,30 @@ def test_only_sheets_with_repeated_keys_are_compared(spark):
     found = rules.duplicate_entity(ctx, {})
     assert sorted((r.item, r.weight) for r in found.collect()) == [("e1-00000", 1), ("e1-00001", 0)]
     assert any("stored-" in f for f in found.inputFiles())
+
+
+def test_listed_pairs_are_found_once_and_the_walk_is_freed(spark):
+    rows = [row(i, "LINE", "P-PIPE", [(0, 100 * i), (9000, 100 * i)]) for i in range(5)] + [row(9, "INSERT", "E-LIGHT", [(20000, 0)], block_name="M1"), row(10, "INSERT", "E-LIGHT", [(20500, 0)], block_name="M1")]
+    plain, listed = (places.place_graph(frame(spark, rows), listed=x) for x in (False, True))
+    assert all("Join" not in df._jdf.queryExecution().optimizedPlan().toString() for df in (listed.links, listed.steps))
+    pick = lambda df: sorted(map(tuple, df.collect()))
+    assert pick(plain.links) == pick(listed.links) and pick(plain.steps) == pick(listed.steps) and pick(plain.counts) == pick(listed.counts)
+    before = shuffle_files(spark)
+    found = places.reach(listed, spark.createDataFrame([("e1-00000",), ("e1-00009",)], "node_id STRING"))
+    for _ in range(50):
+        if not shuffle_files(spark) - before:
+            break
+        time.sleep(0.1)
+    assert not shuffle_files(spark) - before
+    assert {r.anchor: n for r, n in ((r, r["count"]) for r in found.groupBy("anchor").count().collect())} == {"e1-00000": 4, "e1-00009": 1}
+
+
+def test_one_entity_on_two_sheets_is_reached_once(spark):
+    """An id on two sheets is one node: what both lead to is named once, at the shortest hop; entities without an id lead nowhere."""
+    rows = [row(0, "LINE", "P-PIPE", [(0, 0), (9000, 0)], sheet_id=1, entity_id="a"), row(1, "INSERT", "A-DOOR", [(100, 0)], sheet_id=1, block_name="M1", entity_id="b"),
+            row(2, "LINE", "P-PIPE", [(0, 0), (9000, 0)], sheet_id=2, entity_id="a"), row(3, "LINE", "P-PIPE", [(9100, 0), (12500, 0)], sheet_id=2, entity_id="c"),
+            row(4, "LINE", "P-PIPE", [(15500, 0), (30000, 0)], sheet_id=2, entity_id=None), row(5, "INSERT", "A-DOOR", [(12600, 0)], sheet_id=2, block_name="M1", entity_id="b"),
+            row(6, "INSERT", "A-DOOR", [(30100, 0)], sheet_id=2, block_name="M1", entity_id="d")]
+    for listed in (False, True):
+        found = places.reach(places.place_graph(frame(spark, rows), listed=listed), spark.createDataFrame([("a",)], "node_id STRING"))
+        assert sorted((r.node, r.hop) for r in found.collect()) == [("b", 1), ("c", 1)]
