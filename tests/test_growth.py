@@ -1,6 +1,8 @@
 """What is stored and shuffled grows with the input, and no faster."""
+import glob
 import time
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from sheetmetric.model import adapter
 from sheetmetric.operators import classify, divisions, graph, places, rules, spatial
 from sheetmetric.queries.rules import ALL_RULES
 from sheetmetric.queries.sources import QUERIES as SOURCES
-from sheetmetric.session import FREED, stored
+from sheetmetric.queries.graph import QUERIES as GRAPH
+from sheetmetric.session import FREED, shared_folder, stored
 
 SF = "/root/testdata/sf0.001"
 
@@ -187,3 +190,15 @@ def test_one_entity_on_two_sheets_is_reached_once(spark):
     for listed in (False, True):
         found = places.reach(places.place_graph(frame(spark, rows), listed=listed), spark.createDataFrame([("a",)], "node_id STRING"))
         assert sorted((r.node, r.hop) for r in found.collect()) == [("b", 1), ("c", 1)]
+
+
+def stored_rows(spark):
+    folder = shared_folder(spark).removeprefix("file:")
+    return {f: pq.read_metadata(f).num_rows for f in glob.glob(f"{folder}/stored-*/*.parquet")}
+
+
+def test_a_saved_graph_leaves_no_tables_behind(spark):
+    before = stored_rows(spark)
+    found = GRAPH["graph_io"](spark, SF)
+    assert sum(n for f, n in stored_rows(spark).items() if f not in before) == 0
+    assert found.where("relation = 'NEAR' OR node_type = 'Place'").count() > 0 and all(n == stored_rows(spark).get(f) for f, n in before.items())
